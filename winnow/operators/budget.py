@@ -49,7 +49,8 @@ def topk_by_score(scores: DataFrame, budget: float, n: int | None = None,
         n = scores.count()
     k = resolve_k(n, budget)
     top = take_top(scores.select(id_col, score_col), k, rank_order(score_col, id_col))
-    return top.select(id_col, F.round(F.col(score_col), SCORE_DIGITS).alias(score_col))
+    # "+ 0.0" turns a negated zero (-0.0) into 0.0.
+    return top.select(id_col, (F.round(F.col(score_col), SCORE_DIGITS) + F.lit(0.0)).alias(score_col))
 
 
 def invalid_sink(scores: DataFrame, valid: Column, score_col: str = "score") -> DataFrame:

@@ -69,7 +69,7 @@ def topk_sql(scores_cte_sql: str, budget: float, n_expr: str = "(SELECT count(*)
         raw = str(int(budget))
     k = f"greatest(1, least({n_expr}, {raw}))"
     return f"""{scores_cte_sql}
-SELECT example_id, round(score, 9) AS score FROM sc
+SELECT example_id, round(score, 9) + 0.0 AS score FROM sc
 QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC NULLS LAST, example_id) <= {k}"""
 
 
@@ -125,3 +125,148 @@ greatest(1, least(count(*), CAST(round_even(0.05 * count(*), 0) AS BIGINT))) AS
 }
 
 __all__ = ["ORACLE", "sql_strip", "sql_ws29"]
+
+
+# --- records ------------------------------------------------------------------
+WS = sql_ws29()
+
+
+def strip(e: str) -> str:
+    return f"trim(coalesce({e}, ''), {WS})"
+
+
+ALPACA_RAW = """araw AS (SELECT doc_id AS example_id, split_part(text, chr(10), 1) AS instruction,
+    CASE WHEN lang = 'en' THEN NULL ELSE source END AS input,
+    substr(text, length(split_part(text, chr(10), 1)) + 2) AS output FROM documents)"""
+
+ALPACA = ALPACA_RAW + f""",
+alp AS (SELECT example_id, {strip('instruction')} AS instruction, {strip('input')} AS input,
+        {strip('output')} AS output FROM araw
+        WHERE {strip('instruction')} <> '' AND {strip('output')} <> '')"""
+
+ROLE_TAG = ("CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' "
+            "WHEN 'assistant' THEN 'Assistant' ELSE coalesce(role, '') END")
+
+CHAT = f"""la AS (SELECT conv_id, max(turn) AS last_turn FROM conversations
+       WHERE role = 'assistant' AND {strip('text')} <> '' GROUP BY conv_id),
+h AS (SELECT c.conv_id, c.turn, c.role, c.text FROM conversations c JOIN la ON c.conv_id = la.conv_id
+      WHERE c.turn < la.last_turn),
+hs AS (SELECT conv_id, count(*) AS n_hist, arg_min(role, turn) AS first_role,
+              arg_min({strip('text')}, turn) AS first_text,
+              string_agg({ROLE_TAG} || ': ' || {strip('text')}, chr(10) || chr(10) ORDER BY turn)
+                FILTER (WHERE {strip('text')} <> '') AS tagged
+       FROM h GROUP BY conv_id),
+chat AS (SELECT * FROM (
+   SELECT la.conv_id AS example_id,
+          CASE WHEN hs.n_hist = 1 AND hs.first_role = 'user' THEN hs.first_text
+               ELSE coalesce(hs.tagged, '') END AS instruction,
+          '' AS input, {strip('o.text')} AS output
+   FROM la LEFT JOIN hs ON la.conv_id = hs.conv_id
+   JOIN conversations o ON o.conv_id = la.conv_id AND o.turn = la.last_turn) WHERE instruction <> '')"""
+
+SHAREGPT = f"""sg AS (SELECT conv_id, turn,
+        CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END AS frm,
+        {strip('text')} AS v FROM conversations),
+hh AS (SELECT conv_id, min(turn) AS ht FROM sg WHERE frm = 'human' AND v <> '' GROUP BY conv_id),
+gg AS (SELECT sg.conv_id, min(sg.turn) AS gt FROM sg JOIN hh ON sg.conv_id = hh.conv_id
+       WHERE sg.frm = 'gpt' AND sg.v <> '' AND sg.turn > hh.ht GROUP BY sg.conv_id),
+pair AS (SELECT hh.conv_id AS example_id, hx.v AS instruction, gx.v AS output
+         FROM hh JOIN gg ON hh.conv_id = gg.conv_id
+         JOIN sg hx ON hx.conv_id = hh.conv_id AND hx.turn = hh.ht
+         JOIN sg gx ON gx.conv_id = gg.conv_id AND gx.turn = gg.gt)"""
+
+
+def prompt_sql(ins="instruction", inp="input") -> str:
+    i = strip(inp)
+    return ("'Below is an instruction that describes a task' || "
+            f"CASE WHEN {i} <> '' THEN ', paired with an input' ELSE '' END || "
+            "'. Write a response that appropriately completes the request.' || chr(10) || chr(10) || "
+            "'### Instruction:' || chr(10) || " + strip(ins) + " || chr(10) || chr(10) || "
+            f"CASE WHEN {i} <> '' THEN '### Input:' || chr(10) || {i} || chr(10) || chr(10) ELSE '' END || "
+            "'### Response:' || chr(10)")
+
+
+TOK = f"""tok0 AS (SELECT example_id, {sql_tokenize_whitespace(prompt_sql())} AS ptoks,
+        {sql_tokenize_whitespace(strip('output'))} AS otoks FROM chat),
+tok AS (SELECT example_id, list_slice(list_concat(ptoks, otoks, ['</s>']), 1, 2048) AS tokens,
+        CAST(least(len(ptoks), 2048) AS BIGINT) AS n_prompt FROM tok0)"""
+
+SCORES = bm25_mean_sql(QUERIES)
+
+
+def draw(seed, salt, col):
+    return sql_draw_key(seed, salt, col)
+
+
+ORACLE.update({
+    "materialize_subset": topk_sql(SCORES, 0.05).replace(
+        "SELECT example_id, round(score, 9) + 0.0 AS score FROM sc",
+        "SELECT sc.example_id, documents.lang, documents.source FROM sc "
+        "JOIN documents ON documents.doc_id = sc.example_id"),
+    "invalid_sink": topk_sql(SCORES + """,
+sc2 AS (SELECT sc.example_id, CASE WHEN documents.lang = 'en' THEN sc.score END AS score
+        FROM sc JOIN documents ON documents.doc_id = sc.example_id)""", 0.5).replace(
+        "FROM sc\nQUALIFY", "FROM sc2\nQUALIFY").replace("(SELECT count(*) FROM sc)", "(SELECT count(*) FROM sc2)"),
+    "score_direction": topk_sql(SCORES + ",\nneg AS (SELECT example_id, -score AS score FROM sc)", 0.05)
+        .replace("FROM sc\nQUALIFY", "FROM neg\nQUALIFY"),
+    "policy_hard": SCORES + """,
+top AS (SELECT example_id FROM sc QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC, example_id)
+        <= greatest(1, least((SELECT count(*) FROM sc), CAST(round_even(0.05 * (SELECT count(*) FROM sc), 0) AS BIGINT))))
+SELECT sc.example_id, CASE WHEN top.example_id IS NULL THEN 0.0 ELSE 1.0 END AS weight
+FROM sc LEFT JOIN top ON sc.example_id = top.example_id""",
+    "select_all": "SELECT doc_id AS example_id FROM documents",
+    "alpaca_record": f"WITH {ALPACA} SELECT * FROM alp",
+    "chat_to_record": f"WITH {CHAT} SELECT * FROM chat",
+    "sharegpt_first_pair": f"WITH {SHAREGPT} SELECT * FROM pair",
+    "evol_record": f"""WITH {SHAREGPT}, {ALPACA_RAW}
+SELECT 'chat' AS origin, example_id, instruction, '' AS input, output FROM pair
+UNION ALL
+SELECT 'doc' AS origin, example_id, {strip('instruction')} AS instruction, '' AS input, {strip('output')} AS output
+FROM araw WHERE {strip('instruction')} <> '' AND {strip('output')} <> ''""",
+    "format_prompt": f"WITH {ALPACA} SELECT example_id, {prompt_sql()} AS text FROM alp",
+    "tokenize_mask": f"""WITH {CHAT}, {TOK}
+SELECT example_id, CAST(len(tokens) AS BIGINT) AS n_tokens, n_prompt, array_to_string(tokens, ' ') AS tokens FROM tok""",
+    "response_tokens": f"""WITH {CHAT}, {TOK}
+SELECT example_id, CAST(greatest(len(tokens) - n_prompt, 0) AS BIGINT) AS n_response,
+       CASE WHEN len(tokens) > n_prompt THEN array_to_string(list_slice(tokens, n_prompt + 1, len(tokens)), ' ')
+            ELSE '' END AS response FROM tok""",
+    "scorable_flag": f"WITH {CHAT}, {TOK} SELECT example_id, len(tokens) > n_prompt AS scorable FROM tok",
+    "read_records": "SELECT * FROM documents",
+    "read_chat_sources": f"""WITH {CHAT}
+SELECT CASE WHEN example_id % 2 = 0 THEN 'dolly' ELSE 'oasst1' END AS dataset, * FROM chat""",
+    "write_jsonl": f"WITH {ALPACA} SELECT * FROM alp",
+    "build_if_missing": f"WITH {CHAT} SELECT * FROM chat",
+    "selection_manifest": topk_sql(SCORES, 0.05).replace(
+        "SELECT example_id, round(score, 9) + 0.0 AS score FROM sc\nQUALIFY",
+        "SELECT 'bm25' AS method, CAST(0.05 AS DOUBLE) AS budget, count(*) AS num_selected, "
+        "CAST(sum(example_id) AS BIGINT) AS id_sum, min(example_id) AS min_id, max(example_id) AS max_id "
+        "FROM (SELECT example_id FROM sc\nQUALIFY") + ")",
+    "dataset_sizes": """WITH n AS (SELECT count(*) AS n FROM documents)
+SELECT 'train' AS split, n - CAST(ceil(n * 0.05) AS BIGINT) AS n FROM n
+UNION ALL SELECT 'validation' AS split, CAST(ceil(n * 0.05) AS BIGINT) AS n FROM n""",
+    "subsample_fraction": f"""SELECT doc_id AS example_id FROM documents
+QUALIFY row_number() OVER (ORDER BY {draw(3, 'subsample', 'doc_id')}, doc_id)
+        <= CAST(round_even(0.3 * count(*) OVER (), 0) AS BIGINT)""",
+    "mix_sources": f"""SELECT source AS dataset, doc_id AS example_id,
+       {sql_draw_key(3, 'shuffle', 'source', 'doc_id')} AS shuffle_key FROM documents
+QUALIFY row_number() OVER (PARTITION BY source ORDER BY {draw(3, 'subsample', 'doc_id')}, doc_id)
+        <= CAST(round_even(0.5 * count(*) OVER (PARTITION BY source), 0) AS BIGINT)""",
+    "mixture_stats": """SELECT source AS dataset, count(*) AS available,
+       CAST(round_even(0.5 * count(*), 0) AS BIGINT) AS kept FROM documents GROUP BY source""",
+    "train_val_split": f"""SELECT doc_id AS example_id,
+  CASE WHEN row_number() OVER (ORDER BY {draw(42, 'split', 'doc_id')}, doc_id)
+            <= CAST(ceil(0.05 * count(*) OVER ()) AS BIGINT) THEN 'validation' ELSE 'train' END AS split
+FROM documents""",
+    "select_random": f"""SELECT doc_id AS example_id FROM documents
+QUALIFY row_number() OVER (ORDER BY {draw(42, 'random', 'doc_id')}, doc_id)
+        <= greatest(1, least(count(*) OVER (), CAST(round_even(0.05 * count(*) OVER (), 0) AS BIGINT)))""",
+    "warmup_subset": f"""SELECT doc_id AS example_id FROM documents
+QUALIFY row_number() OVER (ORDER BY {draw(42, 'warmup', 'doc_id')}, doc_id)
+        <= greatest(1, least(count(*) OVER (), CAST(round_even(0.01 * count(*) OVER (), 0) AS BIGINT)))""",
+    "cluster_round_robin": f"""SELECT example_id, label FROM (
+  SELECT vec_id AS example_id, label,
+         row_number() OVER (PARTITION BY label ORDER BY {draw(42, 'cluster', 'vec_id')}, vec_id) AS rnd
+  FROM embeddings) ORDER BY rnd, label LIMIT 50""",
+    "query_sample": f"""SELECT doc_id AS example_id FROM documents
+ORDER BY {draw(42, 'queries', 'doc_id')}, doc_id LIMIT 256""",
+})

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from winnow.functions.text import tokenize_alnum as alnum_expr
 from winnow.operators import budget as bud
 from winnow.operators import lexical as lex
+from winnow.operators import records as rec
+from winnow.operators import sampling as smp
+from winnow.session import read_table, scratch_path
+from winnow.sources import io
 from winnow.sources import tables as tb
 
 R9 = 9
@@ -107,6 +111,194 @@ def q_topk_by_score(spark, sf):
     return bud.topk_by_score(_bm25_scores(spark, sf), 0.1)
 
 
+def q_materialize_subset(spark, sf):
+    ex = tb.examples(spark, sf)
+    sel = lex.select_bm25(ex, tb.target(spark, sf), budget=0.05)
+    return bud.materialize_subset(ex, sel, k=bud.LIMIT_K).select("example_id", "lang", "source")
+
+
+def q_invalid_sink(spark, sf):
+    ex = tb.examples(spark, sf)
+    s = _bm25_scores(spark, sf).join(ex.select("example_id", "lang"), "example_id")
+    s = bud.invalid_sink(s, F.col("lang") == "en")
+    return bud.topk_by_score(s.select("example_id", "score"), 0.5)
+
+
+def q_score_direction(spark, sf):
+    s = bud.score_direction(_bm25_scores(spark, sf), "low")
+    return bud.topk_by_score(s, 0.05)
+
+
+def q_policy_hard(spark, sf):
+    return bud.policy_hard(_bm25_scores(spark, sf), 0.05)
+
+
+def q_select_all(spark, sf):
+    return bud.select_all(tb.examples(spark, sf))
+
+
+# --- B: record shaping ------------------------------------------------------------
+
+def alpaca_raw(spark, sf):
+    """Alpaca-shaped rows from documents: first line / other lines; non-English rows
+    carry their source tag as the input."""
+    d = read_table(spark, sf, "documents")
+    first = F.substring_index("text", "\n", 1)
+    return d.select(F.col("doc_id").alias("example_id"), first.alias("instruction"),
+                    F.when(F.col("lang") == "en", F.lit(None)).otherwise(F.col("source")).alias("input"),
+                    F.expr("substr(text, length(substring_index(text, '\\n', 1)) + 2)").alias("output"))
+
+
+def sharegpt_raw(spark, sf):
+    """ShareGPT-shaped rows from conversations (user -> human, assistant -> gpt)."""
+    c = tb.conversations(spark, sf)
+    frm = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "gpt") \
+           .otherwise(F.col("role"))
+    g = c.groupBy(F.col("conv_id").alias("example_id")).agg(F.array_sort(F.collect_list(
+        F.struct(F.col("turn").alias("t"), frm.alias("from"), F.col("text").alias("value")))).alias("_c"))
+    return g.select("example_id", F.transform("_c", lambda x: F.struct(
+        x["from"].alias("from"), x["value"].alias("value"))).alias("conversations"))
+
+
+def chat_records(spark, sf):
+    return rec.chat_to_record(tb.conversations(spark, sf))
+
+
+def q_alpaca_record(spark, sf):
+    return rec.alpaca_record(alpaca_raw(spark, sf))
+
+
+def q_chat_to_record(spark, sf):
+    return chat_records(spark, sf)
+
+
+def q_sharegpt_first_pair(spark, sf):
+    return rec.sharegpt_first_pair(sharegpt_raw(spark, sf))
+
+
+def q_evol_record(spark, sf):
+    chat = sharegpt_raw(spark, sf).select(
+        F.lit("chat").alias("origin"), "example_id", "conversations",
+        F.lit(None).cast("string").alias("instruction"), F.lit(None).cast("string").alias("output"))
+    docs = alpaca_raw(spark, sf).select(
+        F.lit("doc").alias("origin"), "example_id",
+        F.array().cast("array<struct<from:string,value:string>>").alias("conversations"),
+        "instruction", "output")
+    return rec.evol_record(chat.unionByName(docs), keep=["origin"])
+
+
+def q_format_prompt(spark, sf):
+    return rec.format_prompt(rec.alpaca_record(alpaca_raw(spark, sf))).select("example_id", "text")
+
+
+def _tok(spark, sf):
+    return rec.tokenize_mask(chat_records(spark, sf))
+
+
+def q_tokenize_mask(spark, sf):
+    t = _tok(spark, sf)
+    return t.select("example_id", F.size("tokens").cast("long").alias("n_tokens"), "n_prompt",
+                    F.array_join("tokens", " ").alias("tokens"))
+
+
+def q_response_tokens(spark, sf):
+    r = rec.response_tokens(_tok(spark, sf))
+    return r.select("example_id", F.size("response").cast("long").alias("n_response"),
+                    F.array_join("response", " ").alias("response"))
+
+
+def q_scorable_flag(spark, sf):
+    return rec.scorable_flag(_tok(spark, sf))
+
+
+# --- A: sources and sinks ------------------------------------------------------------
+
+CHAT_NAMES = ["dolly", "oasst1"]
+
+
+def q_read_records(spark, sf):
+    return io.read_records(spark, f"{sf}/documents.parquet")
+
+
+def q_read_chat_sources(spark, sf):
+    base = scratch_path(spark, "chat-sources")
+    msgs = rec.turns_to_messages(tb.conversations(spark, sf))
+    tagged = msgs.withColumn("dataset", F.when(F.col("example_id") % 2 == 0, CHAT_NAMES[0])
+                             .otherwise(CHAT_NAMES[1]))
+    for i, name in enumerate(CHAT_NAMES):
+        where = f"{base}/{name}_data.jsonl" if i == 0 else f"{base}/{name}/{name}_data.jsonl"
+        io.write_jsonl(tagged.filter(F.col("dataset") == name)
+                       .select("dataset", F.col("example_id").cast("string").alias("id"), "messages"),
+                       where)
+    raw = io.read_chat_sources(spark, base, CHAT_NAMES) \
+            .withColumn("example_id", F.col("id").cast("long"))
+    return rec.messages_to_record(raw, keep=["dataset"])
+
+
+def q_write_jsonl(spark, sf):
+    path = scratch_path(spark, "records") + "/alpaca.jsonl"
+    io.write_jsonl(rec.alpaca_record(alpaca_raw(spark, sf)), path)
+    schema = io.RECORD_SCHEMA.add("example_id", "long")
+    return io.read_records(spark, path, schema=schema)
+
+
+def q_build_if_missing(spark, sf):
+    base = scratch_path(spark, "built")
+    key = "chat-records/seed=42/pct=1.0"
+    io.build_if_missing(spark, base, key, lambda: chat_records(spark, sf))
+    return io.build_if_missing(spark, base, key, lambda: chat_records(spark, sf))
+
+
+def q_selection_manifest(spark, sf):
+    sel = lex.select_bm25(tb.examples(spark, sf), tb.target(spark, sf), budget=0.05)
+    return io.selection_manifest(sel, "bm25", 0.05, ids_path=scratch_path(spark, "selected-ids"))
+
+
+def q_dataset_sizes(spark, sf):
+    sp = smp.train_val_split(tb.examples(spark, sf).select("example_id"), 0.05, seed=42)
+    return io.dataset_sizes(sp.filter(F.col("split") == "train"),
+                            sp.filter(F.col("split") == "validation"))
+
+
+# --- C: sampling ----------------------------------------------------------------
+
+def q_subsample_fraction(spark, sf):
+    return smp.subsample_fraction(tb.examples(spark, sf).select("example_id"), 0.3, seed=3)
+
+
+def _sources(spark, sf):
+    return tb.examples(spark, sf).select(F.col("source").alias("dataset"), "example_id")
+
+
+def q_mix_sources(spark, sf):
+    return smp.mix_sources(_sources(spark, sf), 0.5, seed=3)
+
+
+def q_mixture_stats(spark, sf):
+    src = _sources(spark, sf)
+    return smp.mixture_stats(src, smp.mix_sources(src, 0.5, seed=3))
+
+
+def q_train_val_split(spark, sf):
+    return smp.train_val_split(tb.examples(spark, sf).select("example_id"), 0.05, seed=42)
+
+
+def q_select_random(spark, sf):
+    return smp.select_random(tb.examples(spark, sf), 0.05, seed=42)
+
+
+def q_warmup_subset(spark, sf):
+    return smp.warmup_subset(tb.examples(spark, sf), 0.01, seed=42, rounding="even")
+
+
+def q_cluster_round_robin(spark, sf):
+    return smp.cluster_round_robin(tb.vectors(spark, sf).select("example_id", "label"), 50, seed=42)
+
+
+def q_query_sample(spark, sf):
+    return smp.query_sample(tb.examples(spark, sf), 256, seed=42)
+
+
 QUERIES = {
     "select_bm25": q_select_bm25,
     "tokenize_alnum": q_tokenize_alnum,
@@ -122,4 +314,31 @@ QUERIES = {
     "standardize": q_standardize,
     "budget_to_k": q_budget_to_k,
     "topk_by_score": q_topk_by_score,
+    "materialize_subset": q_materialize_subset,
+    "invalid_sink": q_invalid_sink,
+    "score_direction": q_score_direction,
+    "policy_hard": q_policy_hard,
+    "select_all": q_select_all,
+    "alpaca_record": q_alpaca_record,
+    "chat_to_record": q_chat_to_record,
+    "sharegpt_first_pair": q_sharegpt_first_pair,
+    "evol_record": q_evol_record,
+    "format_prompt": q_format_prompt,
+    "tokenize_mask": q_tokenize_mask,
+    "response_tokens": q_response_tokens,
+    "scorable_flag": q_scorable_flag,
+    "read_records": q_read_records,
+    "read_chat_sources": q_read_chat_sources,
+    "write_jsonl": q_write_jsonl,
+    "build_if_missing": q_build_if_missing,
+    "selection_manifest": q_selection_manifest,
+    "dataset_sizes": q_dataset_sizes,
+    "subsample_fraction": q_subsample_fraction,
+    "mix_sources": q_mix_sources,
+    "mixture_stats": q_mixture_stats,
+    "train_val_split": q_train_val_split,
+    "select_random": q_select_random,
+    "warmup_subset": q_warmup_subset,
+    "cluster_round_robin": q_cluster_round_robin,
+    "query_sample": q_query_sample,
 }
