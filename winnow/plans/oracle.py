@@ -270,3 +270,131 @@ QUALIFY row_number() OVER (ORDER BY {draw(42, 'warmup', 'doc_id')}, doc_id)
     "query_sample": f"""SELECT doc_id AS example_id FROM documents
 ORDER BY {draw(42, 'queries', 'doc_id')}, doc_id LIMIT 256""",
 })
+
+
+# --- vectors ------------------------------------------------------------------
+
+def _norm(v: str) -> str:
+    return f"sqrt(list_sum(list_transform({v}, lambda x: x * x)))"
+
+
+EMB = f"""es AS (SELECT vec_id AS example_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, label,
+   CASE WHEN row_number() OVER (ORDER BY {draw(42, 'split', 'vec_id')}, vec_id)
+             <= CAST(ceil(0.05 * count(*) OVER ()) AS BIGINT) THEN 'validation' ELSE 'train' END AS split
+   FROM embeddings),
+tr AS (SELECT example_id, v FROM es WHERE split = 'train'),
+va AS (SELECT example_id, v FROM es WHERE split = 'validation')"""
+
+
+def centroid_cte(name: str, src: str, col: str = "v") -> str:
+    return f"""{name} AS (SELECT list(x ORDER BY dim) AS c FROM (
+   SELECT dim, avg(x) AS x FROM (SELECT generate_subscripts({col}, 1) AS dim, unnest({col}) AS x FROM {src})
+   GROUP BY dim))"""
+
+
+BITS = "lpad(bin(('0x' || substr(md5('42:tokvec:' || tok), 1, 16))::UBIGINT), 64, '0')"
+SIGN = "(CASE WHEN substr(bits, dim + 1, 1) = '1' THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END)"
+
+
+def mean_pool_sql(src_cte: str, id_col: str = "example_id") -> str:
+    """CTE chain (after ``src_cte`` defining x(id, tokens)) ending in mp(id, dim, value)."""
+    return f"""{src_cte},
+dims AS (SELECT range AS dim FROM range(64)),
+tk AS (SELECT {id_col}, len(tokens) AS n, unnest(tokens) AS tok FROM x),
+bt AS (SELECT {id_col}, n, {BITS} AS bits FROM tk),
+s1 AS (SELECT {id_col}, dim, sum({SIGN}) / greatest(any_value(n), 1) AS value FROM bt CROSS JOIN dims
+       GROUP BY {id_col}, dim),
+mp AS (SELECT x.{id_col}, dims.dim, coalesce(s1.value, 0.0) AS value FROM x CROSS JOIN dims
+       LEFT JOIN s1 ON s1.{id_col} = x.{id_col} AND s1.dim = dims.dim)"""
+
+
+def position_pool_sql(src_cte: str, id_col: str = "example_id", out: str = "pp") -> str:
+    """CTE chain ending in ``{out}(id, dim, value)``: position-weighted, unit (eps 1e-8)."""
+    return f"""{src_cte},
+dims AS (SELECT range AS dim FROM range(64)),
+tk AS (SELECT {id_col}, len(tokens) AS n, unnest(tokens) AS tok, generate_subscripts(tokens, 1) AS pos FROM x),
+bt AS (SELECT {id_col}, n, pos, {BITS} AS bits FROM tk),
+s1 AS (SELECT {id_col}, dim, sum(pos * {SIGN}) / greatest(any_value(n) * (any_value(n) + 1.0) / 2.0, 1.0) AS value
+       FROM bt CROSS JOIN dims GROUP BY {id_col}, dim),
+ph AS (SELECT x.{id_col}, dims.dim, coalesce(s1.value, 0.0) AS value FROM x CROSS JOIN dims
+       LEFT JOIN s1 ON s1.{id_col} = x.{id_col} AND s1.dim = dims.dim),
+nr AS (SELECT {id_col}, sqrt(sum(value * value)) AS nrm FROM ph GROUP BY {id_col}),
+{out} AS (SELECT ph.{id_col}, ph.dim, ph.value / greatest(nr.nrm, 1e-8) AS value FROM ph JOIN nr
+       ON ph.{id_col} = nr.{id_col})"""
+
+
+def gate_sql(score: str, tau=1.0, w_min=0.0, w_max=10.0) -> str:
+    return f"least(greatest(1.0 / (1.0 + exp(-({score}) / {float(tau)})), {float(w_min)}), {float(w_max)})"
+
+
+BM25_STD = BM25_ANCHOR + """,
+mstd AS (SELECT avg(score) AS mu, stddev_samp(score) AS sd FROM sc),
+scz AS (SELECT example_id, (score - mu) / (sd + 1e-8) AS score FROM sc CROSS JOIN mstd)"""
+
+PP_DOCS = position_pool_sql(WS_DOCS.replace("x AS", "x AS", 1))
+EVENTS_B = """eb AS (SELECT event_id AS example_id, CAST(floor(event_id / 8) AS BIGINT) AS batch_id,
+                   value AS loss FROM events)"""
+
+ORACLE.update({
+    "encode_mean_pool": "WITH " + mean_pool_sql(WS_DOCS) +
+        "\nSELECT example_id, dim, round(value, 9) AS value FROM mp",
+    "encode_position_pool": "WITH " + PP_DOCS + "\nSELECT example_id, dim, round(value, 9) AS value FROM pp",
+    "l2_normalize": f"""WITH e AS (SELECT vec_id AS example_id, list_transform(embedding, lambda x: x::DOUBLE) AS v
+    FROM embeddings)
+SELECT example_id, CAST(dim - 1 AS BIGINT) AS dim, round(x / greatest(nrm, 1e-12), 9) AS value FROM (
+  SELECT example_id, {_norm('v')} AS nrm, generate_subscripts(v, 1) AS dim, unnest(v) AS x FROM e)""",
+    "centroid": """WITH e AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
+SELECT CAST(dim - 1 AS BIGINT) AS dim, round(avg(x), 9) AS value FROM (
+  SELECT generate_subscripts(v, 1) AS dim, unnest(v) AS x FROM e) GROUP BY dim""",
+    "cosine_to_centroid": f"""WITH {EMB}, {centroid_cte('cv', 'va')}
+SELECT example_id, round(list_dot_product(v, c) / greatest({_norm('v')} * {_norm('c')}, 1e-8), 9) AS score
+FROM tr CROSS JOIN cv""",
+    "select_embedding": topk_sql(f"""WITH {EMB}, {centroid_cte('cv', 'va')},
+sc AS (SELECT example_id, list_dot_product(v, c) / greatest({_norm('v')} * {_norm('c')}, 1e-8) AS score
+       FROM tr CROSS JOIN cv)""", 0.05),
+    "anchor_mean_cosine": f"""WITH {EMB},
+ua AS (SELECT list_transform(v, lambda x: x / greatest({_norm('v')}, 1e-8)) AS u FROM va),
+{centroid_cte('cv', 'ua', 'u')}
+SELECT example_id, round(list_dot_product(list_transform(v, lambda x: x / greatest({_norm('v')}, 1e-8)), c), 9)
+  AS score FROM tr CROSS JOIN cv""",
+    "nearest_neighbor": f"""WITH u AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v0
+    FROM embeddings),
+uu AS (SELECT id, list_transform(v0, lambda x: x / greatest({_norm('v0')}, 1e-12)) AS v FROM u)
+SELECT a.id AS example_id, b.id AS nn_id, round(list_dot_product(a.v, b.v), 9) AS sim
+FROM uu a JOIN uu b ON a.id <> b.id
+QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(list_dot_product(a.v, b.v), 9) DESC, b.id) = 1""",
+    "pairwise_similarity_agg": f"""WITH {EMB},
+ut AS (SELECT example_id, list_transform(v, lambda x: x / greatest({_norm('v')}, 1e-12)) AS u FROM tr),
+uv AS (SELECT example_id, list_transform(v, lambda x: x / greatest({_norm('v')}, 1e-12)) AS u FROM va),
+{centroid_cte('cv', 'uv', 'u')},
+mx AS (SELECT ut.example_id, max(round(list_dot_product(ut.u, uv.u), 9)) AS max_sim
+       FROM ut CROSS JOIN uv GROUP BY ut.example_id)
+SELECT ut.example_id, round(list_dot_product(ut.u, cv.c), 9) AS mean_sim, round(mx.max_sim, 9) AS max_sim
+FROM ut CROSS JOIN cv JOIN mx ON mx.example_id = ut.example_id""",
+    "sigmoid_gate": SCORES + f"\nSELECT example_id, round({gate_sql('score')}, 9) AS weight FROM sc",
+    "policy_reweight": SCORES + f""",
+m AS (SELECT avg(score) AS mu, stddev_samp(score) AS sd FROM sc)
+SELECT example_id, round({gate_sql('(score - mu) / (sd + 1e-8)', 0.5, 0.05, 0.9)}, 9) AS weight
+FROM sc CROSS JOIN m""",
+    "weights_bm25": BM25_STD + f"""
+SELECT example_id, round(score, 9) AS score, round({gate_sql('score')}, 9) AS weight FROM scz""",
+    "weights_embed": "WITH " + position_pool_sql(WS_DOCS) + ",\n" + position_pool_sql(
+        WS_ANCHORS.replace("a AS", "x AS", 1), "anchor_id", "pa").replace("dims AS (SELECT range AS dim FROM range(64)),\n", "")
+        .replace("tk AS", "tka AS").replace("FROM tk)", "FROM tka)").replace("bt AS", "bta AS")
+        .replace("FROM bt CROSS", "FROM bta CROSS").replace("s1 AS", "s1a AS").replace("s1.", "s1a.")
+        .replace("LEFT JOIN s1 ON", "LEFT JOIN s1a ON").replace("ph AS", "pha AS").replace("ph.", "pha.")
+        .replace("FROM ph ", "FROM pha ").replace("nr AS", "nra AS").replace("nr.", "nra.")
+        .replace("JOIN nr\n", "JOIN nra\n").replace("x AS (SELECT", "xa AS (SELECT", 1)
+        .replace("FROM x)", "FROM xa)").replace("FROM x CROSS", "FROM xa CROSS").replace("x.anchor_id", "xa.anchor_id")
+        + """,
+ac AS (SELECT dim, avg(value) AS c FROM pa GROUP BY dim),
+ss AS (SELECT pp.example_id, sum(pp.value * ac.c) AS score FROM pp JOIN ac ON pp.dim = ac.dim GROUP BY pp.example_id)
+SELECT example_id, round(score, 9) AS score, round(""" + gate_sql("score") + ", 9) AS weight FROM ss",
+    "combine_weighted_loss": f"""WITH {EVENTS_B},
+w AS (SELECT event_id AS example_id, {gate_sql('value / 10.0 - 1.0')} AS weight FROM events)
+SELECT batch_id, round(sum(weight * loss) / greatest(sum(weight), 1e-8), 9) AS loss
+FROM eb JOIN w ON eb.example_id = w.example_id GROUP BY batch_id""",
+    "anchor_refresh": f"""WITH {EVENTS_B}
+SELECT DISTINCT batch_id AS step, CAST(floor(batch_id / 50) * 50 AS BIGINT) AS version FROM eb""",
+    "thread_row_id": "SELECT doc_id AS example_id, text FROM documents",
+})

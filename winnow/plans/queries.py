@@ -14,6 +14,8 @@ from winnow.functions.text import tokenize_alnum as alnum_expr
 from winnow.operators import budget as bud
 from winnow.operators import lexical as lex
 from winnow.operators import records as rec
+from winnow.operators import reweight as rw
+from winnow.operators import vectors as vec
 from winnow.operators import sampling as smp
 from winnow.session import read_table, scratch_path
 from winnow.sources import io
@@ -299,6 +301,130 @@ def q_query_sample(spark, sf):
     return smp.query_sample(tb.examples(spark, sf), 256, seed=42)
 
 
+# --- F: vectors ------------------------------------------------------------------
+
+def _ws_docs(spark, sf):
+    return lex.tokenize_whitespace(tb.examples(spark, sf))
+
+
+def _ws_anchors(spark, sf):
+    return lex.tokenize_whitespace(tb.target(spark, sf).withColumnRenamed("item_id", "anchor_id"),
+                                   id_col="anchor_id")
+
+
+def _long(vecs, id_col="example_id"):
+    return vec.long_form(vecs, id_col).select(id_col, "dim", r9("value"))
+
+
+def _emb_split(spark, sf):
+    """Embeddings with a hash-drawn validation split (C4, 5%)."""
+    v = tb.vectors(spark, sf)
+    sp = smp.train_val_split(v.select("example_id"), 0.05, seed=42)
+    return v.join(sp, "example_id")
+
+
+def _emb_train(spark, sf):
+    return _emb_split(spark, sf).filter(F.col("split") == "train").select("example_id", "vec", "label")
+
+
+def _emb_val(spark, sf):
+    return _emb_split(spark, sf).filter(F.col("split") == "validation").select("example_id", "vec", "label")
+
+
+def q_encode_mean_pool(spark, sf):
+    return _long(vec.encode_mean_pool(_ws_docs(spark, sf)))
+
+
+def q_encode_position_pool(spark, sf):
+    return _long(vec.encode_position_pool(_ws_docs(spark, sf)))
+
+
+def q_l2_normalize(spark, sf):
+    return _long(vec.l2_normalize(tb.vectors(spark, sf).select("example_id", "vec")))
+
+
+def q_centroid(spark, sf):
+    c = vec.centroid(tb.vectors(spark, sf))
+    return c.select(F.posexplode("vec").alias("dim", "value")).select(
+        F.col("dim").cast("long").alias("dim"), r9("value"))
+
+
+def q_cosine_to_centroid(spark, sf):
+    return vec.cosine_to_centroid(_emb_train(spark, sf), _emb_val(spark, sf)).select("example_id", r9("score"))
+
+
+def q_select_embedding(spark, sf):
+    return vec.select_embedding(_emb_train(spark, sf), _emb_val(spark, sf), budget=0.05, keep="near")
+
+
+def q_anchor_mean_cosine(spark, sf):
+    train = vec.l2_normalize(_emb_train(spark, sf), 1e-8)
+    anchors = vec.l2_normalize(_emb_val(spark, sf), 1e-8)
+    return vec.anchor_mean_cosine(train, anchors).select("example_id", r9("score"))
+
+
+def q_nearest_neighbor(spark, sf):
+    return vec.nearest_neighbor(tb.vectors(spark, sf), mode="exact", block=128)
+
+
+def q_pairwise_similarity_agg(spark, sf):
+    train, val = _emb_train(spark, sf), _emb_val(spark, sf)
+    mean = vec.pairwise_similarity_agg(train, val, "mean").withColumnRenamed("score", "mean_sim")
+    mx = vec.pairwise_similarity_agg(train, val, "max", block=128).withColumnRenamed("score", "max_sim")
+    return mean.join(mx, "example_id").select("example_id", r9("mean_sim"), r9("max_sim"))
+
+
+def q_kmeans_labels(spark, sf):
+    return vec.kmeans_labels(tb.vectors(spark, sf), k=10, seed=42)
+
+
+# --- I: reweighting -------------------------------------------------------------
+
+def q_sigmoid_gate(spark, sf):
+    return rw.sigmoid_gate(_bm25_scores(spark, sf), tau=1.0).select("example_id", r9("weight"))
+
+
+def q_policy_reweight(spark, sf):
+    s = lex.standardize(_bm25_scores(spark, sf))
+    return rw.policy_reweight(s, tau=0.5, w_min=0.05, w_max=0.9).select("example_id", r9("weight"))
+
+
+def q_weights_bm25(spark, sf):
+    w = rw.weights_bm25(tb.examples(spark, sf),
+                        tb.target(spark, sf).withColumnRenamed("item_id", "anchor_id"),
+                        standardize_signal=True)
+    return w.select("example_id", r9("score"), r9("weight"))
+
+
+def q_weights_embed(spark, sf):
+    w = rw.weights_embed(_ws_docs(spark, sf), _ws_anchors(spark, sf))
+    return w.select("example_id", r9("score"), r9("weight"))
+
+
+def _event_batches(spark, sf):
+    """Training-loop view of events: batches of 8 in event order; loss = value."""
+    e = read_table(spark, sf, "events")
+    return e.select(F.col("event_id").alias("example_id"),
+                    F.floor(F.col("event_id") / 8).cast("long").alias("batch_id"),
+                    F.col("value").alias("loss"))
+
+
+def q_combine_weighted_loss(spark, sf):
+    b = _event_batches(spark, sf)
+    w = rw.sigmoid_gate(read_table(spark, sf, "events").select(
+        F.col("event_id").alias("example_id"), (F.col("value") / 10.0 - 1.0).alias("score")))
+    return rw.combine_weighted_loss(b, w, "batch_id", "zsum").select("batch_id", r9("loss"))
+
+
+def q_anchor_refresh(spark, sf):
+    steps = _event_batches(spark, sf).select(F.col("batch_id").alias("step")).distinct()
+    return rw.anchor_refresh(steps, interval=50)
+
+
+def q_thread_row_id(spark, sf):
+    return rw.thread_row_id(tb.examples(spark, sf), ["text"])
+
+
 QUERIES = {
     "select_bm25": q_select_bm25,
     "tokenize_alnum": q_tokenize_alnum,
@@ -341,4 +467,21 @@ QUERIES = {
     "warmup_subset": q_warmup_subset,
     "cluster_round_robin": q_cluster_round_robin,
     "query_sample": q_query_sample,
+    "encode_mean_pool": q_encode_mean_pool,
+    "encode_position_pool": q_encode_position_pool,
+    "l2_normalize": q_l2_normalize,
+    "centroid": q_centroid,
+    "cosine_to_centroid": q_cosine_to_centroid,
+    "select_embedding": q_select_embedding,
+    "anchor_mean_cosine": q_anchor_mean_cosine,
+    "nearest_neighbor": q_nearest_neighbor,
+    "pairwise_similarity_agg": q_pairwise_similarity_agg,
+    "kmeans_labels": q_kmeans_labels,
+    "sigmoid_gate": q_sigmoid_gate,
+    "policy_reweight": q_policy_reweight,
+    "weights_bm25": q_weights_bm25,
+    "weights_embed": q_weights_embed,
+    "combine_weighted_loss": q_combine_weighted_loss,
+    "anchor_refresh": q_anchor_refresh,
+    "thread_row_id": q_thread_row_id,
 }
