@@ -398,3 +398,143 @@ FROM eb JOIN w ON eb.example_id = w.example_id GROUP BY batch_id""",
 SELECT DISTINCT batch_id AS step, CAST(floor(batch_id / 50) * 50 AS BIGINT) AS version FROM eb""",
     "thread_row_id": "SELECT doc_id AS example_id, text FROM documents",
 })
+
+
+# --- language-model losses ------------------------------------------------------
+
+def lm_sql(src: str = "bgx", prefix: str = "") -> str:
+    """Count tables {prefix}uni, {prefix}bi, {prefix}pre, {prefix}tot over ``src(id, tokens)``."""
+    p = prefix
+    return f"""{p}bgp AS (SELECT id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM {src}),
+{p}uni AS (SELECT token, count(*) AS c FROM {p}bgp GROUP BY token),
+{p}bi AS (SELECT prev, token, count(*) AS c FROM (
+    SELECT lag(token) OVER (PARTITION BY id ORDER BY pos) AS prev, token FROM {p}bgp)
+    WHERE prev IS NOT NULL GROUP BY prev, token),
+{p}pre AS (SELECT prev, sum(c) AS c_pre FROM {p}bi GROUP BY prev),
+{p}tot AS (SELECT sum(c)::DOUBLE AS T, count(*)::DOUBLE AS V FROM {p}uni)"""
+
+
+BG = f"bgx AS (SELECT doc_id AS id, {sql_tokenize_whitespace('text')} AS tokens FROM documents)"
+
+
+def nll_sql(name: str, rows: str, cache: bool, lm: str = "") -> str:
+    """``{name}(example_id, pos, nll)`` from ``rows(example_id, token, pos, prev)``;
+    with ``cache``, ``{rows}_cc(example_id, token, cc)`` and ``{rows}_cl(example_id, clen)``."""
+    puni = f"((coalesce({lm}uni.c, 0)::DOUBLE + 1.0) / ({lm}tot.T + {lm}tot.V + 1.0))"
+    pbi = (f"(CASE WHEN coalesce({lm}pre.c_pre, 0) > 0 THEN coalesce({lm}bi.c, 0)::DOUBLE / {lm}pre.c_pre::DOUBLE "
+           f"ELSE {puni} END)")
+    if cache:
+        pc = f"(CASE WHEN cl.clen > 0 THEN coalesce(cc.cc, 0)::DOUBLE / cl.clen ELSE 0.0 END)"
+        p = f"0.4 * {pbi} + 0.3 * {puni} + 0.3 * {pc}"
+        cj = (f"JOIN {rows}_cl cl ON cl.example_id = r.example_id "
+              f"LEFT JOIN {rows}_cc cc ON cc.example_id = r.example_id AND cc.token = r.token")
+    else:
+        p = f"0.5 * {pbi} + 0.5 * {puni}"
+        cj = ""
+    return f"""{name} AS (SELECT r.example_id, r.pos, -ln({p}) AS nll FROM {rows} r {cj}
+  LEFT JOIN {lm}uni ON {lm}uni.token = r.token
+  LEFT JOIN {lm}bi ON {lm}bi.prev = r.prev AND {lm}bi.token = r.token
+  LEFT JOIN {lm}pre ON {lm}pre.prev = r.prev CROSS JOIN {lm}tot)"""
+
+
+COND_ROWS = """cp AS (SELECT example_id, n_prompt, tokens, unnest(tokens) AS token,
+                   generate_subscripts(tokens, 1) - 1 AS i FROM tok),
+cr AS (SELECT example_id, token, CAST(i AS BIGINT) AS pos, CASE WHEN i > 0 THEN tokens[i] END AS prev
+       FROM cp WHERE i >= n_prompt),
+cr_cc AS (SELECT example_id, token, count(*) AS cc FROM (
+    SELECT example_id, unnest(list_slice(tokens, 1, n_prompt)) AS token FROM tok) GROUP BY example_id, token),
+cr_cl AS (SELECT example_id, CAST(n_prompt AS DOUBLE) AS clen FROM tok)"""
+
+DIRECT_ROWS = """dp AS (SELECT example_id, n_prompt, resp, unnest(resp) AS token, generate_subscripts(resp, 1) - 1 AS j
+       FROM (SELECT example_id, n_prompt, list_slice(tokens, n_prompt + 1, len(tokens)) AS resp FROM tok)),
+dr AS (SELECT example_id, token, CAST(j + n_prompt AS BIGINT) AS pos, resp[j] AS prev FROM dp WHERE j >= 1)"""
+
+G_BASE = f"WITH {CHAT}, {TOK}, {BG}, {lm_sql()}"
+COND_LOSS = f"""{COND_ROWS},
+{nll_sql('nc', 'cr', True)},
+cl_loss AS (SELECT tok.example_id, l.loss FROM tok LEFT JOIN
+   (SELECT example_id, avg(nll) AS loss FROM nc GROUP BY example_id) l ON l.example_id = tok.example_id)"""
+DIRECT_LOSS = f"""{DIRECT_ROWS},
+{nll_sql('nd', 'dr', False)},
+dl_loss AS (SELECT tok.example_id, CASE WHEN len(tok.tokens) - tok.n_prompt >= 2 THEN l.loss END AS loss
+   FROM tok LEFT JOIN (SELECT example_id, avg(nll) AS loss FROM nd GROUP BY example_id) l
+   ON l.example_id = tok.example_id)"""
+IFD = f"""{G_BASE}, {COND_LOSS}, {DIRECT_LOSS},
+ifd AS (SELECT c.example_id, CASE WHEN d.loss > 0 THEN c.loss / d.loss END AS score
+        FROM cl_loss c FULL JOIN dl_loss d ON c.example_id = d.example_id)"""
+
+PROMPT_X = f"x AS (SELECT example_id, {sql_tokenize_whitespace(prompt_sql())} AS tokens FROM chat)"
+NN = mean_pool_sql(PROMPT_X) + """,
+nrm AS (SELECT example_id, greatest(sqrt(sum(value * value)), 1e-12) AS n FROM mp GROUP BY example_id),
+um AS (SELECT mp.example_id, mp.dim, mp.value / nrm.n AS u FROM mp JOIN nrm ON mp.example_id = nrm.example_id),
+sims AS (SELECT a.example_id, b.example_id AS nn_id, round(sum(a.u * b.u), 9) AS sim
+         FROM um a JOIN um b ON a.dim = b.dim AND a.example_id <> b.example_id GROUP BY a.example_id, b.example_id),
+nn AS (SELECT example_id, nn_id FROM sims
+       QUALIFY row_number() OVER (PARTITION BY example_id ORDER BY sim DESC, nn_id) = 1),
+ctx AS (SELECT t.example_id, nn.nn_id,
+          CASE WHEN 2048 - len(t.tokens) <= 0 THEN []::VARCHAR[]
+               ELSE list_slice(c.tokens, len(c.tokens) - least(2048 - len(t.tokens), len(c.tokens)) + 1,
+                               len(c.tokens)) END AS context
+        FROM tok t JOIN nn ON nn.example_id = t.example_id JOIN tok c ON c.example_id = nn.nn_id)"""
+
+ONESHOT = f"""{NN},
+os0 AS (SELECT tok.example_id, tok.n_prompt, coalesce(ctx.context, []::VARCHAR[]) AS context, tok.tokens
+        FROM tok LEFT JOIN ctx ON ctx.example_id = tok.example_id),
+os1 AS (SELECT example_id, len(context) AS nc, n_prompt, list_concat(context, tokens) AS seq,
+               list_concat(context, list_slice(tokens, 1, n_prompt)) AS cache FROM os0),
+osp AS (SELECT example_id, nc, n_prompt, seq, unnest(seq) AS token, generate_subscripts(seq, 1) - 1 AS i FROM os1),
+orr AS (SELECT example_id, token, CAST(i - nc AS BIGINT) AS pos, CASE WHEN i > 0 THEN seq[i] END AS prev
+        FROM osp WHERE i >= nc + n_prompt),
+orr_cc AS (SELECT example_id, token, count(*) AS cc FROM (SELECT example_id, unnest(cache) AS token FROM os1)
+           GROUP BY example_id, token),
+orr_cl AS (SELECT example_id, CAST(len(cache) AS DOUBLE) AS clen FROM os1),
+{nll_sql('no', 'orr', True)},
+os_loss AS (SELECT tok.example_id, l.loss FROM tok LEFT JOIN
+   (SELECT example_id, avg(nll) AS loss FROM no GROUP BY example_id) l ON l.example_id = tok.example_id),
+miwv AS (SELECT c.example_id, o.loss - c.loss AS score FROM cl_loss c LEFT JOIN os_loss o
+         ON c.example_id = o.example_id)"""
+
+WARM = f"""wsel AS (SELECT example_id FROM tok
+  QUALIFY row_number() OVER (ORDER BY {draw(42, 'warmup', 'example_id')}, example_id)
+          <= greatest(1, least(count(*) OVER (), CAST(round_even(0.1 * count(*) OVER (), 0) AS BIGINT)))),
+subx AS (SELECT example_id AS id, tokens FROM tok WHERE example_id IN (SELECT example_id FROM wsel)),
+{lm_sql('subx', 's_')},
+b_uni AS (SELECT token, sum(c) AS c FROM (SELECT * FROM uni UNION ALL SELECT * FROM s_uni) GROUP BY token),
+b_bi AS (SELECT prev, token, sum(c) AS c FROM (SELECT * FROM bi UNION ALL SELECT * FROM s_bi) GROUP BY prev, token),
+b_pre AS (SELECT prev, sum(c) AS c_pre FROM b_bi GROUP BY prev),
+b_tot AS (SELECT sum(c)::DOUBLE AS T, count(*)::DOUBLE AS V FROM b_uni)"""
+
+
+def topk_from(cte: str, budget: float) -> str:
+    k = (f"greatest(1, least((SELECT count(*) FROM {cte}), "
+         f"CAST(round_even({float(budget)} * (SELECT count(*) FROM {cte}), 0) AS BIGINT)))")
+    return f"""SELECT example_id, round(score, 9) + 0.0 AS score FROM {cte}
+QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC NULLS LAST, example_id) <= {k}"""
+
+
+ORACLE.update({
+    "fit_lm_counts": f"WITH {BG}, {lm_sql()} SELECT prev, token, c FROM bi",
+    "token_nll": f"""{G_BASE}, {COND_ROWS}, {nll_sql('nc', 'cr', True)}
+SELECT example_id, 'cond' AS variant, pos, round(nll, 9) AS nll FROM nc""",
+    "response_loss": f"{G_BASE}, {COND_LOSS} SELECT example_id, round(loss, 9) AS loss FROM cl_loss",
+    "direct_loss": f"{G_BASE}, {DIRECT_LOSS} SELECT example_id, round(loss, 9) AS loss FROM dl_loss",
+    "per_sample_loss": f"""{G_BASE}, {COND_ROWS}, {nll_sql('nc', 'cr', True)}
+SELECT tok.example_id, round(coalesce(l.s, 0.0) / greatest(coalesce(l.n, 0), 1), 9) AS loss FROM tok LEFT JOIN
+  (SELECT example_id, sum(nll) AS s, count(*) AS n FROM nc GROUP BY example_id) l ON l.example_id = tok.example_id""",
+    "perplexity": f"{G_BASE}, {COND_LOSS} SELECT example_id, round(exp(loss), 9) AS score FROM cl_loss",
+    "select_ppl": f"{G_BASE}, {COND_LOSS}, pp AS (SELECT example_id, exp(loss) AS score FROM cl_loss)\n"
+                  + topk_from("pp", 0.1),
+    "ifd_score": IFD + "\nSELECT example_id, round(score, 9) AS score FROM ifd",
+    "select_ifd": IFD + """,
+ifv AS (SELECT example_id, CASE WHEN score IS NOT NULL AND NOT isnan(score) AND score > 0 AND score < 1.0
+                                THEN score END AS score FROM ifd)
+""" + topk_from("ifv", 0.1),
+    "lm_brief_experience": f"""{G_BASE}, {WARM}, {COND_ROWS}, {nll_sql('nc', 'cr', True, 'b_')}
+SELECT tok.example_id, round(l.loss, 9) AS loss FROM tok LEFT JOIN
+  (SELECT example_id, avg(nll) AS loss FROM nc GROUP BY example_id) l ON l.example_id = tok.example_id""",
+    "one_shot_context": f"""{G_BASE}, {NN}
+SELECT example_id, nn_id, CAST(len(context) AS BIGINT) AS n_context, array_to_string(context, ' ') AS context
+FROM ctx""",
+    "miwv_score": f"{G_BASE}, {COND_LOSS}, {ONESHOT}\nSELECT example_id, round(score, 9) AS score FROM miwv",
+    "select_miwv": f"{G_BASE}, {COND_LOSS}, {ONESHOT}\n" + topk_from("miwv", 0.1),
+})

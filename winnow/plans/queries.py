@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from winnow.functions.text import tokenize_alnum as alnum_expr
 from winnow.operators import budget as bud
 from winnow.operators import lexical as lex
+from winnow.operators import lm as lmod
+from winnow.operators import losses as ls
 from winnow.operators import records as rec
 from winnow.operators import reweight as rw
 from winnow.operators import vectors as vec
@@ -425,6 +427,87 @@ def q_thread_row_id(spark, sf):
     return rw.thread_row_id(tb.examples(spark, sf), ["text"])
 
 
+# --- G: language-model losses ---------------------------------------------------
+
+def _bg_lm(spark, sf):
+    """Count LM on the whole documents table (whitespace tokens)."""
+    return lmod.fit_lm_counts(_ws_docs(spark, sf))
+
+
+def _prompt_vecs(tok):
+    return vec.encode_mean_pool(lex.tokenize_whitespace(tok.select("example_id", "text")))
+
+
+def q_fit_lm_counts(spark, sf):
+    return _bg_lm(spark, sf).bi
+
+
+def q_token_nll(spark, sf):
+    return lmod.token_nll(_tok(spark, sf), _bg_lm(spark, sf), "cond").select(
+        "example_id", "variant", "pos", r9("nll"))
+
+
+def q_response_loss(spark, sf):
+    tok = _tok(spark, sf)
+    return ls.response_loss(lmod.token_nll(tok, _bg_lm(spark, sf), "cond"), tok).select(
+        "example_id", r9("loss"))
+
+
+def q_direct_loss(spark, sf):
+    tok = _tok(spark, sf)
+    return ls.direct_loss(lmod.token_nll(tok, _bg_lm(spark, sf), "direct"), tok).select(
+        "example_id", r9("loss"))
+
+
+def q_per_sample_loss(spark, sf):
+    tok = _tok(spark, sf)
+    return ls.per_sample_loss(lmod.token_nll(tok, _bg_lm(spark, sf), "cond"), tok).select(
+        "example_id", r9("loss"))
+
+
+def q_perplexity(spark, sf):
+    tok = _tok(spark, sf)
+    loss = ls.response_loss(lmod.token_nll(tok, _bg_lm(spark, sf), "cond"), tok)
+    return ls.perplexity(loss).select("example_id", r9("score"))
+
+
+def q_select_ppl(spark, sf):
+    return ls.select_ppl(_tok(spark, sf), _bg_lm(spark, sf), budget=0.1, keep="high")
+
+
+def q_ifd_score(spark, sf):
+    return ls.ifd_scores(_tok(spark, sf), _bg_lm(spark, sf)).select("example_id", r9("score"))
+
+
+def q_select_ifd(spark, sf):
+    return ls.select_ifd(_tok(spark, sf), _bg_lm(spark, sf), budget=0.1, ifd_max=1.0)
+
+
+def q_lm_brief_experience(spark, sf):
+    tok = _tok(spark, sf)
+    sel = smp.warmup_subset(tok, 0.1, seed=42, rounding="even")
+    brief = lmod.lm_brief_experience(_bg_lm(spark, sf), tok, sel)
+    return ls.response_loss(lmod.token_nll(tok, brief, "cond"), tok).select("example_id", r9("loss"))
+
+
+def q_one_shot_context(spark, sf):
+    tok = _tok(spark, sf)
+    nn = vec.nearest_neighbor(_prompt_vecs(tok), mode="exact")
+    ctx = ls.one_shot_context(tok, nn, max_length=2048)
+    return ctx.select("example_id", "nn_id", F.size("context").cast("long").alias("n_context"),
+                      F.array_join("context", " ").alias("context"))
+
+
+def q_miwv_score(spark, sf):
+    tok = _tok(spark, sf)
+    return ls.miwv_scores(tok, _prompt_vecs(tok), _bg_lm(spark, sf)).select("example_id", r9("score"))
+
+
+def q_select_miwv(spark, sf):
+    tok = _tok(spark, sf)
+    return ls.select_miwv(tok, _prompt_vecs(tok), _bg_lm(spark, sf), budget=0.1)
+
+
 QUERIES = {
     "select_bm25": q_select_bm25,
     "tokenize_alnum": q_tokenize_alnum,
@@ -484,4 +567,17 @@ QUERIES = {
     "combine_weighted_loss": q_combine_weighted_loss,
     "anchor_refresh": q_anchor_refresh,
     "thread_row_id": q_thread_row_id,
+    "fit_lm_counts": q_fit_lm_counts,
+    "token_nll": q_token_nll,
+    "response_loss": q_response_loss,
+    "direct_loss": q_direct_loss,
+    "per_sample_loss": q_per_sample_loss,
+    "perplexity": q_perplexity,
+    "select_ppl": q_select_ppl,
+    "ifd_score": q_ifd_score,
+    "select_ifd": q_select_ifd,
+    "lm_brief_experience": q_lm_brief_experience,
+    "one_shot_context": q_one_shot_context,
+    "miwv_score": q_miwv_score,
+    "select_miwv": q_select_miwv,
 }
