@@ -538,3 +538,65 @@ FROM ctx""",
     "miwv_score": f"{G_BASE}, {COND_LOSS}, {ONESHOT}\nSELECT example_id, round(score, 9) AS score FROM miwv",
     "select_miwv": f"{G_BASE}, {COND_LOSS}, {ONESHOT}\n" + topk_from("miwv", 0.1),
 })
+
+
+# --- influence ------------------------------------------------------------------
+from winnow.functions.hashing import sql_sign_bit  # noqa: E402
+
+B1C, B2C = repr(1 - 0.9), repr(1 - 0.999)
+
+INF_BASE = f"""WITH {EMB},
+fx AS (SELECT example_id, split, list_concat(v, [1.0::DOUBLE]) AS x,
+              CASE WHEN label < 5 THEN 1.0 ELSE 0.0 END AS y FROM es),
+wd AS (SELECT i, avg(CASE WHEN y = 1.0 THEN xi END) - avg(CASE WHEN y = 0.0 THEN xi END) AS wi
+       FROM (SELECT y, unnest(x) AS xi, generate_subscripts(x, 1) AS i FROM fx WHERE split = 'train') GROUP BY i),
+wl AS (SELECT list(wi ORDER BY i) AS w FROM wd),
+gp AS (SELECT example_id, split, x, y, 1.0 / (1.0 + exp(-list_dot_product(x, w))) AS p FROM fx CROSS JOIN wl),
+gl AS (SELECT example_id, split, CAST(i - 1 AS BIGINT) AS dim, (p - y) * xi AS g FROM (
+        SELECT example_id, split, p, y, unnest(x) AS xi, generate_subscripts(x, 1) AS i FROM gp)),
+wdim AS (SELECT CAST(i - 1 AS BIGINT) AS dim, wi FROM wd),
+ad AS (SELECT gl.example_id, gl.split, gl.dim,
+         CASE WHEN gl.split = 'train' THEN
+           (0.9 * (wdim.wi * 0.5) + {B1C} * gl.g) / (sqrt(0.999 * (wdim.wi * wdim.wi) + {B2C} * gl.g * gl.g) + 1e-8)
+         ELSE gl.g END AS g
+       FROM gl JOIN wdim ON gl.dim = wdim.dim),
+rm AS (SELECT i, j, {sql_sign_bit(42, 'proj', 'i', 'j')} * {1.0 / 32 ** 0.5!r} AS r
+       FROM range(65) t1(i) CROSS JOIN range(32) t2(j))"""
+
+
+def _proj(src: str) -> str:
+    return f"(SELECT s.example_id, s.split, rm.j AS dim, sum(s.g * rm.r) AS g FROM {src} s JOIN rm ON rm.i = s.dim GROUP BY s.example_id, s.split, rm.j)"
+
+
+ORACLE.update({
+    "example_gradients": INF_BASE + """
+SELECT example_id, split, CAST(0 AS BIGINT) AS ckpt, dim, round(g, 9) AS value FROM gl""",
+    "adam_transform": INF_BASE + """
+SELECT example_id, split, CAST(0 AS BIGINT) AS ckpt, dim, round(g, 9) AS value FROM ad""",
+    "random_projection": INF_BASE + f"""
+SELECT example_id, split, CAST(0 AS BIGINT) AS ckpt, CAST(dim AS BIGINT) AS dim, round(g, 9) AS value
+FROM {_proj("(SELECT * FROM gl WHERE split = 'train')")}""",
+    "checkpoint_weights": """WITH c AS (SELECT * FROM (VALUES (0, 2), (1, 4), (2, 6), (3, 8)) t(ckpt, step)),
+l AS (SELECT ckpt, 0.05 * greatest(0.0, (8 - step) / 8.0) AS lr FROM c CROSS JOIN (SELECT count(*) FROM embeddings))
+SELECT CAST(ckpt AS BIGINT) AS ckpt,
+       round(CASE WHEN (SELECT sum(lr) FROM l) > 0 THEN lr / (SELECT sum(lr) FROM l)
+                  ELSE 1.0 / (SELECT count(*) FROM l) END, 9) AS weight FROM l""",
+    "influence_score": INF_BASE + f""",
+pt AS {_proj("(SELECT * FROM ad WHERE split = 'train')")},
+pv AS {_proj("(SELECT * FROM gl WHERE split = 'validation')")},
+nt AS (SELECT example_id, sqrt(sum(g * g)) + 1e-10 AS n FROM pt GROUP BY example_id),
+nv AS (SELECT example_id, sqrt(sum(g * g)) + 1e-10 AS n FROM pv GROUP BY example_id),
+cv AS (SELECT pv.dim, avg(pv.g / nv.n) AS c FROM pv JOIN nv ON pv.example_id = nv.example_id GROUP BY pv.dim)
+SELECT pt.example_id, round(sum(pt.g / nt.n * cv.c), 9) AS score
+FROM pt JOIN nt ON pt.example_id = nt.example_id JOIN cv ON cv.dim = pt.dim GROUP BY pt.example_id""",
+    "last_number": """SELECT doc_id AS example_id,
+  rtrim(replace(regexp_extract_all(coalesce(text, ''), '-?\\d[\\d,]*\\.?\\d*')[-1], ',', ''), '.') AS num
+FROM documents""",
+    "exact_match_accuracy": """SELECT count(*) AS n,
+  round(sum(CASE WHEN CAST(quality AS VARCHAR) IS NOT NULL
+                  AND (CASE WHEN toxic = 1 THEN '0' ELSE '1' END) = CAST(quality AS VARCHAR) THEN 1 ELSE 0 END)
+        / greatest(count(*), 1), 9) AS accuracy FROM labels""",
+    "benchmark_examples": """SELECT item_id, 'Question: ' || text || chr(10) || 'Answer:' AS prompt,
+  rtrim(replace(regexp_extract_all(coalesce(text, ''), '-?\\d[\\d,]*\\.?\\d*')[-1], ',', ''), '.') AS gold
+FROM benchmark ORDER BY item_id LIMIT 100""",
+})

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from winnow.functions.text import tokenize_alnum as alnum_expr
 from winnow.operators import budget as bud
+from winnow.operators import evaluate as ev
+from winnow.operators import influence as inf
 from winnow.operators import lexical as lex
 from winnow.operators import lm as lmod
 from winnow.operators import losses as ls
@@ -508,6 +510,87 @@ def q_select_miwv(spark, sf):
     return ls.select_miwv(tok, _prompt_vecs(tok), _bg_lm(spark, sf), budget=0.1)
 
 
+# --- H: gradient influence ---------------------------------------------------------
+
+def _vy(df):
+    return df.withColumn("y", (F.col("label") < 5).cast("double"))
+
+
+def _md_ckpt(spark, sf):
+    return inf.mean_difference_checkpoint(_vy(_emb_train(spark, sf)))
+
+
+def _grads_long(g):
+    return g.select("example_id", "split", F.col("ckpt").cast("long").alias("ckpt"),
+                    F.posexplode("grad").alias("dim", "value")) \
+            .select("example_id", "split", "ckpt", F.col("dim").cast("long").alias("dim"), r9("value"))
+
+
+def _md_grads(spark, sf):
+    ck = _md_ckpt(spark, sf)
+    tg = inf.example_gradients(_vy(_emb_train(spark, sf)), ck, "train")
+    vg = inf.example_gradients(_vy(_emb_val(spark, sf)), ck, "validation")
+    return ck, tg, vg
+
+
+def q_warmup_checkpoints(spark, sf):
+    v = _vy(_emb_train(spark, sf))
+    sel = smp.warmup_subset(v, 0.05, seed=42, rounding="trunc")
+    return inf.warmup_checkpoints(v, sel, steps=8, lr=0.05, num_checkpoints=4)
+
+
+def q_example_gradients(spark, sf):
+    _, tg, vg = _md_grads(spark, sf)
+    return _grads_long(tg.unionByName(vg))
+
+
+def q_adam_transform(spark, sf):
+    ck, tg, vg = _md_grads(spark, sf)
+    return _grads_long(inf.adam_transform(tg.unionByName(vg), ck))
+
+
+def q_random_projection(spark, sf):
+    _, tg, _ = _md_grads(spark, sf)
+    return _grads_long(inf.random_projection(tg, p=32, seed=42))
+
+
+def q_checkpoint_weights(spark, sf):
+    v = _vy(_emb_train(spark, sf))
+    sel = smp.warmup_subset(v, 0.05, seed=42, rounding="trunc")
+    ck = inf.warmup_checkpoints(v, sel, steps=8, lr=0.05, num_checkpoints=4)
+    return inf.checkpoint_weights(ck).select(F.col("ckpt").cast("long").alias("ckpt"), r9("weight"))
+
+
+def q_influence_score(spark, sf):
+    ck, tg, vg = _md_grads(spark, sf)
+    t = inf.random_projection(inf.adam_transform(tg, ck), p=32, seed=42)
+    v = inf.random_projection(vg, p=32, seed=42)
+    return inf.influence_score(t, v, inf.checkpoint_weights(ck), "mean").select("example_id", r9("score"))
+
+
+def q_select_less(spark, sf):
+    return inf.select_less(_vy(_emb_train(spark, sf)), _vy(_emb_val(spark, sf)), budget=0.05, steps=8,
+                           lr=0.05, proj_dim=32, num_checkpoints=4)
+
+
+# --- J: evaluation ---------------------------------------------------------------
+
+def q_last_number(spark, sf):
+    return ev.last_number(tb.examples(spark, sf))
+
+
+def q_exact_match_accuracy(spark, sf):
+    lab = read_table(spark, sf, "labels")
+    preds = lab.select(F.when(F.col("toxic") == 1, "0").otherwise("1").alias("prediction"),
+                       F.col("quality").cast("string").alias("gold"))
+    return ev.exact_match_accuracy(preds).select("n", r9("accuracy"))
+
+
+def q_benchmark_examples(spark, sf):
+    b = tb.target(spark, sf).select("item_id", F.col("text").alias("question"), F.col("text").alias("answer"))
+    return ev.benchmark_examples(b, limit=100)
+
+
 QUERIES = {
     "select_bm25": q_select_bm25,
     "tokenize_alnum": q_tokenize_alnum,
@@ -580,4 +663,14 @@ QUERIES = {
     "one_shot_context": q_one_shot_context,
     "miwv_score": q_miwv_score,
     "select_miwv": q_select_miwv,
+    "warmup_checkpoints": q_warmup_checkpoints,
+    "example_gradients": q_example_gradients,
+    "adam_transform": q_adam_transform,
+    "random_projection": q_random_projection,
+    "checkpoint_weights": q_checkpoint_weights,
+    "influence_score": q_influence_score,
+    "select_less": q_select_less,
+    "last_number": q_last_number,
+    "exact_match_accuracy": q_exact_match_accuracy,
+    "benchmark_examples": q_benchmark_examples,
 }
