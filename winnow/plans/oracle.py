@@ -600,3 +600,15 @@ FROM documents""",
   rtrim(replace(regexp_extract_all(coalesce(text, ''), '-?\\d[\\d,]*\\.?\\d*')[-1], ',', ''), '.') AS gold
 FROM benchmark ORDER BY item_id LIMIT 100""",
 })
+
+ORACLE.update({
+    "compose_scorer_policy": ORACLE["policy_hard"],
+    "run_selection": ORACLE["select_bm25"],
+    "custom_selector": """SELECT doc_id AS example_id, round(CAST(length(text) AS DOUBLE), 9) + 0.0 AS score
+FROM documents QUALIFY row_number() OVER (ORDER BY round(CAST(length(text) AS DOUBLE), 9) DESC, doc_id)
+  <= greatest(1, least(count(*) OVER (), CAST(round_even(0.05 * count(*) OVER (), 0) AS BIGINT)))""",
+    "custom_scorer": """SELECT doc_id AS example_id,
+  CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS DOUBLE) + 1.0 AS score
+FROM documents""",
+    "stream_reweight": ORACLE["weights_embed"],
+})

@@ -17,11 +17,14 @@ from winnow.operators import influence as inf
 from winnow.operators import lexical as lex
 from winnow.operators import lm as lmod
 from winnow.operators import losses as ls
+from winnow.operators import policies as pol
 from winnow.operators import records as rec
 from winnow.operators import reweight as rw
 from winnow.operators import vectors as vec
 from winnow.operators import sampling as smp
+from winnow.plans import selectors as selx
 from winnow.session import read_table, scratch_path
+from winnow.streaming import reweight_stream as rs
 from winnow.sources import io
 from winnow.sources import tables as tb
 
@@ -591,6 +594,85 @@ def q_benchmark_examples(spark, sf):
     return ev.benchmark_examples(b, limit=100)
 
 
+# --- D8-D10: policies ------------------------------------------------------------
+
+def _md_val_gradient(spark, sf):
+    _, tg, vg = _md_grads(spark, sf)
+    g = vg.select(F.posexplode("grad").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x"))
+    gval = g.agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("_s")) \
+            .select(F.transform("_s", lambda e: e["x"]).alias("gval"))
+    return tg, gval
+
+
+def q_policy_diversity(spark, sf):
+    train, val = _emb_train(spark, sf), _emb_val(spark, sf)
+    scores = vec.cosine_to_centroid(train, val)
+    return pol.policy_diversity(scores, train, budget=0.05, seed=42)
+
+
+def q_policy_greats(spark, sf):
+    tg, gval = _md_val_gradient(spark, sf)
+    grads = tg.select(F.floor(F.col("example_id") / 16).cast("long").alias("batch_id"), "example_id", "grad")
+    return pol.policy_greats(grads, gval, k=4, eta=0.1)
+
+
+def q_compose_scorer_policy(spark, sf):
+    return pol.compose_scorer_policy(_bm25_scores(spark, sf), "hard", 0.05)
+
+
+# --- K: UDF surface -------------------------------------------------------------
+
+def q_run_selection(spark, sf):
+    return selx.run_selection(tb.examples(spark, sf), tb.target(spark, sf), method="bm25", budget=0.05)
+
+
+def _longest(ex, val, **_):
+    return ex.select("example_id", F.length("text").cast("double").alias("score"))
+
+
+def q_custom_selector(spark, sf):
+    selx.register_selector("longest", _longest)
+    return selx.run_selection(tb.examples(spark, sf), None, method="longest", budget=0.05)
+
+
+def _line_count_scorer(pdf):
+    import pandas as pd
+    return pd.DataFrame({"example_id": pdf["example_id"],
+                         "score": pdf["text"].fillna("").str.count("\n").astype("float64") + 1.0})
+
+
+def q_custom_scorer(spark, sf):
+    selx.register_scorer("lines", _line_count_scorer, "example_id long, score double")
+    return selx.score_with("lines", tb.examples(spark, sf).select("example_id", "text"))
+
+
+# --- I6-I7: streaming -------------------------------------------------------------
+
+def _file_stream(spark, df, name, files=4):
+    """Write ``df`` as ``files`` parquet files and read them back one file per micro-batch."""
+    src = scratch_path(spark, f"{name}-in")
+    df.repartition(files, "example_id").write.mode("overwrite").parquet(src)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+
+def q_stream_reweight(spark, sf):
+    stream = _file_stream(spark, tb.examples(spark, sf).select("example_id", "text"), "docs")
+    sink, ckpt = scratch_path(spark, "reweight-out"), scratch_path(spark, "reweight-ckpt")
+    q = rs.stream_reweight(stream, tb.target(spark, sf).withColumnRenamed("item_id", "anchor_id"),
+                           sink, ckpt, interval=50)
+    q.awaitTermination()
+    return spark.read.parquet(sink).select("example_id", r9("score"), r9("weight"))
+
+
+def q_stream_greats(spark, sf):
+    tg, gval = _md_val_gradient(spark, sf)
+    stream = _file_stream(spark, tg.select("example_id", "grad"), "grads")
+    sink, ckpt = scratch_path(spark, "greats-out"), scratch_path(spark, "greats-ckpt")
+    q = rs.stream_greats(stream, gval, sink, ckpt, k=4, eta=0.1)
+    q.awaitTermination()
+    return spark.read.parquet(sink).select("batch_id", "example_id", "rank")
+
+
 QUERIES = {
     "select_bm25": q_select_bm25,
     "tokenize_alnum": q_tokenize_alnum,
@@ -673,4 +755,12 @@ QUERIES = {
     "last_number": q_last_number,
     "exact_match_accuracy": q_exact_match_accuracy,
     "benchmark_examples": q_benchmark_examples,
+    "policy_diversity": q_policy_diversity,
+    "policy_greats": q_policy_greats,
+    "compose_scorer_policy": q_compose_scorer_policy,
+    "run_selection": q_run_selection,
+    "custom_selector": q_custom_selector,
+    "custom_scorer": q_custom_scorer,
+    "stream_reweight": q_stream_reweight,
+    "stream_greats": q_stream_greats,
 }
