@@ -51,15 +51,25 @@ def tokenize_alnum(c) -> Column:
     return F.regexp_extract_all(F.lower(as_col(c)), F.lit(ALNUM_TOKEN), 0)
 
 
+def _spaces(c: Column) -> Column:
+    """Map the 28 other whitespace code points to a plain space (char-by-char)."""
+    others = WS29.replace(" ", "")
+    return F.translate(c, others, " " * len(others))
+
+
 def tokenize_whitespace(c) -> Column:
-    """Lower-case, then Python ``str.split()`` (no empty tokens)."""
-    parts = F.split(F.lower(as_col(c)), WS_CLASS)
+    """Lower-case, then Python ``str.split()`` (no empty tokens).
+
+    translate + split on spaces is the same split as one regex class of all
+    29 code points, and several times faster.
+    """
+    parts = F.split(_spaces(F.lower(as_col(c))), " +")
     return F.filter(parts, lambda x: x != F.lit(""))
 
 
 def whitespace_split(c) -> Column:
     """Python ``str.split()`` without lower-casing."""
-    return F.filter(F.split(as_col(c), WS_CLASS), lambda x: x != F.lit(""))
+    return F.filter(F.split(_spaces(as_col(c)), " +"), lambda x: x != F.lit(""))
 
 
 def last_number(c) -> Column:

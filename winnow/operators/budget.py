@@ -43,14 +43,18 @@ def rank_order(score_col: str = "score", id_col: str = ID) -> list:
 
 
 def topk_by_score(scores: DataFrame, budget: float, n: int | None = None,
-                  score_col: str = "score", id_col: str = ID) -> DataFrame:
-    """The k best rows (k from the budget); output ``(example_id, score)``."""
+                  score_col: str = "score", id_col: str = ID, out_digits: int = SCORE_DIGITS) -> DataFrame:
+    """The k best rows (k from the budget); output ``(example_id, score)``.
+
+    Ranking always uses 9 digits; ``out_digits`` only rounds the output (large
+    scores such as perplexities carry fewer stable digits).
+    """
     if n is None:
         n = scores.count()
     k = resolve_k(n, budget)
     top = take_top(scores.select(id_col, score_col), k, rank_order(score_col, id_col))
     # "+ 0.0" turns a negated zero (-0.0) into 0.0.
-    return top.select(id_col, (F.round(F.col(score_col), SCORE_DIGITS) + F.lit(0.0)).alias(score_col))
+    return top.select(id_col, (F.round(F.col(score_col), out_digits) + F.lit(0.0)).alias(score_col))
 
 
 def invalid_sink(scores: DataFrame, valid: Column, score_col: str = "score") -> DataFrame:

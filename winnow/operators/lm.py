@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from winnow.operators.budget import ID
 from winnow.operators.ranking import maybe_broadcast
+from winnow.session import materialize
 
 # --- fixed values: mixture weights of the count model -----------------------
 W_BI_CTX, W_UNI_CTX, W_CACHE = 0.4, 0.3, 0.3
@@ -37,36 +38,45 @@ class CountLM:
     bi: DataFrame       # (prev, token, c)
     pre: DataFrame      # (prev, c_pre)
     totals: DataFrame   # one row (T, V)
+    pairs: DataFrame    # (prev, token, c) with prev NULL at document starts
 
 
-def _bigrams(tokens: Column) -> Column:
-    n = F.greatest(F.size(tokens) - 1, F.lit(0))
-    return F.arrays_zip(F.slice(tokens, 1, n).alias("prev"), F.slice(tokens, 2, n).alias("token"))
+def _pair_counts(tok: DataFrame) -> DataFrame:
+    """``(prev, token, c)`` over every token occurrence; prev is NULL for a first token."""
+    pairs = F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")),
+                                  F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(0))))
+                         .alias("prev"), F.col("tokens").alias("token"))
+    return (tok.select(F.explode(pairs).alias("p"))
+               .select(F.col("p.prev").alias("prev"), F.col("p.token").alias("token"))
+               .filter(F.col("token").isNotNull())
+               .groupBy("prev", "token").agg(F.count(F.lit(1)).alias("c")))
 
 
 def fit_lm_counts(tok: DataFrame) -> CountLM:
-    """G1: unigram, bigram and prefix counts of a background corpus ``(id, tokens)``."""
-    uni = (tok.select(F.explode("tokens").alias("token"))
-              .groupBy("token").agg(F.count(F.lit(1)).alias("c")))
-    bi = (tok.select(F.explode(_bigrams(F.col("tokens"))).alias("p"))
-             .select(F.col("p.prev").alias("prev"), F.col("p.token").alias("token"))
-             .groupBy("prev", "token").agg(F.count(F.lit(1)).alias("c")))
-    return _assemble(uni, bi)
+    """G1: unigram, bigram and prefix counts of a background corpus ``(id, tokens)``.
 
+    One pass: every token occurrence becomes a (prev, token) row (prev NULL at
+    a document start); the grouped table is written once and the unigram,
+    bigram and prefix tables are aggregates of it.
+    """
+    return _assemble(materialize(_pair_counts(tok)))
 
-def _assemble(uni: DataFrame, bi: DataFrame) -> CountLM:
+
+def _assemble(pairs: DataFrame) -> CountLM:
+    """The fitted model is written once (checkpoint folder); scoring jobs read the
+    count tables instead of re-tokenizing the background corpus."""
+    uni = materialize(pairs.groupBy("token").agg(F.sum("c").alias("c")))
+    bi = pairs.filter(F.col("prev").isNotNull())
     pre = bi.groupBy("prev").agg(F.sum("c").alias("c_pre"))
     totals = uni.agg(F.sum("c").cast("double").alias("T"), F.count(F.lit(1)).cast("double").alias("V"))
-    return CountLM(uni, bi, pre, totals)
+    return CountLM(uni, bi, pre, totals, pairs)
 
 
 def lm_brief_experience(lm: CountLM, tok: DataFrame, sel: DataFrame, id_col: str = ID) -> CountLM:
     """Add the counts of a selected subset's full token sequences to the model."""
     sub = tok.join(sel.select(id_col), id_col, "left_semi").select("tokens")
-    extra = fit_lm_counts(sub)
-    uni = lm.uni.unionByName(extra.uni).groupBy("token").agg(F.sum("c").alias("c"))
-    bi = lm.bi.unionByName(extra.bi).groupBy("prev", "token").agg(F.sum("c").alias("c"))
-    return _assemble(uni, bi)
+    pairs = lm.pairs.unionByName(_pair_counts(sub)).groupBy("prev", "token").agg(F.sum("c").alias("c"))
+    return _assemble(materialize(pairs))
 
 
 def _scored_positions(tok: DataFrame, variant: str, context: DataFrame | None,

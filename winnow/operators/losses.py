@@ -55,7 +55,7 @@ def select_ppl(tok: DataFrame, lm: CountLM, budget: float = 0.05, keep: str = "h
     if keep not in ("high", "low"):
         raise ValueError("keep must be 'high' or 'low'")
     ppl = perplexity(response_loss(token_nll(tok, lm, "cond"), tok, id_col), id_col)
-    return topk_by_score(score_direction(ppl, keep), budget)
+    return topk_by_score(score_direction(ppl, keep), budget, out_digits=4)
 
 
 def ifd_score(cond: DataFrame, direct: DataFrame, id_col: str = ID) -> DataFrame:

@@ -52,64 +52,80 @@ def _zeros(dim: int) -> Column:
     return F.array_repeat(F.lit(0.0), dim)
 
 
-def _token_signs(tokens: list, dim: int, seed: int, cache: dict) -> np.ndarray:
-    """(len(tokens), dim) matrix of +-1 read from md5(seed:tokvec:token) bits."""
-    out = np.empty((len(tokens), dim), dtype=np.float64)
-    nbytes = (dim + 7) // 8
-    for i, t in enumerate(tokens):
-        row = cache.get(t)
-        if row is None:
-            digest = hashlib.md5(f"{seed}:tokvec:{t}".encode("utf-8")).digest()[:nbytes]
-            bits = np.unpackbits(np.frombuffer(digest, dtype=np.uint8))[:dim]
-            row = 1.0 - 2.0 * bits.astype(np.float64)
-            cache[t] = row
-        out[i] = row
+def _token_bits(words: list, seed: int) -> np.ndarray:
+    """First 64 bits of md5(seed:tokvec:word) per word, as uint64 (big-endian)."""
+    out = np.empty(len(words), dtype=np.uint64)
+    for i, w in enumerate(words):
+        out[i] = int.from_bytes(hashlib.md5(f"{seed}:tokvec:{w}".encode("utf-8")).digest()[:8], "big")
     return out
 
 
-def _pool_batch(tokens: pd.Series, dim: int, seed: int, positional: bool, eps: float) -> pd.Series:
-    cache: dict = {}
-    res = []
-    for toks in tokens:
-        toks = [] if toks is None else list(toks)
-        n = len(toks)
-        if n == 0:
-            res.append(np.zeros(dim))
-            continue
-        signs = _token_signs(toks, dim, seed, cache)
+def pool_record_batch(batch, id_col: str, dim: int, seed: int, positional: bool, eps: float):
+    """One Arrow batch of ``(id, tokens)`` -> ``(id, vec)``.
+
+    Tokens are dictionary-encoded, so each distinct token of the batch is
+    hashed once; the per-row sums are one ``bincount`` per dimension.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    toks = batch.column("tokens")
+    n_rows = batch.num_rows
+    lengths = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.list_flatten(toks)
+    out = np.zeros((n_rows, dim), dtype=np.float64)
+    if len(flat) > 0:
+        enc = pc.dictionary_encode(flat).combine_chunks() if hasattr(flat, "combine_chunks") \
+            else pc.dictionary_encode(flat)
+        codes = enc.indices.to_numpy(zero_copy_only=False)
+        bits = _token_bits(enc.dictionary.to_pylist(), seed)
+        row = np.repeat(np.arange(n_rows), lengths)
         if positional:
-            w = np.arange(1, n + 1, dtype=np.float64)
-            v = (w @ signs) / max(n * (n + 1) / 2.0, 1.0)
-            v = v / max(float(np.sqrt(np.dot(v, v))), eps)
+            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            weight = (np.arange(len(codes)) - np.repeat(starts, lengths) + 1).astype(np.float64)
         else:
-            v = signs.sum(axis=0) / float(n)
-        res.append(v)
-    return pd.Series(res)
-
+            weight = np.ones(len(codes))
+        for d in range(dim):
+            sign_u = 1.0 - 2.0 * ((bits >> np.uint64(63 - d)) & np.uint64(1)).astype(np.float64)
+            out[:, d] = np.bincount(row, weights=weight * sign_u[codes], minlength=n_rows)
+    n = lengths.astype(np.float64)
+    if positional:
+        out /= np.maximum(n * (n + 1) / 2.0, 1.0)[:, None]
+        out /= np.maximum(np.sqrt((out * out).sum(axis=1)), eps)[:, None]
+    else:
+        out /= np.maximum(n, 1.0)[:, None]
+    vec = pa.ListArray.from_arrays(pa.array(np.arange(0, (n_rows + 1) * dim, dim, dtype=np.int32)),
+                                   pa.array(out.ravel()))
+    return pa.RecordBatch.from_arrays([batch.column(id_col), vec], names=[id_col, "vec"])
+
+
+def _pooled(tok: DataFrame, dim: int, seed: int, positional: bool, eps: float, id_col: str) -> DataFrame:
+    if dim > 64:
+        raise ValueError("the hashed encoder supports up to 64 dimensions")
+    src = tok.select(id_col, "tokens")
+    schema = src.schema[id_col].simpleString().replace(":", " ", 1) + ", vec array<double>"
 
-def _pool_udf(dim: int, seed: int, positional: bool, eps: float):
-    @F.pandas_udf("array<double>")
-    def pool(tokens: pd.Series) -> pd.Series:
-        return _pool_batch(tokens, dim, seed, positional, eps)
-    return pool
+    def run(batches):
+        for b in batches:
+            yield pool_record_batch(b, id_col, dim, seed, positional, eps)
+    return src.mapInArrow(run, schema)
 
 
 def encode_mean_pool(tok: DataFrame, dim: int = DIM, seed: int = TOKVEC_SEED,
                      id_col: str = ID) -> DataFrame:
     """mean of the token vectors (zero vector for no tokens).
 
-    Arrow-batched pandas UDF: each distinct token of a batch is hashed once,
-    then sums are numpy row operations.  (The same maths as a higher-order
-    function over the token array, see :func:`token_vector`, is ~50x slower
-    because lambdas are interpreted per token.)
+    Arrow batches (``mapInArrow``): tokens are dictionary-encoded so each
+    distinct token of a batch is hashed once; sums are numpy ``bincount``s.
+    (The same maths as higher-order functions over the token array, see
+    :func:`token_vector`, is ~50x slower: lambdas are interpreted per token.)
     """
-    return tok.select(id_col, _pool_udf(dim, seed, False, 0.0)(F.col("tokens")).alias("vec"))
+    return _pooled(tok, dim, seed, False, 0.0, id_col)
 
 
 def encode_position_pool(tok: DataFrame, dim: int = DIM, seed: int = TOKVEC_SEED,
                          eps: float = 1e-8, id_col: str = ID) -> DataFrame:
     """weight of the i-th token = i / sum(j), then L2-normalized (clamp eps)."""
-    return tok.select(id_col, _pool_udf(dim, seed, True, eps)(F.col("tokens")).alias("vec"))
+    return _pooled(tok, dim, seed, True, eps, id_col)
 
 
 def l2_normalize(vecs: DataFrame, eps: float = 1e-12, mode: str = "clamp",

@@ -505,10 +505,10 @@ b_pre AS (SELECT prev, sum(c) AS c_pre FROM b_bi GROUP BY prev),
 b_tot AS (SELECT sum(c)::DOUBLE AS T, count(*)::DOUBLE AS V FROM b_uni)"""
 
 
-def topk_from(cte: str, budget: float) -> str:
+def topk_from(cte: str, budget: float, digits: int = 9) -> str:
     k = (f"greatest(1, least((SELECT count(*) FROM {cte}), "
          f"CAST(round_even({float(budget)} * (SELECT count(*) FROM {cte}), 0) AS BIGINT)))")
-    return f"""SELECT example_id, round(score, 9) + 0.0 AS score FROM {cte}
+    return f"""SELECT example_id, round(score, {digits}) + 0.0 AS score FROM {cte}
 QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC NULLS LAST, example_id) <= {k}"""
 
 
@@ -521,9 +521,9 @@ SELECT example_id, 'cond' AS variant, pos, round(nll, 9) AS nll FROM nc""",
     "per_sample_loss": f"""{G_BASE}, {COND_ROWS}, {nll_sql('nc', 'cr', True)}
 SELECT tok.example_id, round(coalesce(l.s, 0.0) / greatest(coalesce(l.n, 0), 1), 9) AS loss FROM tok LEFT JOIN
   (SELECT example_id, sum(nll) AS s, count(*) AS n FROM nc GROUP BY example_id) l ON l.example_id = tok.example_id""",
-    "perplexity": f"{G_BASE}, {COND_LOSS} SELECT example_id, round(exp(loss), 9) AS score FROM cl_loss",
+    "perplexity": f"{G_BASE}, {COND_LOSS} SELECT example_id, round(exp(loss), 4) AS score FROM cl_loss",
     "select_ppl": f"{G_BASE}, {COND_LOSS}, pp AS (SELECT example_id, exp(loss) AS score FROM cl_loss)\n"
-                  + topk_from("pp", 0.1),
+                  + topk_from("pp", 0.1, 4),
     "ifd_score": IFD + "\nSELECT example_id, round(score, 9) AS score FROM ifd",
     "select_ifd": IFD + """,
 ifv AS (SELECT example_id, CASE WHEN score IS NOT NULL AND NOT isnan(score) AND score > 0 AND score < 1.0

@@ -473,7 +473,7 @@ def q_per_sample_loss(spark, sf):
 def q_perplexity(spark, sf):
     tok = _tok(spark, sf)
     loss = ls.response_loss(lmod.token_nll(tok, _bg_lm(spark, sf), "cond"), tok)
-    return ls.perplexity(loss).select("example_id", r9("score"))
+    return ls.perplexity(loss).select("example_id", F.round("score", 4).alias("score"))
 
 
 def q_select_ppl(spark, sf):
