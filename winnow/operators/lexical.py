@@ -11,6 +11,8 @@ equi-join of the corpus' term rows with a per-term weight table does it.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +24,6 @@ from winnow.operators.sampling import query_sample
 from winnow.session import materialize
 
 QID = "query_id"
-# Largest query set (sum of distinct terms per query) inlined per corpus row
-# for the max aggregation.
-MAX_INLINE_QUERY_TERMS = 200_000
 
 
 def tokenize_alnum(df: DataFrame, text_col: str = "text", id_col: str = ID) -> DataFrame:
@@ -134,39 +133,73 @@ def bm25_mean(corpus_tok: DataFrame, query_tok: DataFrame, k1: float = 1.5, b: f
     return contrib.groupBy(id_col).agg(F.sum(part).alias("score"))
 
 
+# Largest query-term matrix (queries x distinct query terms) broadcast for max.
+MAX_QUERY_MATRIX = 50_000_000
+# Cells of the per-chunk document-term matrix inside one task.
+MAX_CHUNK_CELLS = 20_000_000
+
+
+def _max_over_queries(per_doc: DataFrame, qmat: np.ndarray, id_col: str) -> DataFrame:
+    """``(id, idx[], w[])`` rows -> ``(id, score)`` with score = max_q (W @ M^T)."""
+    spark = per_doc.sparkSession
+    bm = spark.sparkContext.broadcast(qmat)
+    n_terms = qmat.shape[1]
+
+    def run(batches):
+        m = bm.value
+        chunk = max(1, MAX_CHUNK_CELLS // max(n_terms, 1))
+        for pdf in batches:
+            for lo in range(0, len(pdf), chunk):
+                part = pdf.iloc[lo:lo + chunk]
+                idx = [np.asarray(a, dtype=np.int64) for a in part["idx"]]
+                wts = [np.asarray(a, dtype=np.float64) for a in part["w"]]
+                lens = np.array([len(a) for a in idx], dtype=np.int64)
+                w = np.zeros((len(part), n_terms))
+                if lens.sum() > 0:
+                    w[np.repeat(np.arange(len(part)), lens), np.concatenate(idx)] = np.concatenate(wts)
+                best = (w @ m.T).max(axis=1) if m.shape[0] else np.zeros(len(part))
+                yield pd.DataFrame({id_col: part[id_col].to_numpy(),
+                                    "score": np.maximum(best, 0.0)})
+    return per_doc.mapInPandas(run, f"{id_col} long, score double")
+
+
 def bm25_max(corpus_tok: DataFrame, query_tok: DataFrame, k1: float = 1.5, b: float = 0.75,
              id_col: str = ID, qid: str = QID) -> DataFrame:
     """Max BM25 over the query set; 0.0 floor (scores are non-negative).
 
-    Each corpus row scores every query inside its own row: its matched terms
-    become a map term -> idf*tfnorm, and the query set (size checked) rides
-    along as one broadcast row, so no (query, doc) pairs are shuffled.
+    The query set becomes a 0/1 matrix M (queries x query terms, size checked,
+    broadcast); each corpus row's matched terms become a weight row of W, and
+    an Arrow chunk of rows computes W @ M^T and its row max -- no (query, doc)
+    pairs are shuffled.  Beyond the size bound, pairs are joined and reduced.
     """
+    spark = corpus_tok.sparkSession
     qt = _query_terms(query_tok, qid)
     vocab = qt.select("term").distinct()
     nv = vocab.count()
-    n_entries = qt.count()
-    if n_entries > MAX_INLINE_QUERY_TERMS:
+    n_q = query_tok.count()
+    if nv * n_q > MAX_QUERY_MATRIX:
         pairs = bm25_pairs(corpus_tok, query_tok, k1, b, id_col, qid)
         best = pairs.groupBy(id_col).agg(F.max("score").alias("best"))
         return (doc_lengths(corpus_tok, id_col).join(best, id_col, "left")
                 .select(id_col, F.coalesce(F.col("best"), F.lit(0.0)).alias("score")))
+    terms = [r["term"] for r in vocab.orderBy("term").collect()]
+    pos = {t: i for i, t in enumerate(terms)}
+    qids = [r[qid] for r in query_tok.select(qid).orderBy(qid).collect()]
+    qpos = {q: i for i, q in enumerate(qids)}
+    qmat = np.zeros((len(qids), len(terms)))
+    for r in qt.collect():
+        qmat[qpos[r[qid]], pos[r["term"]]] = 1.0
+    idx_df = spark.createDataFrame([(i, t) for i, t in enumerate(terms)], "idx int, term string")
     dt = _doc_term_table(corpus_tok, vocab, nv, id_col)
     stats, dfreq = _weighted_terms(dt, id_col)
     idf = (dfreq.crossJoin(stats)
-                .select("term", idf_expr(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl"))
+                .select("term", idf_expr(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")
+                .join(idx_df, "term"))
     hits = dt.join(maybe_broadcast(idf, nv), "term", "left")
     per_doc = hits.groupBy(id_col).agg(
-        F.map_from_entries(F.collect_list(F.when(
-            F.col("term").isNotNull(),
-            F.struct(F.col("term"), (F.col("idf") * _tfnorm(k1, b)).alias("w"))))).alias("m"))
-    qset = query_tok.agg(F.collect_list(F.array_distinct("tokens")).alias("qs"))
-    scored = per_doc.crossJoin(F.broadcast(qset)).select(
-        id_col,
-        F.array_max(F.transform("qs", lambda q: F.aggregate(
-            q, F.lit(0.0), lambda acc, t: acc + F.coalesce(F.element_at(F.col("m"), t),
-                                                           F.lit(0.0))))).alias("best"))
-    return scored.select(id_col, F.greatest(F.coalesce("best", F.lit(0.0)), F.lit(0.0)).alias("score"))
+        F.collect_list(F.col("idx")).alias("idx"),
+        F.collect_list(F.when(F.col("idx").isNotNull(), F.col("idf") * _tfnorm(k1, b))).alias("w"))
+    return _max_over_queries(per_doc, qmat, id_col)
 
 
 def bm25_self(corpus_tok: DataFrame, max_queries: int = 256, seed: int = 42,

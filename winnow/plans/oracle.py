@@ -212,7 +212,7 @@ sc2 AS (SELECT sc.example_id, CASE WHEN documents.lang = 'en' THEN sc.score END
     "policy_hard": SCORES + """,
 top AS (SELECT example_id FROM sc QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC, example_id)
         <= greatest(1, least((SELECT count(*) FROM sc), CAST(round_even(0.05 * (SELECT count(*) FROM sc), 0) AS BIGINT))))
-SELECT sc.example_id, CASE WHEN top.example_id IS NULL THEN 0.0 ELSE 1.0 END AS weight
+SELECT sc.example_id, CAST(CASE WHEN top.example_id IS NULL THEN 0.0 ELSE 1.0 END AS DOUBLE) AS weight
 FROM sc LEFT JOIN top ON sc.example_id = top.example_id""",
     "select_all": "SELECT doc_id AS example_id FROM documents",
     "alpaca_record": f"WITH {ALPACA} SELECT * FROM alp",
