@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnow.operators.ranking import LIMIT_K, BROADCAST_ROWS, maybe_broadcast, take_top
+from winnow.session import materialize
 
 ID = "example_id"
 SCORE_DIGITS = 9
@@ -50,6 +51,9 @@ def topk_by_score(scores: DataFrame, budget: float, n: int | None = None,
     scores such as perplexities carry fewer stable digits).
     """
     if n is None:
+        # Count and rank read one written score table instead of running the
+        # scoring plan twice.
+        scores = materialize(scores.select(id_col, score_col))
         n = scores.count()
     k = resolve_k(n, budget)
     top = take_top(scores.select(id_col, score_col), k, rank_order(score_col, id_col))
@@ -84,6 +88,7 @@ def policy_hard(scores: DataFrame, budget: float, n: int | None = None,
                 score_col: str = "score", id_col: str = ID) -> DataFrame:
     """{0,1} weight: 1 for the top k."""
     if n is None:
+        scores = materialize(scores.select(id_col, score_col))
         n = scores.count()
     k = resolve_k(n, budget)
     top = topk_by_score(scores, budget, n, score_col, id_col).select(id_col, F.lit(1.0).alias("_w"))

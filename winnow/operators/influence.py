@@ -15,7 +15,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -239,4 +238,4 @@ def select_less(vecs_y: DataFrame, val_y: DataFrame, budget: float = 0.05, steps
 
 __all__ = ["features", "warmup_checkpoints", "mean_difference_checkpoint", "example_gradients",
            "adam_transform", "random_projection", "checkpoint_weights", "influence_score",
-           "select_less", "checkpoint_steps", "lr_factor", "pd"]
+           "select_less", "checkpoint_steps", "lr_factor"]

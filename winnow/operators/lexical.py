@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from winnow.functions.text import tokenize_alnum as _alnum
 from winnow.functions.text import tokenize_whitespace as _ws
 from winnow.operators.budget import ID, topk_by_score
-from winnow.operators.ranking import BROADCAST_ROWS, maybe_broadcast
+from winnow.operators.ranking import join_small
 from winnow.operators.sampling import query_sample
 from winnow.session import materialize
 
@@ -85,8 +85,8 @@ def _doc_term_table(corpus_tok: DataFrame, vocab: DataFrame, vocab_rows: int,
     rows = corpus_tok.select(
         id_col, F.size("tokens").cast("long").alias("dl"),
         F.explode(F.concat(F.col("tokens"), F.array(F.lit(None).cast("string")))).alias("term"))
-    marks = maybe_broadcast(vocab.select("term", F.lit(True).alias("_in_vocab")), vocab_rows)
-    rows = (rows.join(marks, "term", "left")
+    marks = vocab.select("term", F.lit(True).alias("_in_vocab"))
+    rows = (join_small(rows, marks, "term", vocab_rows, "left")
                 .filter(F.col("term").isNull() | F.col("_in_vocab").isNotNull()))
     return materialize(rows.groupBy(id_col, "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
 
@@ -108,10 +108,9 @@ def bm25_pairs(corpus_tok: DataFrame, query_tok: DataFrame, k1: float = 1.5, b:
     stats, dfreq = _weighted_terms(dt, id_col)
     idf = (dfreq.crossJoin(stats)
                 .select("term", idf_expr(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl"))
-    hits = dt.filter(F.col("term").isNotNull()).join(maybe_broadcast(idf, nv), "term")
+    hits = join_small(dt.filter(F.col("term").isNotNull()), idf, "term", nv)
     per_term = hits.select(id_col, "term", (F.col("idf") * _tfnorm(k1, b)).alias("w"))
-    postings = maybe_broadcast(qt, qt.count())
-    return (per_term.join(postings, "term")
+    return (join_small(per_term, qt, "term", qt.count())
                     .groupBy(qid, id_col).agg(F.sum("w").alias("score")))
 
 
@@ -128,7 +127,7 @@ def bm25_mean(corpus_tok: DataFrame, query_tok: DataFrame, k1: float = 1.5, b: f
                     .select("term", "avgdl",
                             (idf_expr(F.col("n_docs"), F.col("df")) * F.col("qn")
                              / F.col("n_queries")).alias("w")))
-    contrib = dt.join(maybe_broadcast(weights, nv), "term", "left")
+    contrib = join_small(dt, weights, "term", nv, "left")
     part = F.coalesce(F.col("w") * _tfnorm(k1, b), F.lit(0.0))
     return contrib.groupBy(id_col).agg(F.sum(part).alias("score"))
 
@@ -195,7 +194,7 @@ def bm25_max(corpus_tok: DataFrame, query_tok: DataFrame, k1: float = 1.5, b: fl
     idf = (dfreq.crossJoin(stats)
                 .select("term", idf_expr(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")
                 .join(idx_df, "term"))
-    hits = dt.join(maybe_broadcast(idf, nv), "term", "left")
+    hits = join_small(dt, idf, "term", nv, "left")
     per_doc = hits.groupBy(id_col).agg(
         F.collect_list(F.col("idx")).alias("idx"),
         F.collect_list(F.when(F.col("idx").isNotNull(), F.col("idf") * _tfnorm(k1, b))).alias("w"))
@@ -263,7 +262,7 @@ def bm25_anchor(ex: DataFrame, anchors: DataFrame, k1: float = 1.5, b: float = 0
             .groupBy("term").agg(F.sum("w").alias("w")))
     nw = w.count()
     xterms = ex.select(id_col, F.explode_outer(F.array_distinct(_ws(text_col))).alias("term"))
-    scored = xterms.join(maybe_broadcast(w, nw), "term", "left")
+    scored = join_small(xterms, w, "term", nw, "left")
     return scored.groupBy(id_col).agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("score"))
 
 

@@ -19,11 +19,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.operators.budget import ID
-from winnow.operators.ranking import maybe_broadcast
 from winnow.session import materialize
 
 # --- fixed values: mixture weights of the count model -----------------------
@@ -112,16 +111,17 @@ def token_nll(tok: DataFrame, lm: CountLM, variant: str = "cond", context: DataF
               id_col: str = ID) -> DataFrame:
     """``(example_id, variant, pos, nll)`` for every scored response token."""
     sp = _scored_positions(tok, variant, context, id_col)
-    rows = (sp.select(id_col, "seq", "start", "offset", F.posexplode("seq").alias("i", "token"))
+    rows = (sp.select(id_col, "seq", "start", "offset",
+                      F.coalesce(F.size("cache"), F.lit(0)).cast("double").alias("clen"),
+                      F.posexplode("seq").alias("i", "token"))
               .filter(F.col("i") >= F.col("start"))
-              .select(id_col, "token", (F.col("i") + F.col("offset")).cast("long").alias("pos"),
+              .select(id_col, "token", "clen", (F.col("i") + F.col("offset")).cast("long").alias("pos"),
                       F.when(F.col("i") > 0, F.element_at("seq", F.col("i"))).alias("prev")))
     has_cache = variant != "direct"
     if has_cache:
         ccount = (sp.select(id_col, F.explode("cache").alias("token"))
                     .groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("cc")))
-        clen = sp.select(id_col, F.size("cache").cast("double").alias("clen"))
-        rows = rows.join(clen, id_col).join(ccount, [id_col, "token"], "left")
+        rows = rows.join(ccount, [id_col, "token"], "left")
     rows = (rows.join(lm.uni.withColumnRenamed("c", "c_w"), "token", "left")
                 .join(lm.bi.withColumnRenamed("c", "c_hw"), ["prev", "token"], "left")
                 .join(lm.pre, "prev", "left")
@@ -139,4 +139,4 @@ def token_nll(tok: DataFrame, lm: CountLM, variant: str = "cond", context: DataF
     return rows.select(id_col, F.lit(variant).alias("variant"), "pos", (-F.log(p)).alias("nll"))
 
 
-__all__ = ["CountLM", "fit_lm_counts", "lm_brief_experience", "token_nll", "maybe_broadcast"]
+__all__ = ["CountLM", "fit_lm_counts", "lm_brief_experience", "token_nll"]

@@ -27,11 +27,32 @@ BROADCAST_ROWS = 2_000_000
 _POS_BITS = 33
 
 
+# Salt buckets for joins whose small side is too big to broadcast.
+JOIN_SALTS = 32
+
+
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only when its counted size is under the bound."""
     return F.broadcast(df) if rows <= limit else df
 
 
+def join_small(big: DataFrame, small: DataFrame, on, small_rows: int, how: str = "inner",
+               salts: int = JOIN_SALTS) -> DataFrame:
+    """Join a large table with a keyed lookup table.
+
+    Under the row bound the lookup table is broadcast (no shuffle of ``big``).
+    Above it, ``big`` is salted by a hash of its own row and the lookup rows are
+    replicated per salt, so one key holding a large share of ``big`` (a hot
+    term) is spread over ``salts`` tasks instead of one.
+    """
+    on = [on] if isinstance(on, str) else list(on)
+    if small_rows <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), on, how)
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
+    return salted.join(copies, on + ["_salt"], how).drop("_salt")
+
+
 def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

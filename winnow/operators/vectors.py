@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from winnow.functions.vector import dot, l2_normalize as l2_expr, to_double
 from winnow.operators.budget import ID, score_direction, topk_by_score
-from winnow.operators.ranking import maybe_broadcast
 
 DIM = 64
 TOKVEC_SEED = 42
@@ -297,5 +296,4 @@ def kmeans_labels(vecs: DataFrame, k: int, seed: int = 42, iters: int = 25, id_c
 
 __all__ = ["encode_mean_pool", "encode_position_pool", "l2_normalize", "centroid",
            "cosine_to_centroid", "select_embedding", "anchor_mean_cosine", "nearest_neighbor",
-           "pairwise_similarity_agg", "kmeans_labels", "token_vector", "long_form",
-           "maybe_broadcast"]
+           "pairwise_similarity_agg", "kmeans_labels", "token_vector", "long_form"]

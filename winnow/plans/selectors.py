@@ -11,7 +11,6 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from winnow.operators import influence as inf
 from winnow.operators import lexical as lex
@@ -127,4 +126,4 @@ def score_with(name: str, ex: DataFrame) -> DataFrame:
     return ex.mapInPandas(run, schema)
 
 
-__all__ = ["run_selection", "register_selector", "register_scorer", "score_with", "SELECTORS", "F"]
+__all__ = ["run_selection", "register_selector", "register_scorer", "score_with", "SELECTORS"]
