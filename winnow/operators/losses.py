@@ -14,6 +14,7 @@ from winnow.operators.budget import ID, invalid_sink, score_direction, topk_by_s
 from winnow.operators.lm import CountLM, token_nll
 from winnow.operators.records import MAX_LENGTH
 from winnow.operators.vectors import nearest_neighbor
+from winnow.session import materialize
 
 
 def response_loss(nll: DataFrame, tok: DataFrame | None = None, id_col: str = ID) -> DataFrame:
@@ -54,6 +55,7 @@ def select_ppl(tok: DataFrame, lm: CountLM, budget: float = 0.05, keep: str = "h
     """Perplexity, one tail; unscorable examples sink."""
     if keep not in ("high", "low"):
         raise ValueError("keep must be 'high' or 'low'")
+    tok = materialize(tok)
     ppl = perplexity(response_loss(token_nll(tok, lm, "cond"), tok, id_col), id_col)
     return topk_by_score(score_direction(ppl, keep), budget, out_digits=4)
 
@@ -65,6 +67,8 @@ def ifd_score(cond: DataFrame, direct: DataFrame, id_col: str = ID) -> DataFrame
 
 
 def ifd_scores(tok: DataFrame, lm: CountLM, id_col: str = ID) -> DataFrame:
+    """Both losses read one written copy of the tokenized records."""
+    tok = materialize(tok)
     cond = response_loss(token_nll(tok, lm, "cond"), tok, id_col)
     direct = direct_loss(token_nll(tok, lm, "direct"), tok, id_col)
     return ifd_score(cond, direct, id_col)
@@ -100,6 +104,7 @@ def miwv_score(cond: DataFrame, oneshot: DataFrame, id_col: str = ID) -> DataFra
 
 def miwv_scores(tok: DataFrame, vecs: DataFrame, lm: CountLM, max_length: int = MAX_LENGTH,
                 id_col: str = ID, nn_mode: str = "exact") -> DataFrame:
+    tok = materialize(tok)
     nn = nearest_neighbor(vecs, mode=nn_mode, id_col=id_col)
     ctx = one_shot_context(tok, nn, max_length, id_col)
     cond = response_loss(token_nll(tok, lm, "cond"), tok, id_col)
