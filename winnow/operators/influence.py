@@ -30,7 +30,8 @@ from winnow.session import materialize
 ADAM_B1, ADAM_B2, ADAM_EPS = 0.9, 0.999, 1e-8
 # ---------------------------------------------------------------------------
 FEAT_NORM_EPS = 1e-10
-MAX_DENSE_PROJ = 20_000_000
+# Largest projection matrix (D x p entries) built and broadcast whole.
+MAX_DENSE_PROJ = 2_000_000
 
 
 def features(vecs_y: DataFrame, id_col: str = ID, vec_col: str = "vec",
@@ -150,9 +151,9 @@ def random_projection(grads: DataFrame, p: int = 8192, seed: int = 42, mode: str
     r = projection_matrix(spark, in_dim, p, seed)
     others = [c for c in grads.columns if c != grad_col]
     if mode == "dense":
+        pdf = r.toPandas()  # bounded: in_dim * p <= max_dense entries, moved as Arrow
         mat = np.zeros((in_dim, p))
-        for row in r.collect():
-            mat[row["i"], row["j"]] = row["r"]
+        mat[pdf["i"].to_numpy(), pdf["j"].to_numpy()] = pdf["r"].to_numpy()
         bmat = spark.sparkContext.broadcast(mat)
         schema = grads.select(*others).schema.add("grad", T.ArrayType(T.DoubleType()))
 
@@ -169,12 +170,14 @@ def random_projection(grads: DataFrame, p: int = 8192, seed: int = 42, mode: str
     if mode != "blocked":
         raise ValueError("mode must be auto, dense or blocked")
     key = "_row"
-    g = grads.withColumn(key, F.monotonically_increasing_id())
+    # The row key is assigned once and written, so both branches below (and any
+    # task retry) see the same key for the same row.
+    g = materialize(grads.withColumn(key, F.monotonically_increasing_id()))
     longg = g.select(key, F.posexplode(grad_col).alias("i", "gi"))
     summed = (longg.join(r, "i").groupBy(key, "j").agg(F.sum(F.col("gi") * F.col("r")).alias("v"))
                    .groupBy(key).agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("_s"))
                    .select(key, F.transform("_s", lambda s: s["v"]).alias(grad_col)))
-    return materialize(g.drop(grad_col)).join(summed, key).drop(key)
+    return g.drop(grad_col).join(summed, key).drop(key)
 
 
 def checkpoint_weights(ckpts: DataFrame, manual: list[float] | None = None) -> DataFrame:

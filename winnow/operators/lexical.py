@@ -132,8 +132,10 @@ def bm25_mean(corpus_tok: DataFrame, query_tok: DataFrame, k1: float = 1.5, b: f
     return contrib.groupBy(id_col).agg(F.sum(part).alias("score"))
 
 
-# Largest query-term matrix (queries x distinct query terms) broadcast for max.
+# Largest query-term matrix (queries x distinct query terms) broadcast for max,
+# and the most (query, term) entries moved to the driver to build it.
 MAX_QUERY_MATRIX = 50_000_000
+MAX_QUERY_ENTRIES = 2_000_000
 # Cells of the per-chunk document-term matrix inside one task.
 MAX_CHUNK_CELLS = 20_000_000
 
@@ -176,7 +178,8 @@ def bm25_max(corpus_tok: DataFrame, query_tok: DataFrame, k1: float = 1.5, b: fl
     vocab = qt.select("term").distinct()
     nv = vocab.count()
     n_q = query_tok.count()
-    if nv * n_q > MAX_QUERY_MATRIX:
+    n_entries = qt.count()
+    if nv * n_q > MAX_QUERY_MATRIX or n_entries > MAX_QUERY_ENTRIES:
         pairs = bm25_pairs(corpus_tok, query_tok, k1, b, id_col, qid)
         best = pairs.groupBy(id_col).agg(F.max("score").alias("best"))
         return (doc_lengths(corpus_tok, id_col).join(best, id_col, "left")
@@ -186,8 +189,8 @@ def bm25_max(corpus_tok: DataFrame, query_tok: DataFrame, k1: float = 1.5, b: fl
     qids = [r[qid] for r in query_tok.select(qid).orderBy(qid).collect()]
     qpos = {q: i for i, q in enumerate(qids)}
     qmat = np.zeros((len(qids), len(terms)))
-    for r in qt.collect():
-        qmat[qpos[r[qid]], pos[r["term"]]] = 1.0
+    entries = qt.toPandas()  # bounded by MAX_QUERY_ENTRIES, moved as Arrow
+    qmat[entries[qid].map(qpos).to_numpy(), entries["term"].map(pos).to_numpy()] = 1.0
     idx_df = spark.createDataFrame([(i, t) for i, t in enumerate(terms)], "idx int, term string")
     dt = _doc_term_table(corpus_tok, vocab, nv, id_col)
     stats, dfreq = _weighted_terms(dt, id_col)
