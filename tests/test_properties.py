@@ -153,3 +153,26 @@ def test_selection_independent_of_partitioning(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert a == b and len(a) == 10
+
+
+def test_warmup_minibatch_checkpoints(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=3).tolist(), float(i % 2)) for i in range(12)]
+    v = spark.createDataFrame(rows, "example_id long, vec array<double>, y double")
+    sel = v.select("example_id")
+    ck = inf.warmup_checkpoints(v, sel, steps=6, lr=0.1, num_checkpoints=3, batch_size=4).orderBy("ckpt").collect()
+    assert [r.step for r in ck] == [2, 4, 6]
+    assert [r.lr for r in ck] == pytest.approx([0.1 * 4 / 6, 0.1 * 2 / 6, 0.0])
+    # Brute force: the same minibatch Adam in numpy over the same hash order.
+    order = sorted(range(12), key=lambda i: (hashlib.md5(f"42:warmup-order:{i}".encode()).hexdigest(), i))
+    x = np.array([rows[i][1] + [1.0] for i in order])
+    y = np.array([rows[i][2] for i in order])
+    w = m = vv = np.zeros(4)
+    for t in range(1, 7):
+        idx = [((t - 1) * 4 + j) % 12 for j in range(4)]
+        p = 1 / (1 + np.exp(-(x[idx] @ w)))
+        g = ((p - y[idx])[:, None] * x[idx]).mean(axis=0)
+        m = 0.9 * m + 0.1 * g
+        vv = 0.999 * vv + 0.001 * g * g
+        w = w - 0.1 * (6 - (t - 1)) / 6 * (m / (1 - 0.9 ** t)) / (np.sqrt(vv / (1 - 0.999 ** t)) + 1e-8)
+    assert np.allclose(ck[-1].params, w, atol=1e-9)

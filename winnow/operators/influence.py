@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from winnow.functions.hashing import sign_bit
+from winnow.functions.hashing import draw_key, sign_bit
 from winnow.functions.vector import dot, l2_normalize as l2_expr, to_double
 from winnow.operators.budget import ID, topk_by_score
+from winnow.operators.ranking import rank_rows
 from winnow.operators.sampling import warmup_subset
 from winnow.operators.vectors import pairwise_similarity_agg
 from winnow.session import materialize
@@ -60,11 +61,21 @@ def checkpoint_steps(total: int, num_checkpoints: int) -> list[int]:
 
 def warmup_checkpoints(vecs_y: DataFrame, sel: DataFrame, steps: int = 200, lr: float = 2e-5,
                        num_checkpoints: int = 4, warmup_ratio: float = 0.0,
+                       batch_size: int | None = 4, seed: int = 42,
                        id_col: str = ID) -> DataFrame:
-    """H2: ``(ckpt, step, lr, params, exp_avg, exp_avg_sq)``, one row per checkpoint."""
+    """H2: ``(ckpt, step, lr, params, exp_avg, exp_avg_sq)``, one row per checkpoint.
+
+    Minibatch Adam over the warm-up subset: the subset is put in one
+    hash-shuffled order (md5(seed:warmup-order:id), exact distributed rank) and
+    step t uses the next ``batch_size`` rows of it, wrapping around like epochs.
+    ``batch_size=None`` uses the whole subset every step.
+    """
     spark = vecs_y.sparkSession
-    sub = materialize(features(vecs_y, id_col).join(sel.select(id_col), id_col, "left_semi")
-                      .select("x", "y"))
+    sub = features(vecs_y, id_col).join(sel.select(id_col), id_col, "left_semi") \
+        .withColumn("_draw", draw_key(seed, "warmup-order", id_col))
+    sub = materialize(rank_rows(sub, [F.asc("_draw"), F.asc(id_col)], name="_r")
+                      .select("x", "y", (F.col("_r") - 1).alias("_r")))
+    n_sub = sub.count()
     d = len(sub.select("x").first()["x"])
     w, m, v = np.zeros(d), np.zeros(d), np.zeros(d)
     warm = int(warmup_ratio * steps)
@@ -72,7 +83,11 @@ def warmup_checkpoints(vecs_y: DataFrame, sel: DataFrame, steps: int = 200, lr:
     rows = []
     for t in range(1, steps + 1):
         wcol = F.array(*[F.lit(float(a)) for a in w])
-        per_row = sub.select(_grad(F.col("x"), F.col("y"), wcol).alias("g"))
+        batch = sub
+        if batch_size and batch_size < n_sub:
+            lo = ((t - 1) * batch_size) % n_sub
+            batch = sub.filter(F.pmod(F.col("_r") - F.lit(lo), F.lit(n_sub)) < F.lit(batch_size))
+        per_row = batch.select(_grad(F.col("x"), F.col("y"), wcol).alias("g"))
         g = np.array(per_row.agg(*[F.avg(F.col("g")[i]).alias(f"g{i}") for i in range(d)]).first(),
                      dtype=np.float64)
         step_lr = lr * lr_factor(t - 1, steps, warm)
@@ -226,12 +241,14 @@ def influence_score(train_g: DataFrame, val_g: DataFrame, weights: DataFrame, ag
 def select_less(vecs_y: DataFrame, val_y: DataFrame, budget: float = 0.05, steps: int = 200,
                 lr: float = 2e-5, warmup_subset_frac: float = 0.05, num_checkpoints: int = 4,
                 proj_dim: int = 8192, agg: str = "mean", seed: int = 42, warmup_ratio: float = 0.0,
-                manual_weights: list[float] | None = None, id_col: str = ID) -> DataFrame:
+                manual_weights: list[float] | None = None, batch_size: int | None = 4,
+                id_col: str = ID) -> DataFrame:
     """H8: warm-up -> checkpoints -> Adam/SGD gradients -> projection -> influence -> top-k."""
     if val_y is None or val_y.limit(1).count() == 0:
         raise ValueError("LESS requires a non-empty validation/target set")
     sel = warmup_subset(vecs_y, warmup_subset_frac, seed, rounding="trunc", id_col=id_col)
-    ckpts = materialize(warmup_checkpoints(vecs_y, sel, steps, lr, num_checkpoints, warmup_ratio, id_col))
+    ckpts = materialize(warmup_checkpoints(vecs_y, sel, steps, lr, num_checkpoints, warmup_ratio,
+                                           batch_size, seed, id_col))
     tg = random_projection(adam_transform(example_gradients(vecs_y, ckpts, "train", id_col), ckpts),
                            proj_dim, seed)
     vg = random_projection(example_gradients(val_y, ckpts, "validation", id_col), proj_dim, seed)
