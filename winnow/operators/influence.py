@@ -81,15 +81,19 @@ def warmup_checkpoints(vecs_y: DataFrame, sel: DataFrame, steps: int = 200, lr:
     warm = int(warmup_ratio * steps)
     marks = set(checkpoint_steps(steps, num_checkpoints))
     rows = []
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
     for t in range(1, steps + 1):
-        wcol = F.array(*[F.lit(float(a)) for a in w])
-        batch = sub
+        # Parameters and the batch window arrive as a one-row table, not literals,
+        # so every step runs the same generated code (no recompilation per step).
+        lo = ((t - 1) * batch_size) % n_sub if batch_size and batch_size < n_sub else 0
+        state = spark.createDataFrame([(w.tolist(), lo)], "w array<double>, lo long")
+        batch = sub.crossJoin(F.broadcast(state))
         if batch_size and batch_size < n_sub:
-            lo = ((t - 1) * batch_size) % n_sub
-            batch = sub.filter(F.pmod(F.col("_r") - F.lit(lo), F.lit(n_sub)) < F.lit(batch_size))
-        per_row = batch.select(_grad(F.col("x"), F.col("y"), wcol).alias("g"))
-        g = np.array(per_row.agg(*[F.avg(F.col("g")[i]).alias(f"g{i}") for i in range(d)]).first(),
-                     dtype=np.float64)
+            batch = batch.filter(F.pmod(F.col("_r") - F.col("lo"), F.lit(n_sub)) < F.lit(batch_size))
+        per_row = batch.select(array_to_vector(_grad(F.col("x"), F.col("y"), F.col("w"))).alias("g"))
+        g = np.asarray(per_row.select(Summarizer.mean(F.col("g")).alias("m")).first()["m"].toArray(),
+                       dtype=np.float64)
         step_lr = lr * lr_factor(t - 1, steps, warm)
         m = ADAM_B1 * m + (1 - ADAM_B1) * g
         v = ADAM_B2 * v + (1 - ADAM_B2) * g * g
