@@ -23,6 +23,13 @@ from winnow.functions.vector import dot
 from winnow.session import materialize
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A micro-batch with fewer partitions than cores (one small file) is spread
+    round-robin; large batches keep their splits (no extra shuffle)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stream_reweight(stream: DataFrame, anchors: DataFrame, sink: str, checkpoint: str,
                     interval: int = 50, tau: float = 1.0, eps: float = 1e-8, w_min: float = 0.0,
                     w_max: float = 10.0, text_col: str = "text", id_col: str = ID,
@@ -40,6 +47,7 @@ def stream_reweight(stream: DataFrame, anchors: DataFrame, sink: str, checkpoint
         return versions[version]
 
     def on_batch(df: DataFrame, step: int) -> None:
+        df = _spread(df)
         phi = encode_position_pool(tokenize_whitespace(df, text_col, id_col), eps=eps, id_col=id_col)
         scored = phi.crossJoin(F.broadcast(anchor_centroid(step))).select(
             F.lit(step).cast("long").alias("step"), id_col, dot(F.col("vec"), F.col("_c")).alias("score"))
