@@ -176,3 +176,34 @@ def test_warmup_minibatch_checkpoints(spark):
         vv = 0.999 * vv + 0.001 * g * g
         w = w - 0.1 * (6 - (t - 1)) / 6 * (m / (1 - 0.9 ** t)) / (np.sqrt(vv / (1 - 0.999 ** t)) + 1e-8)
     assert np.allclose(ck[-1].params, w, atol=1e-9)
+
+
+def test_grouped_rank_paths_agree(spark, monkeypatch):
+    """Hot groups take the range-sort rank; it must pick the same rows as the window."""
+    import winnow.operators.ranking as rk
+    from winnow.operators import sampling as smp
+    rows = [("hot", i) for i in range(300)] + [("a", 1000 + i) for i in range(40)] + [("b", 2000 + i) for i in range(7)]
+    df = spark.createDataFrame(rows, "dataset string, example_id long")
+    window = sorted((r.dataset, r.example_id) for r in smp.mix_sources(df, 0.3, seed=3).collect())
+    labels = df.select("example_id", F.when(F.col("dataset") == "hot", 0).otherwise(1).alias("label"))
+    rr_window = sorted(r.example_id for r in smp.cluster_round_robin(labels, 30, seed=42).collect())
+    monkeypatch.setattr(rk, "WINDOW_MAX_GROUP", 0)
+    sorted_path = sorted((r.dataset, r.example_id) for r in smp.mix_sources(df, 0.3, seed=3).collect())
+    rr_sorted = sorted(r.example_id for r in smp.cluster_round_robin(labels, 30, seed=42).collect())
+    assert window == sorted_path and len(window) == 90 + 12 + 2
+    assert rr_window == rr_sorted and len(rr_window) == 30
+
+
+def test_salted_join_path_matches_broadcast(spark, monkeypatch):
+    import winnow.operators.ranking as rk
+    corpus = lex.tokenize_alnum(tb.examples(spark, SF_SMALL))
+    queries = tb.target(spark, SF_SMALL).select(F.col("item_id").alias("query_id"),
+                                                alnum("text").alias("tokens"))
+    a = {r.example_id: r.score for r in lex.bm25_mean(corpus, queries).collect()}
+    pa = {(r.query_id, r.example_id): r.score for r in lex.bm25_pairs(corpus, queries).collect()}
+    monkeypatch.setattr(rk, "BROADCAST_ROWS", 0)
+    b = {r.example_id: r.score for r in lex.bm25_mean(corpus, queries).collect()}
+    pb = {(r.query_id, r.example_id): r.score for r in lex.bm25_pairs(corpus, queries).collect()}
+    assert a.keys() == b.keys() and pa.keys() == pb.keys()
+    assert all(a[k] == pytest.approx(b[k], rel=1e-12, abs=1e-15) for k in a)
+    assert all(pa[k] == pytest.approx(pb[k], rel=1e-12, abs=1e-15) for k in pa)
