@@ -111,10 +111,13 @@ def token_nll(tok: DataFrame, lm: CountLM, variant: str = "cond", context: DataF
               id_col: str = ID) -> DataFrame:
     """``(example_id, variant, pos, nll)`` for every scored response token."""
     sp = _scored_positions(tok, variant, context, id_col)
+    # Only the scored slice is exploded (prompt and context tokens never become
+    # rows); the previous token is read from the full sequence.
+    scored = F.slice("seq", F.col("start") + 1, F.greatest(F.size("seq") - F.col("start"), F.lit(0)))
     rows = (sp.select(id_col, "seq", "start", "offset",
                       F.coalesce(F.size("cache"), F.lit(0)).cast("double").alias("clen"),
-                      F.posexplode("seq").alias("i", "token"))
-              .filter(F.col("i") >= F.col("start"))
+                      F.posexplode(scored).alias("j", "token"))
+              .withColumn("i", F.col("j") + F.col("start"))
               .select(id_col, "token", "clen", (F.col("i") + F.col("offset")).cast("long").alias("pos"),
                       F.when(F.col("i") > 0, F.element_at("seq", F.col("i"))).alias("prev")))
     has_cache = variant != "direct"
