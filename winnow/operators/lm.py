@@ -23,8 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.operators.budget import ID
+from winnow.operators.ranking import ROW_OVERHEAD_BYTES, broadcast_budget_bytes
 from winnow.session import materialize
 
+# A count table is broadcast into the scoring joins only when its measured size
+# (string bytes + per-row overhead, computed at fit time) fits the session's
+# broadcast budget; otherwise it joins by sort-merge.  The optimizer's own size
+# estimate after a checkpoint comes from the compressed input and can be far
+# too small to trust.
+
 # --- fixed values: mixture weights of the count model -----------------------
 W_BI_CTX, W_UNI_CTX, W_CACHE = 0.4, 0.3, 0.3
 W_BI, W_UNI = 0.5, 0.5
@@ -38,6 +45,9 @@ class CountLM:
     pre: DataFrame      # (prev, c_pre)
     totals: DataFrame   # one row (T, V)
     pairs: DataFrame    # (prev, token, c) with prev NULL at document starts
+    bytes_uni: int = 0  # measured sizes of the written tables (for broadcasts)
+    bytes_bi: int = 0
+    bytes_pre: int = 0
 
 
 def _pair_counts(tok: DataFrame) -> DataFrame:
@@ -63,12 +73,22 @@ def fit_lm_counts(tok: DataFrame) -> CountLM:
 
 def _assemble(pairs: DataFrame) -> CountLM:
     """The fitted model is written once (checkpoint folder); scoring jobs read the
-    count tables instead of re-tokenizing the background corpus."""
+    count tables instead of re-tokenizing the background corpus.  Two small
+    aggregates measure the tables (for size-checked broadcasts) and give T, V."""
     uni = materialize(pairs.groupBy("token").agg(F.sum("c").alias("c")))
     bi = pairs.filter(F.col("prev").isNotNull())
-    pre = bi.groupBy("prev").agg(F.sum("c").alias("c_pre"))
-    totals = uni.agg(F.sum("c").cast("double").alias("T"), F.count(F.lit(1)).cast("double").alias("V"))
-    return CountLM(uni, bi, pre, totals, pairs)
+    pre = materialize(bi.groupBy("prev").agg(F.sum("c").alias("c_pre")))
+    u = uni.agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("t"),
+                F.sum(F.octet_length("token")).alias("b")).first()
+    p = pairs.agg(F.count(F.when(F.col("prev").isNotNull(), F.lit(1))).alias("n"),
+                  F.sum(F.when(F.col("prev").isNotNull(),
+                               F.octet_length("prev") + F.octet_length("token"))).alias("b")).first()
+    spark = pairs.sparkSession
+    totals = spark.createDataFrame([(float(u["t"] or 0), float(u["v"]))], "T double, V double")
+    bytes_uni = int(u["b"] or 0) + int(u["v"]) * ROW_OVERHEAD_BYTES
+    bytes_bi = int(p["b"] or 0) + int(p["n"]) * ROW_OVERHEAD_BYTES
+    # Every prefix is a vocabulary token, so the unigram size bounds the prefix table.
+    return CountLM(uni, bi, pre, totals, pairs, bytes_uni, bytes_bi, bytes_uni)
 
 
 def lm_brief_experience(lm: CountLM, tok: DataFrame, sel: DataFrame, id_col: str = ID) -> CountLM:
@@ -107,6 +127,14 @@ def _scored_positions(tok: DataFrame, variant: str, context: DataFrame | None,
     raise ValueError("variant must be cond, direct or oneshot")
 
 
+def _lookup(rows: DataFrame, table: DataFrame, on, size_bytes: int) -> DataFrame:
+    """Left join a count table: broadcast when its measured size fits the budget,
+    else sort-merge (AQE may still switch to a broadcast from real shuffle sizes)."""
+    if size_bytes <= broadcast_budget_bytes(rows.sparkSession):
+        return rows.join(F.broadcast(table), on, "left")
+    return rows.join(table.hint("merge"), on, "left")
+
+
 def token_nll(tok: DataFrame, lm: CountLM, variant: str = "cond", context: DataFrame | None = None,
               id_col: str = ID) -> DataFrame:
     """``(example_id, variant, pos, nll)`` for every scored response token."""
@@ -125,10 +153,9 @@ def token_nll(tok: DataFrame, lm: CountLM, variant: str = "cond", context: DataF
         ccount = (sp.select(id_col, F.explode("cache").alias("token"))
                     .groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("cc")))
         rows = rows.join(ccount, [id_col, "token"], "left")
-    rows = (rows.join(lm.uni.withColumnRenamed("c", "c_w"), "token", "left")
-                .join(lm.bi.withColumnRenamed("c", "c_hw"), ["prev", "token"], "left")
-                .join(lm.pre, "prev", "left")
-                .crossJoin(F.broadcast(lm.totals)))
+    rows = _lookup(rows, lm.uni.withColumnRenamed("c", "c_w"), "token", lm.bytes_uni)
+    rows = _lookup(rows, lm.bi.withColumnRenamed("c", "c_hw"), ["prev", "token"], lm.bytes_bi)
+    rows = _lookup(rows, lm.pre, "prev", lm.bytes_pre).crossJoin(F.broadcast(lm.totals))
     p_uni = (F.coalesce("c_w", F.lit(0)).cast("double") + F.lit(1.0)) / (F.col("T") + F.col("V") + F.lit(1.0))
     p_bi = F.when(F.coalesce("c_pre", F.lit(0)) > 0,
                   F.coalesce("c_hw", F.lit(0)).cast("double") / F.col("c_pre").cast("double")) \

@@ -36,6 +36,20 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
+# Estimated bytes per broadcast hash-relation row beyond its string bytes.
+ROW_OVERHEAD_BYTES = 64
+
+
+def broadcast_budget_bytes(spark) -> int:
+    """Bytes one broadcast may take: 1/32 of the smaller of the driver heap (where the
+    relation is built) and the executor memory (where every task holds it)."""
+    jvm = spark.sparkContext._jvm
+    driver = int(jvm.java.lang.Runtime.getRuntime().maxMemory())
+    conf = spark.sparkContext.getConf().get("spark.executor.memory", None)
+    executor = int(jvm.org.apache.spark.util.Utils.byteStringAsBytes(conf)) if conf else driver
+    return min(driver, executor) // 32
+
+
 def join_small(big: DataFrame, small: DataFrame, on, small_rows: int, how: str = "inner",
                salts: int = JOIN_SALTS) -> DataFrame:
     """Join a large table with a keyed lookup table.
