@@ -227,3 +227,9 @@ def test_mix_sources(spark):
     df = spark.createDataFrame(rows, "dataset string, example_id long")
     got = {r.dataset: r["count"] for r in smp.mix_sources(df, 0.5, seed=3).groupBy("dataset").count().collect()}
     assert got == {"a": 5, "b": 2}
+
+
+def test_tokenizers_null_text(spark):
+    df = spark.createDataFrame([(0, None)], "example_id long, text string")
+    assert lex.tokenize_alnum(df).first().tokens == []
+    assert lex.tokenize_whitespace(df).first().tokens == []

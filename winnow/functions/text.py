@@ -48,7 +48,7 @@ def is_blank(c) -> Column:
 
 def tokenize_alnum(c) -> Column:
     """Lower-case, then runs of ASCII letters/digits (array<string>)."""
-    return F.regexp_extract_all(F.lower(as_col(c)), F.lit(ALNUM_TOKEN), 0)
+    return F.regexp_extract_all(F.lower(F.coalesce(as_col(c), F.lit(""))), F.lit(ALNUM_TOKEN), 0)
 
 
 def _spaces(c: Column) -> Column:
@@ -63,7 +63,7 @@ def tokenize_whitespace(c) -> Column:
     translate + split on spaces is the same split as one regex class of all
     29 code points, and several times faster.
     """
-    parts = F.split(_spaces(F.lower(as_col(c))), " +")
+    parts = F.split(_spaces(F.lower(F.coalesce(as_col(c), F.lit("")))), " +")
     return F.filter(parts, lambda x: x != F.lit(""))
 
 

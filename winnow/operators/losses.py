@@ -103,7 +103,7 @@ def miwv_score(cond: DataFrame, oneshot: DataFrame, id_col: str = ID) -> DataFra
 
 
 def miwv_scores(tok: DataFrame, vecs: DataFrame, lm: CountLM, max_length: int = MAX_LENGTH,
-                id_col: str = ID, nn_mode: str = "exact") -> DataFrame:
+                id_col: str = ID, nn_mode: str = "auto") -> DataFrame:
     tok = materialize(tok)
     nn = nearest_neighbor(vecs, mode=nn_mode, id_col=id_col)
     ctx = one_shot_context(tok, nn, max_length, id_col)

@@ -176,6 +176,8 @@ def anchor_mean_cosine(vecs: DataFrame, anchors: DataFrame, id_col: str = ID,
 # --- tiled exact search -------------------------------------------------------
 
 SIM_DIGITS = 9
+# Largest row count searched exactly in "auto" mode (the tiled search is quadratic).
+EXACT_NN_MAX = 100_000
 
 
 def _blocks(n: int, block: int) -> int:
@@ -233,13 +235,16 @@ def nearest_neighbor(vecs: DataFrame, mode: str = "exact", block: int = 512, id_
     ``exact``: tiled search (work N^2 d / #cores, memory 2 * block * d per task).
     ``lsh``: MLlib random-projection LSH candidates within ``radius``; rows with
     no candidate are finished by the exact tiled search, so every row is answered.
+    ``auto``: exact up to ``EXACT_NN_MAX`` rows, LSH beyond.
     """
     unit = _unit(vecs, id_col, vec_col)
     n = unit.count()
+    if mode == "auto":
+        mode = "exact" if n <= EXACT_NN_MAX else "lsh"
     if mode == "exact":
         return _tiled(unit, unit, n, n, block, True).withColumnRenamed("example_id", id_col)
     if mode != "lsh":
-        raise ValueError("mode must be 'exact' or 'lsh'")
+        raise ValueError("mode must be 'exact', 'lsh' or 'auto'")
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
     feats = unit.select("id", "v", array_to_vector("v").alias("features"))
