@@ -10,6 +10,8 @@ version and kept as a one-row DataFrame.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -60,13 +62,20 @@ def stream_reweight(stream: DataFrame, anchors: DataFrame, sink: str, checkpoint
 
 
 def stream_greats(stream: DataFrame, gval: DataFrame, sink: str, checkpoint: str, k: int = 4,
-                  eta: float = 0.1, id_col: str = ID, available_now: bool = True) -> StreamingQuery:
-    """GREATS per micro-batch; sink rows ``(batch_id, example_id, rank)``.
+                  eta: float = 0.1, batch_size: int = 64, id_col: str = ID,
+                  available_now: bool = True) -> StreamingQuery:
+    """GREATS per training batch; sink rows ``(batch_id, example_id, rank)``.
 
-    ``stream`` rows carry ``(example_id, grad)``; the micro-batch is the batch.
+    ``stream`` rows carry ``(example_id, grad)``.  Each micro-batch is cut into
+    training batches of about ``batch_size`` rows by a hash of the id, so a
+    large micro-batch never becomes one Gram matrix in one task;
+    batch_id = step * 1_000_000 + batch number.
     """
     def on_batch(df: DataFrame, step: int) -> None:
-        g = df.select(F.lit(step).cast("long").alias("batch_id"), id_col, "grad")
+        n = df.count()
+        nb = max(1, math.ceil(n / batch_size))
+        part = F.pmod(F.xxhash64(F.col(id_col)), F.lit(nb))
+        g = df.select((F.lit(step * 1_000_000) + part).cast("long").alias("batch_id"), id_col, "grad")
         policy_greats(g, gval, k, eta, id_col=id_col).write.mode("overwrite") \
             .parquet(f"{sink}/step={step}")
 
