@@ -23,7 +23,7 @@ from winnow.operators import reweight as rw
 from winnow.operators import vectors as vec
 from winnow.operators import sampling as smp
 from winnow.plans import selectors as selx
-from winnow.session import read_table, scratch_path
+from winnow.session import materialize, read_table, scratch_path
 from winnow.streaming import reweight_stream as rs
 from winnow.sources import io
 from winnow.sources import tables as tb
@@ -324,10 +324,11 @@ def _long(vecs, id_col="example_id"):
 
 
 def _emb_split(spark, sf):
-    """Embeddings with a hash-drawn validation split (C4, 5%)."""
+    """Embeddings with a hash-drawn validation split (C4, 5%), written once: the
+    train and validation branches of a query both read it."""
     v = tb.vectors(spark, sf)
     sp = smp.train_val_split(v.select("example_id"), 0.05, seed=42)
-    return v.join(sp, "example_id")
+    return materialize(v.join(sp, "example_id"))
 
 
 def _emb_train(spark, sf):
@@ -520,7 +521,7 @@ def _vy(df):
 
 
 def _md_ckpt(spark, sf):
-    return inf.mean_difference_checkpoint(_vy(_emb_train(spark, sf)))
+    return materialize(inf.mean_difference_checkpoint(_vy(_emb_train(spark, sf))))
 
 
 def _grads_long(g):
@@ -530,10 +531,11 @@ def _grads_long(g):
 
 
 def _md_grads(spark, sf):
-    ck = _md_ckpt(spark, sf)
-    tg = inf.example_gradients(_vy(_emb_train(spark, sf)), ck, "train")
-    vg = inf.example_gradients(_vy(_emb_val(spark, sf)), ck, "validation")
-    return ck, tg, vg
+    split = _emb_split(spark, sf)
+    train = _vy(split.filter(F.col("split") == "train").select("example_id", "vec", "label"))
+    val = _vy(split.filter(F.col("split") == "validation").select("example_id", "vec", "label"))
+    ck = materialize(inf.mean_difference_checkpoint(train))
+    return ck, inf.example_gradients(train, ck, "train"), inf.example_gradients(val, ck, "validation")
 
 
 def q_warmup_checkpoints(spark, sf):
