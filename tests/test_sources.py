@@ -111,3 +111,15 @@ def test_register_selector_and_scorer(spark):
 def test_adapt_requires_validation(spark):
     with pytest.raises(ValueError):
         selx.run_selection(spark.range(3).withColumnRenamed("id", "example_id"), None, "adapt")
+
+
+def test_compose_named_scorer_and_policies(spark):
+    from conftest import SF_SMALL
+    from winnow.sources import tables as tb
+    ex, val = tb.examples(spark, SF_SMALL), tb.target(spark, SF_SMALL)
+    hard = selx.compose(ex, val, "bm25", "hard", 0.05)
+    assert hard.filter(F.col("weight") == 1.0).count() == 10 and hard.count() == ex.count()
+    div = selx.compose(ex, val, "embedding", "diversity", 0.05)
+    assert div.count() == 10
+    with pytest.raises(ValueError):
+        selx.compose(ex, val, "nope", "hard")

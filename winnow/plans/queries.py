@@ -619,7 +619,8 @@ def q_policy_greats(spark, sf):
 
 
 def q_compose_scorer_policy(spark, sf):
-    return pol.compose_scorer_policy(_bm25_scores(spark, sf), "hard", 0.05)
+    return selx.compose(tb.examples(spark, sf), tb.target(spark, sf), scorer="bm25", policy="hard",
+                        budget=0.05)
 
 
 # --- K: UDF surface -------------------------------------------------------------

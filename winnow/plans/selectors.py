@@ -126,4 +126,33 @@ def score_with(name: str, ex: DataFrame) -> DataFrame:
     return ex.mapInPandas(run, schema)
 
 
-__all__ = ["run_selection", "register_selector", "register_scorer", "score_with", "SELECTORS"]
+def named_scores(ex: DataFrame, val: DataFrame | None, scorer: str, **opts):
+    """A scorer by name -> ``(scores, vecs or None)``; vecs when the scorer exposes features."""
+    from pyspark.sql import functions as F
+    if scorer == "bm25":
+        corpus = lex.tokenize_alnum(ex)
+        if val is None:
+            return lex.bm25_self(corpus, **opts), None
+        vid = val.columns[0]
+        queries = lex.tokenize_alnum(val, id_col=vid).withColumnRenamed(vid, lex.QID)
+        return lex.bm25_mean(corpus, queries, **opts), None
+    if scorer == "embedding":
+        vecs = _vecs(ex)
+        ref = _vecs(val, val.columns[0]).withColumnRenamed(val.columns[0], ID) if val is not None else None
+        return vec.cosine_to_centroid(vecs, ref), vecs
+    if scorer in SCORERS:
+        out = score_with(scorer, ex)
+        return out.select(ID, "score"), (out.select(ID, "vec") if "vec" in out.columns else None)
+    raise ValueError(f"Unknown scorer {scorer!r}; choices: bm25, embedding, {sorted(SCORERS)}")
+
+
+def compose(ex: DataFrame, val: DataFrame | None, scorer: str, policy: str, budget: float = 0.05,
+            **opts) -> DataFrame:
+    """Any scorer x any policy (topk | hard | reweight | diversity)."""
+    from winnow.operators.policies import compose_scorer_policy
+    scores, vecs = named_scores(ex, val, scorer)
+    return compose_scorer_policy(scores, policy, budget, vecs=vecs, **opts)
+
+
+__all__ = ["run_selection", "register_selector", "register_scorer", "score_with", "SELECTORS",
+           "named_scores", "compose"]
