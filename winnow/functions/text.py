@@ -57,19 +57,25 @@ def _spaces(c: Column) -> Column:
     return F.translate(c, others, " " * len(others))
 
 
+def _ws_split(c: Column) -> Column:
+    """Python ``str.split()``: other whitespace -> space, trim, split on runs of spaces.
+    A trimmed string has no empty pieces, except an empty string (-> no tokens)."""
+    s = F.trim(_spaces(F.coalesce(c, F.lit(""))))
+    return F.when(s == F.lit(""), F.array().cast("array<string>")).otherwise(F.split(s, " +"))
+
+
 def tokenize_whitespace(c) -> Column:
     """Lower-case, then Python ``str.split()`` (no empty tokens).
 
-    translate + split on spaces is the same split as one regex class of all
-    29 code points, and several times faster.
+    translate + trim + split on spaces is the same split as one regex class of
+    all 29 code points, several times faster, and needs no per-token lambda.
     """
-    parts = F.split(_spaces(F.lower(F.coalesce(as_col(c), F.lit("")))), " +")
-    return F.filter(parts, lambda x: x != F.lit(""))
+    return _ws_split(F.lower(as_col(c)))
 
 
 def whitespace_split(c) -> Column:
     """Python ``str.split()`` without lower-casing."""
-    return F.filter(F.split(_spaces(as_col(c)), " +"), lambda x: x != F.lit(""))
+    return _ws_split(as_col(c))
 
 
 def last_number(c) -> Column:
