@@ -207,3 +207,13 @@ def test_salted_join_path_matches_broadcast(spark, monkeypatch):
     assert a.keys() == b.keys() and pa.keys() == pb.keys()
     assert all(a[k] == pytest.approx(b[k], rel=1e-12, abs=1e-15) for k in a)
     assert all(pa[k] == pytest.approx(pb[k], rel=1e-12, abs=1e-15) for k in pa)
+
+
+def test_lsh_recall_and_coverage(spark):
+    df, x = _rand_vecs(spark, n=400, d=8, seed=9, dup=False)
+    exact = _nn_brute(x)
+    got = {r.example_id: r.nn_id for r in
+           vec.nearest_neighbor(df, "lsh", block=32, bucket_rows=50, tables=6).collect()}
+    assert set(got) == set(range(400))
+    recall = sum(got[i] == exact[i] for i in got) / 400
+    assert recall >= 0.5

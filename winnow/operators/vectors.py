@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions.vector import dot, l2_normalize as l2_expr, to_double
 from winnow.operators.budget import ID, score_direction, topk_by_score
+from winnow.session import materialize
 
 DIM = 64
 TOKVEC_SEED = 42
@@ -227,14 +228,60 @@ def _unit(vecs: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return vecs.select(F.col(id_col).alias("id"), l2_expr(to_double(vec_col), 1e-12, "clamp").alias("v"))
 
 
+def _tiled_grouped(rows: DataFrame, block: int) -> DataFrame:
+    """Best other row per row within each group ``g`` (rows ``(g, id, v)``), tiled.
+
+    Each group is cut into hash blocks of about ``block`` rows; every (row
+    block, column block) pair of a group is one cogroup task, so a large group
+    costs its quadratic work spread over many tasks and emits one best match
+    per row per tile -- never the pairs themselves.
+    """
+    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select("g", F.greatest(F.ceil(F.col("_n") / F.lit(float(block))), F.lit(1))
+                         .cast("long").alias("_nb"))
+    r = rows.join(sizes, "g")
+    lrep = r.select("g", "id", "v", F.pmod(F.xxhash64("id"), F.col("_nb")).alias("rb"),
+                    F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)).alias("cb"))
+    rrep = r.select(F.col("g").alias("rg"), F.col("id").alias("rid"), F.col("v").alias("rv"),
+                    F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)).alias("rb"),
+                    F.pmod(F.xxhash64("id"), F.col("_nb")).alias("cb"))
+
+    def tile(key, l_pdf, r_pdf):
+        return _tile_best(key, l_pdf, r_pdf, True)
+
+    per_tile = (lrep.groupBy("g", "rb", "cb").cogroup(rrep.groupBy("rg", "rb", "cb"))
+                    .applyInPandas(tile, "example_id long, nn_id long, sim double"))
+    best = per_tile.groupBy("example_id").agg(
+        F.max(F.struct(F.col("sim"), (-F.col("nn_id")).alias("neg_id"))).alias("_b"))
+    return best.select("example_id", (-F.col("_b.neg_id")).alias("nn_id"), F.col("_b.sim").alias("sim"))
+
+
+def _hyperplane_buckets(unit: DataFrame, dim: int, tables: int, bits: int, seed: int) -> DataFrame:
+    """``(g, id, v)``: one row per (row, hash table); g = table * 2^bits + sign pattern."""
+    rng = np.random.default_rng(seed)
+    planes = rng.standard_normal((tables * bits, dim)).tolist()
+    spark = unit.sparkSession
+    pl = spark.createDataFrame([(planes,)], "planes array<array<double>>")
+    withp = unit.crossJoin(F.broadcast(pl))
+    signs = F.transform("planes", lambda p: F.when(dot(F.col("v"), p) > 0, F.lit(1)).otherwise(F.lit(0)))
+    keys = F.array(*[
+        F.lit(t << bits) + F.aggregate(F.slice(signs, t * bits + 1, bits), F.lit(0),
+                                       lambda acc, b: acc * 2 + b)
+        for t in range(tables)]) if bits > 0 else F.array(*[F.lit(t) for t in range(tables)])
+    return withp.select(F.explode(keys.cast("array<long>")).alias("g"), "id", "v")
+
+
 def nearest_neighbor(vecs: DataFrame, mode: str = "exact", block: int = 512, id_col: str = ID,
-                     vec_col: str = "vec", bucket_length: float = 2.0, num_tables: int = 5,
-                     radius: float = 1.3) -> DataFrame:
+                     vec_col: str = "vec", tables: int = 4, bucket_rows: int = 2048,
+                     seed: int = 7) -> DataFrame:
     """F8: the most cosine-similar *other* row (ties to the lower id), ``(example_id, nn_id, sim)``.
 
     ``exact``: tiled search (work N^2 d / #cores, memory 2 * block * d per task).
-    ``lsh``: MLlib random-projection LSH candidates within ``radius``; rows with
-    no candidate are finished by the exact tiled search, so every row is answered.
+    ``lsh``: random-hyperplane LSH with ``tables`` hash tables and enough bits for
+    buckets of about ``bucket_rows``; each bucket is searched with the tiled
+    kernel; rows alone in all their buckets are finished by the exact tiled
+    search, so every row is answered.  (Approximate: a true neighbour sharing
+    no bucket is missed.)
     ``auto``: exact up to ``EXACT_NN_MAX`` rows, LSH beyond.
     """
     unit = _unit(vecs, id_col, vec_col)
@@ -245,22 +292,13 @@ def nearest_neighbor(vecs: DataFrame, mode: str = "exact", block: int = 512, id_
         return _tiled(unit, unit, n, n, block, True).withColumnRenamed("example_id", id_col)
     if mode != "lsh":
         raise ValueError("mode must be 'exact', 'lsh' or 'auto'")
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    feats = unit.select("id", "v", array_to_vector("v").alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes",
-                                        bucketLength=bucket_length, numHashTables=num_tables,
-                                        seed=7).fit(feats)
-    pairs = (model.approxSimilarityJoin(feats, feats, radius, distCol="dist")
-                  .select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"),
-                          F.col("datasetA.v").alias("va"), F.col("datasetB.v").alias("vb"))
-                  .filter(F.col("a") != F.col("b"))
-                  .select("a", "b", F.round(dot(F.col("va"), F.col("vb")), SIM_DIGITS).alias("sim")))
-    found = pairs.groupBy("a").agg(F.max(F.struct(F.col("sim"), (-F.col("b")).alias("nb"))).alias("_b")) \
-                 .select(F.col("a").alias(id_col), (-F.col("_b.nb")).alias("nn_id"),
-                         F.col("_b.sim").alias("sim"))
-    missing = unit.join(found.select(F.col(id_col).alias("id")), "id", "left_anti")
+    dim = len(unit.select("v").first()["v"])
+    bits = max(0, int(math.ceil(math.log2(max(n / float(bucket_rows), 1.0)))))
+    buckets = _hyperplane_buckets(unit, dim, tables, bits, seed)
+    found = materialize(_tiled_grouped(buckets, block))
+    missing = unit.join(found.select(F.col("example_id").alias("id")), "id", "left_anti")
     n_missing = missing.count()
+    found = found.withColumnRenamed("example_id", id_col)
     if n_missing == 0:
         return found
     rest = _tiled(missing, unit, n_missing, n, block, True).withColumnRenamed("example_id", id_col)
