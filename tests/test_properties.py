@@ -217,3 +217,14 @@ def test_lsh_recall_and_coverage(spark):
     assert set(got) == set(range(400))
     recall = sum(got[i] == exact[i] for i in got) / 400
     assert recall >= 0.5
+
+
+def test_bm25_pairs_matrix_equals_join(spark):
+    corpus = lex.tokenize_alnum(tb.examples(spark, SF_SMALL))
+    queries = tb.target(spark, SF_SMALL).select(F.col("item_id").alias("query_id"),
+                                                alnum("text").alias("tokens"))
+    m = {(r.query_id, r.example_id): r.score for r in lex.bm25_pairs(corpus, queries).collect()}
+    j = {(r.query_id, r.example_id): r.score
+         for r in lex._bm25_pairs_join(corpus, queries, 1.5, 0.75, "example_id", "query_id").collect()}
+    assert m.keys() == j.keys()
+    assert all(m[k] == pytest.approx(j[k], rel=1e-12) for k in m)

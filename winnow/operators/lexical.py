@@ -100,7 +100,22 @@ def _weighted_terms(dt: DataFrame, id_col: str = ID):
 
 def bm25_pairs(corpus_tok: DataFrame, query_tok: DataFrame, k1: float = 1.5, b: float = 0.75,
                id_col: str = ID, qid: str = QID) -> DataFrame:
-    """``(query_id, example_id, score)`` for every pair sharing a term."""
+    """``(query_id, example_id, score)`` for every pair sharing a term.
+
+    Within the query-matrix bound each Arrow chunk of documents computes
+    W @ M^T and emits its non-zero scores (no per-term pair rows are formed);
+    beyond it, the term join below.
+    """
+    inputs = _matrix_inputs(corpus_tok, query_tok, k1, b, id_col, qid)
+    if inputs is None:
+        return _bm25_pairs_join(corpus_tok, query_tok, k1, b, id_col, qid)
+    per_doc, qmat, qids = inputs
+    return _scores_over_queries(per_doc, qmat, qids, id_col, qid, "pairs")
+
+
+def _bm25_pairs_join(corpus_tok: DataFrame, query_tok: DataFrame, k1: float, b: float,
+                     id_col: str, qid: str) -> DataFrame:
+    """E6 as a term join (query postings salted or broadcast), then a sum per pair."""
     qt = _query_terms(query_tok, qid)
     vocab = qt.select("term").distinct()
     nv = vocab.count()
@@ -140,15 +155,21 @@ MAX_QUERY_ENTRIES = 2_000_000
 MAX_CHUNK_CELLS = 20_000_000
 
 
-def _max_over_queries(per_doc: DataFrame, qmat: np.ndarray, id_col: str) -> DataFrame:
-    """``(id, idx[], w[])`` rows -> ``(id, score)`` with score = max_q (W @ M^T)."""
+def _scores_over_queries(per_doc: DataFrame, qmat: np.ndarray, qids: list, id_col: str,
+                         qid: str, mode: str) -> DataFrame:
+    """``(id, idx[], w[])`` rows -> W @ M^T per Arrow chunk.
+
+    mode "max": ``(id, score)`` with the row max (floor 0); mode "pairs":
+    ``(query_id, id, score)`` for every non-zero score.
+    """
     spark = per_doc.sparkSession
     bm = spark.sparkContext.broadcast(qmat)
+    bq = spark.sparkContext.broadcast(np.asarray(qids, dtype=np.int64))
     n_terms = qmat.shape[1]
 
     def run(batches):
-        m = bm.value
-        chunk = max(1, MAX_CHUNK_CELLS // max(n_terms, 1))
+        m, q = bm.value, bq.value
+        chunk = max(1, MAX_CHUNK_CELLS // max(n_terms, max(len(q), 1)))
         for pdf in batches:
             for lo in range(0, len(pdf), chunk):
                 part = pdf.iloc[lo:lo + chunk]
@@ -158,21 +179,21 @@ def _max_over_queries(per_doc: DataFrame, qmat: np.ndarray, id_col: str) -> Data
                 w = np.zeros((len(part), n_terms))
                 if lens.sum() > 0:
                     w[np.repeat(np.arange(len(part)), lens), np.concatenate(idx)] = np.concatenate(wts)
-                best = (w @ m.T).max(axis=1) if m.shape[0] else np.zeros(len(part))
-                yield pd.DataFrame({id_col: part[id_col].to_numpy(),
-                                    "score": np.maximum(best, 0.0)})
-    return per_doc.mapInPandas(run, f"{id_col} long, score double")
-
-
-def bm25_max(corpus_tok: DataFrame, query_tok: DataFrame, k1: float = 1.5, b: float = 0.75,
-             id_col: str = ID, qid: str = QID) -> DataFrame:
-    """Max BM25 over the query set; 0.0 floor (scores are non-negative).
-
-    The query set becomes a 0/1 matrix M (queries x query terms, size checked,
-    broadcast); each corpus row's matched terms become a weight row of W, and
-    an Arrow chunk of rows computes W @ M^T and its row max -- no (query, doc)
-    pairs are shuffled.  Beyond the size bound, pairs are joined and reduced.
-    """
+                s = w @ m.T if m.shape[0] else np.zeros((len(part), 0))
+                ids = part[id_col].to_numpy()
+                if mode == "max":
+                    best = s.max(axis=1) if s.shape[1] else np.zeros(len(part))
+                    yield pd.DataFrame({id_col: ids, "score": np.maximum(best, 0.0)})
+                else:
+                    r, c = np.nonzero(s)
+                    yield pd.DataFrame({qid: q[c], id_col: ids[r], "score": s[r, c]})
+    schema = f"{id_col} long, score double" if mode == "max" else f"{qid} long, {id_col} long, score double"
+    return per_doc.mapInPandas(run, schema)
+
+
+def _matrix_inputs(corpus_tok: DataFrame, query_tok: DataFrame, k1: float, b: float,
+                   id_col: str, qid: str):
+    """Query matrix (size checked) and per-doc matched-term weights, or None beyond the bound."""
     spark = corpus_tok.sparkSession
     qt = _query_terms(query_tok, qid)
     vocab = qt.select("term").distinct()
@@ -180,10 +201,7 @@ def bm25_max(corpus_tok: DataFrame, query_tok: DataFrame, k1: float = 1.5, b: fl
     n_q = query_tok.count()
     n_entries = qt.count()
     if nv * n_q > MAX_QUERY_MATRIX or n_entries > MAX_QUERY_ENTRIES:
-        pairs = bm25_pairs(corpus_tok, query_tok, k1, b, id_col, qid)
-        best = pairs.groupBy(id_col).agg(F.max("score").alias("best"))
-        return (doc_lengths(corpus_tok, id_col).join(best, id_col, "left")
-                .select(id_col, F.coalesce(F.col("best"), F.lit(0.0)).alias("score")))
+        return None
     terms = [r["term"] for r in vocab.orderBy("term").collect()]
     pos = {t: i for i, t in enumerate(terms)}
     qids = [r[qid] for r in query_tok.select(qid).orderBy(qid).collect()]
@@ -201,7 +219,26 @@ def bm25_max(corpus_tok: DataFrame, query_tok: DataFrame, k1: float = 1.5, b: fl
     per_doc = hits.groupBy(id_col).agg(
         F.collect_list(F.col("idx")).alias("idx"),
         F.collect_list(F.when(F.col("idx").isNotNull(), F.col("idf") * _tfnorm(k1, b))).alias("w"))
-    return _max_over_queries(per_doc, qmat, id_col)
+    return per_doc, qmat, qids
+
+
+def bm25_max(corpus_tok: DataFrame, query_tok: DataFrame, k1: float = 1.5, b: float = 0.75,
+             id_col: str = ID, qid: str = QID) -> DataFrame:
+    """Max BM25 over the query set; 0.0 floor (scores are non-negative).
+
+    The query set becomes a 0/1 matrix M (queries x query terms, size checked,
+    broadcast); each corpus row's matched terms become a weight row of W, and
+    an Arrow chunk of rows computes W @ M^T and its row max -- no (query, doc)
+    pairs are shuffled.  Beyond the size bound, pairs are joined and reduced.
+    """
+    inputs = _matrix_inputs(corpus_tok, query_tok, k1, b, id_col, qid)
+    if inputs is None:
+        pairs = _bm25_pairs_join(corpus_tok, query_tok, k1, b, id_col, qid)
+        best = pairs.groupBy(id_col).agg(F.max("score").alias("best"))
+        return (doc_lengths(corpus_tok, id_col).join(best, id_col, "left")
+                .select(id_col, F.coalesce(F.col("best"), F.lit(0.0)).alias("score")))
+    per_doc, qmat, qids = inputs
+    return _scores_over_queries(per_doc, qmat, qids, id_col, qid, "max")
 
 
 def bm25_self(corpus_tok: DataFrame, max_queries: int = 256, seed: int = 42,
