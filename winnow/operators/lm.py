@@ -135,9 +135,10 @@ def _lookup(rows: DataFrame, table: DataFrame, on, size_bytes: int) -> DataFrame
     return rows.join(table.hint("merge"), on, "left")
 
 
-def token_nll(tok: DataFrame, lm: CountLM, variant: str = "cond", context: DataFrame | None = None,
-              id_col: str = ID) -> DataFrame:
-    """``(example_id, variant, pos, nll)`` for every scored response token."""
+def scored_rows(tok: DataFrame, lm: CountLM, variant: str = "cond", context: DataFrame | None = None,
+                id_col: str = ID) -> DataFrame:
+    """``(example_id, pos, start, p_bi, p_uni[, p_cache])`` for every scored position:
+    the count-model probabilities before mixing (``start`` = first scored index)."""
     sp = _scored_positions(tok, variant, context, id_col)
     # Only the scored slice is exploded (prompt and context tokens never become
     # rows); the previous token is read from the full sequence.
@@ -146,13 +147,15 @@ def token_nll(tok: DataFrame, lm: CountLM, variant: str = "cond", context: DataF
                       F.coalesce(F.size("cache"), F.lit(0)).cast("double").alias("clen"),
                       F.posexplode(scored).alias("j", "token"))
               .withColumn("i", F.col("j") + F.col("start"))
-              .select(id_col, "token", "clen", (F.col("i") + F.col("offset")).cast("long").alias("pos"),
+              .select(id_col, "token", "clen", "start",
+                      (F.col("i") + F.col("offset")).cast("long").alias("pos"),
                       F.when(F.col("i") > 0, F.element_at("seq", F.col("i"))).alias("prev")))
     has_cache = variant != "direct"
     if has_cache:
         ccount = (sp.select(id_col, F.explode("cache").alias("token"))
                     .groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("cc")))
         rows = rows.join(ccount, [id_col, "token"], "left")
+    # Count tables are broadcast when their measured size fits the budget.
     rows = _lookup(rows, lm.uni.withColumnRenamed("c", "c_w"), "token", lm.bytes_uni)
     rows = _lookup(rows, lm.bi.withColumnRenamed("c", "c_hw"), ["prev", "token"], lm.bytes_bi)
     rows = _lookup(rows, lm.pre, "prev", lm.bytes_pre).crossJoin(F.broadcast(lm.totals))
@@ -160,13 +163,29 @@ def token_nll(tok: DataFrame, lm: CountLM, variant: str = "cond", context: DataF
     p_bi = F.when(F.coalesce("c_pre", F.lit(0)) > 0,
                   F.coalesce("c_hw", F.lit(0)).cast("double") / F.col("c_pre").cast("double")) \
             .otherwise(p_uni)
+    cols = [id_col, "pos", "start", p_bi.alias("p_bi"), p_uni.alias("p_uni")]
     if has_cache:
-        p_cache = F.when(F.col("clen") > 0, F.coalesce("cc", F.lit(0)).cast("double") / F.col("clen")) \
-                   .otherwise(F.lit(0.0))
-        p = F.lit(W_BI_CTX) * p_bi + F.lit(W_UNI_CTX) * p_uni + F.lit(W_CACHE) * p_cache
-    else:
-        p = F.lit(W_BI) * p_bi + F.lit(W_UNI) * p_uni
-    return rows.select(id_col, F.lit(variant).alias("variant"), "pos", (-F.log(p)).alias("nll"))
+        cols.append(F.when(F.col("clen") > 0, F.coalesce("cc", F.lit(0)).cast("double") / F.col("clen"))
+                    .otherwise(F.lit(0.0)).alias("p_cache"))
+    return rows.select(*cols)
+
+
+def nll_with_context():
+    return -F.log(F.lit(W_BI_CTX) * F.col("p_bi") + F.lit(W_UNI_CTX) * F.col("p_uni")
+                  + F.lit(W_CACHE) * F.col("p_cache"))
+
+
+def nll_without_context():
+    return -F.log(F.lit(W_BI) * F.col("p_bi") + F.lit(W_UNI) * F.col("p_uni"))
+
+
+def token_nll(tok: DataFrame, lm: CountLM, variant: str = "cond", context: DataFrame | None = None,
+              id_col: str = ID) -> DataFrame:
+    """``(example_id, variant, pos, nll)`` for every scored response token."""
+    rows = scored_rows(tok, lm, variant, context, id_col)
+    nll = nll_without_context() if variant == "direct" else nll_with_context()
+    return rows.select(id_col, F.lit(variant).alias("variant"), "pos", nll.alias("nll"))
 
 
-__all__ = ["CountLM", "fit_lm_counts", "lm_brief_experience", "token_nll"]
+__all__ = ["CountLM", "fit_lm_counts", "lm_brief_experience", "token_nll", "scored_rows",
+           "nll_with_context", "nll_without_context"]

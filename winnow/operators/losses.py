@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.operators.budget import ID, invalid_sink, score_direction, topk_by_score
-from winnow.operators.lm import CountLM, token_nll
+from winnow.operators.lm import CountLM, nll_with_context, nll_without_context, scored_rows, token_nll
 from winnow.operators.records import MAX_LENGTH
 from winnow.operators.vectors import nearest_neighbor
 from winnow.session import materialize
@@ -67,11 +67,23 @@ def ifd_score(cond: DataFrame, direct: DataFrame, id_col: str = ID) -> DataFrame
 
 
 def ifd_scores(tok: DataFrame, lm: CountLM, id_col: str = ID) -> DataFrame:
-    """Both losses read one written copy of the tokenized records."""
+    """IFD from one pass of count lookups.
+
+    Every direct-loss position (response token j >= 1) is also a conditioned
+    position with the same previous token, so one set of looked-up
+    probabilities gives both losses: with the prompt cache for ``cond``,
+    without it (and without the first response token) for ``direct``.
+    """
     tok = materialize(tok)
-    cond = response_loss(token_nll(tok, lm, "cond"), tok, id_col)
-    direct = direct_loss(token_nll(tok, lm, "direct"), tok, id_col)
-    return ifd_score(cond, direct, id_col)
+    rows = scored_rows(tok, lm, "cond", id_col=id_col)
+    direct_pos = F.col("pos") > F.col("start")
+    agg = rows.groupBy(id_col).agg(
+        F.avg(nll_with_context()).alias("_c"),
+        F.avg(F.when(direct_pos, nll_without_context())).alias("_d"))
+    n_resp = F.size("tokens") - F.col("n_prompt")
+    j = tok.select(id_col, (n_resp >= 2).alias("_ok")).join(agg, id_col, "left")
+    d = F.when(F.col("_ok"), F.col("_d"))
+    return j.select(id_col, F.when(d > 0, F.col("_c") / d).alias("score"))
 
 
 def select_ifd(tok: DataFrame, lm: CountLM, budget: float = 0.05, ifd_max: float = 1.0,
