@@ -228,3 +228,28 @@ def test_bm25_pairs_matrix_equals_join(spark):
          for r in lex._bm25_pairs_join(corpus, queries, 1.5, 0.75, "example_id", "query_id").collect()}
     assert m.keys() == j.keys()
     assert all(m[k] == pytest.approx(j[k], rel=1e-12) for k in m)
+
+
+def test_miwv_one_pass_equals_two_passes(spark):
+    from winnow.operators import lm as lmod
+    from winnow.operators import losses as ls
+    rows = [(0, "p", ["a", "b", "c", "a"], 2), (1, "p", ["b", "c", "a", "d", "b"], 1),
+            (2, "p", ["c", "a"], 1), (3, "p", ["a", "x"], 2)]
+    tok = spark.createDataFrame(rows, "example_id long, text string, tokens array<string>, n_prompt long")
+    bg = spark.createDataFrame([(9, ["a", "b", "c", "a", "b", "d"]), (8, ["c", "a", "x"])],
+                               "example_id long, tokens array<string>")
+    lm = lmod.fit_lm_counts(bg)
+    vecs = spark.createDataFrame([(i, [float(i), 1.0, float(i % 2)]) for i in range(4)],
+                                 "example_id long, vec array<double>")
+    nn = vec.nearest_neighbor(vecs, "exact")
+    ctx = ls.one_shot_context(tok, nn, 6)
+    cond = ls.response_loss(lmod.token_nll(tok, lm, "cond"), tok)
+    shot = ls.response_loss(lmod.token_nll(tok, lm, "oneshot", ctx), tok)
+    two = {r.example_id: r.score for r in ls.miwv_score(cond, shot).collect()}
+    one = {r.example_id: r.score for r in ls.miwv_scores(tok, vecs, lm, max_length=6).collect()}
+    assert two.keys() == one.keys()
+    for k in two:
+        assert (two[k] is None and one[k] is None) or two[k] == pytest.approx(one[k], rel=1e-12, abs=1e-15)
+    # A record without a prompt takes the two-pass path and still answers.
+    tok0 = tok.withColumn("n_prompt", F.when(F.col("example_id") == 1, 0).otherwise(F.col("n_prompt")))
+    assert ls.miwv_scores(tok0, vecs, lm, max_length=6).count() == 4

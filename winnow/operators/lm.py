@@ -137,8 +137,9 @@ def _lookup(rows: DataFrame, table: DataFrame, on, size_bytes: int) -> DataFrame
 
 def scored_rows(tok: DataFrame, lm: CountLM, variant: str = "cond", context: DataFrame | None = None,
                 id_col: str = ID) -> DataFrame:
-    """``(example_id, pos, start, p_bi, p_uni[, p_cache])`` for every scored position:
-    the count-model probabilities before mixing (``start`` = first scored index)."""
+    """``(example_id, token, pos, start, p_bi, p_uni[, cc, clen, p_cache])`` for every scored
+    position: the count-model probabilities before mixing (``start`` = first scored index,
+    ``cc``/``clen`` = count of the token in the visible context and its length)."""
     sp = _scored_positions(tok, variant, context, id_col)
     # Only the scored slice is exploded (prompt and context tokens never become
     # rows); the previous token is read from the full sequence.
@@ -163,10 +164,11 @@ def scored_rows(tok: DataFrame, lm: CountLM, variant: str = "cond", context: Dat
     p_bi = F.when(F.coalesce("c_pre", F.lit(0)) > 0,
                   F.coalesce("c_hw", F.lit(0)).cast("double") / F.col("c_pre").cast("double")) \
             .otherwise(p_uni)
-    cols = [id_col, "pos", "start", p_bi.alias("p_bi"), p_uni.alias("p_uni")]
+    cols = [id_col, "token", "pos", "start", p_bi.alias("p_bi"), p_uni.alias("p_uni")]
     if has_cache:
-        cols.append(F.when(F.col("clen") > 0, F.coalesce("cc", F.lit(0)).cast("double") / F.col("clen"))
-                    .otherwise(F.lit(0.0)).alias("p_cache"))
+        cols += [F.coalesce("cc", F.lit(0)).cast("double").alias("cc"), "clen",
+                 F.when(F.col("clen") > 0, F.coalesce("cc", F.lit(0)).cast("double") / F.col("clen"))
+                 .otherwise(F.lit(0.0)).alias("p_cache")]
     return rows.select(*cols)
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.operators.budget import ID, invalid_sink, score_direction, topk_by_score
-from winnow.operators.lm import CountLM, nll_with_context, nll_without_context, scored_rows, token_nll
+from winnow.operators.lm import (W_BI_CTX, W_CACHE, W_UNI_CTX, CountLM, nll_with_context,
+                                 nll_without_context, scored_rows, token_nll)
 from winnow.operators.records import MAX_LENGTH
 from winnow.operators.vectors import nearest_neighbor
 from winnow.session import materialize
@@ -116,12 +117,35 @@ def miwv_score(cond: DataFrame, oneshot: DataFrame, id_col: str = ID) -> DataFra
 
 def miwv_scores(tok: DataFrame, vecs: DataFrame, lm: CountLM, max_length: int = MAX_LENGTH,
                 id_col: str = ID, nn_mode: str = "auto") -> DataFrame:
+    """MIWV = loss with the one-shot context - loss without it.
+
+    When every record has a prompt, the response tokens see the same previous
+    token with or without the context, so one pass of count lookups serves
+    both losses: the one-shot cache adds the context's token counts to the
+    prompt's.  (Records without a prompt would see the context's last token as
+    the first response token's history; then the two losses run separately.)
+    """
     tok = materialize(tok)
     nn = nearest_neighbor(vecs, mode=nn_mode, id_col=id_col)
-    ctx = one_shot_context(tok, nn, max_length, id_col)
-    cond = response_loss(token_nll(tok, lm, "cond"), tok, id_col)
-    shot = response_loss(token_nll(tok, lm, "oneshot", ctx), tok, id_col)
-    return miwv_score(cond, shot, id_col)
+    ctx = materialize(one_shot_context(tok, nn, max_length, id_col))
+    if (tok.agg(F.min("n_prompt")).first()[0] or 0) < 1:
+        cond = response_loss(token_nll(tok, lm, "cond"), tok, id_col)
+        shot = response_loss(token_nll(tok, lm, "oneshot", ctx), tok, id_col)
+        return miwv_score(cond, shot, id_col)
+    rows = scored_rows(tok, lm, "cond", id_col=id_col)
+    ctx_counts = (ctx.select(id_col, F.explode("context").alias("token"))
+                     .groupBy(id_col, "token").agg(F.count(F.lit(1)).cast("double").alias("cc_ctx")))
+    ctx_len = ctx.select(id_col, F.size("context").cast("double").alias("n_ctx"))
+    rows = rows.join(ctx_counts, [id_col, "token"], "left").join(ctx_len, id_col, "left")
+    n_ctx = F.coalesce(F.col("n_ctx"), F.lit(0.0))
+    denom = F.col("clen") + n_ctx
+    p_shot = F.when(denom > 0, (F.col("cc") + F.coalesce(F.col("cc_ctx"), F.lit(0.0))) / denom) \
+              .otherwise(F.lit(0.0))
+    shot_nll = -F.log(F.lit(W_BI_CTX) * F.col("p_bi") + F.lit(W_UNI_CTX) * F.col("p_uni")
+                      + F.lit(W_CACHE) * p_shot)
+    agg = rows.groupBy(id_col).agg(F.avg(nll_with_context()).alias("_c"), F.avg(shot_nll).alias("_o"))
+    return tok.select(id_col).join(agg, id_col, "left").select(
+        id_col, (F.col("_o") - F.col("_c")).alias("score"))
 
 
 def select_miwv(tok: DataFrame, vecs: DataFrame, lm: CountLM, budget: float = 0.05,
