@@ -44,8 +44,43 @@ def get_spark(master: str | None = None, app: str = "winnow",
     return spark
 
 
+_SHIPPED: set = set()
+_ZIP: list = []
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``winnow`` importable in the Python workers (``SparkContext.addPyFile``).
+
+    Functions run by ``mapInArrow`` / ``applyInPandas`` are pickled by reference
+    to this package, so every executor needs it; the driver zips the package
+    once per process and Spark distributes the zip.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    if not _ZIP:
+        import zipfile
+        pkg = os.path.dirname(os.path.abspath(__file__))
+        root = os.path.dirname(pkg)
+        path = os.path.join(tempfile.mkdtemp(prefix="winnow-pkg-"), "winnow.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for d, _, files in os.walk(pkg):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(d, f)
+                        z.write(full, os.path.relpath(full, root))
+        _ZIP.append(path)
+    sc.addPyFile(_ZIP[0])
+    _SHIPPED.add(key)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
+    """Return the shared checkpoint folder, setting a local one only if unset.
+
+    Also ships the package to the Python workers (once per application).
+    """
+    ship_package(spark)
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
