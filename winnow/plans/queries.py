@@ -331,6 +331,14 @@ def _emb_split(spark, sf):
     return materialize(v.join(sp, "example_id"))
 
 
+def _emb_parts(spark, sf):
+    """(train, validation) embeddings from one written split."""
+    split = _emb_split(spark, sf)
+    cols = ["example_id", "vec", "label"]
+    return (split.filter(F.col("split") == "train").select(*cols),
+            split.filter(F.col("split") == "validation").select(*cols))
+
+
 def _emb_train(spark, sf):
     return _emb_split(spark, sf).filter(F.col("split") == "train").select("example_id", "vec", "label")
 
@@ -358,16 +366,18 @@ def q_centroid(spark, sf):
 
 
 def q_cosine_to_centroid(spark, sf):
-    return vec.cosine_to_centroid(_emb_train(spark, sf), _emb_val(spark, sf)).select("example_id", r9("score"))
+    train, val = _emb_parts(spark, sf)
+    return vec.cosine_to_centroid(train, val).select("example_id", r9("score"))
 
 
 def q_select_embedding(spark, sf):
-    return vec.select_embedding(_emb_train(spark, sf), _emb_val(spark, sf), budget=0.05, keep="near")
+    train, val = _emb_parts(spark, sf)
+    return vec.select_embedding(train, val, budget=0.05, keep="near")
 
 
 def q_anchor_mean_cosine(spark, sf):
-    train = vec.l2_normalize(_emb_train(spark, sf), 1e-8)
-    anchors = vec.l2_normalize(_emb_val(spark, sf), 1e-8)
+    tr, va = _emb_parts(spark, sf)
+    train, anchors = vec.l2_normalize(tr, 1e-8), vec.l2_normalize(va, 1e-8)
     return vec.anchor_mean_cosine(train, anchors).select("example_id", r9("score"))
 
 
@@ -376,7 +386,7 @@ def q_nearest_neighbor(spark, sf):
 
 
 def q_pairwise_similarity_agg(spark, sf):
-    train, val = _emb_train(spark, sf), _emb_val(spark, sf)
+    train, val = _emb_parts(spark, sf)
     mean = vec.pairwise_similarity_agg(train, val, "mean").withColumnRenamed("score", "mean_sim")
     mx = vec.pairwise_similarity_agg(train, val, "max", block=128).withColumnRenamed("score", "max_sim")
     return mean.join(mx, "example_id").select("example_id", r9("mean_sim"), r9("max_sim"))
@@ -574,7 +584,8 @@ def q_influence_score(spark, sf):
 
 
 def q_select_less(spark, sf):
-    return inf.select_less(_vy(_emb_train(spark, sf)), _vy(_emb_val(spark, sf)), budget=0.05, steps=8,
+    train, val = _emb_parts(spark, sf)
+    return inf.select_less(_vy(train), _vy(val), budget=0.05, steps=8,
                            lr=0.05, proj_dim=32, num_checkpoints=4)
 
 
@@ -607,7 +618,7 @@ def _md_val_gradient(spark, sf):
 
 
 def q_policy_diversity(spark, sf):
-    train, val = _emb_train(spark, sf), _emb_val(spark, sf)
+    train, val = _emb_parts(spark, sf)
     scores = vec.cosine_to_centroid(train, val)
     return pol.policy_diversity(scores, train, budget=0.05, seed=42)
 
