@@ -123,3 +123,25 @@ def test_compose_named_scorer_and_policies(spark):
     assert div.count() == 10
     with pytest.raises(ValueError):
         selx.compose(ex, val, "nope", "hard")
+
+
+def test_run_selection_every_method(spark):
+    from conftest import SF_SMALL
+    from winnow.plans import queries as Q
+    from winnow.sources import tables as tb
+    docs, target = tb.examples(spark, SF_SMALL), tb.target(spark, SF_SMALL)
+    recs = Q.chat_records(spark, SF_SMALL)
+    train, val = Q._emb_parts(spark, SF_SMALL)
+    vy = lambda d: d.withColumn("y", (F.col("label") < 5).cast("double"))
+    cases = {
+        "random": (docs, None, {}, 10),
+        "bm25": (docs, target, {}, 10),
+        "embedding": (docs, target.withColumnRenamed("item_id", "example_id"), {}, 10),
+        "ppl": (recs, None, {"background": docs}, 1),
+        "ifd": (recs, None, {"background": docs}, 1),
+        "miwv": (recs, None, {"background": docs}, 1),
+        "less": (vy(train), vy(val), {"steps": 2, "proj_dim": 16, "num_checkpoints": 2}, 24),
+        "adapt": (docs, target, {}, 200),
+    }
+    for method, (ex, v, opts, n) in cases.items():
+        assert selx.run_selection(ex, v, method=method, budget=0.05, **opts).count() == n, method
