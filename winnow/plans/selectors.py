@@ -128,7 +128,6 @@ def score_with(name: str, ex: DataFrame) -> DataFrame:
 
 def named_scores(ex: DataFrame, val: DataFrame | None, scorer: str, **opts):
     """A scorer by name -> ``(scores, vecs or None)``; vecs when the scorer exposes features."""
-    from pyspark.sql import functions as F
     if scorer == "bm25":
         corpus = lex.tokenize_alnum(ex)
         if val is None:
