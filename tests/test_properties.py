@@ -253,3 +253,12 @@ def test_miwv_one_pass_equals_two_passes(spark):
     # A record without a prompt takes the two-pass path and still answers.
     tok0 = tok.withColumn("n_prompt", F.when(F.col("example_id") == 1, 0).otherwise(F.col("n_prompt")))
     assert ls.miwv_scores(tok0, vecs, lm, max_length=6).count() == 4
+
+
+def test_kmeans_labels_contract(spark):
+    df, _ = _rand_vecs(spark, n=80, d=4, seed=11, dup=False)
+    out = vec.kmeans_labels(df, k=5, seed=42)
+    rows = out.collect()
+    assert len(rows) == 80 and {r.example_id for r in rows} == set(range(80))
+    labels = {r.label for r in rows}
+    assert labels <= set(range(5)) and len(labels) == 5
