@@ -262,3 +262,21 @@ def test_kmeans_labels_contract(spark):
     assert len(rows) == 80 and {r.example_id for r in rows} == set(range(80))
     labels = {r.label for r in rows}
     assert labels <= set(range(5)) and len(labels) == 5
+
+
+def test_kmeans_matches_numpy_lloyd(spark):
+    df, x = _rand_vecs(spark, n=60, d=3, seed=12, dup=False)
+    got = {r.example_id: r.label for r in vec.kmeans_labels(df, k=4, seed=42).collect()}
+    order = sorted(range(60), key=lambda i: (hashlib.md5(f"42:kmeans-init:{i}".encode()).hexdigest(), i))
+    c = x[order[:4]].copy()
+    for _ in range(25):
+        lab = ((x[:, None, :] - c[None, :, :]) ** 2).sum(-1).argmin(1)
+        new = c.copy()
+        for j in range(4):
+            if (lab == j).any():
+                new[j] = x[lab == j].mean(0)
+        if np.allclose(new, c, rtol=0, atol=0):
+            break
+        c = new
+    lab = ((x[:, None, :] - c[None, :, :]) ** 2).sum(-1).argmin(1)
+    assert [got[i] for i in range(60)] == lab.tolist()

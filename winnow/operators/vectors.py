@@ -326,15 +326,53 @@ def pairwise_similarity_agg(vecs: DataFrame, val_vecs: DataFrame, agg: str = "me
     return best.select(F.col("example_id").alias(id_col), F.col("sim").alias("score"))
 
 
+def _nearest_center(v, centers) -> "Column":
+    """0-based index of the nearest centre (squared distance; ties to the lower index)."""
+    d = F.transform(centers, lambda c: F.aggregate(F.zip_with(v, c, lambda a, b: (a - b) * (a - b)),
+                                                   F.lit(0.0), lambda acc, x: acc + x))
+    return (F.array_position(d, F.array_min(d)) - 1).cast("long")
+
+
 def kmeans_labels(vecs: DataFrame, k: int, seed: int = 42, iters: int = 25, id_col: str = ID,
-                  vec_col: str = "vec") -> DataFrame:
-    """Lloyd's k-means (random-row init, early stop) -> ``(example_id, label)``."""
-    from pyspark.ml.clustering import KMeans
+                  vec_col: str = "vec", engine: str = "lloyd") -> DataFrame:
+    """Lloyd's k-means -> ``(example_id, label)``.
+
+    ``lloyd``: the k initial centres are the rows with the smallest
+    md5(seed:kmeans-init:id) draws (partition-independent); each iteration is
+    one job (assign to the nearest centre, then per-label ``Summarizer.mean``
+    with k x d numbers to the driver); an empty cluster keeps its centre; it
+    stops early when the centres no longer change.  ``mllib``: MLlib KMeans
+    with random init (its sample depends on the input partitioning).
+    """
     from pyspark.ml.functions import array_to_vector
-    feats = vecs.select(id_col, array_to_vector(to_double(vec_col)).alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=iters, initMode="random", tol=0.0,
-                   featuresCol="features", predictionCol="label").fit(feats)
-    return model.transform(feats).select(id_col, F.col("label").cast("long").alias("label"))
+    if engine == "mllib":
+        from pyspark.ml.clustering import KMeans
+        feats = vecs.select(id_col, array_to_vector(to_double(vec_col)).alias("features"))
+        model = KMeans(k=k, seed=seed, maxIter=iters, initMode="random", tol=0.0,
+                       featuresCol="features", predictionCol="label").fit(feats)
+        return model.transform(feats).select(id_col, F.col("label").cast("long").alias("label"))
+    from pyspark.ml.stat import Summarizer
+    from winnow.functions.hashing import draw_key
+    x = materialize(vecs.select(id_col, to_double(vec_col).alias("v")))
+    n = x.count()
+    k = max(1, min(k, n))
+    init = (x.withColumn("_d", draw_key(seed, "kmeans-init", id_col))
+             .orderBy("_d", id_col).limit(k).select("v").collect())
+    centers = np.array([r["v"] for r in init], dtype=np.float64)
+    spark = vecs.sparkSession
+    for _ in range(iters):
+        cdf = spark.createDataFrame([(centers.tolist(),)], "c array<array<double>>")
+        lab = x.crossJoin(F.broadcast(cdf)).select(_nearest_center(F.col("v"), F.col("c")).alias("label"),
+                                                  array_to_vector("v").alias("f"))
+        means = lab.groupBy("label").agg(Summarizer.mean(F.col("f")).alias("m")).collect()
+        new = centers.copy()
+        for r in means:
+            new[int(r["label"])] = r["m"].toArray()
+        if np.array_equal(new, centers):
+            break
+        centers = new
+    cdf = spark.createDataFrame([(centers.tolist(),)], "c array<array<double>>")
+    return x.crossJoin(F.broadcast(cdf)).select(id_col, _nearest_center(F.col("v"), F.col("c")).alias("label"))
 
 
 __all__ = ["encode_mean_pool", "encode_position_pool", "l2_normalize", "centroid",
