@@ -326,22 +326,16 @@ def pairwise_similarity_agg(vecs: DataFrame, val_vecs: DataFrame, agg: str = "me
     return best.select(F.col("example_id").alias(id_col), F.col("sim").alias("score"))
 
 
-def _nearest_center(v, centers) -> "Column":
-    """0-based index of the nearest centre (squared distance; ties to the lower index)."""
-    d = F.transform(centers, lambda c: F.aggregate(F.zip_with(v, c, lambda a, b: (a - b) * (a - b)),
-                                                   F.lit(0.0), lambda acc, x: acc + x))
-    return (F.array_position(d, F.array_min(d)) - 1).cast("long")
-
-
 def kmeans_labels(vecs: DataFrame, k: int, seed: int = 42, iters: int = 25, id_col: str = ID,
                   vec_col: str = "vec", engine: str = "lloyd") -> DataFrame:
     """Lloyd's k-means -> ``(example_id, label)``.
 
     ``lloyd``: the k initial centres are the rows with the smallest
     md5(seed:kmeans-init:id) draws (partition-independent); each iteration is
-    one job (assign to the nearest centre, then per-label ``Summarizer.mean``
-    with k x d numbers to the driver); an empty cluster keeps its centre; it
-    stops early when the centres no longer change.  ``mllib``: MLlib KMeans
+    one job (nearest centre in numpy chunks with the k x d centres broadcast,
+    then per-label ``Summarizer.mean`` with k x d numbers to the driver); an
+    empty cluster keeps its centre; it stops early when the centres no longer
+    change.  ``mllib``: MLlib KMeans
     with random init (its sample depends on the input partitioning).
     """
     from pyspark.ml.functions import array_to_vector
@@ -359,11 +353,8 @@ def kmeans_labels(vecs: DataFrame, k: int, seed: int = 42, iters: int = 25, id_c
     init = (x.withColumn("_d", draw_key(seed, "kmeans-init", id_col))
              .orderBy("_d", id_col).limit(k).select("v").collect())
     centers = np.array([r["v"] for r in init], dtype=np.float64)
-    spark = vecs.sparkSession
     for _ in range(iters):
-        cdf = spark.createDataFrame([(centers.tolist(),)], "c array<array<double>>")
-        lab = x.crossJoin(F.broadcast(cdf)).select(_nearest_center(F.col("v"), F.col("c")).alias("label"),
-                                                  array_to_vector("v").alias("f"))
+        lab = _assign(x, centers, id_col).select("label", array_to_vector("v").alias("f"))
         means = lab.groupBy("label").agg(Summarizer.mean(F.col("f")).alias("m")).collect()
         new = centers.copy()
         for r in means:
@@ -371,8 +362,26 @@ def kmeans_labels(vecs: DataFrame, k: int, seed: int = 42, iters: int = 25, id_c
         if np.array_equal(new, centers):
             break
         centers = new
-    cdf = spark.createDataFrame([(centers.tolist(),)], "c array<array<double>>")
-    return x.crossJoin(F.broadcast(cdf)).select(id_col, _nearest_center(F.col("v"), F.col("c")).alias("label"))
+    return _assign(x, centers, id_col).select(id_col, "label")
+
+
+def _assign(x: DataFrame, centers: np.ndarray, id_col: str) -> DataFrame:
+    """``(id, v, label)``: nearest centre per row in numpy chunks (centres broadcast;
+    squared distances, ties to the lower index)."""
+    bc = x.sparkSession.sparkContext.broadcast(centers)
+
+    def run(batches):
+        c = bc.value
+        chunk = max(1, 20_000_000 // max(c.size, 1))
+        for pdf in batches:
+            for lo in range(0, len(pdf), chunk):
+                part = pdf.iloc[lo:lo + chunk]
+                v = np.vstack(part["v"].to_numpy()) if len(part) else np.zeros((0, c.shape[1]))
+                label = ((v[:, None, :] - c[None, :, :]) ** 2).sum(-1).argmin(1).astype(np.int64)
+                out = part[[id_col, "v"]].copy()
+                out["label"] = label
+                yield out
+    return x.mapInPandas(run, f"{id_col} long, v array<double>, label long")
 
 
 __all__ = ["encode_mean_pool", "encode_position_pool", "l2_normalize", "centroid",
