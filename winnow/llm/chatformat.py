@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.session import ensure_checkpoint_dir
+from winnow.llm.common import ready, slices
 
 # ---------------------------------------------------------------- fingerprints
 
@@ -135,7 +135,7 @@ def canonical_turns(records: DataFrame, key_col: str, json_col: str, mappings=MA
     its JSON as text and the fingerprint as layout: add a mapping for it.
     """
     from pyspark.sql.pandas.types import to_arrow_type
-    ensure_checkpoint_dir(records.sparkSession)
+    ready(records.sparkSession)
     r = records.select(F.col(key_col).alias("k"), F.col(json_col).alias("j"))
     t = r.schema["k"].dataType
     return r.mapInArrow(_reader(mappings, ROLES if roles is None else roles, to_arrow_type(t)),
@@ -180,7 +180,7 @@ def parse_turn(formatted: str) -> tuple[str, str]:
 
 
 def _formatter(batches):
-    for b in batches:
+    for b in slices(batches):
         rows = [format_turn(r, t) for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
         yield pa.RecordBatch.from_arrays(
             [b.column(0), b.column(1), pa.array([x[0] for x in rows], pa.string()),
@@ -195,7 +195,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
     point range in it (empty for other roles than assistant).  Null texts and roles are
     empty; repeated turns are all formatted; an empty table gives an empty one.
     """
-    ensure_checkpoint_dir(turns.sparkSession)
+    ready(turns.sparkSession)
     t = turns.select("conv", "turn", "role", "text")
     return t.mapInArrow(_formatter, f"conv {t.schema['conv'].dataType.simpleString()}, turn long, "
                                     "formatted string, mask_start long, mask_end long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +15,28 @@ from winnow.session import ensure_checkpoint_dir, scratch_path
 # 64 bytes each in a hash relation); beyond it Spark shuffles.
 BROADCAST_ROWS = 400_000
 # Text handled by one numpy step (its temporaries are some 40 bytes per byte).
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 
 # Words split at these bytes: space, tab, newline, vertical tab, form feed, return.
 SPACES = [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]
 
 
+# Texts in one Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 8 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def ready(spark: SparkSession) -> None:
+    """Set up the checkpoint folder, and lower the session's Arrow batch limit to BATCH_BYTES.
+
+    Batches of long texts are limited by rows and 64 MB otherwise, several times per worker.
+    """
+    ensure_checkpoint_dir(spark)
+    held = re.match(r"-?\d+", spark.conf.get(_LIMIT) or "")
+    if not held or not 0 < int(held[0]) <= BATCH_BYTES:
+        spark.conf.set(_LIMIT, BATCH_BYTES)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
@@ -42,6 +60,24 @@ def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
     return F.broadcast(df) if rows <= limit else df
 
 
+def with_text(df: DataFrame, text_col: str) -> tuple[DataFrame, int, int]:
+    """``df`` with a string column at the returned position, and how many columns were added.
+
+    A column that is a string already is used as it is, so no text travels twice.
+    """
+    if df.schema[text_col].dataType.simpleString() == "string":
+        return df, df.columns.index(text_col), 0
+    name = fresh("text", df.columns)
+    return df.withColumn(name, df[text_col].cast("string")), len(df.columns), 1
+
+
+def slices(batches, rows: int = 1000):
+    """The batches in slices of at most ``rows`` rows, which bounds what Python holds as objects."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

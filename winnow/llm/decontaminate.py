@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import fresh
-from winnow.session import ensure_checkpoint_dir
+from winnow.llm.common import ready, slices, with_text
 
 # Item text in one automaton (about 400 bytes of memory per byte at the most).
 BLOCK_BYTES = 1 << 20
@@ -166,7 +165,7 @@ _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 def _scan(automaton, first: bool, text_at: int, names: list[str]):
     def run(batches):
         a = automaton.value
-        for b in batches:
+        for b in slices(batches):
             n_words, longest, items, spans = [], [], [], []
             old = [] if first else [b.column(b.num_columns - 4 + k).to_pylist() for k in range(4)]
             for r, text in enumerate(b.column(text_at).to_pylist()):
@@ -191,7 +190,7 @@ def _scan(automaton, first: bool, text_at: int, names: list[str]):
 
 def find_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id",
                item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES,
-               column: str = "found") -> DataFrame:
+               column: str = "found", finish=None) -> DataFrame:
     """``docs`` plus the struct ``column``: n_words, longest, items, spans.
 
     ``items`` are the ids (as strings, sorted) of items with an occurring window, ``spans``
@@ -199,25 +198,32 @@ def find_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
     match.  A null or empty text has no words; an item without words matches nothing; an
     item with a null id marks words but isn't listed; repeated items and documents each
     count for themselves.  An empty benchmark leaves all documents clean.
+
+    ``finish(text position, column names)`` may give a function over the batches of the
+    last pass that returns batches of the input's columns; these are the result then.
     """
     spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
+    ready(spark)
     it = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t"))
     size = it.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
     block = F.pmod(F.xxhash64("i", "t"), F.lit(blocks))
-    text = fresh("text", docs.columns)
-    df = docs.withColumn(text, F.col(text_col).cast("string"))
+    df, text_at, added = with_text(docs, text_col)
     keep = list(df.columns)
     safe = [f"c{k}" for k in range(len(keep))]
     df = df.toDF(*safe)
     schema = ", ".join([f"{n} {f.dataType.simpleString()}" for n, f in zip(safe, df.schema)]
                        + [f"{n} {t}" for n, t in _FOUND])
+    bare = schema.split(f", {_FOUND[0][0]} ")[0]
     for k in range(blocks):
         rows = [(r["i"], r["t"]) for r in it.where(block == k).collect()]   # at most about a block
         automaton = spark.sparkContext.broadcast(Automaton(rows, window))
-        df = df.mapInArrow(_scan(automaton, k == 0, len(safe) - 1, safe + [n for n, _ in _FOUND]), schema)
-    return df.select(*[F.col(s).alias(n) for s, n in list(zip(safe, keep))[:-1]],
+        step = _scan(automaton, k == 0, text_at, safe + [n for n, _ in _FOUND])
+        if finish is not None and k == blocks - 1:           # in the same worker
+            df = df.mapInArrow(_chained(step, finish(text_at, safe)), bare)
+            return df.select(*[F.col(s).alias(n) for s, n in list(zip(safe, keep))[:len(keep) - added]])
+        df = df.mapInArrow(step, schema)
+    return df.select(*[F.col(s).alias(n) for s, n in list(zip(safe, keep))[:len(keep) - added]],
                      F.struct(*[n for n, _ in _FOUND]).alias(column))
 
 
@@ -233,31 +239,38 @@ def cut_spans(text: str, spans) -> str:
     return b"".join(out).decode()
 
 
-def _remove(text_at: int, names: list[str], min_span: int, coverage: float):
+def _chained(first, second):
     def run(batches):
-        for b in batches:
-            found = b.column(b.num_columns - 1)
-            spans = found.field("spans").to_pylist()
-            n_words = found.field("n_words").to_pylist()
-            keep, texts = [], {}
-            for r, s in enumerate(spans):
-                cut = [(x["start"], x["end"]) for x in s if x["end"] - x["start"] >= min_span]
-                if cut and sum(y - x for x, y in cut) > coverage * n_words[r]:
-                    continue
-                if cut:
-                    texts[r] = cut_spans(b.column(text_at)[r].as_py(), cut)
-                keep.append(r)
-            cols = [b.column(k) for k in range(b.num_columns - 1)]
-            if texts:
-                column = cols[text_at].to_pylist()
-                for r, t in texts.items():
-                    column[r] = t
-                cols[text_at] = pa.array(column, cols[text_at].type)
-            out = pa.RecordBatch.from_arrays(cols, names=names)
-            yield out if len(keep) == b.num_rows else out.take(pa.array(keep, pa.int64()))
+        return second(first(batches))
     return run
 
 
+def _remove(min_span: int, coverage: float):
+    def finish(text_at: int, names: list[str]):
+        def run(batches):
+            for b in batches:
+                n_words = b.column(b.num_columns - 4).to_pylist()
+                spans = b.column(b.num_columns - 1).to_pylist()
+                keep, texts = [], {}
+                for r, s in enumerate(spans):
+                    cut = [(x["start"], x["end"]) for x in s if x["end"] - x["start"] >= min_span]
+                    if cut and sum(y - x for x, y in cut) > coverage * n_words[r]:
+                        continue
+                    if cut:
+                        texts[r] = cut_spans(b.column(text_at)[r].as_py(), cut)
+                    keep.append(r)
+                cols = b.columns[:len(names)]
+                if texts:
+                    column = cols[text_at].to_pylist()
+                    for r, t in texts.items():
+                        column[r] = t
+                    cols[text_at] = pa.array(column, cols[text_at].type)
+                out = pa.RecordBatch.from_arrays(cols, names=names)
+                yield out if len(keep) == b.num_rows else out.take(pa.array(keep, pa.int64()))
+        return run
+    return finish
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = 10,
                   min_span: int = 1, max_coverage: float = 0.5, **options) -> DataFrame:
     """``docs`` with benchmark passages removed; same columns.
@@ -266,14 +279,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", win
     cover more than ``max_coverage`` is dropped.  Clean documents are returned unchanged.
     Null and empty texts are clean.
     """
-    found = fresh("found", docs.columns)
-    df = find_items(docs, items, text_col, window=window, column=found, **options)
-    cols = docs.columns
-    safe = [f"c{k}" for k in range(len(cols))]
-    df = df.toDF(*safe, "found")
-    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(safe, docs.schema))
-    out = df.mapInArrow(_remove(cols.index(text_col), safe, min_span, max_coverage), schema)
-    return out.toDF(*cols)
+    if docs.schema[text_col].dataType.simpleString() != "string":
+        raise TypeError(f"{text_col} is no string column")
+    return find_items(docs, items, text_col, window=window, finish=_remove(min_span, max_coverage), **options)
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

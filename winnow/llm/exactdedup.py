@@ -17,8 +17,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm.common import cut, partitions
-from winnow.session import ensure_checkpoint_dir, scratch_path
+from winnow.llm.common import cut, partitions, ready
+from winnow.session import scratch_path
 
 # Digests with at least 1/HOT_SHARE of all rows: fewer than HOT_SHARE + 1, so always broadcastable.
 HOT_SHARE = 500
@@ -104,6 +104,6 @@ def dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col:
 def dedup_once(docs: DataFrame, **columns) -> DataFrame:
     """``dedup`` into a fresh index under the shared checkpoint folder."""
     spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
+    ready(spark)
     id_type = docs.schema[columns.get("id_col", "doc_id")].dataType.simpleString()
     return dedup(docs, DigestIndex(spark, scratch_path(spark, "digest-index"), id_type=id_type), **columns)

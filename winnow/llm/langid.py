@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import cut, text_pieces
-from winnow.session import ensure_checkpoint_dir
+from winnow.llm.common import cut, ready, slices, text_pieces
 
 BITS = 16
 # Trigrams of a text overlap, so their log-likelihoods count as those of this many at most.
@@ -97,7 +96,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Te
     The number of language labels must be small (a code list): the model has 2**BITS
     cells per label.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
+    ready(docs.sparkSession)
     d = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     c = (d.where("lang is not null and text is not null").mapInArrow(_count, "lang string, bucket long, n long")
          .groupBy("lang", "bucket").agg(F.sum("n").alias("n"))).toPandas()
@@ -112,7 +111,7 @@ def _evidence(model, id_type):
 
     def run(batches):
         m = model.value
-        for b in batches:
+        for b in slices(batches):
             source = b.column(2).to_pylist()
             logs = m.logs(pa.array([page_text(s) for s in source], pa.string()))
             q = np.exp(logs - logs.max(axis=1, keepdims=True)) if len(logs) else logs
@@ -139,7 +138,7 @@ def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_co
     """
     from pyspark.sql.pandas.types import to_arrow_type
     spark = pages.sparkSession
-    ensure_checkpoint_dir(spark)
+    ready(spark)
     langs = model.langs
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"),
                      F.col(html_col).cast("string").alias("html"))

@@ -21,8 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from winnow.llm.common import cut, fresh, small
-from winnow.session import ensure_checkpoint_dir
+from winnow.llm.common import cut, fresh, ready, small
 
 NEWTON_STEPS = 16
 # Bins per level, and levels, of the search for the cut.
@@ -122,7 +121,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     """
     if cap != 2.0:
         raise ValueError("rates lie in [0, 2]")
-    ensure_checkpoint_dir(docs.sparkSession)
+    ready(docs.sparkSession)
     rows, goal, dual = rates(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
                                          F.col(text_col).alias("text")),
                              "source", "text", ["id"], share=share, weights=weights, cap=cap)

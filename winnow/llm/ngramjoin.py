@@ -29,14 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import (SPACES, WordHasher, cut, mix64, partitions, small, text_pieces,
+from winnow.llm.common import (ready, SPACES, WordHasher, cut, mix64, partitions, small, text_pieces,
                                word_spans)
 from winnow.llm.components import components
-from winnow.session import ensure_checkpoint_dir
 
 # Fragments of the order in which the overlaps of candidate pairs are counted.
 PAIR_FRAGMENTS = 8
 
+# N-grams of the documents packed together (8 bytes each).
+PACK_GRAMS = 1 << 20
+
 _PACKED = "frag int, keys binary, counts binary, grams binary, keys2 binary, ids array<{id}>"
 
 
@@ -102,51 +104,57 @@ def _prefix(n: int, pct: int) -> tuple[int, int]:
 
 
 def _segments(ngram: int, pct: int, frags: int, schema_ids: pa.DataType):
-    """mapInArrow: documents -> packed segments per fragment, and packed document keys."""
+    """mapInArrow: documents -> packed segments per fragment, and packed document keys.
+
+    Copies within a pack go once.
+    """
+    names = pa.schema([("frag", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary()),
+                       ("keys2", pa.binary()), ("ids", pa.list_(schema_ids))])
+
+    def pack(ids, sets):
+        rows = {n: [] for n in names.names}
+        digests = [_digest(x) for x in sets]
+        # the documents themselves stay spread: one row per pack
+        rows["frag"].append(-1 - (int.from_bytes(digests[0][:4], "little") % frags))
+        rows["keys"].append(b"".join(d[:8] for d in digests))
+        rows["counts"].append(np.array([len(x) for x in sets], np.int64).tobytes())
+        rows["grams"].append(b"")
+        rows["keys2"].append(b"".join(d[8:] for d in digests))
+        rows["ids"].append(ids)
+        once = {d: k for k, (d, x) in enumerate(zip(digests, sets)) if len(x)}     # copies go once
+        if once:
+            owners = np.array(list(once.values()))
+            parts = [sets[k][:_prefix(len(sets[k]), pct)[0]] for k in owners]
+            keys = np.frombuffer(rows["keys"][0], np.uint64)
+            grams = np.concatenate(parts)
+            own = np.repeat(owners, [len(p) for p in parts])
+            frag = (((grams >> np.uint64(32)) * np.uint64(frags)) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(frag, kind="stable")
+            grams, own, frag = grams[order], own[order], frag[order]
+            bounds = np.flatnonzero(np.diff(frag, prepend=-1, append=frags + 1))
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                o = own[a:b]
+                at = np.flatnonzero(np.diff(o, prepend=-1, append=-2))
+                rows["frag"].append(int(frag[a]))
+                rows["keys"].append(keys[o[at[:-1]]].tobytes())
+                rows["counts"].append(np.diff(at).astype(np.int32).tobytes())
+                rows["grams"].append(grams[a:b].tobytes())
+                rows["keys2"].append(None)
+                rows["ids"].append(None)
+        return pa.RecordBatch.from_pydict(rows, names)
+
     def run(batches):
         sh = Shingler(ngram)
         for batch in batches:
-            sizes, keys, keys2, parts, owners, seen = [], [], [], [], [], set()
-            for _, sets in sh.sets(batch.column(1)):
-                for x in sets:
-                    d = _digest(x)
-                    sizes.append(len(x))
-                    keys.append(d[:8])
-                    keys2.append(d[8:])
-                    if len(x) and d not in seen:          # copies within a batch go once
-                        seen.add(d)
-                        parts.append(x[:_prefix(len(x), pct)[0]])
-                        owners.append(len(keys) - 1)
-            rows = {"frag": [], "keys": [], "counts": [], "grams": [], "keys2": [], "ids": []}
-            if keys:
-                # the documents themselves stay spread: one row per batch
-                rows["frag"].append(-1 - (int.from_bytes(keys[0], "little") % frags))
-                rows["keys"].append(b"".join(keys))
-                rows["counts"].append(np.array(sizes, np.int64).tobytes())
-                rows["grams"].append(b"")
-                rows["keys2"].append(b"".join(keys2))
-                rows["ids"].append(batch.column(0).to_pylist())
-            if parts:
-                all_keys = np.frombuffer(b"".join(keys), np.uint64)
-                grams = np.concatenate(parts)
-                own = np.repeat(np.array(owners), [len(p) for p in parts])
-                frag = (((grams >> np.uint64(32)) * np.uint64(frags)) >> np.uint64(32)).astype(np.int32)
-                order = np.argsort(frag, kind="stable")
-                grams, own, frag = grams[order], own[order], frag[order]
-                bounds = np.flatnonzero(np.diff(frag, prepend=-1, append=frags + 1))
-                for a, b in zip(bounds[:-1], bounds[1:]):
-                    o = own[a:b]
-                    at = np.flatnonzero(np.diff(o, prepend=-1, append=-2))
-                    rows["frag"].append(int(frag[a]))
-                    rows["keys"].append(all_keys[o[at[:-1]]].tobytes())
-                    rows["counts"].append(np.diff(at).astype(np.int32).tobytes())
-                    rows["grams"].append(grams[a:b].tobytes())
-                    rows["keys2"].append(None)
-                    rows["ids"].append(None)
-            yield pa.RecordBatch.from_pydict(
-                rows, pa.schema([("frag", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()),
-                                 ("grams", pa.binary()), ("keys2", pa.binary()),
-                                 ("ids", pa.list_(schema_ids))]))
+            first, sets, held = 0, [], 0
+            for _, more in sh.sets(batch.column(1)):
+                sets += more
+                held += sum(map(len, more))
+                if held >= PACK_GRAMS:
+                    yield pack(batch.column(0).slice(first, len(sets)).to_pylist(), sets)
+                    first, sets, held = first + len(sets), [], 0
+            if sets:
+                yield pack(batch.column(0).slice(first, len(sets)).to_pylist(), sets)
     return run
 
 
@@ -275,7 +283,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not 50 <= pct <= 100:
         raise ValueError("pct must be in 50..100")
     spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
+    ready(spark)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = d.schema["id"].dataType
     frags = 2 * partitions(spark)

@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import text_pieces
-from winnow.session import ensure_checkpoint_dir
+from winnow.llm.common import ready, text_pieces
 
 # Alternatives kept while joining exact strings, and characters of a class spelled out.
 MAX_STRINGS, MAX_CLASS = 64, 10
@@ -229,7 +228,7 @@ def scan(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "
     empty texts have none; repeated rows are returned as often as they come, null ids too;
     an empty table gives an empty result.  Other columns are ignored.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
+    ready(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {d.schema['id'].dataType.simpleString()}, found array<struct<kind:string,start:long,end:long>>"
     return d.mapInArrow(_scanner(tuple(rules)), schema).withColumnRenamed("id", id_col)

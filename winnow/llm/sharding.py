@@ -16,8 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from winnow.llm.common import cut, fresh, partitions
-from winnow.session import ensure_checkpoint_dir
+from winnow.llm.common import cut, fresh, partitions, ready
 
 # Bits per dimension of the curve.
 BITS = 10
@@ -103,7 +102,7 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     crc32 and id (nulls first), so equal texts of one cell are neighbours; rows equal in
     all of these are interchangeable.  An empty table gives an empty result.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
+    ready(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     if dims is None:
         dims = {c: category(F.col(c)) for c in ("source", "lang") if c in docs.columns}

@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import cut, small, text_pieces
-from winnow.session import ensure_checkpoint_dir
+from winnow.llm.common import cut, fresh, ready, small, text_pieces, with_text
 
 BITS = 20
 LENGTHS = (3, 4, 5)
@@ -90,15 +89,19 @@ def _present(chosen):
     return run
 
 
-def fit_logistic(row, col, val, n_rows: int, n_cols: int, y, penalty: float = 1.0, steps: int = 25):
-    """Newton steps with conjugate gradients; the intercept isn't penalized."""
+def fit_logistic(row, col, scale, n_rows: int, y, penalty: float = 1.0, steps: int = 25):
+    """Logistic regression on features ``scale[col]`` at ``(row, col)``.
+
+    Newton steps with conjugate gradients; the intercept isn't penalized.
+    """
+    n_cols = len(scale)
     w, bias = np.zeros(n_cols), np.log((y.sum() + 0.5) / (n_rows - y.sum() + 0.5))
 
     def dot(v):
-        return np.bincount(row, val * v[col], n_rows)
+        return np.bincount(row, (scale * v)[col], n_rows)
 
     def back(v):
-        return np.bincount(col, val * v[row], n_cols)
+        return scale * np.bincount(col, v[row], n_cols)
 
     def loss(w, bias):
         z = dot(w) + bias
@@ -156,7 +159,7 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, features: int = FEATURE
     Without rows the score is 0.5; with one class only it is that class's smoothed share.
     """
     spark = labelled.sparkSession
-    ensure_checkpoint_dir(spark)
+    ready(spark)
     lab = labelled.select("text", F.col("toxic").cast("int").alias("toxic"), "id")
     c = (lab.select("text", "toxic").mapInArrow(_count, "bucket long, clean long, toxic long").groupBy("bucket")
          .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
@@ -183,19 +186,25 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, features: int = FEATURE
            .toArrow())                                       # about fit_rows lists of at most `features`
     y = got.column("toxic").to_numpy().astype(float)
     lists = got.column("buckets").combine_chunks()
-    row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()) if len(y) else [])
-    col = at[lists.values.to_numpy()] if len(y) else np.zeros(0, np.int64)
-    # a fixed row order makes the sums independent of the partitioning
-    key = np.bincount(row, (col + 1.0) * 0.618, len(y)) if len(y) else np.zeros(0)
-    order = np.lexsort((key, y))
-    rank = np.empty(len(y), np.int64)
-    rank[order] = np.arange(len(y))
-    row, y = rank[row], y[order]
-    by = np.lexsort((col, row))
-    row, col = row[by], col[by]
+    k = len(buckets)
+    cells = np.zeros(0, np.int64)
+    if len(y):
+        off = lists.offsets.to_numpy()
+        col = at[lists.values.to_numpy()]
+        # a fixed row order makes the sums independent of the partitioning
+        sums = np.add.reduceat(np.append(col + 1.0, 0.0) ** 1.5, off[:-1]) * (np.diff(off) > 0)
+        rank = np.empty(len(y), np.int64)
+        order = np.lexsort((sums, y))
+        rank[order] = np.arange(len(y))
+        cells = np.repeat(rank, np.diff(off)) * k + col
+        y = y[order]
+        del got, lists, col
+        cells.sort()
     if not len(y) or y.min() == y.max():
         return Model(weight, float(np.log((n1 + 1) / (n0 + 1))))
-    w, bias = fit_logistic(row, col, ratio[col], len(y), len(buckets), y)
+    row, col = np.divmod(cells, k)
+    del cells
+    w, bias = fit_logistic(row, col, ratio, len(y), y)
     weight[buckets] = w * ratio
     return Model(weight, float(bias))
 
@@ -221,7 +230,7 @@ def _scorer(model, text_at: int, names):
         m = model.value
         for b in batches:
             score = m.scores(b.column(text_at))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score, pa.float64())], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(names) - 1], pa.array(score, pa.float64())], names=names)
     return run
 
 
@@ -231,19 +240,19 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", column: str = "
     Null and empty texts get the intercept's score.  Repeated rows score alike.
     """
     spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
+    ready(spark)
     cols, safe = docs.columns, [f"c{k}" for k in range(len(docs.columns))]
-    d = docs.withColumn("_text", docs[text_col].cast("string")).toDF(*safe, "t")
+    d, text_at, added = with_text(docs, text_col)
+    d = d.toDF(*safe, *["t"] * added)
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(safe, docs.schema)) + ", score double"
     held = spark.sparkContext.broadcast(model)
-    out = d.mapInArrow(_scorer(held, len(safe), [*safe, "score"]), schema)
+    out = d.mapInArrow(_scorer(held, text_at, [*safe, "score"]), schema)
     return out.toDF(*cols, column)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
                   threshold: float = THRESHOLD, **options) -> DataFrame:
     """``docs`` scored below ``threshold`` by a model learnt from ``labels``; same columns."""
-    from winnow.llm.common import fresh
     model = train(training_rows(docs, labels, id_col, text_col), **options)
     s = fresh("score", docs.columns)
     return score(docs, model, text_col, s).where(F.col(s) < threshold).drop(s)
