@@ -266,10 +266,14 @@ def test_kmeans_labels_contract(spark):
 
 def test_kmeans_matches_numpy_lloyd(spark):
     df, x = _rand_vecs(spark, n=60, d=3, seed=12, dup=False)
-    got = {r.example_id: r.label for r in vec.kmeans_labels(df, k=4, seed=42).collect()}
     order = sorted(range(60), key=lambda i: (hashlib.md5(f"42:kmeans-init:{i}".encode()).hexdigest(), i))
-    c = x[order[:4]].copy()
-    for _ in range(25):
+    for iters in (1, 25):
+        got = {r.example_id: r.label for r in vec.kmeans_labels(df, k=4, seed=42, iters=iters).collect()}
+        assert [got[i] for i in range(60)] == _lloyd(x, x[order[:4]].copy(), iters)
+
+
+def _lloyd(x, c, iters):
+    for _ in range(iters):
         lab = ((x[:, None, :] - c[None, :, :]) ** 2).sum(-1).argmin(1)
         new = c.copy()
         for j in range(4):
@@ -278,5 +282,11 @@ def test_kmeans_matches_numpy_lloyd(spark):
         if np.allclose(new, c, rtol=0, atol=0):
             break
         c = new
-    lab = ((x[:, None, :] - c[None, :, :]) ** 2).sum(-1).argmin(1)
-    assert [got[i] for i in range(60)] == lab.tolist()
+    return lab.tolist()
+
+
+def test_topk_sinks_scores_that_are_not_finite(spark):
+    from winnow.operators.budget import topk_by_score
+    rows = [(0, float("nan")), (1, float("inf")), (2, 5.0), (3, float("-inf")), (4, 1.0), (5, None)]
+    top = topk_by_score(spark.createDataFrame(rows, "example_id long, score double"), 2)
+    assert sorted(r["example_id"] for r in top.collect()) == [2, 4]

@@ -26,11 +26,20 @@ def scale(v, s) -> Column:
     return F.transform(as_col(v), lambda x: x * s)
 
 
+def with_scalar(value, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    A column used inside a ``transform`` lambda is evaluated for every element; as the
+    variable of an outer lambda over one element it is not.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def l2_normalize(v, eps: float = 1e-12, mode: str = "clamp") -> Column:
     """x / max(||x||, eps) ("clamp") or x / (||x|| + eps) ("add")."""
     n = norm(v)
     denom = F.greatest(n, F.lit(eps)) if mode == "clamp" else n + F.lit(eps)
-    return F.transform(as_col(v), lambda x: x / denom)
+    return with_scalar(denom, lambda d: F.transform(as_col(v), lambda x: x / d))
 
 
 def cosine(a, b) -> Column:

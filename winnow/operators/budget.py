@@ -50,6 +50,10 @@ def topk_by_score(scores: DataFrame, budget: float, n: int | None = None,
     Ranking always uses 9 digits; ``out_digits`` only rounds the output (large
     scores such as perplexities carry fewer stable digits).
     """
+    # NaN and infinite scores rank with the missing ones.
+    value = F.col(score_col).cast("double")
+    finite = ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
+    scores = scores.withColumn(score_col, F.when(finite, value))
     if n is None:
         # Count and rank read one written score table instead of running the
         # scoring plan twice.

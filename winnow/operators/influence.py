@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from winnow.functions.hashing import draw_key, sign_bit
-from winnow.functions.vector import dot, l2_normalize as l2_expr, to_double
+from winnow.functions.vector import dot, l2_normalize as l2_expr, to_double, with_scalar
 from winnow.operators.budget import ID, topk_by_score
 from winnow.operators.ranking import rank_rows
 from winnow.operators.sampling import warmup_subset
@@ -44,7 +44,7 @@ def features(vecs_y: DataFrame, id_col: str = ID, vec_col: str = "vec",
 
 def _grad(x, y, w):
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-dot(x, w)))
-    return F.transform(x, lambda xi: (p - y) * xi)
+    return with_scalar(p - y, lambda r: F.transform(x, lambda xi: r * xi))
 
 
 def lr_factor(step: int, total: int, warmup: int) -> float:

@@ -353,7 +353,9 @@ def kmeans_labels(vecs: DataFrame, k: int, seed: int = 42, iters: int = 25, id_c
     init = (x.withColumn("_d", draw_key(seed, "kmeans-init", id_col))
              .orderBy("_d", id_col).limit(k).select("v").collect())
     centers = np.array([r["v"] for r in init], dtype=np.float64)
+    used = centers
     for _ in range(iters):
+        used = centers
         lab = _assign(x, centers, id_col).select("label", array_to_vector("v").alias("f"))
         means = lab.groupBy("label").agg(Summarizer.mean(F.col("f")).alias("m")).collect()
         new = centers.copy()
@@ -362,7 +364,7 @@ def kmeans_labels(vecs: DataFrame, k: int, seed: int = 42, iters: int = 25, id_c
         if np.array_equal(new, centers):
             break
         centers = new
-    return _assign(x, centers, id_col).select(id_col, "label")
+    return _assign(x, used, id_col).select(id_col, "label")          # the labels of the last pass
 
 
 def _assign(x: DataFrame, centers: np.ndarray, id_col: str) -> DataFrame:

@@ -598,7 +598,7 @@ FROM documents""",
         / greatest(count(*), 1), 9) AS accuracy FROM labels""",
     "benchmark_examples": """SELECT item_id, 'Question: ' || text || chr(10) || 'Answer:' AS prompt,
   rtrim(replace(regexp_extract_all(coalesce(text, ''), '-?\\d[\\d,]*\\.?\\d*')[-1], ',', ''), '.') AS gold
-FROM benchmark ORDER BY item_id LIMIT 100""",
+FROM benchmark ORDER BY item_id""",
 })
 
 ORACLE.update({

@@ -604,7 +604,7 @@ def q_exact_match_accuracy(spark, sf):
 
 def q_benchmark_examples(spark, sf):
     b = tb.target(spark, sf).select("item_id", F.col("text").alias("question"), F.col("text").alias("answer"))
-    return ev.benchmark_examples(b, limit=100)
+    return ev.benchmark_examples(b, limit=None)
 
 
 # --- D8-D10: policies ------------------------------------------------------------

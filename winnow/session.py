@@ -88,7 +88,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or \
         sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # Unset: a local session (tests, bench).  A cluster names a shared one.
+        # Unset: a local session (tests, bench).  A cluster must name a shared one.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="winnow-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
