@@ -22,8 +22,8 @@ def ids(df, col="example_id"):
 @pytest.mark.parametrize("n,budget,k", [(50, 0.05, 2), (5, 0.5, 2), (7, 0.5, 4), (10, 1, 10),
                                         (10, 2.9, 2), (10, 99, 10), (10, 0, 1)])
 def test_budget_to_k(spark, n, budget, k):
-    assert bud.resolve_k(n, budget) == k
     df = spark.range(n).withColumnRenamed("id", "example_id")
+    assert bud.chosen_k(df, budget) == bud.chosen_k(df, budget, n) == k
     assert bud.budget_to_k(df, budget).first()["k"] == k
 
 
@@ -47,6 +47,7 @@ def test_topk_large_k_path_matches_limit(spark, monkeypatch):
     import winnow.operators.ranking as rk
     s = spark.range(3000).select(F.col("id").alias("example_id"),
                                  (F.col("id") % 17).cast("double").alias("score"))
+    monkeypatch.setattr(rk, "LIMIT_K", 5000)
     small = ids(bud.topk_by_score(s, 1500))
     monkeypatch.setattr(rk, "LIMIT_K", 10)
     big = ids(bud.topk_by_score(s, 1500))

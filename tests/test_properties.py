@@ -131,6 +131,17 @@ def test_diversity_within_twice_optimum(spark):
     assert _radius(x, got) <= 2 * opt + 1e-12
 
 
+def test_diversity_shares_k_over_bounded_blocks(spark):
+    df, x = _rand_vecs(spark, n=101, d=3, seed=6, dup=False)
+    scores = df.select("example_id", F.lit(1.0).alias("score"))
+    for block_rows, k in [(7, 20), (7, 101), (40, 3), (101, 20)]:
+        got = [r.example_id for r in pol.policy_diversity(scores, df, budget=k / 101, block_rows=block_rows).collect()]
+        assert len(got) == len(set(got)) == k
+    one = {r.example_id for r in pol.policy_diversity(scores, df, budget=20 / 101).collect()}
+    assert one == set(pol.greedy_k_center(np.arange(101), x, np.ones(101), 20))
+    assert pol.policy_diversity(scores.limit(0), df, budget=0.1).count() == 0
+
+
 def test_greats_matches_numpy(spark):
     rng = np.random.default_rng(2)
     g = rng.normal(size=(6, 3))
@@ -274,7 +285,7 @@ def test_kmeans_matches_numpy_lloyd(spark):
 
 def _lloyd(x, c, iters):
     for _ in range(iters):
-        lab = ((x[:, None, :] - c[None, :, :]) ** 2).sum(-1).argmin(1)
+        lab = np.array([min(range(len(c)), key=lambda j: math.dist(row, c[j])) for row in x])
         new = c.copy()
         for j in range(4):
             if (lab == j).any():

@@ -10,10 +10,39 @@ from winnow.session import scratch_path
 from winnow.sources import io
 
 
-@pytest.mark.parametrize("path,fmt", [("a/b.jsonl", "json"), ("a/b", "json"), ("a/b.csv", "csv"),
-                                      ("a/b.parquet", "parquet"), ("a/b.JSON", "json")])
-def test_format_for(path, fmt):
-    assert io.format_for(path) == fmt
+@pytest.mark.parametrize("path,kind", [("a/b.jsonl", "jsonl"), ("a.b/c", "jsonl"), ("a/b.csv", "csv"),
+                                       ("a/b.parquet/", "parquet"), ("a/b.JSON", "json")])
+def test_file_kind(path, kind):
+    assert io.file_kind(path) == kind and kind in io.READERS
+
+
+def _as_rows(df):
+    return sorted((r.instruction, r.input, r.output) for r in df.collect())
+
+
+def test_read_records_csv_header_and_quotes(spark):
+    path = scratch_path(spark, "csv") + "/a.csv"
+    _write_lines(path, ["instruction,input,output", '"say ""hi"", then', 'stop",,"x, y"'])
+    assert _as_rows(io.read_records(spark, path)) == [('say "hi", then\nstop', None, "x, y")]
+
+
+def test_read_records_json_array_and_lines(spark):
+    base = scratch_path(spark, "json")
+    a = '{"instruction": "i", "input": "", "output": "o"}'
+    _write_lines(f"{base}/array.json", ["", " [", f"  {a},", '  {"instruction": "j",', '   "input": "k", "output": "p"}', "]"])
+    _write_lines(f"{base}/lines.json", [a, '{"instruction": "j", "input": "k", "output": "p"}'])
+    want = [("i", "", "o"), ("j", "k", "p")]
+    assert _as_rows(io.read_records(spark, f"{base}/array.json")) == want
+    assert _as_rows(io.read_records(spark, f"{base}/lines.json")) == want
+
+
+def test_read_records_fails_loudly(spark):
+    path = scratch_path(spark, "bad") + "/a.jsonl"
+    _write_lines(path, ['{"instruction": "i"}', "{broken"])
+    with pytest.raises(Exception):
+        io.read_records(spark, path, schema=io.RECORD_SCHEMA).collect()
+    with pytest.raises(ValueError):
+        io.read_records(spark, "a.xlsx")
 
 
 def _local(path):
@@ -96,6 +125,13 @@ def test_run_selection_unknown_method(spark):
         selx.run_selection(spark.range(3), None, method="nope")
 
 
+def test_run_selection_unknown_option(spark):
+    ex = spark.createDataFrame([(0, "a")], "example_id long, text string")
+    for method in ("random", "bm25", "embedding", "ppl", "ifd", "miwv", "less", "adapt"):
+        with pytest.raises(TypeError):
+            selx.run_selection(ex, ex, method=method, kep="high")
+
+
 def test_register_selector_and_scorer(spark):
     ex = spark.createDataFrame([(i, "x" * (i + 1)) for i in range(10)], "example_id long, text string")
     selx.register_selector("len_test", lambda e, v, **o: e.select("example_id", F.length("text").cast("double").alias("score")))
@@ -123,6 +159,11 @@ def test_compose_named_scorer_and_policies(spark):
     assert div.count() == 10
     with pytest.raises(ValueError):
         selx.compose(ex, val, "nope", "hard")
+    from winnow.plans import queries as Q
+    recs = Q.chat_records(spark, SF_SMALL)
+    ppl = selx.compose(recs, None, "ppl", "topk", 0.2, scorer_options={"background": ex})
+    picked = selx.run_selection(recs, None, "ppl", 0.2, background=ex)
+    assert sorted(r.example_id for r in ppl.collect()) == sorted(r.example_id for r in picked.collect())
 
 
 def test_run_selection_every_method(spark):

@@ -18,10 +18,13 @@ ID = "example_id"
 SCORE_DIGITS = 9
 
 
-def k_expr(n: Column, budget: float) -> Column:
-    """budget <= 1: round-half-even(budget*n); else trunc(budget); clamp to [1, n]."""
+def k_expr(n: Column, budget: float, rounding: str = "even") -> Column:
+    """budget <= 1: budget*n, rounded half-even or truncated; else trunc(budget); clamp to [1, n]."""
+    if rounding not in ("even", "trunc"):
+        raise ValueError("rounding must be 'even' or 'trunc'")
     if budget <= 1:
-        raw = F.bround(F.lit(float(budget)) * n.cast("double"), 0).cast("long")
+        share = F.lit(float(budget)) * n.cast("double")
+        raw = (F.bround(share, 0) if rounding == "even" else F.floor(share)).cast("long")
     else:
         raw = F.lit(int(budget)).cast("long")
     return F.greatest(F.lit(1).cast("long"), F.least(n.cast("long"), raw))
@@ -33,10 +36,11 @@ def budget_to_k(df: DataFrame, budget: float) -> DataFrame:
               .select("n", k_expr(F.col("n"), budget).alias("k")))
 
 
-def resolve_k(n: int, budget: float) -> int:
-    """Driver-side twin of :func:`k_expr` for an already counted ``n``."""
-    raw = round(budget * n) if budget <= 1 else int(budget)
-    return max(1, min(int(raw), n))
+def chosen_k(df: DataFrame, budget: float, n: int | None = None, rounding: str = "even") -> int:
+    """:func:`k_expr` as a number, for the rows of ``df`` (counted here unless ``n`` is known)."""
+    size = df.agg(F.count(F.lit(1)).alias("n")) if n is None else \
+        df.sparkSession.range(1).select(F.lit(n).alias("n"))
+    return size.select(k_expr(F.col("n"), budget, rounding).alias("k")).first()["k"]
 
 
 def rank_order(score_col: str = "score", id_col: str = ID) -> list:
@@ -59,7 +63,7 @@ def topk_by_score(scores: DataFrame, budget: float, n: int | None = None,
         # scoring plan twice.
         scores = materialize(scores.select(id_col, score_col))
         n = scores.count()
-    k = resolve_k(n, budget)
+    k = chosen_k(scores, budget, n)
     top = take_top(scores.select(id_col, score_col), k, rank_order(score_col, id_col))
     # "+ 0.0" turns a negated zero (-0.0) into 0.0.
     return top.select(id_col, (F.round(F.col(score_col), out_digits) + F.lit(0.0)).alias(score_col))
@@ -94,7 +98,7 @@ def policy_hard(scores: DataFrame, budget: float, n: int | None = None,
     if n is None:
         scores = materialize(scores.select(id_col, score_col))
         n = scores.count()
-    k = resolve_k(n, budget)
+    k = chosen_k(scores, budget, n)
     top = topk_by_score(scores, budget, n, score_col, id_col).select(id_col, F.lit(1.0).alias("_w"))
     top = maybe_broadcast(top, k, BROADCAST_ROWS)
     return (scores.select(id_col).join(top, id_col, "left")
@@ -106,5 +110,5 @@ def select_all(ex: DataFrame, id_col: str = ID) -> DataFrame:
     return ex.select(id_col)
 
 
-__all__ = ["budget_to_k", "resolve_k", "topk_by_score", "invalid_sink", "score_direction",
+__all__ = ["budget_to_k", "chosen_k", "topk_by_score", "invalid_sink", "score_direction",
            "materialize_subset", "policy_hard", "select_all", "rank_order", "LIMIT_K"]

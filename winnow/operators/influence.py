@@ -55,8 +55,9 @@ def lr_factor(step: int, total: int, warmup: int) -> float:
 
 
 def checkpoint_steps(total: int, num_checkpoints: int) -> list[int]:
-    """max(1, round-half-even(total*(j+1)/C)), de-duplicated, ascending."""
-    return sorted({max(1, int(round(total * (j + 1) / num_checkpoints))) for j in range(num_checkpoints)})
+    """The ends of ``num_checkpoints`` equal shares of the steps, to the nearest step (half-even), at least 1."""
+    ends = np.rint(np.arange(1, num_checkpoints + 1) * total / num_checkpoints)
+    return np.unique(np.maximum(ends, 1)).astype(int).tolist()
 
 
 def warmup_checkpoints(vecs_y: DataFrame, sel: DataFrame, steps: int = 200, lr: float = 2e-5,
@@ -249,7 +250,7 @@ def select_less(vecs_y: DataFrame, val_y: DataFrame, budget: float = 0.05, steps
                 id_col: str = ID) -> DataFrame:
     """H8: warm-up -> checkpoints -> Adam/SGD gradients -> projection -> influence -> top-k."""
     if val_y is None or val_y.limit(1).count() == 0:
-        raise ValueError("LESS requires a non-empty validation/target set")
+        raise ValueError("influence is measured against a target set, but val_y has no rows")
     sel = warmup_subset(vecs_y, warmup_subset_frac, seed, rounding="trunc", id_col=id_col)
     ckpts = materialize(warmup_checkpoints(vecs_y, sel, steps, lr, num_checkpoints, warmup_ratio,
                                            batch_size, seed, id_col))

@@ -96,12 +96,15 @@ def select_ifd(tok: DataFrame, lm: CountLM, budget: float = 0.05, ifd_max: float
     return topk_by_score(invalid_sink(s, valid), budget)
 
 
-def one_shot_context(tok: DataFrame, nn: DataFrame, max_length: int = MAX_LENGTH,
+def one_shot_context(tok: DataFrame, nn: DataFrame, max_length: int | None = MAX_LENGTH,
                      id_col: str = ID) -> DataFrame:
-    """The neighbour's full tokens, trimmed from the left to max_length - len(target)."""
+    """The neighbour's full tokens, trimmed from the left to max_length - len(target)
+    (None: whole)."""
     ctx = tok.select(F.col(id_col).alias("nn_id"), F.col("tokens").alias("_ctx"))
     t = tok.select(id_col, F.size("tokens").alias("_n")).join(nn.select(id_col, "nn_id"), id_col) \
            .join(ctx, "nn_id")
+    if max_length is None:
+        return t.select(id_col, "nn_id", F.col("_ctx").alias("context"))
     room = F.lit(max_length) - F.col("_n")
     keep = F.least(room, F.size("_ctx"))
     context = F.when(room <= 0, F.array().cast("array<string>")) \
@@ -115,7 +118,7 @@ def miwv_score(cond: DataFrame, oneshot: DataFrame, id_col: str = ID) -> DataFra
     return j.select(id_col, (F.col("_o") - F.col("_c")).alias("score"))
 
 
-def miwv_scores(tok: DataFrame, vecs: DataFrame, lm: CountLM, max_length: int = MAX_LENGTH,
+def miwv_scores(tok: DataFrame, vecs: DataFrame, lm: CountLM, max_length: int | None = None,
                 id_col: str = ID, nn_mode: str = "exact") -> DataFrame:
     """MIWV = loss with the one-shot context - loss without it.
 
@@ -149,6 +152,6 @@ def miwv_scores(tok: DataFrame, vecs: DataFrame, lm: CountLM, max_length: int =
 
 
 def select_miwv(tok: DataFrame, vecs: DataFrame, lm: CountLM, budget: float = 0.05,
-                max_length: int = MAX_LENGTH, id_col: str = ID) -> DataFrame:
+                max_length: int | None = None, id_col: str = ID) -> DataFrame:
     """Nearest neighbour -> one-shot context -> MIWV, highest kept; unscorable sink."""
     return topk_by_score(miwv_scores(tok, vecs, lm, max_length, id_col), budget)

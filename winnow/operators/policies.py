@@ -1,11 +1,9 @@
 """Selection policies beyond top-k.
 
-* k-center diversity (D8) is sequential by nature, so it runs as a composable
-  coreset: greedy farthest-point inside each hash bucket (``applyInPandas``,
-  one bucket per task), then the same greedy over the union of the bucket
-  picks; if that union is still too large for one task it is re-bucketed and
-  reduced again.  The greedy seed is the best-scoring row; ties go to the
-  lower id.
+* k-center diversity (D8) is sequential by nature, so it runs blocked, alike at
+  every size: rows in md5 order are dealt into equal blocks of bounded size, each
+  of which picks its share of k by greedy farthest-point (``applyInPandas``).  The
+  greedy starts at the block's best-scoring row; ties go to the lower id.
 * GREATS (D9) picks per training batch, a group whose size is the batch size,
   so the batch Gram matrix fits one task.
 """
@@ -17,16 +15,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from winnow.functions.hashing import draw_key
 from winnow.functions.vector import to_double
-from winnow.operators.budget import ID, policy_hard, resolve_k, topk_by_score
+from winnow.operators.budget import ID, chosen_k, policy_hard, topk_by_score
+from winnow.operators.ranking import rank_rows
 from winnow.operators.reweight import sigmoid_gate
 
-# Largest set one task runs the greedy over (rows).
-MAX_GREEDY_ROWS = 200_000
+# Rows of one greedy block (one task's work is block_rows x its picks).
+BLOCK_ROWS = 4096
 
 
 def greedy_k_center(ids: np.ndarray, vecs: np.ndarray, scores: np.ndarray, k: int) -> list[int]:
-    """Farthest-point greedy: start at the best score (lowest id on ties), then
+    """Positions picked by the farthest-point greedy: start at the best score (lowest id on ties), then
     repeatedly add the row farthest from the chosen set (lowest id on ties)."""
     n = len(ids)
     if n == 0 or k <= 0:
@@ -44,44 +44,36 @@ def greedy_k_center(ids: np.ndarray, vecs: np.ndarray, scores: np.ndarray, k: in
         chosen.append(cand)
         dist = np.minimum(dist, np.sqrt(((vecs - vecs[cand]) ** 2).sum(axis=1)))
         dist[np.array(chosen)] = -1.0
-    return [int(ids[i]) for i in chosen]
-
-
-def _greedy_udf(k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty:
-            return pd.DataFrame({"example_id": pd.Series(dtype="int64")})
-        picked = greedy_k_center(pdf["example_id"].to_numpy(), np.vstack(pdf["v"].to_numpy()),
-                                 pdf["score"].to_numpy(dtype=np.float64), k)
-        return pd.DataFrame({"example_id": np.array(picked, dtype=np.int64)})
-    return run
+    return chosen
 
 
 def policy_diversity(scores: DataFrame, vecs: DataFrame, budget: float, seed: int = 42,
-                     buckets: int | None = None, id_col: str = ID, vec_col: str = "vec") -> DataFrame:
-    """K-center coverage over features (k from the budget) -> sel."""
+                     block_rows: int = BLOCK_ROWS, id_col: str = ID, vec_col: str = "vec") -> DataFrame:
+    """K-center coverage over features (k from the budget) -> sel.
+
+    The rows, in md5 order, are dealt into equal blocks of at most ``block_rows``; block b of
+    rows [lo, hi) picks floor(k*hi/n) - floor(k*lo/n) of its rows by the greedy, which adds
+    up to k.  A table of one block gets the plain greedy.
+    """
     rows = scores.select(id_col, "score").join(
         vecs.select(id_col, to_double(vec_col).alias("v")), id_col)
+    rows = rank_rows(rows.withColumn("_draw", draw_key(seed, "diversity", id_col)),
+                     [F.asc("_draw"), F.asc(id_col)], name="_r").drop("_draw")
     n = rows.count()
-    k = resolve_k(n, budget)
-    if buckets is None:
-        buckets = max(1, int(np.ceil(n / max(MAX_GREEDY_ROWS // 2, 2 * k))))
-    cur, size = rows, n
-    salt = 0
-    while True:
-        if size <= MAX_GREEDY_ROWS or buckets == 1:
-            out = (cur.withColumn("_b", F.lit(0))
-                      .groupBy("_b").applyInPandas(_greedy_udf(k), "example_id long"))
-            return out.withColumnRenamed("example_id", id_col) if id_col != "example_id" else out
-        bucket = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed), F.lit(salt)), F.lit(buckets))
-        picks = (cur.withColumn("_b", bucket)
-                    .groupBy("_b").applyInPandas(_greedy_udf(k), "example_id long"))
-        cur = cur.join(picks.withColumnRenamed("example_id", id_col), id_col, "left_semi")
-        new_size = cur.count()
-        if new_size >= size:
-            raise ValueError("k is too large for a coreset that fits one task; lower the budget")
-        size, salt = new_size, salt + 1
-        buckets = max(1, int(np.ceil(size / max(MAX_GREEDY_ROWS // 2, 2 * k))))
+    if not n:
+        return rows.select(id_col)
+    k = chosen_k(rows, budget, n)
+    blocks = -(-n // block_rows)
+    id_type = rows.schema[id_col].dataType.simpleString()
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = (-(-(int(key[0]) + j) * n // blocks) for j in (0, 1))
+        take = k * hi // n - k * lo // n
+        picked = greedy_k_center(pdf[id_col].to_numpy(), np.vstack(pdf["v"].to_numpy()),
+                                 pdf["score"].to_numpy(dtype=np.float64), take)
+        return pdf.iloc[picked][[id_col]]
+    block = F.expr(f"((_r - 1) * {blocks}L) div {n}L")
+    return rows.withColumn("_b", block).groupBy("_b").applyInPandas(run, f"`{id_col}` {id_type}")
 
 
 def greats_batch(ids: np.ndarray, grads: np.ndarray, gval: np.ndarray, k: int, eta: float) -> list[int]:

@@ -132,15 +132,17 @@ def format_prompt(ex: DataFrame) -> DataFrame:
     return ex.withColumn("text", prompt_expr())
 
 
-def tokenize_mask(ex: DataFrame, max_length: int = MAX_LENGTH, id_col: str = ID) -> DataFrame:
+def tokenize_mask(ex: DataFrame, max_length: int | None = MAX_LENGTH, id_col: str = ID) -> DataFrame:
     """``(example_id, text, tokens, n_prompt)``; text is the prompt only.
 
     tokens = whitespace tokens of prompt + response + EOS, truncated right to
-    max_length; the first ``n_prompt`` are the masked prompt.
+    max_length (None: whole); the first ``n_prompt`` are the masked prompt.
     """
     p = format_prompt(ex)
     prompt_toks = ws_tokens(F.col("text"))
     full = F.concat(prompt_toks, ws_tokens(blank_to_empty("output")), F.array(F.lit(EOS)))
+    if max_length is None:
+        return p.select(id_col, "text", full.alias("tokens"), F.size(prompt_toks).cast("long").alias("n_prompt"))
     return p.select(id_col, "text",
                     F.slice(full, 1, max_length).alias("tokens"),
                     F.least(F.size(prompt_toks), F.lit(max_length)).cast("long").alias("n_prompt"))

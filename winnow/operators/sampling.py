@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.functions.hashing import draw_key
-from winnow.operators.budget import ID, resolve_k
+from winnow.operators.budget import ID, chosen_k
 from winnow.operators.ranking import (BROADCAST_ROWS, maybe_broadcast, rank_rows, take_top,
                                       take_top_per_group)
 
@@ -92,25 +92,14 @@ def train_val_split(df: DataFrame, frac: float = 0.05, seed=42, id_col: str = ID
 def select_random(ex: DataFrame, budget: float = 0.05, seed=42, id_col: str = ID,
                   n: int | None = None) -> DataFrame:
     """K (from the budget) uniform draws without replacement."""
-    if n is None:
-        n = ex.count()
-    return draw_k(ex.select(id_col), resolve_k(n, budget), seed, "random", id_col)
-
-
-def warmup_size(n: int, frac: float, rounding: str = "even") -> int:
-    if rounding == "even":
-        return max(1, min(n, int(round(frac * n))))
-    if rounding == "trunc":
-        return max(1, int(frac * n))
-    raise ValueError("rounding must be 'even' or 'trunc'")
+    return draw_k(ex.select(id_col), chosen_k(ex, budget, n), seed, "random", id_col)
 
 
 def warmup_subset(ex: DataFrame, frac: float, seed=42, rounding: str = "even",
                   id_col: str = ID, n: int | None = None) -> DataFrame:
     """A random warm-up fraction (IFD rounds half-even, LESS truncates)."""
-    if n is None:
-        n = ex.count()
-    return draw_k(ex.select(id_col), warmup_size(n, frac, rounding), seed, "warmup", id_col)
+    k = chosen_k(ex, min(float(frac), 1.0), n, rounding)
+    return draw_k(ex.select(id_col), k, seed, "warmup", id_col)
 
 
 def cluster_round_robin(labels: DataFrame, sub_n: int, seed=42, id_col: str = ID,

@@ -300,9 +300,6 @@ def nearest_neighbor(vecs: DataFrame, mode: str = "exact", block: int = 512, id_
     return found.unionByName(rest)
 
 
-MAX_BROADCAST_VECS = 200_000
-
-
 def pairwise_similarity_agg(vecs: DataFrame, val_vecs: DataFrame, agg: str = "mean",
                             block: int = 512, id_col: str = ID, vec_col: str = "vec") -> DataFrame:
     """per row, mean or max cosine over the validation rows.
@@ -364,19 +361,21 @@ def kmeans_labels(vecs: DataFrame, k: int, seed: int = 42, iters: int = 25, id_c
 
 def _assign(x: DataFrame, centers: np.ndarray, id_col: str) -> DataFrame:
     """``(id, v, label)``: nearest centre per row in numpy chunks (centres broadcast;
-    squared distances, ties to the lower index)."""
+    distances to 9 digits, ties to the lower index)."""
     bc = x.sparkSession.sparkContext.broadcast(centers)
 
     def run(batches):
         c = bc.value
-        chunk = max(1, 20_000_000 // max(c.size, 1))
+        half_norm = np.einsum("ij,ij->i", c, c) / 2
+        chunk = max(1, 20_000_000 // max(len(c), 1))
         for pdf in batches:
             for lo in range(0, len(pdf), chunk):
                 part = pdf.iloc[lo:lo + chunk]
                 v = np.vstack(part["v"].to_numpy()) if len(part) else np.zeros((0, c.shape[1]))
-                label = ((v[:, None, :] - c[None, :, :]) ** 2).sum(-1).argmin(1).astype(np.int64)
+                # |v - c|^2 orders the centres as |c|^2 / 2 - v.c does.
+                far = np.round(half_norm - v @ c.T, SIM_DIGITS)
                 out = part[[id_col, "v"]].copy()
-                out["label"] = label
+                out["label"] = np.argmin(far, axis=1).astype(np.int64)
                 yield out
     return x.mapInPandas(run, f"{id_col} long, v array<double>, label long")
 

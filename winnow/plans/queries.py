@@ -123,7 +123,7 @@ def q_topk_by_score(spark, sf):
 def q_materialize_subset(spark, sf):
     ex = tb.examples(spark, sf)
     sel = lex.select_bm25(ex, tb.target(spark, sf), budget=0.05)
-    return bud.materialize_subset(ex, sel, k=bud.LIMIT_K).select("example_id", "lang", "source")
+    return bud.materialize_subset(ex, sel).select("example_id", "lang", "source")
 
 
 def q_invalid_sink(spark, sf):

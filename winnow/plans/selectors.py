@@ -20,6 +20,7 @@ from winnow.operators import records as rec
 from winnow.operators import sampling as smp
 from winnow.operators import vectors as vec
 from winnow.operators.budget import ID, select_all, topk_by_score
+from winnow.session import materialize
 
 
 def _vecs(df: DataFrame, id_col: str = ID) -> DataFrame:
@@ -28,43 +29,40 @@ def _vecs(df: DataFrame, id_col: str = ID) -> DataFrame:
     return vec.encode_mean_pool(lex.tokenize_whitespace(df, "text", id_col), id_col=id_col)
 
 
-def _lm_and_tokens(ex: DataFrame, opts: dict):
-    tok = rec.tokenize_mask(ex, opts.pop("max_length", rec.MAX_LENGTH))
-    lm = opts.pop("lm", None)
+def _lm_and_tokens(ex: DataFrame, max_length, lm, background):
+    """Token masks of ``ex`` and the language model: the given one, else fitted on ``background`` or ``ex``."""
+    tok = rec.tokenize_mask(ex, max_length)
     if lm is None:
-        background = opts.pop("background", None)
         bg = lex.tokenize_whitespace(background) if background is not None else \
             tok.select(ID, "tokens")
         lm = lmod.fit_lm_counts(bg)
     return tok, lm
 
 
-def _random(ex, val, budget, **o):
-    return smp.select_random(ex, budget, o.get("seed", 42))
+def _random(ex, val, budget, *, seed=42):
+    return smp.select_random(ex, budget, seed)
 
 
 def _bm25(ex, val, budget, **o):
     return lex.select_bm25(ex, val, budget, **o)
 
 
-def _embedding(ex, val, budget, **o):
-    return vec.select_embedding(_vecs(ex), _vecs(val) if val is not None else None, budget,
-                                o.get("keep", "near"))
+def _embedding(ex, val, budget, *, keep="near"):
+    return vec.select_embedding(_vecs(ex), _vecs(val) if val is not None else None, budget, keep)
 
 
-def _ppl(ex, val, budget, **o):
-    tok, lm = _lm_and_tokens(ex, o)
-    return ls.select_ppl(tok, lm, budget, o.get("keep", "high"))
+def _ppl(ex, val, budget, *, keep="high", max_length=None, lm=None, background=None):
+    tok, lm = _lm_and_tokens(ex, max_length, lm, background)
+    return ls.select_ppl(tok, lm, budget, keep)
 
 
-def _ifd(ex, val, budget, **o):
-    tok, lm = _lm_and_tokens(ex, o)
-    return ls.select_ifd(tok, lm, budget, o.get("ifd_max", 1.0))
+def _ifd(ex, val, budget, *, ifd_max=1.0, max_length=None, lm=None, background=None):
+    tok, lm = _lm_and_tokens(ex, max_length, lm, background)
+    return ls.select_ifd(tok, lm, budget, ifd_max)
 
 
-def _miwv(ex, val, budget, **o):
-    max_length = o.get("max_length", rec.MAX_LENGTH)
-    tok, lm = _lm_and_tokens(ex, o)
+def _miwv(ex, val, budget, *, max_length=None, lm=None, background=None):
+    tok, lm = _lm_and_tokens(ex, max_length, lm, background)
     vecs = vec.encode_mean_pool(lex.tokenize_whitespace(tok.select(ID, "text")))
     return ls.select_miwv(tok, vecs, lm, budget, max_length)
 
@@ -73,9 +71,9 @@ def _less(ex, val, budget, **o):
     return inf.select_less(ex, val, budget, **o)
 
 
-def _adapt(ex, val, budget, **o):
-    if val is None or val.limit(1).count() == 0:
-        raise ValueError("ADAPT requires a non-empty validation/anchor set")
+def _adapt(ex, val, budget):
+    if val is None or not val.take(1):
+        raise ValueError("method 'adapt' weighs examples against anchors: val must hold at least one row")
     return select_all(ex)
 
 
@@ -88,9 +86,12 @@ SCORERS: dict[str, tuple[Callable, str]] = {}
 
 def run_selection(ex: DataFrame, val: DataFrame | None = None, method: str = "bm25",
                   budget: float = 0.05, **opts) -> DataFrame:
-    """K1: named method + options -> selected ids (``example_id`` [, score])."""
+    """K1: named method + options -> selected ids (``example_id`` [, score]).
+
+    An option that the method doesn't have raises ``TypeError``.
+    """
     if method not in SELECTORS:
-        raise ValueError(f"Unknown selection method {method!r}; choices: {sorted(SELECTORS)}")
+        raise ValueError(f"no method is called {method!r}; there are {', '.join(sorted(SELECTORS))}")
     return SELECTORS[method](ex, val, budget, **opts)
 
 
@@ -126,6 +127,13 @@ def score_with(name: str, ex: DataFrame) -> DataFrame:
     return ex.mapInPandas(run, schema)
 
 
+def ppl_scores(ex: DataFrame, max_length=None, lm=None, background=None) -> DataFrame:
+    """Perplexity of every record's response as a scorer."""
+    tok, lm = _lm_and_tokens(ex, max_length, lm, background)
+    tok = materialize(tok)
+    return ls.perplexity(ls.response_loss(lmod.token_nll(tok, lm, "cond"), tok))
+
+
 def named_scores(ex: DataFrame, val: DataFrame | None, scorer: str, **opts):
     """A scorer by name -> ``(scores, vecs or None)``; vecs when the scorer exposes features."""
     if scorer == "bm25":
@@ -139,17 +147,19 @@ def named_scores(ex: DataFrame, val: DataFrame | None, scorer: str, **opts):
         vecs = _vecs(ex)
         ref = _vecs(val, val.columns[0]).withColumnRenamed(val.columns[0], ID) if val is not None else None
         return vec.cosine_to_centroid(vecs, ref), vecs
+    if scorer == "ppl":
+        return ppl_scores(ex, **opts), None
     if scorer in SCORERS:
         out = score_with(scorer, ex)
         return out.select(ID, "score"), (out.select(ID, "vec") if "vec" in out.columns else None)
-    raise ValueError(f"Unknown scorer {scorer!r}; choices: bm25, embedding, {sorted(SCORERS)}")
+    raise ValueError(f"no scorer is called {scorer!r}; there are bm25, embedding, ppl, {', '.join(sorted(SCORERS))}")
 
 
 def compose(ex: DataFrame, val: DataFrame | None, scorer: str, policy: str, budget: float = 0.05,
-            **opts) -> DataFrame:
-    """Any scorer x any policy (topk | hard | reweight | diversity)."""
+            scorer_options: dict | None = None, **opts) -> DataFrame:
+    """Any scorer x any policy (topk | hard | reweight | diversity); ``opts`` are the policy's."""
     from winnow.operators.policies import compose_scorer_policy
-    scores, vecs = named_scores(ex, val, scorer)
+    scores, vecs = named_scores(ex, val, scorer, **(scorer_options or {}))
     return compose_scorer_policy(scores, policy, budget, vecs=vecs, **opts)
 
 
