@@ -296,6 +296,15 @@ def _lloyd(x, c, iters):
     return lab.tolist()
 
 
+def test_topk_tells_tiny_scores_apart(spark):
+    from winnow.operators.budget import topk_by_score
+    rows = [(0, 1e-11), (1, 3e-10), (2, 2e-10), (3, 0.1 + 0.2), (4, 0.3), (5, -0.0), (6, 0.0)]
+    s = spark.createDataFrame(rows, "example_id long, score double")
+    got = [(r.example_id, r.score) for k in (2, 3) for r in topk_by_score(s, k).orderBy("example_id").collect()]
+    assert got == [(3, 0.3), (4, 0.3), (1, 3e-10), (3, 0.3), (4, 0.3)]
+    assert [r.example_id for r in topk_by_score(s.where("abs(score) < 1e-5"), 4).collect()] == [1, 2, 0, 5]
+
+
 def test_topk_sinks_scores_that_are_not_finite(spark):
     from winnow.operators.budget import topk_by_score
     rows = [(0, float("nan")), (1, float("inf")), (2, 5.0), (3, float("-inf")), (4, 1.0), (5, None)]

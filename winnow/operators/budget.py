@@ -2,8 +2,8 @@
 
 Scores are ``(example_id, score)``; NULL means "unusable" and sinks below
 every valid score while still filling the budget, lowest id first.
-Ranking uses ``round(score, 9)`` so that float noise between exact copies
-cannot reorder ties (ties go to the lower id).
+Ranking uses ten significant digits, so that float noise between exact copies
+cannot reorder ties (ties go to the lower id) and scores of any size are told apart.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from winnow.operators.ranking import LIMIT_K, BROADCAST_ROWS, maybe_broadcast, t
 from winnow.session import materialize
 
 ID = "example_id"
-SCORE_DIGITS = 9
+SCORE_FORMAT = "%.9e"
 
 
 def k_expr(n: Column, budget: float, rounding: str = "even") -> Column:
@@ -43,16 +43,21 @@ def chosen_k(df: DataFrame, budget: float, n: int | None = None, rounding: str =
     return size.select(k_expr(F.col("n"), budget, rounding).alias("k")).first()["k"]
 
 
+def significant(score: Column) -> Column:
+    """A finite or NULL score to ten significant digits ("+ 0.0" turns -0.0 into 0.0)."""
+    return F.when(score.isNotNull(), F.format_string(SCORE_FORMAT, score).try_cast("double") + F.lit(0.0))
+
+
 def rank_order(score_col: str = "score", id_col: str = ID) -> list:
-    return [F.desc_nulls_last(F.round(F.col(score_col), SCORE_DIGITS)), F.asc(id_col)]
+    return [F.desc_nulls_last(significant(F.col(score_col))), F.asc(id_col)]
 
 
 def topk_by_score(scores: DataFrame, budget: float, n: int | None = None,
-                  score_col: str = "score", id_col: str = ID, out_digits: int = SCORE_DIGITS) -> DataFrame:
+                  score_col: str = "score", id_col: str = ID, out_digits: int | None = None) -> DataFrame:
     """The k best rows (k from the budget); output ``(example_id, score)``.
 
-    Ranking always uses 9 digits; ``out_digits`` only rounds the output (large
-    scores such as perplexities carry fewer stable digits).
+    Ranking and output use ten significant digits; ``out_digits`` rounds the output to
+    that many decimals instead (perplexities, exponentials, carry fewer stable digits).
     """
     # NaN and infinite scores rank with the missing ones.
     value = F.col(score_col).cast("double")
@@ -65,8 +70,9 @@ def topk_by_score(scores: DataFrame, budget: float, n: int | None = None,
         n = scores.count()
     k = chosen_k(scores, budget, n)
     top = take_top(scores.select(id_col, score_col), k, rank_order(score_col, id_col))
-    # "+ 0.0" turns a negated zero (-0.0) into 0.0.
-    return top.select(id_col, (F.round(F.col(score_col), out_digits) + F.lit(0.0)).alias(score_col))
+    score = F.col(score_col)
+    out = significant(score) if out_digits is None else F.round(score, out_digits) + F.lit(0.0)
+    return top.select(id_col, out.alias(score_col))
 
 
 def invalid_sink(scores: DataFrame, valid: Column, score_col: str = "score") -> DataFrame:

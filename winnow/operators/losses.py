@@ -112,10 +112,19 @@ def one_shot_context(tok: DataFrame, nn: DataFrame, max_length: int | None = MAX
     return t.select(id_col, "nn_id", context.alias("context"))
 
 
+NOISE = 1e-12
+
+
+def _change(before, after):
+    """``after - before`` of two losses; a difference below 1e-12 is float noise and counts as none."""
+    d = F.col(after) - F.col(before)
+    return F.when(F.abs(d) < F.lit(NOISE), F.lit(0.0)).otherwise(d)
+
+
 def miwv_score(cond: DataFrame, oneshot: DataFrame, id_col: str = ID) -> DataFrame:
     """Loss with the one-shot context minus loss without it."""
     j = cond.withColumnRenamed("loss", "_c").join(oneshot.withColumnRenamed("loss", "_o"), id_col, "left")
-    return j.select(id_col, (F.col("_o") - F.col("_c")).alias("score"))
+    return j.select(id_col, _change("_c", "_o").alias("score"))
 
 
 def miwv_scores(tok: DataFrame, vecs: DataFrame, lm: CountLM, max_length: int | None = None,
@@ -148,7 +157,7 @@ def miwv_scores(tok: DataFrame, vecs: DataFrame, lm: CountLM, max_length: int |
                       + F.lit(W_CACHE) * p_shot)
     agg = rows.groupBy(id_col).agg(F.avg(nll_with_context()).alias("_c"), F.avg(shot_nll).alias("_o"))
     return tok.select(id_col).join(agg, id_col, "left").select(
-        id_col, (F.col("_o") - F.col("_c")).alias("score"))
+        id_col, _change("_c", "_o").alias("score"))
 
 
 def select_miwv(tok: DataFrame, vecs: DataFrame, lm: CountLM, budget: float = 0.05,

@@ -61,6 +61,14 @@ pairs AS (SELECT qt.query_id, tf.example_id,
           GROUP BY qt.query_id, tf.example_id)"""
 
 
+def sig(x: str) -> str:
+    """Ten significant digits."""
+    return f"(CAST(printf('%.9e', {x}) AS DOUBLE) + 0.0)"
+
+
+PICK = f"SELECT example_id, {sig('score')} AS score FROM sc"
+
+
 def topk_sql(scores_cte_sql: str, budget: float, n_expr: str = "(SELECT count(*) FROM sc)") -> str:
     """Append top-k (k from the budget) on ``sc(example_id, score)``."""
     if budget <= 1:
@@ -69,8 +77,8 @@ def topk_sql(scores_cte_sql: str, budget: float, n_expr: str = "(SELECT count(*)
         raw = str(int(budget))
     k = f"greatest(1, least({n_expr}, {raw}))"
     return f"""{scores_cte_sql}
-SELECT example_id, round(score, 9) + 0.0 AS score FROM sc
-QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC NULLS LAST, example_id) <= {k}"""
+{PICK}
+QUALIFY row_number() OVER (ORDER BY {sig('score')} DESC NULLS LAST, example_id) <= {k}"""
 
 
 SELF_QUERIES = f"""q AS (SELECT example_id AS query_id, tokens FROM d
@@ -186,11 +194,16 @@ def prompt_sql(ins="instruction", inp="input") -> str:
             "'### Response:' || chr(10)")
 
 
-TOK = f"""tok0 AS (SELECT example_id, {sql_tokenize_whitespace(prompt_sql())} AS ptoks,
-        {sql_tokenize_whitespace(strip('output'))} AS otoks FROM chat),
+TOK0 = f"""tok0 AS (SELECT example_id, {sql_tokenize_whitespace(prompt_sql())} AS ptoks,
+        {sql_tokenize_whitespace(strip('output'))} AS otoks FROM chat)"""
+TOK = f"""{TOK0},
 tok AS (SELECT example_id, list_slice(list_concat(ptoks, otoks, ['</s>']), 1, 2048) AS tokens,
         CAST(least(len(ptoks), 2048) AS BIGINT) AS n_prompt FROM tok0)"""
 
+WHOLE_TOK = f"""{TOK0},
+tok AS (SELECT example_id, list_concat(ptoks, otoks, ['</s>']) AS tokens,
+        CAST(len(ptoks) AS BIGINT) AS n_prompt FROM tok0)"""
+
 SCORES = bm25_mean_sql(QUERIES)
 
 
@@ -200,7 +213,7 @@ def draw(seed, salt, col):
 
 ORACLE.update({
     "materialize_subset": topk_sql(SCORES, 0.05).replace(
-        "SELECT example_id, round(score, 9) + 0.0 AS score FROM sc",
+        PICK,
         "SELECT sc.example_id, documents.lang, documents.source FROM sc "
         "JOIN documents ON documents.doc_id = sc.example_id"),
     "invalid_sink": topk_sql(SCORES + """,
@@ -209,8 +222,8 @@ sc2 AS (SELECT sc.example_id, CASE WHEN documents.lang = 'en' THEN sc.score END
         "FROM sc\nQUALIFY", "FROM sc2\nQUALIFY").replace("(SELECT count(*) FROM sc)", "(SELECT count(*) FROM sc2)"),
     "score_direction": topk_sql(SCORES + ",\nneg AS (SELECT example_id, -score AS score FROM sc)", 0.05)
         .replace("FROM sc\nQUALIFY", "FROM neg\nQUALIFY"),
-    "policy_hard": SCORES + """,
-top AS (SELECT example_id FROM sc QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC, example_id)
+    "policy_hard": SCORES + f""",
+top AS (SELECT example_id FROM sc QUALIFY row_number() OVER (ORDER BY {sig('score')} DESC NULLS LAST, example_id)
         <= greatest(1, least((SELECT count(*) FROM sc), CAST(round_even(0.05 * (SELECT count(*) FROM sc), 0) AS BIGINT))))
 SELECT sc.example_id, CAST(CASE WHEN top.example_id IS NULL THEN 0.0 ELSE 1.0 END AS DOUBLE) AS weight
 FROM sc LEFT JOIN top ON sc.example_id = top.example_id""",
@@ -237,7 +250,7 @@ SELECT CASE WHEN example_id % 2 = 0 THEN 'dolly' ELSE 'oasst1' END AS dataset, *
     "write_jsonl": f"WITH {ALPACA} SELECT * FROM alp",
     "build_if_missing": f"WITH {CHAT} SELECT * FROM chat",
     "selection_manifest": topk_sql(SCORES, 0.05).replace(
-        "SELECT example_id, round(score, 9) + 0.0 AS score FROM sc\nQUALIFY",
+        PICK + "\nQUALIFY",
         "SELECT 'bm25' AS method, CAST(0.05 AS DOUBLE) AS budget, count(*) AS num_selected, "
         "CAST(sum(example_id) AS BIGINT) AS id_sum, min(example_id) AS min_id, max(example_id) AS max_id "
         "FROM (SELECT example_id FROM sc\nQUALIFY") + ")",
@@ -449,7 +462,7 @@ DIRECT_ROWS = """dp AS (SELECT example_id, n_prompt, resp, unnest(resp) AS token
        FROM (SELECT example_id, n_prompt, list_slice(tokens, n_prompt + 1, len(tokens)) AS resp FROM tok)),
 dr AS (SELECT example_id, token, CAST(j + n_prompt AS BIGINT) AS pos, resp[j] AS prev FROM dp WHERE j >= 1)"""
 
-G_BASE = f"WITH {CHAT}, {TOK}, {BG}, {lm_sql()}"
+G_BASE = f"WITH {CHAT}, {WHOLE_TOK}, {BG}, {lm_sql()}"
 COND_LOSS = f"""{COND_ROWS},
 {nll_sql('nc', 'cr', True)},
 cl_loss AS (SELECT tok.example_id, l.loss FROM tok LEFT JOIN
@@ -470,14 +483,18 @@ um AS (SELECT mp.example_id, mp.dim, mp.value / nrm.n AS u FROM mp JOIN nrm ON m
 sims AS (SELECT a.example_id, b.example_id AS nn_id, round(sum(a.u * b.u), 9) AS sim
          FROM um a JOIN um b ON a.dim = b.dim AND a.example_id <> b.example_id GROUP BY a.example_id, b.example_id),
 nn AS (SELECT example_id, nn_id FROM sims
-       QUALIFY row_number() OVER (PARTITION BY example_id ORDER BY sim DESC, nn_id) = 1),
-ctx AS (SELECT t.example_id, nn.nn_id,
+       QUALIFY row_number() OVER (PARTITION BY example_id ORDER BY sim DESC, nn_id) = 1)"""
+CUT_CTX = """ctx AS (SELECT t.example_id, nn.nn_id,
           CASE WHEN 2048 - len(t.tokens) <= 0 THEN []::VARCHAR[]
                ELSE list_slice(c.tokens, len(c.tokens) - least(2048 - len(t.tokens), len(c.tokens)) + 1,
                                len(c.tokens)) END AS context
         FROM tok t JOIN nn ON nn.example_id = t.example_id JOIN tok c ON c.example_id = nn.nn_id)"""
 
+WHOLE_CTX = """ctx AS (SELECT nn.example_id, nn.nn_id, c.tokens AS context
+        FROM nn JOIN tok c ON c.example_id = nn.nn_id)"""
+
 ONESHOT = f"""{NN},
+{WHOLE_CTX},
 os0 AS (SELECT tok.example_id, tok.n_prompt, coalesce(ctx.context, []::VARCHAR[]) AS context, tok.tokens
         FROM tok LEFT JOIN ctx ON ctx.example_id = tok.example_id),
 os1 AS (SELECT example_id, len(context) AS nc, n_prompt, list_concat(context, tokens) AS seq,
@@ -491,7 +508,7 @@ orr_cl AS (SELECT example_id, CAST(len(cache) AS DOUBLE) AS clen FROM os1),
 {nll_sql('no', 'orr', True)},
 os_loss AS (SELECT tok.example_id, l.loss FROM tok LEFT JOIN
    (SELECT example_id, avg(nll) AS loss FROM no GROUP BY example_id) l ON l.example_id = tok.example_id),
-miwv AS (SELECT c.example_id, o.loss - c.loss AS score FROM cl_loss c LEFT JOIN os_loss o
+miwv AS (SELECT c.example_id, CASE WHEN abs(o.loss - c.loss) < 1e-12 THEN 0.0 ELSE o.loss - c.loss END AS score FROM cl_loss c LEFT JOIN os_loss o
          ON c.example_id = o.example_id)"""
 
 WARM = f"""wsel AS (SELECT example_id FROM tok
@@ -505,11 +522,12 @@ b_pre AS (SELECT prev, sum(c) AS c_pre FROM b_bi GROUP BY prev),
 b_tot AS (SELECT sum(c)::DOUBLE AS T, count(*)::DOUBLE AS V FROM b_uni)"""
 
 
-def topk_from(cte: str, budget: float, digits: int = 9) -> str:
+def topk_from(cte: str, budget: float, digits: int | None = None) -> str:
     k = (f"greatest(1, least((SELECT count(*) FROM {cte}), "
          f"CAST(round_even({float(budget)} * (SELECT count(*) FROM {cte}), 0) AS BIGINT)))")
-    return f"""SELECT example_id, round(score, {digits}) + 0.0 AS score FROM {cte}
-QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC NULLS LAST, example_id) <= {k}"""
+    out = sig("score") if digits is None else f"round(score, {digits}) + 0.0"
+    return f"""SELECT example_id, {out} AS score FROM {cte}
+QUALIFY row_number() OVER (ORDER BY {sig('score')} DESC NULLS LAST, example_id) <= {k}"""
 
 
 ORACLE.update({
@@ -532,7 +550,8 @@ ifv AS (SELECT example_id, CASE WHEN score IS NOT NULL AND NOT isnan(score) AND
     "lm_brief_experience": f"""{G_BASE}, {WARM}, {COND_ROWS}, {nll_sql('nc', 'cr', True, 'b_')}
 SELECT tok.example_id, round(l.loss, 9) AS loss FROM tok LEFT JOIN
   (SELECT example_id, avg(nll) AS loss FROM nc GROUP BY example_id) l ON l.example_id = tok.example_id""",
-    "one_shot_context": f"""{G_BASE}, {NN}
+    "one_shot_context": f"""{G_BASE}, {NN},
+{CUT_CTX}
 SELECT example_id, nn_id, CAST(len(context) AS BIGINT) AS n_context, array_to_string(context, ' ') AS context
 FROM ctx""",
     "miwv_score": f"{G_BASE}, {COND_LOSS}, {ONESHOT}\nSELECT example_id, round(score, 9) AS score FROM miwv",

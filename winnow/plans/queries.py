@@ -204,6 +204,10 @@ def _tok(spark, sf):
     return rec.tokenize_mask(chat_records(spark, sf))
 
 
+def _whole_tok(spark, sf):
+    return rec.tokenize_mask(chat_records(spark, sf), max_length=None)
+
+
 def q_tokenize_mask(spark, sf):
     t = _tok(spark, sf)
     return t.select("example_id", F.size("tokens").cast("long").alias("n_tokens"), "n_prompt",
@@ -459,55 +463,55 @@ def q_fit_lm_counts(spark, sf):
 
 
 def q_token_nll(spark, sf):
-    return lmod.token_nll(_tok(spark, sf), _bg_lm(spark, sf), "cond").select(
+    return lmod.token_nll(_whole_tok(spark, sf), _bg_lm(spark, sf), "cond").select(
         "example_id", "variant", "pos", r9("nll"))
 
 
 def q_response_loss(spark, sf):
-    tok = _tok(spark, sf)
+    tok = _whole_tok(spark, sf)
     return ls.response_loss(lmod.token_nll(tok, _bg_lm(spark, sf), "cond"), tok).select(
         "example_id", r9("loss"))
 
 
 def q_direct_loss(spark, sf):
-    tok = _tok(spark, sf)
+    tok = _whole_tok(spark, sf)
     return ls.direct_loss(lmod.token_nll(tok, _bg_lm(spark, sf), "direct"), tok).select(
         "example_id", r9("loss"))
 
 
 def q_per_sample_loss(spark, sf):
-    tok = _tok(spark, sf)
+    tok = _whole_tok(spark, sf)
     return ls.per_sample_loss(lmod.token_nll(tok, _bg_lm(spark, sf), "cond"), tok).select(
         "example_id", r9("loss"))
 
 
 def q_perplexity(spark, sf):
-    tok = _tok(spark, sf)
+    tok = _whole_tok(spark, sf)
     loss = ls.response_loss(lmod.token_nll(tok, _bg_lm(spark, sf), "cond"), tok)
     return ls.perplexity(loss).select("example_id", F.round("score", 4).alias("score"))
 
 
 def q_select_ppl(spark, sf):
-    return ls.select_ppl(_tok(spark, sf), _bg_lm(spark, sf), budget=0.1, keep="high")
+    return ls.select_ppl(_whole_tok(spark, sf), _bg_lm(spark, sf), budget=0.1, keep="high")
 
 
 def q_ifd_score(spark, sf):
-    return ls.ifd_scores(_tok(spark, sf), _bg_lm(spark, sf)).select("example_id", r9("score"))
+    return ls.ifd_scores(_whole_tok(spark, sf), _bg_lm(spark, sf)).select("example_id", r9("score"))
 
 
 def q_select_ifd(spark, sf):
-    return ls.select_ifd(_tok(spark, sf), _bg_lm(spark, sf), budget=0.1, ifd_max=1.0)
+    return ls.select_ifd(_whole_tok(spark, sf), _bg_lm(spark, sf), budget=0.1, ifd_max=1.0)
 
 
 def q_lm_brief_experience(spark, sf):
-    tok = _tok(spark, sf)
+    tok = _whole_tok(spark, sf)
     sel = smp.warmup_subset(tok, 0.1, seed=42, rounding="even")
     brief = lmod.lm_brief_experience(_bg_lm(spark, sf), tok, sel)
     return ls.response_loss(lmod.token_nll(tok, brief, "cond"), tok).select("example_id", r9("loss"))
 
 
 def q_one_shot_context(spark, sf):
-    tok = _tok(spark, sf)
+    tok = _whole_tok(spark, sf)
     nn = vec.nearest_neighbor(_prompt_vecs(tok), mode="exact")
     ctx = ls.one_shot_context(tok, nn, max_length=2048)
     return ctx.select("example_id", "nn_id", F.size("context").cast("long").alias("n_context"),
@@ -515,12 +519,12 @@ def q_one_shot_context(spark, sf):
 
 
 def q_miwv_score(spark, sf):
-    tok = _tok(spark, sf)
+    tok = _whole_tok(spark, sf)
     return ls.miwv_scores(tok, _prompt_vecs(tok), _bg_lm(spark, sf)).select("example_id", r9("score"))
 
 
 def q_select_miwv(spark, sf):
-    tok = _tok(spark, sf)
+    tok = _whole_tok(spark, sf)
     return ls.select_miwv(tok, _prompt_vecs(tok), _bg_lm(spark, sf), budget=0.1)
 
 
