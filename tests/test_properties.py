@@ -107,14 +107,18 @@ def test_nearest_neighbor_lsh_answers_every_row(spark):
     assert set(got) == set(range(len(x)))
 
 
-def test_projection_modes_agree(spark):
+def test_projection_blocks_agree_with_numpy(spark):
     rng = np.random.default_rng(1)
     rows = [(i, "train", 0, rng.normal(size=7).tolist()) for i in range(20)]
     g = spark.createDataFrame(rows, "example_id long, split string, ckpt int, grad array<double>")
-    dense = {r.example_id: r.grad for r in inf.random_projection(g, p=16, mode="dense").collect()}
-    blocked = {r.example_id: r.grad for r in inf.random_projection(g, p=16, mode="blocked").collect()}
-    for k in dense:
-        assert np.allclose(dense[k], blocked[k])
+    signs = [[1.0 - 2.0 * (int(hashlib.md5(f"42:proj:{i}:{j // 128}".encode()).hexdigest(), 16) >> (127 - j % 128) & 1)
+              for j in range(200)] for i in range(7)]
+    want = {r[0]: np.array(r[3]) @ np.array(signs) / math.sqrt(200) for r in rows}
+    null = spark.createDataFrame([(99, "train", 0, None)], g.schema)
+    for entries in (1, 400, 10_000):
+        got = {r.example_id: r.grad for r in inf.random_projection(g.union(null), 200, block_entries=entries).collect()}
+        assert got.pop(99) is None and got.keys() == want.keys()
+        assert all(np.allclose(got[k], want[k]) for k in want)
 
 
 def _radius(x, centers):

@@ -17,21 +17,13 @@ def draw_key(seed, salt: str, *parts) -> Column:
     return F.md5(F.concat_ws(":", *cols))
 
 
-def draw_number(key: Column) -> Column:
-    """First 13 hex digits of an md5 key as a double in [0, 1): monotone in the key."""
-    return F.conv(F.substring(key, 1, 13), 16, 10).cast("double") / F.lit(float(16 ** 13))
-
-
-def sign_bit(seed, salt: str, *parts) -> Column:
-    """+1.0 / -1.0 from the first hex digit of md5(seed:salt:parts)."""
-    k = draw_key(seed, salt, *parts)
-    return F.when(F.substring(k, 1, 1) < F.lit("8"), F.lit(1.0)).otherwise(F.lit(-1.0))
-
-
 def sql_draw_key(seed, salt: str, *parts: str) -> str:
     inner = " || ':' || ".join([f"'{seed}'", f"'{salt}'"] + [f"CAST({p} AS VARCHAR)" for p in parts])
     return f"md5({inner})"
 
 
-def sql_sign_bit(seed, salt: str, *parts: str) -> str:
-    return f"(CASE WHEN substr({sql_draw_key(seed, salt, *parts)}, 1, 1) < '8' THEN 1.0 ELSE -1.0 END)"
+def sql_sign_bit(seed, salt: str, i: str, j: str) -> str:
+    """+1.0 / -1.0 from bit j % 128 of md5(seed:salt:i:(j // 128)), first bit first."""
+    digit = f"substr({sql_draw_key(seed, salt, i, f'({j} // 128)')}, CAST({j} % 128 // 4 + 1 AS BIGINT), 1)"
+    value = f"(instr('0123456789abcdef', {digit}) - 1)"
+    return f"(CASE WHEN ({value} >> CAST(3 - {j} % 4 AS INTEGER)) & 1 = 0 THEN 1.0 ELSE -1.0 END)"

@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from winnow.functions.hashing import draw_key, sign_bit
+from winnow.functions.hashing import draw_key
 from winnow.functions.vector import dot, l2_normalize as l2_expr, to_double, with_scalar
 from winnow.operators.budget import ID, topk_by_score
 from winnow.operators.ranking import rank_rows
@@ -31,8 +32,8 @@ from winnow.session import materialize
 ADAM_B1, ADAM_B2, ADAM_EPS = 0.9, 0.999, 1e-8
 # ---------------------------------------------------------------------------
 FEAT_NORM_EPS = 1e-10
-# Largest projection matrix (D x p entries) built and broadcast whole.
-MAX_DENSE_PROJ = 2_000_000
+# Entries of the projection matrix, or of projected rows, that a task holds at once.
+BLOCK_ENTRIES = 2_000_000
 
 
 def features(vecs_y: DataFrame, id_col: str = ID, vec_col: str = "vec",
@@ -146,58 +147,49 @@ def adam_transform(grads: DataFrame, ckpts: DataFrame, b1: float = ADAM_B1, b2:
             .drop("exp_avg", "exp_avg_sq")
 
 
-def projection_matrix(spark, in_dim: int, p: int, seed: int = 42) -> DataFrame:
-    """Long form ``(i, j, r)``: Rademacher sign from md5(seed:proj:i:j) / sqrt(p)."""
-    scale = 1.0 / math.sqrt(p)
-    return (spark.range(in_dim).select(F.col("id").alias("i"))
-                 .select("i", F.explode(F.sequence(F.lit(0), F.lit(p - 1)).cast("array<long>")).alias("j"))
-                 .select("i", "j", (sign_bit(seed, "proj", "i", "j") * F.lit(scale)).alias("r")))
+def projection_signs(seed: int, lo: int, hi: int, p: int) -> np.ndarray:
+    """Rows lo..hi-1 of the Rademacher matrix: row i's signs of columns 128 b and on are
+    the bits of md5(seed:proj:i:b), first bit first (0 -> +1, 1 -> -1)."""
+    blocks = range(-(-p // 128))
+    raw = b"".join(hashlib.md5(f"{seed}:proj:{i}:{b}".encode()).digest() for i in range(lo, hi) for b in blocks)
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(hi - lo, -1)[:, :p]
+    return 1.0 - 2.0 * bits
 
 
-def random_projection(grads: DataFrame, p: int = 8192, seed: int = 42, mode: str = "auto",
-                      in_dim: int | None = None, max_dense: int = MAX_DENSE_PROJ,
-                      grad_col: str = "grad") -> DataFrame:
-    """H5: grad (length D) -> grad @ R (length p).  The same signs in both modes:
+def random_projection(grads: DataFrame, p: int = 8192, seed: int = 42, grad_col: str = "grad",
+                      block_entries: int = BLOCK_ENTRIES) -> DataFrame:
+    """H5: grad (length D) -> grad @ R / sqrt(p) (length p), the same way for every D.
 
-    * dense: R (D x p <= max_dense) is broadcast; an Arrow batch is one matmul.
-    * blocked: posexplode the gradient, equi-join R on the input index, sum per
-      output index -- no D x p matrix anywhere.
+    Each Arrow batch adds up ``g[:, block] @ R[block, :]`` over blocks of input dimensions;
+    the signs come from hashes inside the task, so nothing is shuffled or broadcast and no
+    more than ``block_entries`` entries of R, or of the output, are held at once.  A null
+    gradient stays null.
     """
-    spark = grads.sparkSession
-    if in_dim is None:
-        in_dim = grads.select(F.size(grad_col).alias("n")).agg(F.max("n")).first()[0]
-    if mode == "auto":
-        mode = "dense" if in_dim * p <= max_dense else "blocked"
-    r = projection_matrix(spark, in_dim, p, seed)
     others = [c for c in grads.columns if c != grad_col]
-    if mode == "dense":
-        pdf = r.toPandas()  # bounded: in_dim * p <= max_dense entries, moved as Arrow
-        mat = np.zeros((in_dim, p))
-        mat[pdf["i"].to_numpy(), pdf["j"].to_numpy()] = pdf["r"].to_numpy()
-        bmat = spark.sparkContext.broadcast(mat)
-        schema = grads.select(*others).schema.add("grad", T.ArrayType(T.DoubleType()))
-
-        def proj(batches):
-            m = bmat.value
-            for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                g = np.vstack(pdf[grad_col].to_numpy())
-                out = pdf[others].copy()
-                out["grad"] = list(g @ m)
+    schema = grads.select(*others).schema.add(grad_col, T.ArrayType(T.DoubleType()))
+    rows = max(1, block_entries // p)
+
+    def project(g: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(g), p))
+        for lo in range(0, g.shape[1], rows):
+            hi = min(lo + rows, g.shape[1])
+            out += g[:, lo:hi] @ projection_signs(seed, lo, hi, p)
+        return out / math.sqrt(p)
+
+    def run(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), rows):
+                part = pdf.iloc[at:at + rows]
+                out = part[others].copy()
+                known = part[grad_col].notna().to_numpy()
+                vecs = np.full(len(part), None, dtype=object)
+                if known.any():
+                    done = project(np.vstack(part[grad_col].to_numpy()[known]))
+                    for k, row in zip(np.flatnonzero(known), done):
+                        vecs[k] = row
+                out[grad_col] = vecs
                 yield out
-        return grads.mapInPandas(proj, schema).withColumnRenamed("grad", grad_col)
-    if mode != "blocked":
-        raise ValueError("mode must be auto, dense or blocked")
-    key = "_row"
-    # The row key is assigned once and written, so both branches below (and any
-    # task retry) see the same key for the same row.
-    g = materialize(grads.withColumn(key, F.monotonically_increasing_id()))
-    longg = g.select(key, F.posexplode(grad_col).alias("i", "gi"))
-    summed = (longg.join(r, "i").groupBy(key, "j").agg(F.sum(F.col("gi") * F.col("r")).alias("v"))
-                   .groupBy(key).agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("_s"))
-                   .select(key, F.transform("_s", lambda s: s["v"]).alias(grad_col)))
-    return g.drop(grad_col).join(summed, key).drop(key)
+    return grads.mapInPandas(run, schema)
 
 
 def checkpoint_weights(ckpts: DataFrame, manual: list[float] | None = None) -> DataFrame:

@@ -241,27 +241,30 @@ def bm25_max(corpus_tok: DataFrame, query_tok: DataFrame, k1: float = 1.5, b: fl
     return _scores_over_queries(per_doc, qmat, qids, id_col, qid, "max")
 
 
-def bm25_self(corpus_tok: DataFrame, max_queries: int = 256, seed: int = 42,
+def bm25_self(corpus_tok: DataFrame, max_queries: int | None = None, seed: int = 42,
               k1: float = 1.5, b: float = 0.75, aggregation: str = "mean",
               id_col: str = ID) -> DataFrame:
-    """No target set -> a hash-drawn sample of the corpus serves as queries."""
-    qids = query_sample(corpus_tok, max_queries, seed, id_col)
-    queries = (corpus_tok.join(qids, id_col, "left_semi")
-                         .select(F.col(id_col).alias(QID), "tokens"))
+    """No target set -> the corpus itself serves as queries, or a hash-drawn sample of
+    ``max_queries`` rows.  The mean costs the same for any number of queries; the max is
+    quadratic over the whole corpus."""
+    queries = corpus_tok.select(F.col(id_col).alias(QID), "tokens")
+    if max_queries is not None:
+        qids = query_sample(corpus_tok, max_queries, seed, id_col)
+        queries = queries.join(qids.withColumnRenamed(id_col, QID), QID, "left_semi")
     fn = bm25_mean if aggregation == "mean" else bm25_max
     return fn(corpus_tok, queries, k1, b, id_col)
 
 
 def select_bm25(ex: DataFrame, val: DataFrame | None = None, budget: float = 0.05,
                 k1: float = 1.5, b: float = 0.75, aggregation: str = "mean",
-                max_queries: int = 256, seed: int = 42, text_col: str = "text",
+                max_queries: int | None = None, seed: int = 42, text_col: str = "text",
                 id_col: str = ID) -> DataFrame:
     """BM25 relevance of each example to the target set, then the top budget."""
     if text_col not in ex.columns:
         raise ValueError(f"BM25 needs a {text_col!r} column on the examples")
     if aggregation not in ("mean", "max"):
         raise ValueError("aggregation must be 'mean' or 'max'")
-    if max_queries <= 0:
+    if max_queries is not None and max_queries <= 0:
         raise ValueError("max_queries must be positive")
     corpus = tokenize_alnum(ex, text_col, id_col)
     n = ex.count()

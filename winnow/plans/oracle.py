@@ -81,8 +81,7 @@ def topk_sql(scores_cte_sql: str, budget: float, n_expr: str = "(SELECT count(*)
 QUALIFY row_number() OVER (ORDER BY {sig('score')} DESC NULLS LAST, example_id) <= {k}"""
 
 
-SELF_QUERIES = f"""q AS (SELECT example_id AS query_id, tokens FROM d
-      ORDER BY {sql_draw_key(42, 'queries', 'example_id')}, example_id LIMIT 256)"""
+SELF_QUERIES = "q AS (SELECT example_id AS query_id, tokens FROM d)"
 
 WS_DOCS = f"x AS (SELECT doc_id AS example_id, {sql_tokenize_whitespace('text')} AS tokens FROM documents)"
 WS_ANCHORS = f"a AS (SELECT item_id AS anchor_id, {sql_tokenize_whitespace('text')} AS tokens FROM benchmark)"
@@ -596,7 +595,7 @@ SELECT example_id, split, CAST(0 AS BIGINT) AS ckpt, dim, round(g, 9) AS value F
 SELECT example_id, split, CAST(0 AS BIGINT) AS ckpt, CAST(dim AS BIGINT) AS dim, round(g, 9) AS value
 FROM {_proj("(SELECT * FROM gl WHERE split = 'train')")}""",
     "checkpoint_weights": """WITH c AS (SELECT * FROM (VALUES (0, 2), (1, 4), (2, 6), (3, 8)) t(ckpt, step)),
-l AS (SELECT ckpt, 0.05 * greatest(0.0, (8 - step) / 8.0) AS lr FROM c CROSS JOIN (SELECT count(*) FROM embeddings))
+l AS (SELECT ckpt, 0.05 * greatest(0.0, (8 - step) / 8.0) AS lr FROM c)
 SELECT CAST(ckpt AS BIGINT) AS ckpt,
        round(CASE WHEN (SELECT sum(lr) FROM l) > 0 THEN lr / (SELECT sum(lr) FROM l)
                   ELSE 1.0 / (SELECT count(*) FROM l) END, 9) AS weight FROM l""",
