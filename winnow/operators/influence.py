@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from winnow.functions.hashing import draw_key
 from winnow.functions.vector import dot, l2_normalize as l2_expr, to_double, with_scalar
 from winnow.operators.budget import ID, topk_by_score
-from winnow.operators.ranking import rank_rows
+from winnow.operators.ranking import rank_rows, take_top
 from winnow.operators.sampling import warmup_subset
 from winnow.operators.vectors import pairwise_similarity_agg
 from winnow.session import materialize
@@ -69,15 +69,18 @@ def warmup_checkpoints(vecs_y: DataFrame, sel: DataFrame, steps: int = 200, lr:
 
     Minibatch Adam over the warm-up subset: the subset is put in one
     hash-shuffled order (md5(seed:warmup-order:id), exact distributed rank) and
-    step t uses the next ``batch_size`` rows of it, wrapping around like epochs.
+    step t uses the next ``batch_size`` rows of it, wrapping around like epochs; only the
+    rows that some step uses are written.
     ``batch_size=None`` uses the whole subset every step.
     """
     spark = vecs_y.sparkSession
     sub = features(vecs_y, id_col).join(sel.select(id_col), id_col, "left_semi") \
         .withColumn("_draw", draw_key(seed, "warmup-order", id_col))
-    sub = materialize(rank_rows(sub, [F.asc("_draw"), F.asc(id_col)], name="_r")
-                      .select("x", "y", (F.col("_r") - 1).alias("_r")))
+    order = [F.asc("_draw"), F.asc(id_col)]
     n_sub = sub.count()
+    if batch_size and steps * batch_size < n_sub:
+        sub = take_top(sub, steps * batch_size, order)     # the rows that the steps will use
+    sub = materialize(rank_rows(sub, order, name="_r").select("x", "y", (F.col("_r") - 1).alias("_r")))
     d = len(sub.select("x").first()["x"])
     w, m, v = np.zeros(d), np.zeros(d), np.zeros(d)
     warm = int(warmup_ratio * steps)
