@@ -367,7 +367,7 @@ def _assign(x: DataFrame, centers: np.ndarray, id_col: str) -> DataFrame:
     def run(batches):
         c = bc.value
         half_norm = np.einsum("ij,ij->i", c, c) / 2
-        chunk = max(1, 20_000_000 // max(len(c), 1))
+        chunk = max(1, 2_000_000 // max(len(c), 1))
         for pdf in batches:
             for lo in range(0, len(pdf), chunk):
                 part = pdf.iloc[lo:lo + chunk]
