@@ -272,6 +272,27 @@ def test_wrapper(spark):  # noqa: F811
     assert wrapper.extract(none).count() == 0
 
 
+def test_wrapper_decides_in_articles(spark):  # noqa: F811
+    def page(k, many):
+        return (f"<body><article><h1>title {k}</h1><div>Read our new book</div>"
+                + "".join(f"<p>story {k} part {j}</p>" for j in range(many)) + "<p>All rights reserved</p></article>")
+    pages = [(k, "http://a.example.org/", page(k, 1 + k % 4)) for k in range(8)]
+    # the text that varies lies beside an article that doesn't vary
+    pages += [(20 + k, "http://b.example.org/", f"<body><article><p>About this site</p></article><div><p>news {k}</p>"
+               f"<p>more of {k}</p></div>") for k in range(10)]
+    # pages of another layout, equal pages and copies but for a mark keep their text
+    pages += [(30, "http://b.example.org/", "<body><article><p>its own tale</p></article><div><p>x</p></div>")]
+    pages += [(40 + k, "http://c.example.org/", "<body><div>same</div><p>text") for k in range(5)]
+    pages += [(50 + k, "http://d.example.org/", f"<body><!-- {k} --><article><p>same</p><p>text</p></article>") for k in range(5)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in rows(wrapper.extract(df))}
+    for k in range(8):
+        assert got[k] == "\n".join([f"title {k}"] + [f"story {k} part {j}" for j in range(1 + k % 4)])
+    assert all(got[20 + k] == f"news {k}\nmore of {k}" for k in range(10))
+    assert got[30] == "its own tale"
+    assert all(got[k + j] == "same\ntext" for k in (40, 50) for j in range(5))
+
+
 def test_tree_matching_is_maximum():
     rng = random.Random(6)
 
