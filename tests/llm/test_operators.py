@@ -104,6 +104,27 @@ def test_ngram_join_edges(edge, none):
     assert set(kept[0]) == set(edge.columns)
 
 
+def test_keep_one_repeated_ids(spark):  # noqa: F811
+    words = [f"w{k}" for k in range(60)]
+    near = " ".join(words[:-1] + ["end"])
+    docs = [(1, " ".join(words), {"a": 1}), (5, near, None), (5, "a text of its own here", None),     # a copy of 1, and a unique text
+            (7, "ships and harbours of the north", None), (7, "hills and valleys of the south", None),
+            (8, "", None), (8, " ", None), (8, None, None), (None, near, None),
+            (9, "x y z u v w", None), (9, "X y  z u v w", None), (9, "x y z u v w", {"b": 2})]
+    got = []
+    for parts in (1, 5):
+        df = spark.createDataFrame(docs, "doc_id long, text string, extra map<string,int>").repartition(parts)
+        kept = ngramjoin.keep_one(df)
+        assert kept.columns == df.columns
+        got.append(sorted(map(str, kept.collect())))
+    assert got[0] == got[1]
+    texts = [(r["doc_id"], r["text"]) for r in rows(kept)]
+    assert sorted(t for t in texts if t[0] not in (8, 9, None)) == [
+        (1, " ".join(words)), (5, "a text of its own here"), (7, "hills and valleys of the south"),
+        (7, "ships and harbours of the north")]
+    assert [i for i, _ in texts].count(8) == 3 and [i for i, _ in texts].count(9) == 1 and (None, near) in texts
+
+
 def test_automaton_against_windows():
     rng = random.Random(1)
     for t in range(400):

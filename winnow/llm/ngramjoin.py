@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.llm.common import (ready, SPACES, WordHasher, cut, mix64, partitions, small, text_pieces,
-                               word_spans)
+                               with_text, word_spans)
 from winnow.llm.components import components
 
 # Fragments of the order in which the overlaps of candidate pairs are counted.
@@ -280,6 +280,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component, or null.  An empty table gives an empty result.  Other columns are
     ignored, whatever their names.  N-grams are compared by 64-bit hashes.
     """
+    m = _members(docs, id_col, text_col, ngram, pct)
+    return m.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _members(docs: DataFrame, id_col: str, text_col: str, ngram: int = 5, pct: int = 75) -> DataFrame:
+    """Per input row (id, key, key2, n, comp, component_id): its set's digest and size, and its component.
+
+    ``comp`` tells components apart, also those with one smallest id; it is null for an empty set.
+    """
     if not 50 <= pct <= 100:
         raise ValueError("pct must be in 50..100")
     spark = docs.sparkSession
@@ -355,10 +364,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = sets.join(comp.withColumnRenamed("node", "key"), "key", "left")
     named = named.withColumn("comp", F.coalesce("comp", "key"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "comp").select("key", "key2", "n", "component_id")
+    named = named.join(least, "comp").select("key", "key2", "n", "comp", "component_id")
     out = info.join(named, ["key", "key2", "n"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                      F.coalesce("component_id", "id").alias("component_id"))
+    return out.select("id", "key", "key2", "n", "comp", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def _arrow_type(t):
@@ -366,21 +374,56 @@ def _arrow_type(t):
     return to_arrow_type(t)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def _keyed(ngram: int, text_at: int, names: list[str]):
+    """mapInArrow: rows -> rows with key, key2 and n of their sets."""
+    def run(batches):
+        sh = Shingler(ngram)
+        for b in batches:
+            d, n = [], []
+            for _, sets in sh.sets(b.column(text_at)):
+                d += map(_digest, sets)
+                n += map(len, sets)
+            if d:
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns, pa.array(np.frombuffer(b"".join(x[:8] for x in d), np.int64)),
+                     pa.array(np.frombuffer(b"".join(x[8:] for x in d), np.int64)), pa.array(n, pa.int64())],
+                    names=names)
+    return run
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5,
+             pct: int = 75) -> DataFrame:
     """Documents without those that another one of their component stands for.
 
-    The row with the smallest id stays; of repeated rows with that id one stays; rows
-    with a null id and rows without words stay.
+    The row with the smallest id stays; of several rows of the component with that id the
+    one with the smallest text digest stays.  Rows with a null id and rows without words
+    stay.  Every row counts by its own text, also where rows share an id.
     """
-    comp = jaccard_components(docs, id_col, text_col, **options)
-    c = comp.where(f"n_shingles > 0 and `{id_col}` is not null and `{id_col}` <> component_id")
-    drop = cut(c.select(F.col(id_col).alias("_drop_id")).distinct(), "drop")
-    rest = docs.join(drop, docs[id_col] == drop["_drop_id"], "left_anti")
-    # repeated rows of a kept id
-    twice = (rest.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
-             .select(F.col(id_col).alias("_twice_id")))
-    twice = cut(twice, "twice")
-    if not twice.limit(1).count():
-        return rest
-    one = rest.join(twice, rest[id_col] == twice["_twice_id"], "left_semi").dropDuplicates([id_col])
-    return rest.join(twice, rest[id_col] == twice["_twice_id"], "left_anti").unionByName(one)
+    twice = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_twice_id")).agg(F.count(F.lit(1)).alias("m"))
+    twice = cut(twice.where("m > 1").select("_twice_id"), "twice")
+    repeated = twice.limit(1).count() > 0
+    comp = _members(docs, id_col, text_col, ngram, pct)
+    if repeated:
+        comp = cut(comp, "members")
+    c = comp.where("n > 0 and id is not null and id <> component_id")
+    drop = cut(c.select(F.col("id").alias("_drop_id")).distinct(), "drop")
+    if not repeated:
+        return docs.join(drop, docs[id_col] == drop["_drop_id"], "left_anti")
+    once = docs.join(twice, docs[id_col] == twice["_twice_id"], "left_anti")
+    once = once.join(drop, once[id_col] == drop["_drop_id"], "left_anti")
+    # rows of an id that others have too are told apart by their sets
+    many, text_at, added = with_text(docs.join(twice, docs[id_col] == twice["_twice_id"], "left_semi"), text_col)
+    id_at = docs.columns.index(id_col)
+    safe = [f"c{k}" for k in range(len(many.columns))]
+    many = many.toDF(*safe)
+    schema = ", ".join([f"{n} {f.dataType.simpleString()}" for n, f in zip(safe, many.schema)]
+                       + ["key long", "key2 long", "n long"])
+    many = many.mapInArrow(_keyed(ngram, text_at, [*safe, "key", "key2", "n"]), schema)
+    stay = (comp.join(twice, comp["id"] == twice["_twice_id"], "left_semi").where("n > 0 and id = component_id")
+            .select(F.col("id").alias(safe[id_at]), "key", "key2", "comp").distinct())
+    row = F.struct(*safe)
+    best = F.struct(F.sha2(F.col(safe[text_at]), 256), F.sha2(F.to_json(row), 256))
+    one = (many.where("n > 0").join(small(cut(stay, "stay")), [safe[id_at], "key", "key2"])
+           .groupBy(safe[id_at], "comp").agg(F.min_by(row, best).alias("row")).select("row.*"))
+    more = one.unionByName(many.where("n = 0").select(*safe)).select(*safe[:len(safe) - added])
+    return once.unionByName(more.toDF(*docs.columns))
