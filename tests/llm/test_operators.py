@@ -360,6 +360,15 @@ def test_toxicity(spark, edge, none):  # noqa: F811
     assert toxicity.score(none, toxicity.train(train.limit(0))).count() == 0
 
 
+def test_toxicity_rare_class(spark):  # noqa: F811
+    rng = random.Random(9)
+    ok = ["sun", "moon", "tree", "river", "stone", "cloud", "grass", "wind"]
+    data = [(k, " ".join(rng.choices(ok, k=30) + ["gnarfel"] * (k % 500 == 7)), int(k % 500 == 7)) for k in range(4000)]
+    df = spark.createDataFrame(data, "id long, text string, toxic int")
+    got = {r["id"]: r["score"] for r in rows(toxicity.score(df, toxicity.train(df, fit_rows=150)))}
+    assert all((got[k] >= toxicity.THRESHOLD) == bool(y) for k, _, y in data)
+
+
 def test_language_id(spark):  # noqa: F811
     docs = spark.createDataFrame([("the cat and the dog run over there " * 5, "en"), ("der hund und die katze laufen dort " * 5, "de"),
                                   (None, "en"), ("x", None)], "text string, lang string")

@@ -5,7 +5,9 @@
    ``r = log((toxic + 1) / (n_toxic + 2)) - log((clean + 1) / (n_clean + 2))``.
 2. *Classifier.*  The ``features`` buckets that separate the classes best become features
    ``r * [present]``; a logistic regression with L2 penalty is fitted to a sample of about
-   ``fit_rows`` training rows (drawn by the hash of the id).
+   ``fit_rows`` training rows (drawn by the hash of the id).  A class with less than a tenth
+   of the rows is drawn at a higher rate, up to all its rows, and the other one's rows
+   weigh more for that.
 3. *Scores.*  One pass over all whole texts, no shuffle; the model is 4 MB.
 """
 
@@ -89,13 +91,13 @@ def _present(chosen):
     return run
 
 
-def fit_logistic(row, col, scale, n_rows: int, y, penalty: float = 1.0, steps: int = 25):
-    """Logistic regression on features ``scale[col]`` at ``(row, col)``.
+def fit_logistic(row, col, scale, n_rows: int, y, weight, penalty: float = 1.0, steps: int = 25):
+    """Logistic regression on features ``scale[col]`` at ``(row, col)``, rows weighted.
 
     Newton steps with conjugate gradients; the intercept isn't penalized.
     """
     n_cols = len(scale)
-    w, bias = np.zeros(n_cols), np.log((y.sum() + 0.5) / (n_rows - y.sum() + 0.5))
+    w, bias = np.zeros(n_cols), np.log((weight @ y + 0.5) / (weight @ (1 - y) + 0.5))
 
     def dot(v):
         return np.bincount(row, (scale * v)[col], n_rows)
@@ -105,13 +107,14 @@ def fit_logistic(row, col, scale, n_rows: int, y, penalty: float = 1.0, steps: i
 
     def loss(w, bias):
         z = dot(w) + bias
-        return np.logaddexp(0, np.where(y == 1, -z, z)).sum() + penalty / 2 * (w @ w)
+        return (weight * np.logaddexp(0, np.where(y == 1, -z, z))).sum() + penalty / 2 * (w @ w)
 
     at = loss(w, bias)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(dot(w) + bias, -500, 500)))
-        g, gb = back(p - y) + penalty * w, (p - y).sum()
-        h = np.maximum(p * (1 - p), 1e-9)
+        e = weight * (p - y)
+        g, gb = back(e) + penalty * w, e.sum()
+        h = weight * np.maximum(p * (1 - p), 1e-9)
         # conjugate gradients for the Newton direction
         x, xb = np.zeros(n_cols), 0.0
         r, rb = -g, -gb
@@ -179,8 +182,10 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, features: int = FEATURE
     buckets, ratio = c.bucket.to_numpy()[best], ratio.to_numpy()[best]
     at = np.full(1 << BITS, -1, np.int64)
     at[buckets] = np.arange(len(buckets))
-    share = min(1.0, fit_rows / (n0 + n1))
-    sample = lab.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    # a rare class is drawn at a higher rate, so that a tenth of the fit rows is its own
+    share = [min(1.0, max(fit_rows / (n0 + n1), fit_rows / 10 / n)) for n in (n0, n1)]
+    below = [F.lit(int(x * (1 << 30))) for x in share]
+    sample = lab.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.when(F.col("toxic") == 1, below[1]).otherwise(below[0]))
     chosen = spark.sparkContext.broadcast(at >= 0)
     got = (sample.select("text", "toxic").mapInArrow(_present(chosen), "toxic int, buckets array<int>")
            .toArrow())                                       # about fit_rows lists of at most `features`
@@ -201,10 +206,11 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, features: int = FEATURE
         del got, lists, col
         cells.sort()
     if not len(y) or y.min() == y.max():
-        return Model(weight, float(np.log((n1 + 1) / (n0 + 1))))
+        raise ValueError(f"the fit sample of {len(y)} rows holds one class only ({n0} clean, {n1} toxic rows in all); "
+                         "fit_rows is too small")
     row, col = np.divmod(cells, k)
     del cells
-    w, bias = fit_logistic(row, col, ratio, len(y), y)
+    w, bias = fit_logistic(row, col, ratio, len(y), y, max(share) / np.where(y == 1, share[1], share[0]))
     weight[buckets] = w * ratio
     return Model(weight, float(bias))
 
