@@ -27,8 +27,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages cut out of the texts; documents that are mostly such passages go."""
-    return decontaminate.decontaminate(docs, spark.read.parquet(table_path(sf_dir, "benchmark")))
+    """Benchmark passages cut out of the texts; documents that are mostly such passages go.
+
+    Items of fewer than 10 words (the window) are cut nowhere; a document goes if one run of
+    their words covers more than half of it.
+    """
+    return decontaminate.decontaminate(docs, spark.read.parquet(table_path(sf_dir, "benchmark")), spare_short=True)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -164,6 +164,21 @@ def test_decontamination(spark, edge, none):  # noqa: F811
     assert e.columns == edge.columns and sorted(map(str, e.collect())) == sorted(map(str, edge.collect()))
 
 
+def test_decontamination_spares_short_items(spark, monkeypatch):  # noqa: F811
+    import corpus_pipeline
+    long = " ".join(f"q{k}" for k in range(10))
+    items = spark.createDataFrame([(1, "the"), (2, "of"), (3, long), (4, "Où est-il?"), (5, None)], "item_id long, text string")
+    monkeypatch.setattr(corpus_pipeline, "table_path", lambda sf_dir, name: name)
+
+    class Session:
+        class read:
+            parquet = staticmethod(lambda path: items)
+    docs = spark.createDataFrame([(1, "the end of the day of the year"), (2, "the of the of"), (3, "où est il"), (4, None),
+                                  (5, "x " * 20 + long + " the end")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in rows(corpus_pipeline.benchmark_decontamination(Session, docs, ""))}
+    assert got == {1: "the end of the day of the year", 4: None, 5: "x " * 20 + " the end"}
+
+
 def test_exact_dedup(spark, edge, none):  # noqa: F811
     got = rows(exactdedup.dedup_once(edge))
     by = {r["doc_id"]: r for r in got}

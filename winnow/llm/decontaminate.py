@@ -28,6 +28,8 @@ BLOCK_BYTES = 1 << 20
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80
                else 0x20 for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+# The same as characters, for Spark.
+_CHARS = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -245,7 +247,8 @@ def _chained(first, second):
     return run
 
 
-def _remove(min_span: int, coverage: float):
+def _remove(min_span: int, coverage: float, whole: bool = False):
+    """The function of the last pass; with ``whole`` only spans that cover the document by themselves count."""
     def finish(text_at: int, names: list[str]):
         def run(batches):
             for b in batches:
@@ -253,7 +256,8 @@ def _remove(min_span: int, coverage: float):
                 spans = b.column(b.num_columns - 1).to_pylist()
                 keep, texts = [], {}
                 for r, s in enumerate(spans):
-                    cut = [(x["start"], x["end"]) for x in s if x["end"] - x["start"] >= min_span]
+                    cut = [(x["start"], x["end"]) for x in s if x["end"] - x["start"] >= min_span
+                           and not (whole and x["end"] - x["start"] <= coverage * n_words[r])]
                     if cut and sum(y - x for x, y in cut) > coverage * n_words[r]:
                         continue
                     if cut:
@@ -272,15 +276,24 @@ def _remove(min_span: int, coverage: float):
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = 10,
-                  min_span: int = 1, max_coverage: float = 0.5, **options) -> DataFrame:
+                  min_span: int = 1, max_coverage: float = 0.5, spare_short: bool = False, **options) -> DataFrame:
     """``docs`` with benchmark passages removed; same columns.
 
     Spans of at least ``min_span`` words are cut out of the text; a document of which they
     cover more than ``max_coverage`` is dropped.  Clean documents are returned unchanged.
     Null and empty texts are clean.
+
+    With ``spare_short`` items of fewer than ``window`` words aren't cut out, as they may be
+    common words: they drop a document only where one run of their words covers more than
+    ``max_coverage`` of it.
     """
     if docs.schema[text_col].dataType.simpleString() != "string":
         raise TypeError(f"{text_col} is no string column")
+    if spare_short:
+        n = F.regexp_count(F.coalesce(F.col(options.get("item_text", "text")).cast("string"), F.lit("")), F.lit(_CHARS))
+        short, items = items.where((n > 0) & (n < window)), items.where(n >= window)
+        if short.limit(1).count():
+            docs = find_items(docs, short, text_col, window=window, finish=_remove(1, max_coverage, True), **options)
     return find_items(docs, items, text_col, window=window, finish=_remove(min_span, max_coverage), **options)
 
 
