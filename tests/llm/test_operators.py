@@ -164,6 +164,20 @@ def test_decontamination(spark, edge, none):  # noqa: F811
     assert e.columns == edge.columns and sorted(map(str, e.collect())) == sorted(map(str, edge.collect()))
 
 
+def test_decontamination_blocks_of_repeated_items(spark, monkeypatch):  # noqa: F811
+    size, build = [], decontaminate.Automaton.__init__
+
+    def spy(self, items, window):
+        size.append(sum(len(t) for _, t in items))
+        build(self, items, window)
+    monkeypatch.setattr(decontaminate.Automaton, "__init__", spy)
+    items = spark.createDataFrame([(0, "one and the same row")] * 200 + [(k, f"item {k} of the rest") for k in range(1, 50)],
+                                  "item_id long, text string")
+    docs = spark.createDataFrame([(1, "one and the same row"), (2, "see item 7 of the rest")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in rows(decontaminate.contamination(docs, items, block_bytes=400))}
+    assert got == {1: (5, 1), 2: (5, 1)} and max(size) < 1000
+
+
 def test_decontamination_spares_short_items(spark, monkeypatch):  # noqa: F811
     import corpus_pipeline
     long = " ".join(f"q{k}" for k in range(10))

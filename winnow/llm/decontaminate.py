@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import ready, slices, with_text
+from winnow.llm.common import cut, ready, slices, with_text
 
 # Item text in one automaton (about 400 bytes of memory per byte at the most).
 BLOCK_BYTES = 1 << 20
@@ -198,8 +198,8 @@ def find_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
     ``items`` are the ids (as strings, sorted) of items with an occurring window, ``spans``
     the merged word ranges ``[start, end)`` that lie in occurrences, ``longest`` the longest
     match.  A null or empty text has no words; an item without words matches nothing; an
-    item with a null id marks words but isn't listed; repeated items and documents each
-    count for themselves.  An empty benchmark leaves all documents clean.
+    item with a null id marks words but isn't listed; repeated items add nothing, repeated
+    documents each count for themselves.  An empty benchmark leaves all documents clean.
 
     ``finish(text position, column names)`` may give a function over the batches of the
     last pass that returns batches of the input's columns; these are the result then.
@@ -207,6 +207,7 @@ def find_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
     spark = docs.sparkSession
     ready(spark)
     it = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t"))
+    it = cut(it.distinct(), "items")
     size = it.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
     block = F.pmod(F.xxhash64("i", "t"), F.lit(blocks))
