@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -144,40 +145,38 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class WordHasher:
-    """64-bit polynomial hashes of words, vectorized over a buffer.
+    """64-bit hashes of words with A-Z as a-z, vectorized over a buffer.
 
-    ``hash(word) = mix(sum_i R[byte_i] * P**i)`` with a random odd table R; the power of
-    the word's offset is divided out, so one cumulative sum serves every word.  Two
-    different words share a hash with a chance of about 2**-58.
+    ``hash(word) = mix(sum_i T[i, byte_i] + length)`` with a table T of random numbers for
+    every place up to PLACES and every byte; longer words take a BLAKE2b digest.  Two
+    different words share a hash with a chance of about 2**-64, whatever their letters.
     """
 
-    P = 0x9E3779B97F4A7C15
+    PLACES = 64
 
     def __init__(self):
-        draws = np.random.default_rng(20240607).integers(0, 2**63, 256, dtype=np.uint64)
-        table = draws * np.uint64(2) + np.uint64(1)
-        table[65:91] = table[97:123]          # A-Z as a-z
-        self.table = table
-        self.size = 0
-
-    def _powers(self, n: int):
-        if n > self.size:
-            self.size = max(n, PIECE_BYTES + 1)
-            up = np.full(self.size, self.P, np.uint64)
-            down = np.full(self.size, pow(self.P, -1, 2**64), np.uint64)
-            up[0] = down[0] = 1
-            self.up, self.down = np.cumprod(up), np.cumprod(down)
+        table = np.random.default_rng(20240607).integers(0, 2**64, (self.PLACES, 256), dtype=np.uint64)
+        table[:, 65:91] = table[:, 97:123]          # A-Z as a-z
+        self.table = table.ravel()
+        self.lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
     def hashes(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         out = np.empty(len(s), np.uint64)
+        size = e - s
+        for k in np.flatnonzero(size > self.PLACES):
+            word = data[s[k]:e[k]].tobytes().translate(self.lower)
+            out[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        short = np.flatnonzero(size <= self.PLACES)
+        s, size = s[short], size[short]
+        ends = np.cumsum(size)
         i = 0
         while i < len(s):
-            # whole words, PIECE_BYTES of them (or one longer word) at a time
-            j = max(int(np.searchsorted(e, s[i] + PIECE_BYTES, "right")), i + 1)
-            a, b = int(s[i]), int(e[j - 1])
-            self._powers(b - a)
-            sums = np.zeros(b - a + 1, np.uint64)
-            np.cumsum(self.table[data[a:b]] * self.up[:b - a], out=sums[1:])
-            out[i:j] = (sums[e[i:j] - a] - sums[s[i:j] - a]) * self.down[s[i:j] - a]
+            # words of PIECE_BYTES together
+            j = max(int(np.searchsorted(ends, ends[i] - size[i] + PIECE_BYTES, "right")), i + 1)
+            begin = ends[i:j] - size[i:j] - (ends[i] - size[i])
+            place = np.arange(ends[j - 1] - ends[i] + size[i]) - np.repeat(begin, size[i:j])
+            byte = data[place + np.repeat(s[i:j], size[i:j])]
+            sums = np.add.reduceat(self.table[(place << 8) | byte], begin)
+            out[short[i:j]] = mix64(sums + size[i:j].astype(np.uint64))
             i = j
-        return mix64(out)
+        return out
