@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import (chatformat, decontaminate, exactdedup, langid, mixing, ngramjoin, secretscan, sharding,
-                        toxicity, wrapper)
+from winnow.llm import (chatformat, convtrie, decontaminate, exactdedup, langid, minmax, mixing, ngramjoin, periodic,
+                        secretscan, sharding, toxicity, wrapper)
 from winnow.session import table_path
 
 SHARDS = 40
@@ -83,6 +85,33 @@ def op10_entropy_mix(spark, sf_dir):
     return m.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op11_minmax_near_dedup(spark, sf_dir):
+    """Components of documents with Jaccard of 0.85 or more on 5-word shingles."""
+    return minmax.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op12_conversation_trie(spark, sf_dir):
+    """Prefix trie of the conversations, each rebuilt on the first turns of its family's first one."""
+    return convtrie.trie(*convtrie.grafted(convtrie.turns(_read(spark, sf_dir, "conversations"))))
+
+
+def looped(doc_id, words: list) -> list:
+    """Every tenth document's words from some place on repeat their first few; a null id leaves them."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op13_periodic_runs(spark, sf_dir):
+    """Periodic runs of words in every document."""
+    r = periodic.report(_read(spark, sf_dir, "documents"), edit=looped)
+    return r.drop("n_words")
+
+
 def pipeline(spark, sf_dir):
     """The stages of corpus_pipeline.py over documents."""
     import corpus_pipeline
@@ -91,4 +120,5 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_language_id, op3_hilbert_shards, op4_wrapper_text, op5_toxicity, op6_chat_format,
-    op7_exact_dedup, op8_ngram_join, op9_secret_scan, op10_entropy_mix, pipeline)}
+    op7_exact_dedup, op8_ngram_join, op9_secret_scan, op10_entropy_mix,
+    op11_minmax_near_dedup, op12_conversation_trie, op13_periodic_runs, pipeline)}
