@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.operators.ranking import LIMIT_K, BROADCAST_ROWS, maybe_broadcast, take_top
+from winnow.operators.ranking import LIMIT_K, BROADCAST_ROWS, maybe_broadcast, take_top, top_by_threshold
 from winnow.session import materialize
 
 ID = "example_id"
@@ -63,13 +63,18 @@ def topk_by_score(scores: DataFrame, budget: float, n: int | None = None,
     value = F.col(score_col).cast("double")
     finite = ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
     scores = scores.withColumn(score_col, F.when(finite, value))
-    if n is None:
+    written = n is None
+    if written:
         # Count and rank read one written score table instead of running the
         # scoring plan twice.
         scores = materialize(scores.select(id_col, score_col))
         n = scores.count()
     k = chosen_k(scores, budget, n)
-    top = take_top(scores.select(id_col, score_col), k, rank_order(score_col, id_col))
+    if k <= LIMIT_K:
+        top = take_top(scores.select(id_col, score_col), k, rank_order(score_col, id_col))
+    else:
+        ranked = scores.select(id_col, score_col, significant(F.col(score_col)).alias("_key"))
+        top = top_by_threshold(ranked if written else materialize(ranked), k, "_key", id_col)
     score = F.col(score_col)
     out = significant(score) if out_digits is None else F.round(score, out_digits) + F.lit(0.0)
     return top.select(id_col, out.alias(score_col))

@@ -128,7 +128,7 @@ def miwv_score(cond: DataFrame, oneshot: DataFrame, id_col: str = ID) -> DataFra
 
 
 def miwv_scores(tok: DataFrame, vecs: DataFrame, lm: CountLM, max_length: int | None = None,
-                id_col: str = ID, nn_mode: str = "exact") -> DataFrame:
+                id_col: str = ID, nn_mode: str = "index") -> DataFrame:
     """MIWV = loss with the one-shot context - loss without it.
 
     When every record has a prompt, the response tokens see the same previous

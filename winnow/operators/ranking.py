@@ -8,12 +8,15 @@
   folder so every reader sees the same positions, then per-partition offsets
   from a table with one row per (partition, group).
 * Per-group ranks whose largest group is proven small use a plain window.
+* Top-k by score with large k (:func:`top_by_threshold`): mergeable quantile summaries bound
+  the k-th score, exact counts confirm the bounds, and only the rows between them are sorted.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from winnow.session import ensure_checkpoint_dir
 
@@ -110,6 +113,81 @@ def take_top(df: DataFrame, k: int, order_cols: list) -> DataFrame:
     return rank_rows(df, order_cols, name="_rk").filter(F.col("_rk") <= k).drop("_rk")
 
 
+# Rows between the bounds of a threshold that are sorted; more are narrowed further.
+BAND_ROWS = 1_000_000
+# Relative rank error of a quantile summary is 1 / SUMMARY.
+SUMMARY = 2_000
+
+
+def _narrowed(band: DataFrame, col: str, k: int, rows: int):
+    """Bounds for the k-th smallest ``col`` of ``band``: (low, high, below, within).
+
+    ``below`` rows are smaller than ``low``, ``within`` rows lie in [low, high], and
+    below < k <= below + within: counted, not estimated.  The bounds come from a quantile
+    summary, which merges per task.
+    """
+    slack = 2.0 / SUMMARY
+    while True:
+        p = [max(0.0, k / rows - slack), min(1.0, k / rows + slack)]
+        low, high = band.agg(F.percentile_approx(col, p, SUMMARY).alias("q")).first()["q"]
+        if p[0] == 0.0 or p[1] == 1.0:
+            least, most = band.agg(F.min(col), F.max(col)).first()
+            low, high = (least if p[0] == 0.0 else low), (most if p[1] == 1.0 else high)
+        c = F.col(col)
+        below, upto = band.agg(F.count_if(c < F.lit(low)), F.count_if(c <= F.lit(high))).first()
+        if below < k <= upto:
+            return low, high, below, upto - below
+        slack *= 4
+
+
+def top_by_threshold(df: DataFrame, k: int, score_col: str, id_col: str, band_rows: int | None = None) -> DataFrame:
+    """The ``k`` rows of ``df`` with the highest score; ties go to the lower id, NULL scores rank last.
+
+    ``df`` is read several times (a written table); scores are finite doubles, ids are unique.
+    The table is scanned and filtered, never exchanged as a whole: rows beyond the bounds of
+    the k-th key are taken or left by comparison, only those between are sorted.  If a tied
+    score (or NULL) fills the band, the ids of the tie are narrowed likewise; ids that are not
+    integers are sorted within their tie.
+    """
+    limit = BAND_ROWS if band_rows is None else band_rows
+    if k <= 0:
+        return df.limit(0)
+    key = F.col(score_col)
+    valid = df.agg(F.count(key), F.count(F.lit(1))).first()
+    if k >= valid[1]:
+        return df
+    taken = []
+    if k <= valid[0]:
+        band, left, rows = df.where(key.isNotNull()), k, valid[0]
+        low = None
+        while rows > limit:
+            asc = band.withColumn("_neg", -key)
+            bounds = _narrowed(asc, "_neg", left, rows)
+            high, low = -bounds[0], -bounds[1]
+            taken.append(band.where(key > F.lit(high)))
+            band, left = band.where(key.between(F.lit(low), F.lit(high))), left - bounds[2]
+            if bounds[3] == rows or low == high:
+                rows = bounds[3]
+                break
+            rows = bounds[3]
+        tied = rows > limit and low is not None and band.where(key != F.lit(low)).limit(1).count() == 0
+    else:
+        taken.append(df.where(key.isNotNull()))
+        band, left, rows, tied = df.where(key.isNull()), k - valid[0], valid[1] - valid[0], True
+    if tied and isinstance(df.schema[id_col].dataType, IntegralType):
+        while rows > limit:
+            low, high, below, within = _narrowed(band, id_col, left, rows)
+            taken.append(band.where(F.col(id_col) < F.lit(low)))
+            band, left = band.where(F.col(id_col).between(F.lit(low), F.lit(high))), left - below
+            if within == rows:
+                break
+            rows = within
+    out = take_top(band, left, [F.desc_nulls_last(score_col), F.asc(id_col)])
+    for t in taken:
+        out = out.unionByName(t)
+    return out
+
+
 def take_top_per_group(df: DataFrame, group_cols: list, k_col: str, order_cols: list,
                        max_group: int | None = None) -> DataFrame:
     """Per group, the first ``k_col`` rows under ``order_cols``."""

@@ -5,7 +5,11 @@ encoder are hashed: token t gets the sign vector read from the bits of
 md5(seed:tokvec:t) (bit 1 -> -1, bit 0 -> +1), i.e. a fixed random
 projection of term counts, computed inside the row (no vocabulary join).
 
-Exact nearest neighbours (F8) and max-similarity (F9) run as tiled matrix
+Nearest neighbours (F8) use a metric index: rows lie in cells around pivots, and the
+triangle inequality of angles tells which blocks of rows can hold a better match than
+the one a row has already; only those are compared, so the result is exact.
+
+Max-similarity (F9) and the plain exact search run as tiled matrix
 products: rows are hashed into blocks, each (row block, column block) tile
 is one ``cogroup(...).applyInPandas`` task doing a numpy matmul, and only
 each row's best match per tile leaves the task -- no pair rows are formed.
@@ -269,35 +273,220 @@ def _hyperplane_buckets(unit: DataFrame, dim: int, tables: int, bits: int, seed:
     return withp.select(F.explode(keys.cast("array<long>")).alias("g"), "id", "v")
 
 
-def nearest_neighbor(vecs: DataFrame, mode: str = "exact", block: int = 512, id_col: str = ID,
-                     vec_col: str = "vec", tables: int = 4, bucket_rows: int = 2048,
+# --- metric index ----------------------------------------------------------------
+
+# Rows of a block, the most cells and blocks (their bounds are broadcast), and the
+# visiting rows that one task compares with a block.
+INDEX_BLOCK = 1024
+MAX_CELLS = 4096
+MAX_BLOCKS = 200_000
+VISIT_ROWS = 8192
+# Rings of a large cell, by the angle to its centre.
+RINGS = 64
+# Float error allowed for angles (arccos near 1) and rounded similarities.
+ANGLE_SLACK, SIM_SLACK = 1e-7, 2e-9
+
+
+class MetricIndex:
+    """Cells around pivots, cut into blocks of bounded size: bounds per block, on the driver.
+
+    ``rows`` are ``(id, v)`` distinct unit vectors (a zero vector counts as orthogonal to
+    all, which keeps the triangle inequality).  At most MAX_CELLS centres and MAX_BLOCKS
+    bounds are held; blocks grow with the table beyond that, and oversized rings are split
+    by a hash of the id, so a dense cell is never one task's work.
+    """
+
+    def __init__(self, rows: DataFrame, n: int, block: int = INDEX_BLOCK, cells: int | None = None, seed: int = 42):
+        self.n, self.block = n, max(block, -(-2 * n // MAX_BLOCKS))
+        k = cells or min(MAX_CELLS, max(1, math.isqrt(n)))
+        centers = lloyd_centers(rows, k, seed, 2, "id")
+        self.centers = centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
+        bc = rows.sparkSession.sparkContext.broadcast(self.centers)
+
+        def nearest(batches):
+            for pdf in batches:
+                for lo in range(0, len(pdf), 4096):
+                    part = pdf.iloc[lo:lo + 4096]
+                    angle = _angles(np.vstack(part["v"].to_numpy()), bc.value)
+                    cell = np.argmin(angle, axis=1)
+                    yield part[["id", "v"]].assign(cell=cell, angle=angle[np.arange(len(part)), cell])
+        self.rows = materialize(rows.mapInPandas(nearest, "id long, v array<double>, cell long, angle double"))
+        cuts = [(r + 1) / RINGS for r in range(RINGS - 1)]
+        stats = self.rows.groupBy("cell").agg(
+            F.count(F.lit(1)).alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi"),
+            F.percentile_approx("angle", cuts, 1000).alias("q")).orderBy("cell").collect()
+        self.least = np.full(len(self.centers), np.inf)         # angle of each cell's innermost row
+        self.first, self.rings, cell, lo, hi, base = {}, {}, [], [], [], 0
+        for r in stats:
+            self.least[r["cell"]] = r["lo"]
+            rings = min(RINGS, -(-r["n"] // self.block))
+            edges = np.unique([r["q"][j * RINGS // rings - 1] for j in range(1, rings)])
+            parts = -(-r["n"] // (self.block * (len(edges) + 1)))
+            self.first[r["cell"]], self.rings[r["cell"]] = base, (edges, parts)
+            for a, b in zip([r["lo"], *edges], [*edges, r["hi"]]):
+                cell += [r["cell"]] * parts
+                lo += [a] * parts
+                hi += [b] * parts
+                base += parts
+        self.cell, self.lo, self.hi = np.array(cell), np.array(lo), np.array(hi)
+
+    def blocked(self) -> DataFrame:
+        """``(id, v, blk)``: the rows with the number of their block."""
+        bc = self.rows.sparkSession.sparkContext.broadcast((self.first, self.rings))
+
+        def place(batches):
+            first, rings = bc.value
+            for pdf in batches:
+                at = np.empty(len(pdf), np.int64)
+                cells, angle, hashed = (pdf[c].to_numpy() for c in ("cell", "angle", "h"))
+                for c in np.unique(cells):
+                    own = cells == c
+                    edges, parts = rings[int(c)]
+                    at[own] = first[int(c)] + np.searchsorted(edges, angle[own]) * parts + hashed[own] % parts
+                yield pdf[["id", "v"]].assign(blk=at)
+        rows = self.rows.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 30)))
+        return rows.mapInPandas(place, "id long, v array<double>, blk long")
+
+    def visits(self) -> DataFrame:
+        """``(id, v, nn_id, sim, blocks)``: the best match in the own block, and the other
+        blocks that may hold a better one by the bounds."""
+        bc = self.rows.sparkSession.sparkContext.broadcast((self.centers, self.cell, self.lo, self.hi, self.least))
+
+        def own(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            centers, cell, lo, hi, least = bc.value
+            pdf = pdf.sort_values("id")
+            v, ids, blk = np.vstack(pdf["v"].to_numpy()), pdf["id"].to_numpy(), int(key[0])
+            best, who, blocks = np.full(len(ids), -np.inf), np.full(len(ids), -1), []
+            step = max(1, 4_000_000 // max(len(cell), len(ids)))
+            for a in range(0, len(ids), step):
+                part = slice(a, min(a + step, len(ids)))
+                sims = np.round(v[part] @ v.T, SIM_DIGITS)
+                sims[np.arange(sims.shape[0]), np.arange(a, part.stop)] = -np.inf
+                j = np.argmax(sims, axis=1)                      # first maximum: lowest id
+                best[part], who[part] = sims[np.arange(len(j)), j], ids[j]
+                angle = _angles(v[part], centers)
+                # some row lies at most so far away: the innermost one of any other cell
+                far = angle + least
+                far[:, cell[blk]] = np.inf
+                sure = np.maximum(best[part], np.cos(np.minimum(far.min(axis=1) + ANGLE_SLACK, np.pi)))
+                to = angle[:, cell]
+                gap = np.maximum(np.maximum(to - hi, lo - to) - ANGLE_SLACK, 0)
+                may = np.cos(gap) >= (sure - SIM_SLACK)[:, None]
+                may[:, blk] = False
+                blocks += [np.flatnonzero(m).astype(np.int32) for m in may]
+            found = np.isfinite(best)
+            return pd.DataFrame({"id": ids, "v": list(v), "nn_id": np.where(found, who, -1),
+                                 "sim": np.where(found, best, -2.0), "blocks": blocks})
+        return self.blocked().groupBy("blk").applyInPandas(
+            own, "id long, v array<double>, nn_id long, sim double, blocks array<int>")
+
+    def search(self) -> DataFrame:
+        """``(id, nn_id, sim)`` of every row that has another one."""
+        seen = materialize(self.visits())
+        ask = seen.select("id", "v", "sim", F.explode(F.col("blocks").cast("array<long>")).alias("blk"))
+        parts = ask.groupBy("blk").agg(F.ceil(F.count(F.lit(1)) / VISIT_ROWS).cast("long").alias("parts"))
+        parts = materialize(parts)                               # one row per block
+        ask = ask.join(F.broadcast(parts), "blk").withColumn("part", F.pmod(F.xxhash64("id", "blk"), F.col("parts")))
+        held = self.blocked().join(F.broadcast(parts), "blk").select(
+            F.col("id").alias("rid"), F.col("v").alias("rv"), "blk",
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+
+        def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            out = _tile_best(None, left, right, False) if len(left) and len(right) else \
+                pd.DataFrame({"example_id": [], "nn_id": [], "sim": []})
+            return out.rename(columns={"example_id": "id"})
+        more = ask.groupBy("blk", "part").cogroup(held.groupBy("blk", "part")).applyInPandas(
+            tile, "id long, nn_id long, sim double")
+        best = seen.where("sim > -2").select("id", "nn_id", "sim").unionByName(more).groupBy("id").agg(
+            F.max(F.struct(F.col("sim"), (-F.col("nn_id")).alias("neg"))).alias("b"))
+        return best.select("id", (-F.col("b.neg")).alias("nn_id"), F.col("b.sim").alias("sim"))
+
+
+def _angles(v: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(v @ centers.T, -1.0, 1.0))
+
+
+def _index_search(unit: DataFrame, block: int) -> DataFrame:
+    """:class:`MetricIndex` over the distinct vectors; equal vectors answer each other."""
+    unit = materialize(unit.select("id", "v", F.xxhash64(F.lit(1), "v").alias("h1"), F.xxhash64(F.lit(2), "v").alias("h2")))
+    same = unit.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    copies = materialize(unit.join(same, ["h1", "h2"]).where("id <> rep").select("id", "rep"))
+    n = unit.count()
+    none = unit.select("id", F.col("id").alias("nn_id"), F.lit(0.0).alias("sim")).limit(0)
+    if n < 2:
+        return none
+    if not copies.limit(1).count():
+        return MetricIndex(unit.select("id", "v"), n, block).search()
+    once = materialize(unit.join(copies.select("id"), "id", "left_anti").select("id", "v"))
+    n = once.count()
+    found = materialize(MetricIndex(once, n, block).search()) if n > 1 else none
+    # the least other id with the same vector, and what the vector's first row found
+    second = copies.groupBy(F.col("rep").alias("id")).agg(F.min("id").alias("twin"))
+    own = once.join(second, "id").select("id", F.col("id").alias("rep"), "twin").unionByName(
+        copies.select("id", "rep", F.col("rep").alias("twin")))
+    own = own.join(once.select(F.col("id").alias("rep"), F.round(dot("v", "v"), SIM_DIGITS).alias("self")), "rep")
+    theirs = own.join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    pick = F.greatest(F.struct(F.col("self").alias("sim"), (-F.col("twin")).alias("neg")),
+                      F.when(F.col("nn_id").isNotNull(), F.struct(F.col("sim"), (-F.col("nn_id")).alias("neg"))))
+    merged = theirs.select("id", pick.alias("b")).select("id", (-F.col("b.neg")).alias("nn_id"), F.col("b.sim").alias("sim"))
+    return found.join(own.select("id"), "id", "left_anti").select("id", "nn_id", "sim").unionByName(merged)
+
+
+# Rows on which the hash tables' recall is measured, and the recall they must reach.
+RECALL_ROWS = 256
+RECALL = 0.9
+MAX_TABLES = 64
+
+
+def _lsh_search(unit: DataFrame, n: int, block: int, tables: int, bucket_rows: int, seed: int) -> DataFrame:
+    """Random-hyperplane hash tables, doubled until the measured recall reaches RECALL.
+
+    Recall is that of the first RECALL_ROWS rows by md5 against the exact search over all rows;
+    if MAX_TABLES tables don't reach it, the exact index answers.  Rows alone in all their
+    buckets are answered exactly.
+    """
+    from winnow.functions.hashing import draw_key
+    unit = materialize(unit)
+    dim = len(unit.select("v").first()["v"])
+    bits = max(0, int(math.ceil(math.log2(max(n / float(bucket_rows), 1.0)))))
+    sample = materialize(unit.orderBy(draw_key(seed, "recall", "id"), "id").limit(RECALL_ROWS))
+    true = materialize(_tiled(sample, unit, RECALL_ROWS, n, block, True))
+    while tables <= MAX_TABLES:
+        found = materialize(_tiled_grouped(_hyperplane_buckets(unit, dim, tables, bits, seed), block))
+        alone = materialize(unit.join(found.select(F.col("example_id").alias("id")), "id", "left_anti"))
+        rest = _tiled(alone, unit, alone.count(), n, block, True)
+        found = found.unionByName(rest)
+        hit = true.join(found.select("example_id", F.col("sim").alias("got")), "example_id").where("got = sim").count()
+        if hit >= RECALL * true.count():
+            return found.withColumnRenamed("example_id", "id")
+        tables *= 2
+    return _index_search(unit, INDEX_BLOCK)
+
+
+def nearest_neighbor(vecs: DataFrame, mode: str = "index", block: int = 512, id_col: str = ID,
+                     vec_col: str = "vec", tables: int = 8, bucket_rows: int = 2048,
                      seed: int = 7) -> DataFrame:
     """F8: the most cosine-similar *other* row (ties to the lower id), ``(example_id, nn_id, sim)``.
 
-    ``exact``: tiled search (work N^2 d / #cores, memory 2 * block * d per task).
-    ``lsh``: random-hyperplane LSH with ``tables`` hash tables and enough bits for
-    buckets of about ``bucket_rows``; each bucket is searched with the tiled
-    kernel; rows alone in all their buckets are finished by the exact tiled
-    search, so every row is answered.  (Approximate: a true neighbour sharing
-    no bucket is missed.)
+    ``index``: exact, by a :class:`MetricIndex`; clustered vectors compare a fraction of all
+    block pairs, without structure it degrades to all of them.
+    ``exact``: tiled search of all pairs (work N^2 d / #cores, memory 2 * block * d per task).
+    ``lsh``: approximate, at least ``tables`` hash tables with buckets of about
+    ``bucket_rows``, more until the recall measured on a sample reaches RECALL.
+
+    A single row has no neighbour and no result; rows with a null vector are left out.
     """
-    unit = _unit(vecs, id_col, vec_col)
+    unit = _unit(vecs.where(F.col(vec_col).isNotNull()), id_col, vec_col)
+    if mode == "index":
+        return _index_search(unit, INDEX_BLOCK).withColumnRenamed("id", id_col)
     n = unit.count()
     if mode == "exact":
         return _tiled(unit, unit, n, n, block, True).withColumnRenamed("example_id", id_col)
     if mode != "lsh":
-        raise ValueError("mode must be 'exact' or 'lsh'")
-    dim = len(unit.select("v").first()["v"])
-    bits = max(0, int(math.ceil(math.log2(max(n / float(bucket_rows), 1.0)))))
-    buckets = _hyperplane_buckets(unit, dim, tables, bits, seed)
-    found = materialize(_tiled_grouped(buckets, block))
-    missing = unit.join(found.select(F.col("example_id").alias("id")), "id", "left_anti")
-    n_missing = missing.count()
-    found = found.withColumnRenamed("example_id", id_col)
-    if n_missing == 0:
-        return found
-    rest = _tiled(missing, unit, n_missing, n, block, True).withColumnRenamed("example_id", id_col)
-    return found.unionByName(rest)
+        raise ValueError("mode must be 'index', 'exact' or 'lsh'")
+    if n < 2:
+        return _tiled(unit, unit, n, n, block, True).withColumnRenamed("example_id", id_col)
+    return _lsh_search(unit, n, block, tables, bucket_rows, seed).select(F.col("id").alias(id_col), "nn_id", "sim")
 
 
 def pairwise_similarity_agg(vecs: DataFrame, val_vecs: DataFrame, agg: str = "mean",
@@ -337,11 +526,16 @@ def kmeans_labels(vecs: DataFrame, k: int, seed: int = 42, iters: int = 25, id_c
         model = KMeans(k=k, seed=seed, maxIter=iters, initMode="random", tol=0.0,
                        featuresCol="features", predictionCol="label").fit(feats)
         return model.transform(feats).select(id_col, F.col("label").cast("long").alias("label"))
+    x = materialize(vecs.select(id_col, to_double(vec_col).alias("v")))
+    used = lloyd_centers(x, max(1, min(k, x.count())), seed, iters, id_col)
+    return _assign(x, used, id_col).select(id_col, "label")          # the labels of the last pass
+
+
+def lloyd_centers(x: DataFrame, k: int, seed: int, iters: int, id_col: str) -> np.ndarray:
+    """Centres that the last of ``iters`` passes over ``x(id, v)`` used (see :func:`kmeans_labels`)."""
+    from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
     from winnow.functions.hashing import draw_key
-    x = materialize(vecs.select(id_col, to_double(vec_col).alias("v")))
-    n = x.count()
-    k = max(1, min(k, n))
     init = (x.withColumn("_d", draw_key(seed, "kmeans-init", id_col))
              .orderBy("_d", id_col).limit(k).select("v").collect())
     centers = np.array([r["v"] for r in init], dtype=np.float64)
@@ -356,7 +550,7 @@ def kmeans_labels(vecs: DataFrame, k: int, seed: int = 42, iters: int = 25, id_c
         if np.array_equal(new, centers):
             break
         centers = new
-    return _assign(x, used, id_col).select(id_col, "label")          # the labels of the last pass
+    return used
 
 
 def _assign(x: DataFrame, centers: np.ndarray, id_col: str) -> DataFrame:
@@ -382,4 +576,4 @@ def _assign(x: DataFrame, centers: np.ndarray, id_col: str) -> DataFrame:
 
 __all__ = ["encode_mean_pool", "encode_position_pool", "l2_normalize", "centroid",
            "cosine_to_centroid", "select_embedding", "anchor_mean_cosine", "nearest_neighbor",
-           "pairwise_similarity_agg", "kmeans_labels", "token_vector", "long_form"]
+           "pairwise_similarity_agg", "kmeans_labels", "token_vector", "long_form", "MetricIndex"]
