@@ -6,13 +6,15 @@ every step is a column expression or a join on ``example_id``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.operators.budget import ID
 from winnow.operators.ranking import maybe_broadcast
 from winnow.operators.lexical import bm25_anchor, standardize
 from winnow.operators.vectors import anchor_mean_cosine, encode_position_pool
+from winnow.functions.vector import to_double
+from winnow.session import materialize
 
 
 def gate_expr(score: Column, tau: float = 1.0, eps: float = 1e-8, w_min: float = 0.0,
@@ -76,17 +78,53 @@ def refresh_version(step: Column, interval: int = 50) -> Column:
     return (F.floor(step / F.lit(r)) * F.lit(r)).cast("long")
 
 
-def anchor_refresh(steps: DataFrame, anchor_versions: DataFrame | None = None, interval: int = 50,
-                   step_col: str = "step") -> DataFrame:
+def first_version(effective: Column, interval: int = 50) -> Column:
+    """The first refresh at which an anchor of that step counts; NULL if there is none (R < 0)."""
+    r = interval or 50
+    early = F.greatest(effective, F.lit(0))
+    if r < 0:
+        return F.when(early == 0, F.lit(0)).cast("long")
+    return (F.ceil(early / F.lit(r)) * F.lit(r)).cast("long")
+
+
+def anchor_centroids(versions: DataFrame, anchors: DataFrame, interval: int = 50, vec_col: str = "vec") -> DataFrame:
+    """``(version, n_anchors, vec)``: mean of the anchors with ``effective_step <= version``.
+
+    ``versions(version)`` are distinct; ``anchors`` carry ``effective_step`` and a (unit) vector.
+    Each anchor goes once to the first refresh that sees it; per-version sums are added up by
+    a running sum per dimension, so no (version, anchor) pairs are formed.  A version without
+    an anchor has a null vector.
+    """
+    a = anchors.select(first_version(F.col("effective_step"), interval).alias("version"), to_double(vec_col).alias("v"))
+    a = a.where("version is not null")
+    part = a.select("version", F.posexplode("v").alias("dim", "x")).groupBy("version", "dim").agg(
+        F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"), F.lit(False).alias("asked"))
+    dims = a.select(F.explode(F.sequence(F.lit(0), F.size("v") - 1)).alias("dim")).distinct()
+    asked = versions.select("version").crossJoin(F.broadcast(dims)).select(
+        "version", "dim", F.lit(0.0).alias("x"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked"))
+    upto = Window.partitionBy("dim").orderBy("version").rangeBetween(Window.unboundedPreceding, 0)
+    run = part.unionByName(asked).withColumn("s", F.sum("x").over(upto)).withColumn("c", F.sum("n").over(upto))
+    seen = run.where("asked and c > 0").groupBy("version").agg(
+        F.max("c").alias("n_anchors"), F.array_sort(F.collect_list(F.struct("dim", (F.col("s") / F.col("c")).alias("m")))).alias("d"))
+    vec = seen.select("version", "n_anchors", F.transform("d", lambda d: d["m"]).alias(vec_col))
+    return versions.select("version").join(vec, "version", "left").fillna(0, ["n_anchors"])
+
+
+def anchor_refresh(steps: DataFrame, anchors: DataFrame | None = None, interval: int = 50,
+                   step_col: str = "step", vec_col: str = "vec") -> DataFrame:
     """``(step, version[, vec])``: the anchor centroid in force at each step.
 
-    ``anchor_versions`` is ``(version, vec)`` -- one centroid per refresh step
-    (the encoder state at that step); the lookup is an equi-join on version.
+    ``anchors`` with ``effective_step``: the centroid of a version is the mean of the anchors
+    that have arrived by its step (:func:`anchor_centroids`).  ``anchors`` with ``version``: one
+    centroid per refresh (the encoder state at that step).  Both join on the version.
     """
     s = steps.select(step_col).withColumn("version", refresh_version(F.col(step_col), interval))
-    if anchor_versions is None:
+    if anchors is None:
         return s
-    return s.join(maybe_broadcast(anchor_versions, anchor_versions.count()), "version", "left")
+    if "effective_step" in anchors.columns:
+        anchors = materialize(anchor_centroids(s.select("version").distinct(), anchors, interval, vec_col)
+                              .select("version", vec_col))
+    return s.join(maybe_broadcast(anchors, anchors.count()), "version", "left")
 
 
 def thread_row_id(df: DataFrame, keep: list[str], id_col: str = ID) -> DataFrame:

@@ -406,8 +406,13 @@ SELECT example_id, round(score, 9) AS score, round(""" + gate_sql("score") + ",
 w AS (SELECT event_id AS example_id, {gate_sql('value / 10.0 - 1.0')} AS weight FROM events)
 SELECT batch_id, round(sum(weight * loss) / greatest(sum(weight), 1e-8), 9) AS loss
 FROM eb JOIN w ON eb.example_id = w.example_id GROUP BY batch_id""",
-    "anchor_refresh": f"""WITH {EVENTS_B}
-SELECT DISTINCT batch_id AS step, CAST(floor(batch_id / 50) * 50 AS BIGINT) AS version FROM eb""",
+    "anchor_refresh": f"""WITH {EVENTS_B}, {EMB},
+st AS (SELECT DISTINCT batch_id AS step, CAST(floor(batch_id / 50) * 50 AS BIGINT) AS version FROM eb),
+al AS (SELECT example_id, generate_subscripts(v, 1) - 1 AS dim, unnest(v) / greatest({_norm('v')}, 1e-8) AS x FROM va),
+ce AS (SELECT vs.version, al.dim, avg(al.x) AS value FROM (SELECT DISTINCT version FROM st) vs
+       JOIN al ON al.example_id <= vs.version GROUP BY vs.version, al.dim)
+SELECT st.step, st.version, CAST(ce.dim AS BIGINT) AS dim, round(ce.value, 9) AS value
+FROM st LEFT JOIN ce ON ce.version = st.version""",
     "thread_row_id": "SELECT doc_id AS example_id, text FROM documents",
 })
 
@@ -628,5 +633,12 @@ FROM documents QUALIFY row_number() OVER (ORDER BY round(CAST(length(text) AS DO
     "custom_scorer": """SELECT doc_id AS example_id,
   CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS DOUBLE) + 1.0 AS score
 FROM documents""",
-    "stream_reweight": ORACLE["weights_embed"],
+    "stream_reweight": ORACLE["weights_embed"].split("ac AS (")[0] + """vr AS (
+  SELECT DISTINCT doc_id // 8 // 5 * 5 AS version FROM documents),
+ac AS (SELECT vr.version, pa.dim, avg(pa.value) AS c FROM vr JOIN pa ON pa.anchor_id // 4 <= vr.version
+       GROUP BY vr.version, pa.dim),
+ss AS (SELECT pp.example_id, sum(pp.value * ac.c) AS score FROM pp LEFT JOIN ac
+       ON pp.dim = ac.dim AND ac.version = pp.example_id // 8 // 5 * 5 GROUP BY pp.example_id)
+SELECT example_id // 8 AS step, example_id, round(score, 9) AS score,
+       CASE WHEN score IS NOT NULL THEN round(""" + gate_sql("score") + """, 9) END AS weight FROM ss""",
 })

@@ -386,7 +386,7 @@ def q_anchor_mean_cosine(spark, sf):
 
 
 def q_nearest_neighbor(spark, sf):
-    return vec.nearest_neighbor(tb.vectors(spark, sf), mode="exact", block=128)
+    return vec.nearest_neighbor(tb.vectors(spark, sf), mode="index")
 
 
 def q_pairwise_similarity_agg(spark, sf):
@@ -440,7 +440,11 @@ def q_combine_weighted_loss(spark, sf):
 
 def q_anchor_refresh(spark, sf):
     steps = _event_batches(spark, sf).select(F.col("batch_id").alias("step")).distinct()
-    return rw.anchor_refresh(steps, interval=50)
+    # a vector becomes an anchor at the step that its id names
+    anchors = vec.l2_normalize(_emb_val(spark, sf), 1e-8).withColumn("effective_step", F.col("example_id"))
+    a = rw.anchor_refresh(steps, anchors, interval=50)
+    return a.select("step", "version", F.posexplode_outer("vec").alias("dim", "value")).select(
+        "step", "version", F.col("dim").cast("long").alias("dim"), r9("value"))
 
 
 def q_thread_row_id(spark, sf):
@@ -512,7 +516,7 @@ def q_lm_brief_experience(spark, sf):
 
 def q_one_shot_context(spark, sf):
     tok = _whole_tok(spark, sf)
-    nn = vec.nearest_neighbor(_prompt_vecs(tok), mode="exact")
+    nn = vec.nearest_neighbor(_prompt_vecs(tok), mode="index")
     ctx = ls.one_shot_context(tok, nn, max_length=2048)
     return ctx.select("example_id", "nn_id", F.size("context").cast("long").alias("n_context"),
                       F.array_join("context", " ").alias("context"))
@@ -666,25 +670,42 @@ def q_custom_scorer(spark, sf):
 
 # --- I6-I7: streaming -------------------------------------------------------------
 
-def _file_stream(spark, df, name, files=4):
-    """Write ``df`` as ``files`` parquet files and read them back one file per micro-batch."""
+def _file_stream(spark, df, name, order, bounds):
+    """``df`` as a stream of files, one per micro-batch: rows up to each bound of ``order``, in that order."""
     src = scratch_path(spark, f"{name}-in")
-    df.repartition(files, "example_id").write.mode("overwrite").parquet(src)
+    low = None
+    for high in [*bounds, None]:
+        part = df if low is None else df.filter(order > low)
+        part = part if high is None else part.filter(order <= high)
+        part.coalesce(1).write.mode("append").parquet(src)
+        low = high
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
 
 
+def _quarters(df, order):
+    last = df.agg(F.max(order)).first()[0] or 0
+    return [last * q // 4 for q in (1, 2, 3)]
+
+
 def q_stream_reweight(spark, sf):
-    stream = _file_stream(spark, tb.examples(spark, sf).select("example_id", "text"), "docs")
+    """Batches of 8 documents as steps; anchors become effective, four a step, while they run."""
+    docs = tb.examples(spark, sf).select("example_id", F.expr("example_id div 8").alias("step"), "text")
+    anchors = tb.target(spark, sf).select(F.col("item_id").alias("anchor_id"),
+                                          F.expr("item_id div 4").alias("effective_step"), "text")
+    bounds = _quarters(docs, F.col("step"))
     sink, ckpt = scratch_path(spark, "reweight-out"), scratch_path(spark, "reweight-ckpt")
-    q = rs.stream_reweight(stream, tb.target(spark, sf).withColumnRenamed("item_id", "anchor_id"),
-                           sink, ckpt, interval=50)
+    q = rs.stream_reweight(_file_stream(spark, docs, "docs", F.col("step"), bounds),
+                           _file_stream(spark, anchors, "anchors", F.col("effective_step"), bounds),
+                           sink, ckpt, interval=5)
     q.awaitTermination()
-    return spark.read.parquet(sink).select("example_id", r9("score"), r9("weight"))
+    return spark.read.parquet(sink).select("step", "example_id", r9("score"), r9("weight"))
 
 
 def q_stream_greats(spark, sf):
     tg, gval = _md_val_gradient(spark, sf)
-    stream = _file_stream(spark, tg.select("example_id", "grad"), "grads")
+    rows = tg.select("example_id", "grad")
+    end = spark.createDataFrame([(2**62, None)], rows.schema)          # flushes what waits for a full batch
+    stream = _file_stream(spark, rows.unionByName(end), "grads", F.col("example_id"), _quarters(rows, F.col("example_id")))
     sink, ckpt = scratch_path(spark, "greats-out"), scratch_path(spark, "greats-ckpt")
     q = rs.stream_greats(stream, gval, sink, ckpt, k=4, eta=0.1)
     q.awaitTermination()
