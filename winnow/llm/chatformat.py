@@ -25,13 +25,25 @@ from winnow.llm.common import ready, slices
 # ---------------------------------------------------------------- fingerprints
 
 
-def field_paths(value, path: str = "") -> set[str]:
-    """Paths of all leaves of a JSON value; list items share the path ``[]``."""
-    if isinstance(value, dict):
-        return set().union(*(field_paths(v, f"{path}.{k}" if path else k) for k, v in value.items()), set())
-    if isinstance(value, list):
-        return set().union(*(field_paths(v, path + "[]") for v in value), {path + "[]"} if not value else set())
-    return {path}
+def field_paths(value) -> set[str]:
+    """Paths of all leaves of a JSON value, with their kinds.
+
+    List items share the path ``[]``; an item that is a leaf adds ``=``, numbers add ``#n`` and
+    booleans ``#b``; strings and nulls add nothing.
+    """
+    out, todo = set(), [(value, "", False)]
+    while todo:
+        v, path, item = todo.pop()
+        if isinstance(v, dict):
+            todo += [(x, f"{path}.{k}" if path else k, False) for k, x in v.items()]
+        elif isinstance(v, list):
+            todo += [(x, path + "[]", True) for x in v]
+            if not v:
+                out.add(path + "[]")
+        else:
+            kind = "#b" if isinstance(v, bool) else "#n" if isinstance(v, int | float) else ""
+            out.add(path + "=" * item + kind)
+    return out
 
 
 def fingerprint(paths) -> str:
@@ -72,8 +84,10 @@ def _named(name, *paths, **kw):
     return Mapping(name, frozenset(paths), **kw)
 
 
+# Field and role names of public layouts.
 MAPPINGS = (
-    _named("turn rows", "conv_id", "turn", "role", "text", conv="conv_id", order="turn", role="role", text="text"),
+    *(_named("turn rows", "conv_id" + c, "turn" + t, "role", "text", conv="conv_id", order="turn", role="role", text="text")
+      for c in ("#n", "") for t in ("#n", "")),
     _named("messages", "messages[].role", "messages[].content", turns="messages", role="role", text="content"),
     _named("no messages", "messages[]", turns="messages", role="role", text="content"),
     _named("conversations", "conversations[].from", "conversations[].value", turns="conversations",
@@ -92,7 +106,7 @@ MAPPINGS = (
            fields=(("user", ("question",)), ("assistant", ("answer",)))),
 )
 
-# Role names of the layouts.
+# Role names of the layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -103,24 +117,38 @@ def registry(mappings=MAPPINGS) -> dict[str, Mapping]:
     return out
 
 
+def _turns_of(raw: str | None, key, known: dict, roles: dict, whole_ids: bool) -> tuple[list, str]:
+    """``[(conv, turn, role, text)]`` and the layout's name of one record; no turns if it has no mapping."""
+    try:
+        r = json.loads(raw) if raw is not None else {}
+    except (ValueError, RecursionError):
+        return [], "unparsable"
+    print_ = fingerprint(field_paths(r))
+    m = known.get(print_)
+    if m is None or not isinstance(r, dict):
+        return [], print_
+    out = []
+    for turn, who, what in m.read(r):
+        conv = r[m.conv] if m.conv else key
+        if m.order and isinstance(turn, str):
+            turn = int(turn) if re.fullmatch(r"-?[0-9]{1,18}", turn) else turn
+        whole = conv is None or isinstance(conv, int) and abs(conv) < 2**63 or not whole_ids
+        if not whole or not (turn is None or isinstance(turn, int) and abs(turn) < 2**63):
+            return [], print_                                  # values that the columns can't hold
+        out.append((conv if whole_ids or conv is None else str(conv), turn, roles.get(who, who), what))
+    return out, m.name
+
+
 def _reader(mappings, roles, conv_type: pa.DataType):
     def run(batches):
         known = registry(mappings)
+        whole_ids = pa.types.is_integer(conv_type)
         for b in batches:
             conv, turn, role, text, layout = [], [], [], [], []
             for key, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                r = json.loads(raw) if raw is not None else {}
-                print_ = fingerprint(field_paths(r))
-                m = known.get(print_)
-                if m is None:
-                    conv.append(key), turn.append(None), role.append(None), text.append(raw), layout.append(print_)
-                    continue
-                for k, who, what in m.read(r):
-                    conv.append(r[m.conv] if m.conv else key)
-                    turn.append(k)
-                    role.append(roles.get(who, who))
-                    text.append(what)
-                    layout.append(m.name)
+                found, name = _turns_of(raw, key, known, roles, whole_ids)
+                for c, k, who, what in found or [(key, None, None, raw)]:
+                    conv.append(c), turn.append(k), role.append(who), text.append(what), layout.append(name)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(conv, conv_type), pa.array(turn, pa.int64()), pa.array(role, pa.string()),
                  pa.array(text, pa.string()), pa.array(layout, pa.string())],
@@ -132,7 +160,9 @@ def canonical_turns(records: DataFrame, key_col: str, json_col: str, mappings=MA
     """JSON records of mixed layouts -> ``(conv, turn, role, text, layout)``.
 
     A record whose fingerprint has no mapping is kept as one row with null turn and role,
-    its JSON as text and the fingerprint as layout: add a mapping for it.
+    its JSON as text and the fingerprint as layout: add a mapping for it.  So is one that isn't
+    JSON (or nested too deeply to read; layout ``unparsable``), one whose ids or turn numbers
+    the columns can't hold, and one that a mapping reads without any turn.  Ids are integers or text.
     """
     from pyspark.sql.pandas.types import to_arrow_type
     ready(records.sparkSession)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from winnow.llm.common import cut, fresh, ready, small
+from winnow.llm.common import cut, ready, small
 
 NEWTON_STEPS = 16
 # Bins per level, and levels, of the search for the cut.
@@ -215,11 +215,14 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     Copies are joined on (id, source, size), which decide them, so repeated rows are safe.
     """
     taken = mix(docs, id_col, source_col, text_col, **options)
-    c = cut(taken.select(F.col(id_col).alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"),
-                         F.col("copies").alias("_c")).distinct(), "copies")
+    safe = [f"c{k}" for k in range(len(docs.columns))]
+    named = dict(zip(docs.columns, safe))
+    c = cut(taken.select(F.col(id_col).alias("mix_id"), F.col("source").alias("mix_source"),
+                         F.col("size").alias("mix_size"), F.col("copies").alias("mix_copies")).distinct(), "copies")
     c = small(c, limit=100_000)
-    n = fresh("n_copies", docs.columns)
-    j = docs.join(c, docs[id_col].eqNullSafe(F.col("_i")) & docs[source_col].cast("string").eqNullSafe(F.col("_s"))
-                  & (size_of(docs[text_col].cast("string")) == F.col("_z")))
-    return (j.withColumn(n, F.explode(F.sequence(F.lit(0), F.col("_c"))))
-            .where(F.col(n) > 0).select(*[docs[c] for c in docs.columns]))
+    d = docs.toDF(*safe)
+    j = d.join(c, F.col(named[id_col]).eqNullSafe(F.col("mix_id"))
+               & F.col(named[source_col]).cast("string").eqNullSafe(F.col("mix_source"))
+               & (size_of(F.col(named[text_col]).cast("string")) == F.col("mix_size")))
+    return (j.withColumn("mix_no", F.explode(F.sequence(F.lit(0), F.col("mix_copies"))))
+            .where(F.col("mix_no") > 0).select(*[F.col(s).alias(c) for c, s in named.items()]))

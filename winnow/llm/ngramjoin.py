@@ -33,9 +33,6 @@ from winnow.llm.common import (ready, SPACES, WordHasher, cut, mix64, partitions
                                with_text, word_spans)
 from winnow.llm.components import components
 
-# Fragments of the order in which the overlaps of candidate pairs are counted.
-PAIR_FRAGMENTS = 8
-
 # N-grams of the documents packed together (8 bytes each).
 PACK_GRAMS = 1 << 20
 
@@ -266,6 +263,22 @@ def _pairs(joined: DataFrame) -> DataFrame:
                          F.when(lo, F.col("pn")).otherwise(F.col("n")).alias("nb")).distinct()
 
 
+def _labels(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(node, comp, least)`` of linked sets: a component's label, and its smallest id.
+
+    Nodes are ordered by their smallest id (null last), so the component's smallest node
+    tells its smallest id, and no component is gathered for it.
+    """
+    name = F.struct(F.col("rep").isNull().alias("anon"), "rep", "key")
+    who = sets.select(F.col("key").alias("k"), name.alias("name"))
+    edges = (links.join(who.select(F.col("k").alias("a"), F.col("name").alias("x")), "a")
+             .join(who.select(F.col("k").alias("b"), F.col("name").alias("y")), "b")
+             .select(F.col("x").alias("a"), F.col("y").alias("b")))
+    c = components(edges)
+    return cut(c.select(F.col("node.key").alias("node"), F.col("comp.key").alias("comp"),
+                        F.col("comp.rep").alias("least")), "comp")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        ngram: int = 5, pct: int = 75) -> DataFrame:
     """Connected components of documents whose n-gram sets have Jaccard >= pct / 100.
@@ -346,7 +359,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, ngram: int = 5, pct: i
                                     F.col("v.i").alias("pi")))
     star = cut(_pairs(posts.join(pivot, "g").where((F.col("key") != F.col("pk")) & _fits(pct))), "star")
     links = cut(_verified(star, segs, pct), "links")
-    comp = cut(components(links), "comp")
+    comp = _labels(links, sets)
 
     # pairs in different components, and not yet compared
     p = posts.join(comp.select(F.col("node").alias("key"), "comp"), "key", "left")
@@ -359,12 +372,11 @@ def _members(docs: DataFrame, id_col: str, text_col: str, ngram: int = 5, pct: i
             .join(star.select("a", "b"), ["a", "b"], "left_anti"))
     late = cut(_verified(rest, segs, pct), "late")
     if late.limit(1).count():
-        comp = cut(components(links.unionByName(late)), "comp")
+        comp = _labels(links.unionByName(late), sets)
 
     named = sets.join(comp.withColumnRenamed("node", "key"), "key", "left")
-    named = named.withColumn("comp", F.coalesce("comp", "key"))
-    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "comp").select("key", "key2", "n", "comp", "component_id")
+    least = F.when(F.col("comp").isNull(), F.col("rep")).otherwise(F.col("least"))
+    named = named.select("key", "key2", "n", F.coalesce("comp", "key").alias("comp"), least.alias("component_id"))
     out = info.join(named, ["key", "key2", "n"], "left")
     return out.select("id", "key", "key2", "n", "comp", F.coalesce("component_id", "id").alias("component_id"))
 

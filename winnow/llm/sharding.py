@@ -80,6 +80,7 @@ def ranked(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     s = (rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
          .withColumn("_at", F.monotonically_increasing_id()))
     s = cut(s, "order")
+    # columns of the written table, so both branches below read the same positions
     s = s.withColumn("_part", F.shiftright("_at", 33)).withColumn("_pos", F.col("_at").bitwiseAND((1 << 33) - 1))
     # one row per partition of the sort
     base = s.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
@@ -89,27 +90,20 @@ def ranked(rows: DataFrame, order: list[str], name: str) -> DataFrame:
             .withColumn(name, F.col("_off") + F.col("_pos")).drop("_at", "_part", "_pos", "_off"))
 
 
-def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text",
-          dims: dict | None = None) -> DataFrame:
-    """Shard and slot of every row, from its metadata alone.
-
-    Returns ``id_col, size, text_crc32, shard, slot, curve``: size is the UTF-8 bytes of
-    the text plus 16 (null text: 16 and crc32 of the empty text), ``shard`` in
-    0..shards-1 with row counts at most one apart, ``slot`` gapless from 0 within a shard.
+def _placed(docs: DataFrame, shards: int, id_col: str, text_col: str, dims: dict | None, kept: dict) -> DataFrame:
+    """The ``kept`` columns (name -> column) of every row with size, text_crc32, curve, shard and slot.
 
-    ``dims`` maps names to quantized columns; by default source, lang and size, as far as
-    ``docs`` has them.  Null dimensions lie in cell 0.  Equal cells are ordered by size,
-    crc32 and id (nulls first), so equal texts of one cell are neighbours; rows equal in
-    all of these are interchangeable.  An empty table gives an empty result.
+    Rows travel once, in curve order; what is written is sorted by (shard, slot).
     """
     ready(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     if dims is None:
         dims = {c: category(F.col(c)) for c in ("source", "lang") if c in docs.columns}
         dims["bytes"] = scaled(F.octet_length(text), float(1 << 26))
-    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"),
-                       F.crc32(text).alias("text_crc32"), *[c.alias(f"_d{k}") for k, c in enumerate(dims.values())])
     names = [f"_d{k}" for k in range(len(dims))]
+    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"),
+                       F.crc32(text).alias("text_crc32"), *[c.alias(n) for n, c in zip(names, dims.values())],
+                       *[c.alias(n) for n, c in kept.items()])
     rows = rows.withColumn("curve", curve_index(*names)).drop(*names)
     r = ranked(rows, ["curve", "size", "text_crc32", "id"], "rank")
     total = F.broadcast(r.agg(F.count(F.lit(1)).alias("total")))
@@ -117,26 +111,36 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     # floor(rank * shards / total) puts the rows of shard s at ceil(s * total / shards) onwards
     r = r.withColumn("shard", F.expr(f"cast(rank * {shards} div total as int)"))
     first = F.expr(f"(shard * total + {shards - 1}) div {shards}")
-    return r.select(F.col("id").alias(id_col), "size", "text_crc32", "shard",
-                    (F.col("rank") - first).alias("slot"), "curve")
+    return r.withColumn("slot", F.col("rank") - first)
+
+
+def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text",
+          dims: dict | None = None) -> DataFrame:
+    """Shard and slot of every row, from its metadata alone.
+
+    Returns ``id_col, size, text_crc32, shard, slot, curve``: size is the UTF-8 bytes of
+    the text plus 16 (null text: 16 and crc32 of the empty text), ``shard`` in
+    0..shards-1 with row counts at most one apart, ``slot`` gapless from 0 within a shard.
+
+    ``dims`` maps names to quantized columns; by default source, lang and size, as far as
+    ``docs`` has them.  Null dimensions lie in cell 0.  Equal cells are ordered by size,
+    crc32 and id (nulls first), so equal texts of one cell are neighbours; rows equal in
+    all of these are interchangeable.  An empty table gives an empty result.
+    """
+    r = _placed(docs, shards, id_col, text_col, dims, {})
+    return r.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", "slot", "curve")
 
 
 def sharded(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``shard`` and ``slot`` (names made unique if taken).
 
-    Joined back on (id, size, crc32); rows equal in all three are numbered on both sides.
+    Rows come in the order of (shard, slot), so each file written from them covers a stretch
+    of the curve and a reader's file statistics prune on every dimension.
     """
-    s = shard(docs, shards, id_col, text_col)
-    s = s.select(F.col(id_col).alias("_i"), F.col("size").alias("_z"), F.col("text_crc32").alias("_c"),
-                 F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    s = s.withColumn("_no", F.row_number().over(Window.partitionBy("_i", "_z", "_c").orderBy("_shard", "_slot")))
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    d = docs.withColumns({"_i2": docs[id_col], "_z2": (F.octet_length(text) + 16).cast("long"), "_c2": F.crc32(text)})
-    d = d.withColumn("_no2", F.row_number().over(Window.partitionBy("_i2", "_z2", "_c2").orderBy(F.lit(0))))
-    j = d.join(s, F.col("_i2").eqNullSafe(F.col("_i")) & (F.col("_z2") == F.col("_z"))
-               & (F.col("_c2") == F.col("_c")) & (F.col("_no2") == F.col("_no")))
+    safe = {f"c{k}": docs[c] for k, c in enumerate(docs.columns)}
+    r = _placed(docs, shards, id_col, text_col, None, safe)
     a, b = fresh("shard", docs.columns), fresh("slot", docs.columns)
-    return j.select(*[docs[c] for c in docs.columns], F.col("_shard").alias(a), F.col("_slot").alias(b))
+    return r.select(*[F.col(k).alias(c) for k, c in zip(safe, docs.columns)], F.col("shard").alias(a), F.col("slot").alias(b))
 
 
 def bounds(sharded_docs: DataFrame, columns: list[str], shard_col: str = "shard") -> DataFrame:
