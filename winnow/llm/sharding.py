@@ -134,8 +134,9 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
 def sharded(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``shard`` and ``slot`` (names made unique if taken).
 
-    Rows come in the order of (shard, slot), so each file written from them covers a stretch
-    of the curve and a reader's file statistics prune on every dimension.
+    The rows are written once, in curve order: each file holds a stretch of (shard, slot), so a
+    reader's file statistics prune on every dimension.  Reading small files, Spark may put
+    several stretches into one partition.
     """
     safe = {f"c{k}": docs[c] for k, c in enumerate(docs.columns)}
     r = _placed(docs, shards, id_col, text_col, None, safe)
