@@ -13,13 +13,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.functions.text import tokenize_alnum as _alnum
 from winnow.functions.text import tokenize_whitespace as _ws
-from winnow.operators.budget import ID, topk_by_score
-from winnow.operators.ranking import join_small
+from winnow.operators.budget import ID, significant, topk_by_score
+from winnow.operators.ranking import broadcast_budget_bytes, join_small
 from winnow.operators.sampling import query_sample
 from winnow.session import materialize
 
@@ -99,18 +99,25 @@ def _weighted_terms(dt: DataFrame, id_col: str = ID):
 
 
 def bm25_pairs(corpus_tok: DataFrame, query_tok: DataFrame, k1: float = 1.5, b: float = 0.75,
-               id_col: str = ID, qid: str = QID) -> DataFrame:
-    """``(query_id, example_id, score)`` for every pair sharing a term.
+               id_col: str = ID, qid: str = QID, n: int | None = None) -> DataFrame:
+    """``(query_id, example_id, score)`` for every pair sharing a term, or the ``n`` best
+    documents of each query (ties to the lower id, by ten significant digits).
 
-    Within the query-matrix bound each Arrow chunk of documents computes
-    W @ M^T and emits its non-zero scores (no per-term pair rows are formed);
-    beyond it, the term join below.
+    Each document is scored against postings of the queries (:class:`QueryBlock`), block by
+    block; with ``n`` a task keeps the best of its own documents only.
     """
-    inputs = _matrix_inputs(corpus_tok, query_tok, k1, b, id_col, qid)
-    if inputs is None:
-        return _bm25_pairs_join(corpus_tok, query_tok, k1, b, id_col, qid)
-    per_doc, qmat, qids = inputs
-    return _scores_over_queries(per_doc, qmat, qids, id_col, qid, "pairs")
+    per_doc, blocks = _postings_inputs(corpus_tok, query_tok, k1, b, id_col, qid)
+    schema = f"{qid} long, {id_col} long, score double"
+    out = None
+    for block in blocks:
+        part = per_doc.mapInPandas(_pair_scorer(per_doc.sparkSession.sparkContext.broadcast(block), id_col, qid, n), schema)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return per_doc.sparkSession.createDataFrame([], schema)
+    if n is None:
+        return out
+    first = Window.partitionBy(qid).orderBy(F.desc(significant(F.col("score"))), F.asc(id_col))
+    return out.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= n).drop("_r")
 
 
 def _bm25_pairs_join(corpus_tok: DataFrame, query_tok: DataFrame, k1: float, b: float,
@@ -147,98 +154,176 @@ def bm25_mean(corpus_tok: DataFrame, query_tok: DataFrame, k1: float = 1.5, b: f
     return contrib.groupBy(id_col).agg(F.sum(part).alias("score"))
 
 
-# Largest query-term matrix (queries x distinct query terms) broadcast for max,
-# and the most (query, term) entries moved to the driver to build it.
-MAX_QUERY_MATRIX = 50_000_000
-MAX_QUERY_ENTRIES = 2_000_000
-# Cells of the per-chunk document-term matrix inside one task.
-MAX_CHUNK_CELLS = 20_000_000
+# Driver and worker bytes per (query, term) entry of a block: ids, offsets and sorting.
+ENTRY_BYTES = 64
+# Postings added up before the bound is looked at again (doubled each time).
+FIRST_POSTINGS = 1024
+# Buffered pairs of a task that keeps the n best per query.
+PAIR_BUFFER = 500_000
+
+
+class QueryBlock:
+    """Postings of some queries: per 64-bit term hash the queries that have the term."""
+
+    def __init__(self, query: np.ndarray, term: np.ndarray):
+        order = np.lexsort((query, term))
+        query, term = query[order], term[order]
+        self.qids, q = np.unique(query, return_inverse=True)
+        self.queries = q.astype(np.int32)
+        self.terms, first = np.unique(term, return_index=True)
+        self.first = np.append(first, len(term))
+
+    def _hits(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        ok = self.terms[at] == terms
+        return at[ok], weights[ok]
+
+    def _added(self, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        size = self.first[at + 1] - self.first[at]
+        ends = np.cumsum(size)
+        place = np.arange(ends[-1]) + np.repeat(self.first[at] - ends + size, size)
+        return np.bincount(self.queries[place], np.repeat(weights, size), minlength=len(self.qids))
+
+    def scores(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """A document's score for every query of the block."""
+        at, w = self._hits(terms, weights)
+        return self._added(at, w) if len(at) else np.zeros(len(self.qids))
+
+    def best(self, terms: np.ndarray, weights: np.ndarray) -> float:
+        """A document's highest score over the block's queries (0 without a common term), by MaxScore.
+
+        Terms come by falling weight.  Once the weights to come can't lift an unseen query over
+        the best one, their lists are looked up for the queries that still can win, not read.
+        """
+        at, w = self._hits(terms, weights)
+        if not len(at):
+            return 0.0
+        order = np.argsort(-w, kind="stable")
+        at, w = at[order], w[order]
+        upto = np.cumsum(self.first[at + 1] - self.first[at])
+        rest = np.append(np.cumsum(w[::-1])[::-1], 0.0)
+        sums, top, i, many = np.zeros(len(self.qids)), 0.0, 0, FIRST_POSTINGS
+        while i < len(w) and rest[i] > top:
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + many, "right")))
+            sums += self._added(at[i:j], w[i:j])
+            top, i, many = float(sums.max()), j, 2 * many
+        if i == len(w):
+            return top
+        can = np.flatnonzero(sums + rest[i] >= top)
+        if len(can) * (len(w) - i) >= upto[-1] - upto[i - 1]:
+            return float((sums + self._added(at[i:], w[i:]))[can].max())
+        for t, x in zip(at[i:], w[i:]):
+            own = self.queries[self.first[t]:self.first[t + 1]]
+            place = np.minimum(np.searchsorted(own, can), len(own) - 1)
+            sums[can[own[place] == can]] += x
+        return float(sums[can].max())
+
+
+def _rows_of(pdf: pd.DataFrame):
+    return zip(pdf["terms"], pdf["w"])
+
+
+def _best_scorer(block, id_col: str):
+    def run(batches):
+        b = block.value
+        for pdf in batches:
+            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), "score": [
+                b.best(np.asarray(t, np.int64), np.asarray(w, np.float64)) for t, w in _rows_of(pdf)]})
+    return run
 
 
-def _scores_over_queries(per_doc: DataFrame, qmat: np.ndarray, qids: list, id_col: str,
-                         qid: str, mode: str) -> DataFrame:
-    """``(id, idx[], w[])`` rows -> W @ M^T per Arrow chunk.
+def _n_best(found: list, n: int) -> list:
+    """The pairs (q, id, score) that may be among the n best of their query: ties within float noise stay."""
+    q, ids, score = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((ids, -score, q))
+    q, ids, score = q[order], ids[order], score[order]
+    first = np.flatnonzero(np.diff(q, prepend=-1))
+    size = np.diff(first, append=len(q))
+    last = np.repeat(score[first + np.minimum(size, n) - 1], size)
+    keep = score >= last * (1 - 1e-9)
+    return [(q[keep], ids[keep], score[keep])]
 
-    mode "max": ``(id, score)`` with the row max (floor 0); mode "pairs":
-    ``(query_id, id, score)`` for every non-zero score.
-    """
-    spark = per_doc.sparkSession
-    bm = spark.sparkContext.broadcast(qmat)
-    bq = spark.sparkContext.broadcast(np.asarray(qids, dtype=np.int64))
-    n_terms = qmat.shape[1]
+
+def _pair_scorer(block, id_col: str, qid: str, n: int | None):
+    def frame(b, q, ids, score):
+        return pd.DataFrame({qid: b.qids[q], id_col: ids, "score": score})
 
     def run(batches):
-        m, q = bm.value, bq.value
-        chunk = max(1, MAX_CHUNK_CELLS // max(n_terms, max(len(q), 1)))
+        b, found, held, limit = block.value, [], 0, PAIR_BUFFER
         for pdf in batches:
-            for lo in range(0, len(pdf), chunk):
-                part = pdf.iloc[lo:lo + chunk]
-                idx = [np.asarray(a, dtype=np.int64) for a in part["idx"]]
-                wts = [np.asarray(a, dtype=np.float64) for a in part["w"]]
-                lens = np.array([len(a) for a in idx], dtype=np.int64)
-                w = np.zeros((len(part), n_terms))
-                if lens.sum() > 0:
-                    w[np.repeat(np.arange(len(part)), lens), np.concatenate(idx)] = np.concatenate(wts)
-                s = w @ m.T if m.shape[0] else np.zeros((len(part), 0))
-                ids = part[id_col].to_numpy()
-                if mode == "max":
-                    best = s.max(axis=1) if s.shape[1] else np.zeros(len(part))
-                    yield pd.DataFrame({id_col: ids, "score": np.maximum(best, 0.0)})
-                else:
-                    r, c = np.nonzero(s)
-                    yield pd.DataFrame({qid: q[c], id_col: ids[r], "score": s[r, c]})
-    schema = f"{id_col} long, score double" if mode == "max" else f"{qid} long, {id_col} long, score double"
-    return per_doc.mapInPandas(run, schema)
-
-
-def _matrix_inputs(corpus_tok: DataFrame, query_tok: DataFrame, k1: float, b: float,
-                   id_col: str, qid: str):
-    """Query matrix (size checked) and per-doc matched-term weights, or None beyond the bound."""
+            for key, (t, w) in zip(pdf[id_col].to_numpy(), _rows_of(pdf)):
+                s = b.scores(np.asarray(t, np.int64), np.asarray(w, np.float64))
+                q = np.flatnonzero(s)
+                if len(q):
+                    found.append((q, np.full(len(q), key), s[q]))
+                    held += len(q)
+                if held >= limit and n is None:
+                    yield frame(b, *(np.concatenate(c) for c in zip(*found)))
+                    found, held = [], 0
+                elif held >= limit:
+                    found = _n_best(found, n)
+                    held = len(found[0][0])
+                    limit = max(PAIR_BUFFER, 2 * held)
+        if found:
+            found = found if n is None else _n_best(found, n)
+            yield frame(b, *(np.concatenate(c) for c in zip(*found)))
+    return run
+
+
+def _postings_inputs(corpus_tok: DataFrame, query_tok: DataFrame, k1: float, b: float, id_col: str, qid: str):
+    """``(id, terms[], w[])`` per document (term hashes with their weights), and the query blocks.
+
+    A block's entries take at most the broadcast budget on the driver and in a worker; more
+    queries make more blocks, which are scored one after the other.
+    """
     spark = corpus_tok.sparkSession
     qt = _query_terms(query_tok, qid)
     vocab = qt.select("term").distinct()
     nv = vocab.count()
-    n_q = query_tok.count()
-    n_entries = qt.count()
-    if nv * n_q > MAX_QUERY_MATRIX or n_entries > MAX_QUERY_ENTRIES:
-        return None
-    terms = [r["term"] for r in vocab.orderBy("term").collect()]
-    pos = {t: i for i, t in enumerate(terms)}
-    qids = [r[qid] for r in query_tok.select(qid).orderBy(qid).collect()]
-    qpos = {q: i for i, q in enumerate(qids)}
-    qmat = np.zeros((len(qids), len(terms)))
-    entries = qt.toPandas()  # bounded by MAX_QUERY_ENTRIES, moved as Arrow
-    qmat[entries[qid].map(qpos).to_numpy(), entries["term"].map(pos).to_numpy()] = 1.0
-    idx_df = spark.createDataFrame([(i, t) for i, t in enumerate(terms)], "idx int, term string")
+    entries = materialize(qt.select(F.col(qid).cast("long").alias("q"), F.xxhash64("term").alias("t")))
+    many = max(1, -(-entries.count() * ENTRY_BYTES // broadcast_budget_bytes(spark)))
     dt = _doc_term_table(corpus_tok, vocab, nv, id_col)
     stats, dfreq = _weighted_terms(dt, id_col)
     idf = (dfreq.crossJoin(stats)
-                .select("term", idf_expr(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")
-                .join(idx_df, "term"))
+                .select("term", idf_expr(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl"))
     hits = join_small(dt, idf, "term", nv, "left")
+    known = F.col("idf").isNotNull()
     per_doc = hits.groupBy(id_col).agg(
-        F.collect_list(F.col("idx")).alias("idx"),
-        F.collect_list(F.when(F.col("idx").isNotNull(), F.col("idf") * _tfnorm(k1, b))).alias("w"))
-    return per_doc, qmat, qids
+        F.collect_list(F.when(known, F.xxhash64("term"))).alias("terms"),
+        F.collect_list(F.when(known, F.col("idf") * _tfnorm(k1, b))).alias("w"))
+    if many > 1:
+        per_doc = materialize(per_doc)
+
+    def blocks():
+        for k in range(many):
+            e = entries.where(F.pmod(F.xxhash64("q"), F.lit(many)) == k).toPandas()
+            if len(e):
+                yield QueryBlock(e["q"].to_numpy(), e["t"].to_numpy())
+    return per_doc, blocks()
 
 
 def bm25_max(corpus_tok: DataFrame, query_tok: DataFrame, k1: float = 1.5, b: float = 0.75,
              id_col: str = ID, qid: str = QID) -> DataFrame:
     """Max BM25 over the query set; 0.0 floor (scores are non-negative).
 
-    The query set becomes a 0/1 matrix M (queries x query terms, size checked,
-    broadcast); each corpus row's matched terms become a weight row of W, and
-    an Arrow chunk of rows computes W @ M^T and its row max -- no (query, doc)
-    pairs are shuffled.  Beyond the size bound, pairs are joined and reduced.
+    The queries become postings in blocks of bounded bytes; a document's best score per block
+    is found by MaxScore (:meth:`QueryBlock.best`), so no (query, document) pairs are formed
+    and long lists of light terms are mostly not read.
     """
-    inputs = _matrix_inputs(corpus_tok, query_tok, k1, b, id_col, qid)
-    if inputs is None:
-        pairs = _bm25_pairs_join(corpus_tok, query_tok, k1, b, id_col, qid)
-        best = pairs.groupBy(id_col).agg(F.max("score").alias("best"))
-        return (doc_lengths(corpus_tok, id_col).join(best, id_col, "left")
-                .select(id_col, F.coalesce(F.col("best"), F.lit(0.0)).alias("score")))
-    per_doc, qmat, qids = inputs
-    return _scores_over_queries(per_doc, qmat, qids, id_col, qid, "max")
+    per_doc, blocks = _postings_inputs(corpus_tok, query_tok, k1, b, id_col, qid)
+    schema, parts = f"{id_col} long, score double", []
+    for block in blocks:
+        run = _best_scorer(per_doc.sparkSession.sparkContext.broadcast(block), id_col)
+        parts.append(per_doc.mapInPandas(run, schema))
+    if not parts:
+        return per_doc.select(id_col, F.lit(0.0).alias("score"))
+    if len(parts) == 1:
+        return parts[0]
+    parts = [materialize(p) for p in parts]                    # one pass and one broadcast at a time
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy(id_col).agg(F.max("score").alias("score"))
 
 
 def bm25_self(corpus_tok: DataFrame, max_queries: int | None = None, seed: int = 42,

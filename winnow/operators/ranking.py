@@ -53,17 +53,26 @@ def broadcast_budget_bytes(spark) -> int:
     return min(driver, executor) // 32
 
 
+def _bytes(df: DataFrame, rows: int) -> int:
+    """Measured size of a hash relation of ``df``: its strings, and a fixed overhead per row."""
+    strings = [c for c, t in df.dtypes if t == "string"]
+    if not strings:
+        return rows * ROW_OVERHEAD_BYTES
+    held = df.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in strings), F.lit(0))).alias("b")).first()["b"]
+    return int(held or 0) + rows * ROW_OVERHEAD_BYTES
+
+
 def join_small(big: DataFrame, small: DataFrame, on, small_rows: int, how: str = "inner",
                salts: int = JOIN_SALTS) -> DataFrame:
     """Join a large table with a keyed lookup table.
 
-    Under the row bound the lookup table is broadcast (no shuffle of ``big``).
-    Above it, ``big`` is salted by a hash of its own row and the lookup rows are
+    Within the bounds of rows and bytes (strings measured) the lookup table is broadcast (no
+    shuffle of ``big``).  Above them, ``big`` is salted by a hash of its own row and the lookup rows are
     replicated per salt, so one key holding a large share of ``big`` (a hot
     term) is spread over ``salts`` tasks instead of one.
     """
     on = [on] if isinstance(on, str) else list(on)
-    if small_rows <= BROADCAST_ROWS:
+    if small_rows <= BROADCAST_ROWS and _bytes(small, small_rows) <= broadcast_budget_bytes(small.sparkSession):
         return big.join(F.broadcast(small), on, how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
