@@ -113,6 +113,40 @@ def test_build_if_missing_builds_once(spark):
     assert a.count() == b.count() == c.count() == 3 and len(calls) == 2
 
 
+def test_build_if_missing_publishes_whole_tables(spark):
+    base = scratch_path(spark, "cache")
+
+    def slow():
+        # another builder publishes while this one is at work
+        io.build_if_missing(spark, base, "k", lambda: spark.range(5), fingerprint="a")
+        return spark.range(9)
+    assert io.build_if_missing(spark, base, "k", slow, fingerprint="a").count() == 5
+
+    def dies():
+        return spark.range(4).selectExpr("raise_error('dies') AS id")
+    with pytest.raises(Exception, match="dies"):
+        io.build_if_missing(spark, base, "d", dies)
+    assert io.build_if_missing(spark, base, "d", lambda: spark.range(4)).count() == 4
+    with pytest.raises(ValueError, match="was built from"):
+        io.build_if_missing(spark, base, "k", lambda: spark.range(5), fingerprint="b")
+
+
+def test_manifest_of_any_ids(spark):
+    big = spark.createDataFrame([(2**62,), (2**62 + 1,), (2**62 + 2,)], "example_id long")
+    text = big.selectExpr("cast(example_id AS string) AS example_id")
+    a, b = (io.selection_manifest(d, "m", 0.1).first() for d in (big, text))
+    assert a.num_selected == 3 and a.id_checksum == b.id_checksum
+    assert io.selection_manifest(big.limit(2), "m", 0.1).first().id_checksum != a.id_checksum
+
+
+def test_cluster_warmup_takes_from_every_cluster(spark):
+    from winnow.operators import losses as ls
+    rows = [(i, [f"c{i % 4}"] * 6 + [f"w{i}"]) for i in range(80)]
+    tok = spark.createDataFrame(rows, "example_id long, tokens array<string>")
+    got = [r.example_id for r in ls.cluster_warmup(tok, 0.1, clusters=4).collect()]
+    assert len(got) == 8 and len(set(got)) == 8
+
+
 def test_dataset_sizes(spark):
     t = spark.range(7)
     v = spark.range(2)

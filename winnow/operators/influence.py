@@ -16,6 +16,7 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,6 +62,26 @@ def checkpoint_steps(total: int, num_checkpoints: int) -> list[int]:
     return np.unique(np.maximum(ends, 1)).astype(int).tolist()
 
 
+# Numbers of the warm-up rows that one task may hold; more take one job per step.
+ONE_TASK_ENTRIES = 20_000_000
+
+
+def _adam_steps(x: np.ndarray, y: np.ndarray, steps: int, batch: int, lr: float, warm: int, marks: set) -> list[tuple]:
+    """Minibatch Adam on the rows in order, wrapping around; a tuple per marked step."""
+    w, m, v, out = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1]), []
+    for t in range(1, steps + 1):
+        at = np.arange((t - 1) * batch, t * batch) % len(x)
+        p = 1.0 / (1.0 + np.exp(-(x[at] @ w)))
+        g = ((p - y[at])[:, None] * x[at]).mean(axis=0)
+        m = ADAM_B1 * m + (1 - ADAM_B1) * g
+        v = ADAM_B2 * v + (1 - ADAM_B2) * g * g
+        step_lr = lr * lr_factor(t - 1, steps, warm)
+        w = w - step_lr * (m / (1 - ADAM_B1 ** t)) / (np.sqrt(v / (1 - ADAM_B2 ** t)) + ADAM_EPS)
+        if t in marks:
+            out.append((len(out), t, lr * lr_factor(t, steps, warm), w.tolist(), m.tolist(), v.tolist()))
+    return out
+
+
 def warmup_checkpoints(vecs_y: DataFrame, sel: DataFrame, steps: int = 200, lr: float = 2e-5,
                        num_checkpoints: int = 4, warmup_ratio: float = 0.0,
                        batch_size: int | None = 4, seed: int = 42,
@@ -72,6 +93,10 @@ def warmup_checkpoints(vecs_y: DataFrame, sel: DataFrame, steps: int = 200, lr:
     step t uses the next ``batch_size`` rows of it, wrapping around like epochs; only the
     rows that some step uses are written.
     ``batch_size=None`` uses the whole subset every step.
+
+    The rows that minibatch steps use are bounded by ``steps * batch_size``; up to
+    ONE_TASK_ENTRIES numbers one task takes all steps.  Beyond, and for whole-subset steps,
+    each step is one distributed job.
     """
     spark = vecs_y.sparkSession
     sub = features(vecs_y, id_col).join(sel.select(id_col), id_col, "left_semi") \
@@ -85,6 +110,15 @@ def warmup_checkpoints(vecs_y: DataFrame, sel: DataFrame, steps: int = 200, lr:
     w, m, v = np.zeros(d), np.zeros(d), np.zeros(d)
     warm = int(warmup_ratio * steps)
     marks = set(checkpoint_steps(steps, num_checkpoints))
+    schema = ("ckpt int, step int, lr double, params array<double>, exp_avg array<double>, "
+              "exp_avg_sq array<double>")
+    if batch_size and batch_size < n_sub and steps * batch_size * (d + 1) <= ONE_TASK_ENTRIES:
+        # as many rows as the steps use, whatever the table's size: one task takes all steps
+        def train(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("_r")
+            done = _adam_steps(np.vstack(pdf["x"].to_numpy()), pdf["y"].to_numpy(), steps, batch_size, lr, warm, marks)
+            return pd.DataFrame(done, columns=["ckpt", "step", "lr", "params", "exp_avg", "exp_avg_sq"])
+        return sub.withColumn("_all", F.lit(True)).groupBy("_all").applyInPandas(train, schema)
     rows = []
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
@@ -108,8 +142,6 @@ def warmup_checkpoints(vecs_y: DataFrame, sel: DataFrame, steps: int = 200, lr:
         if t in marks:
             rows.append((len(rows), t, lr * lr_factor(t, steps, warm),
                          w.tolist(), m.tolist(), v.tolist()))
-    schema = ("ckpt int, step int, lr double, params array<double>, exp_avg array<double>, "
-              "exp_avg_sq array<double>")
     return spark.createDataFrame(rows, schema)
 
 

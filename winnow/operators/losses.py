@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.operators.budget import ID, invalid_sink, score_direction, topk_by_score
-from winnow.operators.lm import (W_BI_CTX, W_CACHE, W_UNI_CTX, CountLM, nll_with_context,
+from winnow.operators.budget import ID, chosen_k, invalid_sink, score_direction, topk_by_score
+from winnow.operators.lm import (W_BI_CTX, W_CACHE, W_UNI_CTX, CountLM, lm_brief_experience, nll_with_context,
                                  nll_without_context, scored_rows, token_nll)
 from winnow.operators.records import MAX_LENGTH
-from winnow.operators.vectors import nearest_neighbor
+from winnow.operators.sampling import cluster_round_robin
+from winnow.operators.vectors import encode_mean_pool, kmeans_labels, nearest_neighbor
 from winnow.session import materialize
 
 
@@ -96,6 +97,24 @@ def select_ifd(tok: DataFrame, lm: CountLM, budget: float = 0.05, ifd_max: float
     return topk_by_score(invalid_sink(s, valid), budget)
 
 
+def cluster_warmup(tok: DataFrame, frac: float = 0.1, clusters: int = 100, seed: int = 42,
+                   id_col: str = ID) -> DataFrame:
+    """The IFD warm-up subset: records encoded whole (prompt and response), clustered, and drawn
+    from the clusters in turn (C7) up to ``frac`` of all."""
+    vecs = materialize(encode_mean_pool(tok.select(id_col, "tokens"), id_col=id_col))
+    n = vecs.count()
+    labels = kmeans_labels(vecs, max(1, min(clusters, n)), seed, id_col=id_col)
+    return cluster_round_robin(materialize(labels), chosen_k(vecs, min(float(frac), 1.0), n), seed, id_col).select(id_col)
+
+
+def select_ifd_warm(tok: DataFrame, lm: CountLM, budget: float = 0.05, ifd_max: float = 1.0, warmup_frac: float = 0.1,
+                    clusters: int = 100, seed: int = 42, id_col: str = ID) -> DataFrame:
+    """IFD end to end: cluster-balanced warm-up (C7), brief experience (G10), then G9 on the warm model."""
+    tok = materialize(tok)
+    warm = lm_brief_experience(lm, tok, cluster_warmup(tok, warmup_frac, clusters, seed, id_col), id_col)
+    return select_ifd(tok, warm, budget, ifd_max)
+
+
 def one_shot_context(tok: DataFrame, nn: DataFrame, max_length: int | None = MAX_LENGTH,
                      id_col: str = ID) -> DataFrame:
     """The neighbour's full tokens, trimmed from the left to max_length - len(target)

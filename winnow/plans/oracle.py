@@ -238,7 +238,7 @@ FROM araw WHERE {strip('instruction')} <> '' AND {strip('output')} <> ''""",
     "format_prompt": f"WITH {ALPACA} SELECT example_id, {prompt_sql()} AS text FROM alp",
     "tokenize_mask": f"""WITH {CHAT}, {TOK}
 SELECT example_id, CAST(len(tokens) AS BIGINT) AS n_tokens, n_prompt, array_to_string(tokens, ' ') AS tokens FROM tok""",
-    "response_tokens": f"""WITH {CHAT}, {TOK}
+    "response_tokens": f"""WITH {CHAT}, {WHOLE_TOK}
 SELECT example_id, CAST(greatest(len(tokens) - n_prompt, 0) AS BIGINT) AS n_response,
        CASE WHEN len(tokens) > n_prompt THEN array_to_string(list_slice(tokens, n_prompt + 1, len(tokens)), ' ')
             ELSE '' END AS response FROM tok""",
@@ -251,7 +251,7 @@ SELECT CASE WHEN example_id % 2 = 0 THEN 'dolly' ELSE 'oasst1' END AS dataset, *
     "selection_manifest": topk_sql(SCORES, 0.05).replace(
         PICK + "\nQUALIFY",
         "SELECT 'bm25' AS method, CAST(0.05 AS DOUBLE) AS budget, count(*) AS num_selected, "
-        "CAST(sum(example_id) AS BIGINT) AS id_sum, min(example_id) AS min_id, max(example_id) AS max_id "
+        "bit_xor(('0x' || substr(md5(CAST(example_id AS VARCHAR)), 1, 15))::BIGINT) AS id_checksum, min(example_id) AS min_id, max(example_id) AS max_id "
         "FROM (SELECT example_id FROM sc\nQUALIFY") + ")",
     "dataset_sizes": """WITH n AS (SELECT count(*) AS n FROM documents)
 SELECT 'train' AS split, n - CAST(ceil(n * 0.05) AS BIGINT) AS n FROM n

@@ -215,7 +215,7 @@ def q_tokenize_mask(spark, sf):
 
 
 def q_response_tokens(spark, sf):
-    r = rec.response_tokens(_tok(spark, sf))
+    r = rec.response_tokens(_whole_tok(spark, sf))
     return r.select("example_id", F.size("response").cast("long").alias("n_response"),
                     F.array_join("response", " ").alias("response"))
 
@@ -507,6 +507,10 @@ def q_select_ifd(spark, sf):
     return ls.select_ifd(_whole_tok(spark, sf), _bg_lm(spark, sf), budget=0.1, ifd_max=1.0)
 
 
+def q_select_ifd_warm(spark, sf):
+    return ls.select_ifd_warm(_whole_tok(spark, sf), _bg_lm(spark, sf), budget=0.1, ifd_max=1.0)
+
+
 def q_lm_brief_experience(spark, sf):
     tok = _whole_tok(spark, sf)
     sel = smp.warmup_subset(tok, 0.1, seed=42, rounding="even")
@@ -559,7 +563,7 @@ def _md_grads(spark, sf):
 def q_warmup_checkpoints(spark, sf):
     v = _vy(_emb_train(spark, sf))
     sel = smp.warmup_subset(v, 0.05, seed=42, rounding="trunc")
-    return inf.warmup_checkpoints(v, sel, steps=8, lr=0.05, num_checkpoints=4)
+    return inf.warmup_checkpoints(v, sel)
 
 
 def q_example_gradients(spark, sf):
@@ -593,8 +597,7 @@ def q_influence_score(spark, sf):
 
 def q_select_less(spark, sf):
     train, val = _emb_parts(spark, sf)
-    return inf.select_less(_vy(train), _vy(val), budget=0.05, steps=8,
-                           lr=0.05, proj_dim=32, num_checkpoints=4)
+    return inf.select_less(_vy(train), _vy(val), budget=0.05)
 
 
 # --- J: evaluation ---------------------------------------------------------------
@@ -780,6 +783,7 @@ QUERIES = {
     "select_ppl": q_select_ppl,
     "ifd_score": q_ifd_score,
     "select_ifd": q_select_ifd,
+    "select_ifd_warm": q_select_ifd_warm,
     "lm_brief_experience": q_lm_brief_experience,
     "one_shot_context": q_one_shot_context,
     "miwv_score": q_miwv_score,

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,19 +108,77 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def build_if_missing(spark: SparkSession, base: str, key: str, build_fn) -> DataFrame:
+def _publish(spark: SparkSession, aside: str, path: str) -> bool:
+    """Move a written folder to its name in one rename; False if another builder was first."""
+    jvm = spark.sparkContext._jvm
+    options = jvm.org.apache.hadoop.fs.Options.Rename
+    none = spark.sparkContext._gateway.new_array(options, 1)
+    none[0] = options.NONE
+    fs, src = _fs(spark, aside)
+    dst = fs.makeQualified(jvm.org.apache.hadoop.fs.Path(path))
+    fs.mkdirs(dst.getParent())
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(dst.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(fs.makeQualified(src), dst, none)      # fails if the name is taken
+        return True
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" not in str(e.java_exception):
+            raise
+        return False
+
+
+def _write_note(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = _fs(spark, path)
+    out = fs.create(p)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def _read_note(spark: SparkSession, path: str) -> str | None:
+    fs, p = _fs(spark, path)                                    # Spark's readers skip names with an underscore
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def build_if_missing(spark: SparkSession, base: str, key: str, build_fn, fingerprint: str | None = None) -> DataFrame:
     """A4: build once under ``{base}/{key}`` and reuse.
 
     The key should name everything the build depends on (source, seed,
     fraction), so a changed parameter builds a new table instead of
-    silently reusing a stale one.
+    silently reusing a stale one.  ``fingerprint`` says what the input was: a table that was
+    built from another one raises ``ValueError``.
+
+    A table is written aside and published by one rename, so readers see a whole table or
+    none, of several builders one wins and the others use its table, and what a killed
+    builder leaves aside is never read.
     """
     path = f"{base}/{key}"
     if not path_exists(spark, f"{path}/_SUCCESS"):
-        build_fn().write.mode("overwrite").parquet(path)
+        fs, p = _fs(spark, path)
+        if fs.exists(p):                                        # left by something that died while writing in place
+            fs.delete(p, True)
+        aside = f"{base}/_building/{uuid.uuid4().hex}"
+        build_fn().write.parquet(aside)
+        if fingerprint is not None:
+            _write_note(spark, f"{aside}/_fingerprint", fingerprint)
+        if not _publish(spark, aside, path):
+            fs.delete(_fs(spark, aside)[1], True)
+    held = _read_note(spark, f"{path}/_fingerprint") if fingerprint is not None else None
+    if held != fingerprint:
+        raise ValueError(f"{path} was built from input {held!r}, not {fingerprint!r}")
     return spark.read.parquet(path)
 
 
+def id_checksum(id_col: str = ID):
+    """Order-free checksum of the ids: XOR of the first 60 bits of their md5."""
+    return F.bit_xor(F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 15), 16, 10).cast("long"))
+
+
 def selection_manifest(sel: DataFrame, method: str, budget: float, ids_path: str | None = None,
                        id_col: str = ID) -> DataFrame:
     """A5: one summary row; the selected ids stay a table (written to ``ids_path``)."""
@@ -126,11 +186,11 @@ def selection_manifest(sel: DataFrame, method: str, budget: float, ids_path: str
         sel.select(id_col).write.mode("overwrite").parquet(ids_path)
         sel = sel.sparkSession.read.parquet(ids_path)
     return sel.agg(F.count(F.lit(1)).alias("num_selected"),
-                   F.sum(F.col(id_col)).alias("id_sum"),
+                   id_checksum(id_col).alias("id_checksum"),
                    F.min(F.col(id_col)).alias("min_id"),
                    F.max(F.col(id_col)).alias("max_id")) \
               .select(F.lit(method).alias("method"), F.lit(float(budget)).alias("budget"),
-                      "num_selected", "id_sum", "min_id", "max_id")
+                      "num_selected", "id_checksum", "min_id", "max_id")
 
 
 def dataset_sizes(train: DataFrame, val: DataFrame | None = None) -> DataFrame:
