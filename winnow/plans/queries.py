@@ -699,7 +699,7 @@ def q_stream_reweight(spark, sf):
     sink, ckpt = scratch_path(spark, "reweight-out"), scratch_path(spark, "reweight-ckpt")
     q = rs.stream_reweight(_file_stream(spark, docs, "docs", F.col("step"), bounds),
                            _file_stream(spark, anchors, "anchors", F.col("effective_step"), bounds),
-                           sink, ckpt, interval=5)
+                           sink, ckpt, interval=5, spread=spark.sparkContext.defaultParallelism)
     q.awaitTermination()
     return spark.read.parquet(sink).select("step", "example_id", r9("score"), r9("weight"))
 

@@ -52,19 +52,20 @@ def stream_reweight(stream: DataFrame, anchors: DataFrame, sink: str, checkpoint
                     interval: int = 50, tau: float = 1.0, eps: float = 1e-8, w_min: float = 0.0,
                     w_max: float = 10.0, text_col: str = "text", id_col: str = ID,
                     anchor_id: str = "anchor_id", available_now: bool = True,
-                    shards: int = SHARDS) -> StreamingQuery:
+                    shards: int = SHARDS, spread: int | None = None) -> StreamingQuery:
     """Weight each arriving example; sink rows ``(step, example_id, score, weight)``.
 
     If ``anchors`` is a stream, it carries ``effective_step`` and ``stream`` carries ``step``:
     an example is weighed by the anchors with ``effective_step`` up to its version
     ``floor(step / interval) * interval`` (NULL while there are none).  Steps don't go back
     between micro-batches, and an anchor comes no later than the first example whose version
-    counts it; one that comes later counts from then on.  A static ``anchors`` never changes,
+    counts it; one that comes later counts from then on.  ``spread`` deals a source of few
+    splits over so many tasks before the texts are encoded.  A static ``anchors`` never changes,
     and the step is the micro-batch.
     """
     if anchors.isStreaming:
         return _stateful(stream, anchors, sink, checkpoint, interval or 50, tau, eps, w_min, w_max, text_col, id_col,
-                         anchor_id, available_now, shards)
+                         anchor_id, available_now, shards, spread)
     atok = tokenize_whitespace(anchors, text_col, anchor_id)
     center = materialize(centroid(encode_position_pool(atok, eps=eps, id_col=anchor_id)).select(F.col("vec").alias("_c")))
 
@@ -118,12 +119,13 @@ class AnchorSums:
 
 
 def _stateful(stream, anchors, sink, checkpoint, interval, tau, eps, w_min, w_max, text_col, id_col, anchor_id,
-              available_now, shards):
+              available_now, shards, spread):
     ex = stream.select(F.struct(F.lit(False).alias("anchor"), F.col(id_col).cast("long").alias("id"),
                                 F.col("step").cast("long").alias("step")).alias("row"), F.col(text_col).alias("text"))
     an = anchors.select(F.struct(F.lit(True).alias("anchor"), F.col(anchor_id).cast("long").alias("id"),
                                  F.col("effective_step").cast("long").alias("step")).alias("row"), F.col(text_col).alias("text"))
-    phi = encode_position_pool(tokenize_whitespace(ex.unionByName(an), "text", "row"), eps=eps, id_col="row")
+    rows = ex.repartition(spread).unionByName(an) if spread else ex.unionByName(an)
+    phi = encode_position_pool(tokenize_whitespace(rows, "text", "row"), eps=eps, id_col="row")
     # an anchor goes to every shard, an example to one
     to = F.when(F.col("row.anchor"), F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(
         F.array(F.pmod(F.xxhash64("row.id"), F.lit(shards)).cast("int")))
