@@ -121,6 +121,36 @@ def test_projection_blocks_agree_with_numpy(spark):
         assert all(np.allclose(got[k], want[k]) for k in want)
 
 
+def test_structured_projection_keeps_inner_products(spark):
+    assert np.array_equal(inf.hadamard(np.eye(4)), [[1, 1, 1, 1], [1, -1, 1, -1], [1, 1, -1, -1], [1, -1, -1, 1]])
+    signs, coords = inf.projection_plan(42, 300, 600)
+    assert signs.shape == (2, 300) and len(coords) == 600 and abs(signs.mean()) < 0.1
+    assert len(set(coords[:512])) == 512 and len(set(coords[512:])) == 88
+    bit = int(hashlib.md5(b"42:had-1:200:1").hexdigest(), 16) >> (127 - 200 % 128) & 1
+    assert signs[1, 200] == 1 - 2 * bit
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(12, 300))
+    x[1] = 0.0
+    x[1, 7] = 1.0                                                     # a spike spreads over all coordinates
+    rows = [(i, x[i].tolist()) for i in range(12)] + [(99, None)]
+    g = spark.createDataFrame(rows, "example_id long, grad array<double>")
+    runs = []
+    for entries in (1, 2000, 1 << 22):
+        got = {r.example_id: r.grad for r in inf.random_projection(g, 256, block_entries=entries, structured=True).collect()}
+        assert got.pop(99) is None and len(got) == 12
+        runs.append(np.array([got[i] for i in range(12)]))
+    assert np.array_equal(runs[0], runs[1]) and np.array_equal(runs[1], runs[2])
+    norm = np.linalg.norm(x, axis=1)
+    err = (runs[0] @ runs[0].T - x @ x.T) / np.outer(norm, norm)
+    assert np.abs(err).max() < 4 / math.sqrt(256)
+    whole = inf.random_projection(g, 512, structured=True).filter("grad is not null").orderBy("example_id").collect()
+    z = np.array([r.grad for r in whole])
+    assert np.allclose(z @ z.T, x @ x.T)                              # all coordinates: an isometry
+    mean = np.mean([[float(np.dot(*(inf.hadamard(np.pad(x[:2] * inf.projection_plan(s, 300, 64)[0], ((0, 0), (0, 212))))
+                     [:, inf.projection_plan(s, 300, 64)[1]]))) / 64] for s in range(200)])
+    assert abs(mean - x[0] @ x[1]) < 4 * norm[0] * norm[1] / math.sqrt(64 * 200)
+
+
 def _radius(x, centers):
     return max(min(np.linalg.norm(x[i] - x[c]) for c in centers) for i in range(len(x)))
 
@@ -135,15 +165,56 @@ def test_diversity_within_twice_optimum(spark):
     assert _radius(x, got) <= 2 * opt + 1e-12
 
 
-def test_diversity_shares_k_over_bounded_blocks(spark):
+def test_diversity_gives_k_rows_by_any_way(spark):
     df, x = _rand_vecs(spark, n=101, d=3, seed=6, dup=False)
     scores = df.select("example_id", F.lit(1.0).alias("score"))
-    for block_rows, k in [(7, 20), (7, 101), (40, 3), (101, 20)]:
-        got = [r.example_id for r in pol.policy_diversity(scores, df, budget=k / 101, block_rows=block_rows).collect()]
+    for block_rows, k, merge_k in [(7, 20, 50), (7, 101, 500), (40, 3, 50), (101, 20, 50), (8, 40, 0), (8, 101, 0), (32, 60, 0)]:
+        got = [r.example_id for r in pol.policy_diversity(scores, df, k / 101, block_rows=block_rows, merge_k=merge_k).collect()]
         assert len(got) == len(set(got)) == k
     one = {r.example_id for r in pol.policy_diversity(scores, df, budget=20 / 101).collect()}
     assert one == set(pol.greedy_k_center(np.arange(101), x, np.ones(101), 20))
     assert pol.policy_diversity(scores.limit(0), df, budget=0.1).count() == 0
+    assert pol.policy_diversity(scores, df.withColumn("vec", F.lit(None).cast("array<double>")), 0.1).count() == 0
+
+
+def _planted(spark, centres, per, hot, spread=1e-3):
+    """``centres`` far apart, ``per`` rows around each, one with ``hot`` rows more; the optimal radius is <= spread."""
+    rng = np.random.default_rng(8)
+    c = np.stack(np.meshgrid(np.arange(10.0), np.arange(10.0)), axis=-1).reshape(-1, 2)[:centres]
+    x = np.concatenate([np.repeat(c, per, axis=0), np.repeat(c[3:4], hot, axis=0)])
+    shift = rng.normal(size=x.shape)
+    x = x + shift / np.linalg.norm(shift, axis=1, keepdims=True) * spread * rng.random((len(x), 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "example_id long, vec array<double>")
+    return df, x
+
+
+def test_diversity_covers_the_table_across_blocks(spark):
+    # the groups are spread over all blocks: picks shared out by block miss groups, the coreset none
+    df, x = _planted(spark, centres=20, per=8, hot=80)
+    scores = df.select("example_id", (F.col("example_id") * 1.0).alias("score"))
+    for block_rows in (40, 64, 512):
+        got = [r.example_id for r in pol.policy_diversity(scores, df, 20, block_rows=block_rows).collect()]
+        levels = {40: 3, 64: 2, 512: 1}[block_rows]
+        assert len(got) == 20 and _radius(x, got) <= 2 * levels * 2e-3
+        assert len(x) - 1 in got                                     # the best score starts the last block as well
+
+
+def test_diversity_by_cells_covers_and_ignores_partitioning(spark):
+    df, x = _planted(spark, centres=40, per=8, hot=80)
+    scores = df.select("example_id", F.lit(0.0).alias("score"))
+    runs = [sorted(r.example_id for r in pol.policy_diversity(scores, d, 160, block_rows=16, merge_k=0).collect())
+            for d in (df, df.repartition(7))]
+    assert runs[0] == runs[1] and len(runs[0]) == 160
+    assert _radius(x, runs[0]) < 0.1                                  # every group is met
+
+
+def test_diversity_cells_equal_whole_orders(spark):
+    df, x = _rand_vecs(spark, n=90, d=3, seed=9)
+    scores = np.arange(90.0) % 7
+    at, entered = pol.farthest_order(np.arange(90), x, scores, 90)
+    assert sorted(at) == list(range(90)) and entered == sorted(entered, reverse=True)
+    cut = pol.farthest_order(np.arange(90), x, scores, 90, floor=entered[30])
+    assert cut == (at[:31], entered[:31])
 
 
 def test_greats_matches_numpy(spark):

@@ -191,25 +191,44 @@ def projection_signs(seed: int, lo: int, hi: int, p: int) -> np.ndarray:
     return 1.0 - 2.0 * bits
 
 
-def random_projection(grads: DataFrame, p: int = 8192, seed: int = 42, grad_col: str = "grad",
-                      block_entries: int = BLOCK_ENTRIES) -> DataFrame:
-    """H5: grad (length D) -> grad @ R / sqrt(p) (length p), the same way for every D.
+def projection_plan(seed: int, d: int, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signs and coordinates of the structured projection of ``d`` inputs to ``p`` outputs.
 
-    Each Arrow batch adds up ``g[:, block] @ R[block, :]`` over blocks of input dimensions;
-    the signs come from hashes inside the task, so nothing is shuffled or broadcast and no
-    more than ``block_entries`` entries of R, or of the output, are held at once.  A null
-    gradient stays null.
+    With D the power of two from d on, output j reads copy j // D: signs[copy, i] is bit i % 128 of
+    md5(seed:had-copy:i:(i // 128)), and coords[j] is the (j % D)-th index of 0..D-1 in the order of
+    md5(seed:coord-copy:index).
     """
+    size = 1 << max(0, d - 1).bit_length()
+    copies = -(-p // size)
+    signs = np.empty((copies, d))
+    coords = []
+    for c in range(copies):
+        raw = b"".join(hashlib.md5(f"{seed}:had-{c}:{i}:{i // 128}".encode()).digest()[i % 128 // 8:i % 128 // 8 + 1]
+                       for i in range(d))
+        bits = np.frombuffer(raw, np.uint8) >> (7 - np.arange(d) % 8).astype(np.uint8) & 1
+        signs[c] = 1.0 - 2.0 * bits
+        keys = [hashlib.md5(f"{seed}:coord-{c}:{i}".encode()).hexdigest() for i in range(size)]
+        coords += sorted(range(size), key=keys.__getitem__)[:p - c * size]
+    return signs, np.array(coords)
+
+
+def hadamard(x: np.ndarray) -> np.ndarray:
+    """Rows times the (unscaled) Walsh-Hadamard matrix, in place; the width is a power of two."""
+    n, d = x.shape
+    h = 1
+    while h < d:
+        v = x.reshape(n, d // (2 * h), 2, h)
+        low = v[:, :, 0, :] + v[:, :, 1, :]
+        np.subtract(v[:, :, 0, :], v[:, :, 1, :], out=v[:, :, 1, :])
+        v[:, :, 0, :] = low
+        h *= 2
+    return x
+
+
+def _map_gradients(grads: DataFrame, project, rows: int, grad_col: str) -> DataFrame:
+    """``project`` (matrix of gradients -> matrix) over batches of at most ``rows`` gradients; null stays null."""
     others = [c for c in grads.columns if c != grad_col]
     schema = grads.select(*others).schema.add(grad_col, T.ArrayType(T.DoubleType()))
-    rows = max(1, block_entries // p)
-
-    def project(g: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(g), p))
-        for lo in range(0, g.shape[1], rows):
-            hi = min(lo + rows, g.shape[1])
-            out += g[:, lo:hi] @ projection_signs(seed, lo, hi, p)
-        return out / math.sqrt(p)
 
     def run(batches):
         for pdf in batches:
@@ -227,6 +246,59 @@ def random_projection(grads: DataFrame, p: int = 8192, seed: int = 42, grad_col:
     return grads.mapInPandas(run, schema)
 
 
+def structured_projection(grads: DataFrame, p: int = 8192, seed: int = 42, grad_col: str = "grad",
+                          block_entries: int = BLOCK_ENTRIES) -> DataFrame:
+    """H5, structured: grad (length D) -> p sampled coordinates of its randomly signed Walsh-Hadamard
+    transform / sqrt(p), at a cost of D log D a row in place of D p.
+
+    Coordinates are sampled without repeats; beyond the padded D, further signed copies give the rest.
+    Inner products are kept in expectation, as by :func:`random_projection`.  Signs and
+    coordinates are hashed once a task for each length; at most ``block_entries`` padded entries, or one row, are
+    transformed at once, and nothing is shuffled or broadcast.  A null gradient stays null; all others of one
+    table have one length.
+    """
+    plans = {}
+
+    def project(g: np.ndarray) -> np.ndarray:
+        d = g.shape[1]
+        if d not in plans:
+            plans[d] = projection_plan(seed, d, p)
+        signs, coords = plans[d]
+        size = 1 << max(0, d - 1).bit_length()
+        step = max(1, block_entries // size)
+        out = np.empty((len(g), p))
+        for lo in range(0, len(g), step):
+            for c in range(len(signs)):
+                x = np.zeros((len(g[lo:lo + step]), size))
+                x[:, :d] = g[lo:lo + step] * signs[c]
+                out[lo:lo + step, c * size:(c + 1) * size] = hadamard(x)[:, coords[c * size:(c + 1) * size]]
+        return out / math.sqrt(p)
+    return _map_gradients(grads, project, max(1, block_entries // p), grad_col)
+
+
+def random_projection(grads: DataFrame, p: int = 8192, seed: int = 42, grad_col: str = "grad",
+                      block_entries: int = BLOCK_ENTRIES, structured: bool = False) -> DataFrame:
+    """H5: grad (length D) -> grad @ R / sqrt(p) (length p), the same way for every D.
+
+    Each Arrow batch adds up ``g[:, block] @ R[block, :]`` over blocks of input dimensions;
+    the signs come from hashes inside the task, so nothing is shuffled or broadcast and no
+    more than ``block_entries`` entries of R, or of the output, are held at once.  A null
+    gradient stays null.  ``structured`` takes :func:`structured_projection` instead, for long
+    gradients.
+    """
+    if structured:
+        return structured_projection(grads, p, seed, grad_col, block_entries)
+    rows = max(1, block_entries // p)
+
+    def project(g: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(g), p))
+        for lo in range(0, g.shape[1], rows):
+            hi = min(lo + rows, g.shape[1])
+            out += g[:, lo:hi] @ projection_signs(seed, lo, hi, p)
+        return out / math.sqrt(p)
+    return _map_gradients(grads, project, rows, grad_col)
+
+
 def checkpoint_weights(ckpts: DataFrame, manual: list[float] | None = None) -> DataFrame:
     """H6: ``(ckpt, weight)``: manual list, else lr; normalized; uniform if sum <= 0."""
     if manual:
@@ -274,7 +346,7 @@ def select_less(vecs_y: DataFrame, val_y: DataFrame, budget: float = 0.05, steps
                 lr: float = 2e-5, warmup_subset_frac: float = 0.05, num_checkpoints: int = 4,
                 proj_dim: int = 8192, agg: str = "mean", seed: int = 42, warmup_ratio: float = 0.0,
                 manual_weights: list[float] | None = None, batch_size: int | None = 4,
-                id_col: str = ID) -> DataFrame:
+                id_col: str = ID, structured: bool = False) -> DataFrame:
     """H8: warm-up -> checkpoints -> Adam/SGD gradients -> projection -> influence -> top-k."""
     if val_y is None or val_y.limit(1).count() == 0:
         raise ValueError("influence is measured against a target set, but val_y has no rows")
@@ -282,12 +354,12 @@ def select_less(vecs_y: DataFrame, val_y: DataFrame, budget: float = 0.05, steps
     ckpts = materialize(warmup_checkpoints(vecs_y, sel, steps, lr, num_checkpoints, warmup_ratio,
                                            batch_size, seed, id_col))
     tg = random_projection(adam_transform(example_gradients(vecs_y, ckpts, "train", id_col), ckpts),
-                           proj_dim, seed)
-    vg = random_projection(example_gradients(val_y, ckpts, "validation", id_col), proj_dim, seed)
+                           proj_dim, seed, structured=structured)
+    vg = random_projection(example_gradients(val_y, ckpts, "validation", id_col), proj_dim, seed, structured=structured)
     w = checkpoint_weights(ckpts, manual_weights)
     return topk_by_score(influence_score(tg, vg, w, agg, id_col), budget)
 
 
 __all__ = ["features", "warmup_checkpoints", "mean_difference_checkpoint", "example_gradients",
-           "adam_transform", "random_projection", "checkpoint_weights", "influence_score",
+           "adam_transform", "random_projection", "structured_projection", "checkpoint_weights", "influence_score",
            "select_less", "checkpoint_steps", "lr_factor"]

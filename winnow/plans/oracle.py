@@ -564,7 +564,7 @@ FROM ctx""",
 
 
 # --- influence ------------------------------------------------------------------
-from winnow.functions.hashing import sql_sign_bit  # noqa: E402
+from winnow.functions.hashing import sql_draw_key, sql_sign_bit  # noqa: E402
 
 B1C, B2C = repr(1 - 0.9), repr(1 - 0.999)
 
@@ -587,6 +587,18 @@ rm AS (SELECT i, j, {sql_sign_bit(42, 'proj', 'i', 'j')} * {1.0 / 32 ** 0.5!r} A
        FROM range(65) t1(i) CROSS JOIN range(32) t2(j))"""
 
 
+# Structured projection of 65 inputs (padded to 128) to 160 outputs: two signed copies.
+HAD_SIGN = f"""(CASE WHEN (instr('0123456789abcdef', substr({sql_draw_key(42, "had-' || c || '", 'i', '0')},
+    CAST(i // 4 + 1 AS BIGINT), 1)) - 1) >> CAST(3 - i % 4 AS INTEGER) & 1 = 0 THEN 1.0 ELSE -1.0 END)"""
+HADAMARD = f""",
+hs AS (SELECT c, i, {HAD_SIGN} AS sg FROM range(2) t1(c) CROSS JOIN range(65) t2(i)),
+hk AS (SELECT c, i, row_number() OVER (PARTITION BY c ORDER BY {sql_draw_key(42, "coord-' || c || '", 'i')}) - 1 AS place
+       FROM range(2) t1(c) CROSS JOIN range(128) t2(i)),
+hm AS (SELECT hs.i, hk.c * 128 + hk.place AS j,
+              hs.sg * (1 - 2 * (bit_count(CAST(hs.i & hk.i AS BIGINT)) % 2)) * {1.0 / 160 ** 0.5!r} AS r
+       FROM hs JOIN hk ON hs.c = hk.c WHERE hk.c * 128 + hk.place < 160)"""
+
+
 def _proj(src: str) -> str:
     return f"(SELECT s.example_id, s.split, rm.j AS dim, sum(s.g * rm.r) AS g FROM {src} s JOIN rm ON rm.i = s.dim GROUP BY s.example_id, s.split, rm.j)"
 
@@ -599,6 +611,9 @@ SELECT example_id, split, CAST(0 AS BIGINT) AS ckpt, dim, round(g, 9) AS value F
     "random_projection": INF_BASE + f"""
 SELECT example_id, split, CAST(0 AS BIGINT) AS ckpt, CAST(dim AS BIGINT) AS dim, round(g, 9) AS value
 FROM {_proj("(SELECT * FROM gl WHERE split = 'train')")}""",
+    "structured_projection": INF_BASE + HADAMARD + """
+SELECT gl.example_id, gl.split, CAST(0 AS BIGINT) AS ckpt, CAST(hm.j AS BIGINT) AS dim, round(sum(gl.g * hm.r), 9) AS value
+FROM gl JOIN hm ON hm.i = gl.dim WHERE gl.split = 'train' GROUP BY gl.example_id, gl.split, hm.j""",
     "checkpoint_weights": """WITH c AS (SELECT * FROM (VALUES (0, 2), (1, 4), (2, 6), (3, 8)) t(ckpt, step)),
 l AS (SELECT ckpt, 0.05 * greatest(0.0, (8 - step) / 8.0) AS lr FROM c)
 SELECT CAST(ckpt AS BIGINT) AS ckpt,

@@ -581,6 +581,11 @@ def q_random_projection(spark, sf):
     return _grads_long(inf.random_projection(tg, p=32, seed=42))
 
 
+def q_structured_projection(spark, sf):
+    _, tg, _ = _md_grads(spark, sf)
+    return _grads_long(inf.structured_projection(tg, p=160, seed=42))
+
+
 def q_checkpoint_weights(spark, sf):
     v = _vy(_emb_train(spark, sf))
     sel = smp.warmup_subset(v, 0.05, seed=42, rounding="trunc")
@@ -792,6 +797,7 @@ QUERIES = {
     "example_gradients": q_example_gradients,
     "adam_transform": q_adam_transform,
     "random_projection": q_random_projection,
+    "structured_projection": q_structured_projection,
     "checkpoint_weights": q_checkpoint_weights,
     "influence_score": q_influence_score,
     "select_less": q_select_less,
