@@ -54,12 +54,13 @@ def broadcast_budget_bytes(spark) -> int:
 
 
 def _bytes(df: DataFrame, rows: int) -> int:
-    """Measured size of a hash relation of ``df``: its strings, and a fixed overhead per row."""
-    strings = [c for c, t in df.dtypes if t == "string"]
-    if not strings:
+    """Measured size of a hash relation of ``df``: its strings and vectors, and a fixed overhead per row."""
+    held = [F.coalesce(F.octet_length(c), F.lit(0)) if t == "string" else F.greatest(F.size(c), F.lit(0)) * 8
+            for c, t in df.dtypes if t in ("string", "array<double>")]
+    if not held:
         return rows * ROW_OVERHEAD_BYTES
-    held = df.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in strings), F.lit(0))).alias("b")).first()["b"]
-    return int(held or 0) + rows * ROW_OVERHEAD_BYTES
+    total = df.agg(F.sum(sum(held, F.lit(0))).alias("b")).first()["b"]
+    return int(total or 0) + rows * ROW_OVERHEAD_BYTES
 
 
 def join_small(big: DataFrame, small: DataFrame, on, small_rows: int, how: str = "inner",

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions.vector import dot, l2_normalize as l2_expr, to_double
 from winnow.operators.budget import ID, score_direction, topk_by_score
+from winnow.operators.token_vectors import pool_token_vectors
 from winnow.session import materialize
 
 DIM = 64
@@ -115,20 +116,26 @@ def _pooled(tok: DataFrame, dim: int, seed: int, positional: bool, eps: float, i
 
 
 def encode_mean_pool(tok: DataFrame, dim: int = DIM, seed: int = TOKVEC_SEED,
-                     id_col: str = ID) -> DataFrame:
+                     id_col: str = ID, token_vecs: DataFrame | None = None) -> DataFrame:
     """mean of the token vectors (zero vector for no tokens).
 
+    ``token_vecs`` (token, vec) gives the vectors, of any width; else they are hashed signs.
+
     Arrow batches (``mapInArrow``): tokens are dictionary-encoded so each
     distinct token of a batch is hashed once; sums are numpy ``bincount``s.
     (The same maths as higher-order functions over the token array, see
     :func:`token_vector`, is ~50x slower: lambdas are interpreted per token.)
     """
+    if token_vecs is not None:
+        return pool_token_vectors(tok, token_vecs, id_col=id_col)
     return _pooled(tok, dim, seed, False, 0.0, id_col)
 
 
 def encode_position_pool(tok: DataFrame, dim: int = DIM, seed: int = TOKVEC_SEED,
-                         eps: float = 1e-8, id_col: str = ID) -> DataFrame:
-    """weight of the i-th token = i / sum(j), then L2-normalized (clamp eps)."""
+                         eps: float = 1e-8, id_col: str = ID, token_vecs: DataFrame | None = None) -> DataFrame:
+    """weight of the i-th token = i / sum(j), then L2-normalized (clamp eps); vectors as in F1."""
+    if token_vecs is not None:
+        return pool_token_vectors(tok, token_vecs, True, eps, id_col)
     return _pooled(tok, dim, seed, True, eps, id_col)
 
 

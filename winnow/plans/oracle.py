@@ -351,6 +351,17 @@ ORACLE.update({
     "encode_mean_pool": "WITH " + mean_pool_sql(WS_DOCS) +
         "\nSELECT example_id, dim, round(value, 9) AS value FROM mp",
     "encode_position_pool": "WITH " + PP_DOCS + "\nSELECT example_id, dim, round(value, 9) AS value FROM pp",
+    "token_ppmi": f"""WITH {WS_DOCS},
+tp AS (SELECT example_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM x),
+co AS (SELECT a.token, b.token AS ctx, sum(5 - abs(a.pos - b.pos)) AS c
+       FROM tp a JOIN (SELECT * FROM tp) b ON a.example_id = b.example_id AND b.pos BETWEEN a.pos - 4 AND a.pos + 4
+                                          AND b.pos <> a.pos
+       GROUP BY a.token, b.token),
+mg AS (SELECT token, sum(c) AS m FROM co GROUP BY token),
+al AS (SELECT sum(m)::DOUBLE AS total FROM mg)
+SELECT co.token, co.ctx, round(ln(co.c::DOUBLE * al.total / (t.m::DOUBLE * u.m::DOUBLE)), 9) AS ppmi
+FROM co JOIN mg t ON t.token = co.token JOIN mg u ON u.token = co.ctx CROSS JOIN al
+WHERE ln(co.c::DOUBLE * al.total / (t.m::DOUBLE * u.m::DOUBLE)) > 0""",
     "l2_normalize": f"""WITH e AS (SELECT vec_id AS example_id, list_transform(embedding, lambda x: x::DOUBLE) AS v
     FROM embeddings)
 SELECT example_id, CAST(dim - 1 AS BIGINT) AS dim, round(x / greatest(nrm, 1e-12), 9) AS value FROM (

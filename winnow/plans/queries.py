@@ -20,6 +20,7 @@ from winnow.operators import losses as ls
 from winnow.operators import policies as pol
 from winnow.operators import records as rec
 from winnow.operators import reweight as rw
+from winnow.operators import token_vectors as tv
 from winnow.operators import vectors as vec
 from winnow.operators import sampling as smp
 from winnow.plans import selectors as selx
@@ -355,6 +356,20 @@ def q_encode_mean_pool(spark, sf):
     return _long(vec.encode_mean_pool(_ws_docs(spark, sf)))
 
 
+def q_token_ppmi(spark, sf):
+    return tv.token_ppmi(_ws_docs(spark, sf)).select("token", "ctx", r9("ppmi"))
+
+
+def q_learn_token_vectors(spark, sf):
+    vecs = tv.learn_token_vectors(_ws_docs(spark, sf))
+    return vecs.select("token", F.posexplode("vec").alias("dim", "value"))
+
+
+def q_encode_learned_pool(spark, sf):
+    docs = materialize(_ws_docs(spark, sf).select("example_id", "tokens"))
+    return _long(vec.encode_mean_pool(docs, token_vecs=tv.learn_token_vectors(docs)))
+
+
 def q_encode_position_pool(spark, sf):
     return _long(vec.encode_position_pool(_ws_docs(spark, sf)))
 
@@ -764,6 +779,9 @@ QUERIES = {
     "query_sample": q_query_sample,
     "encode_mean_pool": q_encode_mean_pool,
     "encode_position_pool": q_encode_position_pool,
+    "token_ppmi": q_token_ppmi,
+    "learn_token_vectors": q_learn_token_vectors,
+    "encode_learned_pool": q_encode_learned_pool,
     "l2_normalize": q_l2_normalize,
     "centroid": q_centroid,
     "cosine_to_centroid": q_cosine_to_centroid,

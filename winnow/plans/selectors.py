@@ -23,10 +23,10 @@ from winnow.operators.budget import ID, select_all, topk_by_score
 from winnow.session import materialize
 
 
-def _vecs(df: DataFrame, id_col: str = ID) -> DataFrame:
+def _vecs(df: DataFrame, id_col: str = ID, token_vecs: DataFrame | None = None) -> DataFrame:
     if "vec" in df.columns:
         return df.select(id_col, "vec")
-    return vec.encode_mean_pool(lex.tokenize_whitespace(df, "text", id_col), id_col=id_col)
+    return vec.encode_mean_pool(lex.tokenize_whitespace(df, "text", id_col), id_col=id_col, token_vecs=token_vecs)
 
 
 def _lm_and_tokens(ex: DataFrame, max_length, lm, background):
@@ -47,8 +47,9 @@ def _bm25(ex, val, budget, **o):
     return lex.select_bm25(ex, val, budget, **o)
 
 
-def _embedding(ex, val, budget, *, keep="near"):
-    return vec.select_embedding(_vecs(ex), _vecs(val) if val is not None else None, budget, keep)
+def _embedding(ex, val, budget, *, keep="near", token_vecs=None):
+    val_vecs = _vecs(val, token_vecs=token_vecs) if val is not None else None
+    return vec.select_embedding(_vecs(ex, token_vecs=token_vecs), val_vecs, budget, keep)
 
 
 def _ppl(ex, val, budget, *, keep="high", max_length=None, lm=None, background=None):
