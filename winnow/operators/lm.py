@@ -135,14 +135,13 @@ def _lookup(rows: DataFrame, table: DataFrame, on, size_bytes: int) -> DataFrame
     return rows.join(table.hint("merge"), on, "left")
 
 
-def scored_rows(tok: DataFrame, lm: CountLM, variant: str = "cond", context: DataFrame | None = None,
-                id_col: str = ID) -> DataFrame:
-    """``(example_id, token, pos, start, p_bi, p_uni[, cc, clen, p_cache])`` for every scored
-    position: the count-model probabilities before mixing (``start`` = first scored index,
-    ``cc``/``clen`` = count of the token in the visible context and its length)."""
+def history_rows(tok: DataFrame, variant: str = "cond", context: DataFrame | None = None,
+                 id_col: str = ID) -> DataFrame:
+    """``(example_id, token, clen, start, pos, prev, prev2[, cc])`` for every scored position: the token, the two
+    before it (NULL where there is none), the length of the visible context and the token's count in it."""
     sp = _scored_positions(tok, variant, context, id_col)
     # Only the scored slice is exploded (prompt and context tokens never become
-    # rows); the previous token is read from the full sequence.
+    # rows); the previous tokens are read from the full sequence.
     scored = F.slice("seq", F.col("start") + 1, F.greatest(F.size("seq") - F.col("start"), F.lit(0)))
     rows = (sp.select(id_col, "seq", "start", "offset",
                       F.coalesce(F.size("cache"), F.lit(0)).cast("double").alias("clen"),
@@ -150,12 +149,22 @@ def scored_rows(tok: DataFrame, lm: CountLM, variant: str = "cond", context: Dat
               .withColumn("i", F.col("j") + F.col("start"))
               .select(id_col, "token", "clen", "start",
                       (F.col("i") + F.col("offset")).cast("long").alias("pos"),
-                      F.when(F.col("i") > 0, F.element_at("seq", F.col("i"))).alias("prev")))
+                      F.when(F.col("i") > 0, F.element_at("seq", F.col("i"))).alias("prev"),
+                      F.when(F.col("i") > 1, F.element_at("seq", F.col("i") - 1)).alias("prev2")))
+    if variant == "direct":
+        return rows
+    ccount = (sp.select(id_col, F.explode("cache").alias("token"))
+                .groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("cc")))
+    return rows.join(ccount, [id_col, "token"], "left")
+
+
+def scored_rows(tok: DataFrame, lm: CountLM, variant: str = "cond", context: DataFrame | None = None,
+                id_col: str = ID) -> DataFrame:
+    """``(example_id, token, pos, start, p_bi, p_uni[, cc, clen, p_cache])`` for every scored
+    position: the count-model probabilities before mixing (``start`` = first scored index,
+    ``cc``/``clen`` = count of the token in the visible context and its length)."""
+    rows = history_rows(tok, variant, context, id_col).drop("prev2")
     has_cache = variant != "direct"
-    if has_cache:
-        ccount = (sp.select(id_col, F.explode("cache").alias("token"))
-                    .groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("cc")))
-        rows = rows.join(ccount, [id_col, "token"], "left")
     # Count tables are broadcast when their measured size fits the budget.
     rows = _lookup(rows, lm.uni.withColumnRenamed("c", "c_w"), "token", lm.bytes_uni)
     rows = _lookup(rows, lm.bi.withColumnRenamed("c", "c_hw"), ["prev", "token"], lm.bytes_bi)
@@ -189,5 +198,5 @@ def token_nll(tok: DataFrame, lm: CountLM, variant: str = "cond", context: DataF
     return rows.select(id_col, F.lit(variant).alias("variant"), "pos", nll.alias("nll"))
 
 
-__all__ = ["CountLM", "fit_lm_counts", "lm_brief_experience", "token_nll", "scored_rows",
+__all__ = ["CountLM", "fit_lm_counts", "lm_brief_experience", "token_nll", "scored_rows", "history_rows",
            "nll_with_context", "nll_without_context"]

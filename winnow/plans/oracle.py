@@ -573,6 +573,63 @@ FROM ctx""",
     "select_miwv": f"{G_BASE}, {COND_LOSS}, {ONESHOT}\n" + topk_from("miwv", 0.1),
 })
 
+# --- the model of order 3 -------------------------------------------------------
+
+KN_COUNTS = f"""{BG},
+kg AS (SELECT id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM bgx),
+kt AS (SELECT coalesce(lag(token, 2) OVER o, '') AS prev2, coalesce(lag(token) OVER o, '') AS prev, token
+       FROM kg WINDOW o AS (PARTITION BY id ORDER BY pos)),
+k3 AS MATERIALIZED (SELECT prev2, prev, token, count(*) AS c FROM kt GROUP BY ALL),
+k2 AS MATERIALIZED (SELECT prev, token, count(*) AS n FROM k3 GROUP BY ALL),
+k1 AS MATERIALIZED (SELECT token, count(*) AS n FROM k2 GROUP BY ALL)"""
+
+
+def _discount(table: str, count: str) -> str:
+    return (f"(SELECT CASE WHEN sum(({count} = 1)::INT) > 0 AND sum(({count} = 2)::INT) > 0 THEN sum(({count} = 1)::INT)::DOUBLE "
+            f"/ (sum(({count} = 1)::INT) + 2 * sum(({count} = 2)::INT)) ELSE 0.5 END FROM {table})")
+
+
+EM_STEPS = 10
+KN_EM = ",\n".join(
+    f"e{k + 1} AS MATERIALIZED (SELECT avg(a * q / (a * q + (1.0 - a) * p)) AS a FROM kp CROSS JOIN e{k} WHERE clen > 0)"
+    for k in range(EM_STEPS))
+
+KN_NLL = f"""WITH {CHAT}, {WHOLE_TOK}, {KN_COUNTS}, {COND_ROWS},
+kd AS MATERIALIZED (SELECT {_discount('k3', 'c')} AS d3, {_discount('k2', 'n')} AS d2, {_discount('k1', 'n')} AS d1,
+       (SELECT sum(n) FROM k1)::DOUBLE AS t, (SELECT count(*) FROM k1)::DOUBLE AS v),
+h3 AS (SELECT prev2, prev, sum(c)::DOUBLE AS total, count(*) AS types FROM k3 GROUP BY ALL),
+h2 AS (SELECT prev, sum(n)::DOUBLE AS total, count(*) AS types FROM k2 GROUP BY ALL),
+kr AS (SELECT example_id, token, CAST(i AS BIGINT) AS pos, CASE WHEN i > 0 THEN tokens[i] ELSE '' END AS prev,
+       CASE WHEN i > 1 THEN tokens[i - 1] ELSE '' END AS prev2 FROM cp WHERE i >= n_prompt),
+q1 AS (SELECT r.*, (greatest(coalesce(k1.n, 0) - d1, 0.0) + d1 * v / (v + 1.0)) / t AS p1
+       FROM kr r CROSS JOIN kd LEFT JOIN k1 ON k1.token = r.token),
+q2 AS (SELECT r.*, CASE WHEN h2.total IS NULL THEN p1
+                        ELSE (greatest(coalesce(k2.n, 0) - d2, 0.0) + d2 * h2.types * p1) / h2.total END AS p2
+       FROM q1 r CROSS JOIN kd LEFT JOIN h2 ON h2.prev = r.prev LEFT JOIN k2 ON k2.prev = r.prev AND k2.token = r.token),
+q3 AS (SELECT r.*, CASE WHEN h3.total IS NULL THEN p2
+                        ELSE (greatest(coalesce(k3.c, 0) - d3, 0.0) + d3 * h3.types * p2) / h3.total END AS p3
+       FROM q2 r CROSS JOIN kd LEFT JOIN h3 ON h3.prev2 = r.prev2 AND h3.prev = r.prev
+       LEFT JOIN k3 ON k3.prev2 = r.prev2 AND k3.prev = r.prev AND k3.token = r.token),
+kp AS MATERIALIZED (SELECT r.example_id, r.pos, r.p3 AS p, cl.clen,
+       CASE WHEN cl.clen > 0 THEN coalesce(cc.cc, 0)::DOUBLE / cl.clen ELSE 0.0 END AS q
+       FROM q3 r JOIN cr_cl cl ON cl.example_id = r.example_id
+       LEFT JOIN cr_cc cc ON cc.example_id = r.example_id AND cc.token = r.token),
+e0 AS (SELECT 0.5::DOUBLE AS a),
+{KN_EM},
+kl AS (SELECT example_id, pos, -ln(CASE WHEN clen > 0 THEN (1.0 - coalesce(a, 0.0)) * p + coalesce(a, 0.0) * q ELSE p END) AS nll
+       FROM kp CROSS JOIN e{EM_STEPS})"""
+
+ORACLE.update({
+    "kn_counts": f"""WITH {KN_COUNTS}
+SELECT prev2, prev, token, c FROM k3 UNION ALL SELECT NULL, prev, token, n FROM k2
+UNION ALL SELECT NULL, NULL, token, n FROM k1""",
+    "kn_token_nll": KN_NLL + "\nSELECT example_id, 'cond' AS variant, pos, round(nll, 9) AS nll FROM kl",
+    "select_ppl_kn": KN_NLL + """,
+kx AS (SELECT tok.example_id, exp(l.loss) AS score FROM tok LEFT JOIN
+  (SELECT example_id, avg(nll) AS loss FROM kl GROUP BY example_id) l ON l.example_id = tok.example_id)
+""" + topk_from("kx", 0.1, 4),
+})
+
 
 # --- influence ------------------------------------------------------------------
 from winnow.functions.hashing import sql_draw_key, sql_sign_bit  # noqa: E402

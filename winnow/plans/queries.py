@@ -14,6 +14,7 @@ from winnow.functions.text import tokenize_alnum as alnum_expr
 from winnow.operators import budget as bud
 from winnow.operators import evaluate as ev
 from winnow.operators import influence as inf
+from winnow.operators import kneser_ney as kn
 from winnow.operators import lexical as lex
 from winnow.operators import lm as lmod
 from winnow.operators import losses as ls
@@ -486,6 +487,27 @@ def q_token_nll(spark, sf):
         "example_id", "variant", "pos", r9("nll"))
 
 
+def _kn(spark, sf):
+    """Counts of the documents; the records are no part of them, so their tokens give the cache weight."""
+    tok = materialize(_whole_tok(spark, sf))
+    return tok, kn.fit_cache_weight(tok, kn.fit_kneser_ney(_ws_docs(spark, sf)))
+
+
+def q_kn_counts(spark, sf):
+    m = kn.fit_kneser_ney(_ws_docs(spark, sf))
+    none = F.lit(None).cast("string")
+    return (m.tri.unionByName(m.bi.select(none.alias("prev2"), "prev", "token", F.col("n").alias("c")))
+            .unionByName(m.uni.select(none.alias("prev2"), none.alias("prev"), "token", F.col("n").alias("c"))))
+
+
+def q_kn_token_nll(spark, sf):
+    return kn.kn_token_nll(*_kn(spark, sf)).select("example_id", "variant", "pos", r9("nll"))
+
+
+def q_select_ppl_kn(spark, sf):
+    return kn.select_ppl_kn(*_kn(spark, sf), budget=0.1, keep="high")
+
+
 def q_response_loss(spark, sf):
     tok = _whole_tok(spark, sf)
     return ls.response_loss(lmod.token_nll(tok, _bg_lm(spark, sf), "cond"), tok).select(
@@ -804,6 +826,9 @@ QUERIES = {
     "per_sample_loss": q_per_sample_loss,
     "perplexity": q_perplexity,
     "select_ppl": q_select_ppl,
+    "kn_counts": q_kn_counts,
+    "kn_token_nll": q_kn_token_nll,
+    "select_ppl_kn": q_select_ppl_kn,
     "ifd_score": q_ifd_score,
     "select_ifd": q_select_ifd,
     "select_ifd_warm": q_select_ifd_warm,
