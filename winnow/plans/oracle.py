@@ -682,8 +682,7 @@ FROM {_proj("(SELECT * FROM gl WHERE split = 'train')")}""",
     "structured_projection": INF_BASE + HADAMARD + """
 SELECT gl.example_id, gl.split, CAST(0 AS BIGINT) AS ckpt, CAST(hm.j AS BIGINT) AS dim, round(sum(gl.g * hm.r), 9) AS value
 FROM gl JOIN hm ON hm.i = gl.dim WHERE gl.split = 'train' GROUP BY gl.example_id, gl.split, hm.j""",
-    "checkpoint_weights": """WITH c AS (SELECT * FROM (VALUES (0, 2), (1, 4), (2, 6), (3, 8)) t(ckpt, step)),
-l AS (SELECT ckpt, 0.05 * greatest(0.0, (8 - step) / 8.0) AS lr FROM c)
+    "checkpoint_weights": """WITH l AS (SELECT event_id // 1000 AS ckpt, avg(value) AS lr FROM events GROUP BY 1)
 SELECT CAST(ckpt AS BIGINT) AS ckpt,
        round(CASE WHEN (SELECT sum(lr) FROM l) > 0 THEN lr / (SELECT sum(lr) FROM l)
                   ELSE 1.0 / (SELECT count(*) FROM l) END, 9) AS weight FROM l""",
