@@ -165,12 +165,13 @@ def test_decontamination(spark, edge, none):  # noqa: F811
 
 
 def test_decontamination_blocks_of_repeated_items(spark, monkeypatch):  # noqa: F811
-    size, build = [], decontaminate.Automaton.__init__
+    size, read = [], decontaminate.block_items                      # an automaton is built of one block
 
-    def spy(self, items, window):
-        size.append(sum(len(t) for _, t in items))
-        build(self, items, window)
-    monkeypatch.setattr(decontaminate.Automaton, "__init__", spy)
+    def spy(items, block, k):
+        rows = read(items, block, k)
+        size.append(sum(len(t) for _, t in rows))
+        return rows
+    monkeypatch.setattr(decontaminate, "block_items", spy)
     items = spark.createDataFrame([(0, "one and the same row")] * 200 + [(k, f"item {k} of the rest") for k in range(1, 50)],
                                   "item_id long, text string")
     docs = spark.createDataFrame([(1, "one and the same row"), (2, "see item 7 of the rest")], "doc_id long, text string")
@@ -178,6 +179,28 @@ def test_decontamination_blocks_of_repeated_items(spark, monkeypatch):  # noqa:
     assert got == {1: (5, 1), 2: (5, 1)} and max(size) < 1000
 
 
+@pytest.mark.parametrize("per_pass", [2, 32])
+def test_decontamination_blocks_in_one_worker(spark, monkeypatch, per_pass):  # noqa: F811
+    rng = random.Random(8)
+    vocab = [f"v{k}" for k in range(60)]
+    items = [(k, " ".join(rng.choice(vocab) for _ in range(rng.choice([3, 12, 25])))) for k in range(40)] + [(None, "x y")]
+    texts = [" ".join(rng.choice(vocab) for _ in range(40)) + " " + (items[k % 40][1] if k % 3 else "") + " x y" * (k % 2)
+             for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(60, None), (61, "")], "doc_id long, text string").repartition(3)
+    table = spark.createDataFrame(items, "item_id long, text string")
+
+    def result(df):
+        return sorted((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"], r["longest"],
+                       tuple(map(tuple, r["spans"]))) for r in df.collect())
+    one, clean = result(decontaminate.contamination(docs, table)), decontaminate.decontaminate(docs, table).collect()
+    monkeypatch.setattr(decontaminate, "PASS_BLOCKS", per_pass)
+    monkeypatch.setattr(decontaminate, "STRETCH_BYTES", 500)
+    many = decontaminate.contamination(docs, table, block_bytes=200)
+    assert many._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("MapInArrow") == 1
+    assert result(many) == one and len(one) == 62
+    assert sorted(map(str, decontaminate.decontaminate(docs, table, block_bytes=200).collect())) == sorted(map(str, clean))
+
+
 def test_decontamination_spares_short_items(spark, monkeypatch):  # noqa: F811
     import corpus_pipeline
     long = " ".join(f"q{k}" for k in range(10))

@@ -6,8 +6,9 @@ each word the automaton gives the longest suffix that occurs in an item.  A suff
 at least ``window`` words ends an occurrence of a window; so does an item shorter than
 that when it occurs whole.
 
-Nothing is shuffled.  A benchmark beyond one block adds a further pass inside the same
-stage, which extends the spans found so far.
+Nothing is shuffled.  Of a benchmark beyond one block, each task holds one automaton at a time:
+it builds them in turn from the blocks' items and streams a stretch of documents through each,
+which extends the spans found so far.  PASS_BLOCKS blocks make a pass; passes are written tables.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from winnow.llm.common import cut, ready, slices, with_text
 
 # Item text in one automaton (about 400 bytes of memory per byte at the most).
 BLOCK_BYTES = 1 << 20
+# Blocks whose items are broadcast at once, and the documents that stream through one automaton before
+# the next one is built (a build takes about a third of the time of such a stretch).
+PASS_BLOCKS = 32
+STRETCH_BYTES = 32 << 20
 
 # UTF-8 bytes that are not a word's: controls, space and ASCII punctuation.
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80
@@ -164,32 +169,68 @@ _FOUND = [("n_words", "long"), ("longest", "long"), ("items", "array<string>"),
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _scan(automaton, first: bool, text_at: int, names: list[str]):
+def _found(a: Automaton, b: pa.RecordBatch, first: bool, text_at: int, names: list[str]) -> pa.RecordBatch:
+    """The batch with what the automaton finds, added to what the last four columns hold unless ``first``."""
+    n_words, longest, items, spans = [], [], [], []
+    old = [] if first else [b.column(b.num_columns - 4 + k).to_pylist() for k in range(4)]
+    for r, text in enumerate(b.column(text_at).to_pylist()):
+        seq = words(text)
+        got, who, most = a.scan(seq)
+        who = {x for x in who if x is not None}
+        if not first:
+            most = max(most, old[1][r])
+            who |= set(old[2][r])
+            if old[3][r]:
+                got = merge_spans(got + [(x["start"], x["end"]) for x in old[3][r]])
+        n_words.append(len(seq))
+        longest.append(most)
+        items.append(sorted(who))
+        spans.append([{"start": x, "end": y} for x, y in got])
+    keep = [b.column(k) for k in range(b.num_columns - (0 if first else 4))]
+    return pa.RecordBatch.from_arrays(
+        keep + [pa.array(n_words, pa.int64()), pa.array(longest, pa.int64()),
+                pa.array(items, pa.list_(pa.string())), pa.array(spans, _SPAN)], names=names)
+
+
+def _scan(automaton, text_at: int, names: list[str]):
+    """All batches through the one broadcast automaton."""
     def run(batches):
         a = automaton.value
         for b in slices(batches):
-            n_words, longest, items, spans = [], [], [], []
-            old = [] if first else [b.column(b.num_columns - 4 + k).to_pylist() for k in range(4)]
-            for r, text in enumerate(b.column(text_at).to_pylist()):
-                seq = words(text)
-                got, who, most = a.scan(seq)
-                who = {x for x in who if x is not None}
-                if not first:
-                    most = max(most, old[1][r])
-                    who |= set(old[2][r])
-                    if old[3][r]:
-                        got = merge_spans(got + [(x["start"], x["end"]) for x in old[3][r]])
-                n_words.append(len(seq))
-                longest.append(most)
-                items.append(sorted(who))
-                spans.append([{"start": x, "end": y} for x, y in got])
-            keep = [b.column(k) for k in range(b.num_columns - (0 if first else 4))]
-            yield pa.RecordBatch.from_arrays(
-                keep + [pa.array(n_words, pa.int64()), pa.array(longest, pa.int64()),
-                        pa.array(items, pa.list_(pa.string())), pa.array(spans, _SPAN)], names=names)
+            yield _found(a, b, True, text_at, names)
     return run
 
 
+def _stretches(batches, limit: int):
+    """Lists of batches of together about ``limit`` bytes."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _walk(blocks: list, window: int, first: bool, text_at: int, names: list[str], limit: int):
+    """All batches through the automata of broadcast blocks of items, one automaton at a time."""
+    def run(batches):
+        for held in _stretches(slices(batches), limit):
+            for k, block in enumerate(blocks):
+                a = Automaton(block.value, window)
+                held = [_found(a, b, first and k == 0, text_at, names) for b in held]
+                del a
+            yield from held
+    return run
+
+
+def block_items(items: DataFrame, block, k: int) -> list[tuple[str | None, str | None]]:
+    """The items of block ``k``, at most about a block's bytes."""
+    return [(r["i"], r["t"]) for r in items.where(block == k).collect()]
+
+
 def find_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id",
                item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES,
                column: str = "found", finish=None) -> DataFrame:
@@ -218,14 +259,21 @@ def find_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
     schema = ", ".join([f"{n} {f.dataType.simpleString()}" for n, f in zip(safe, df.schema)]
                        + [f"{n} {t}" for n, t in _FOUND])
     bare = schema.split(f", {_FOUND[0][0]} ")[0]
-    for k in range(blocks):
-        rows = [(r["i"], r["t"]) for r in it.where(block == k).collect()]   # at most about a block
-        automaton = spark.sparkContext.broadcast(Automaton(rows, window))
-        step = _scan(automaton, k == 0, text_at, safe + [n for n, _ in _FOUND])
-        if finish is not None and k == blocks - 1:           # in the same worker
+    names = safe + [n for n, _ in _FOUND]
+    sc = spark.sparkContext
+    for lo in range(0, blocks, PASS_BLOCKS):
+        if blocks == 1:
+            step = _scan(sc.broadcast(Automaton(block_items(it, block, 0), window)), text_at, names)
+        else:
+            held = [sc.broadcast(block_items(it, block, k)) for k in range(lo, min(blocks, lo + PASS_BLOCKS))]
+            step = _walk(held, window, lo == 0, text_at, names, STRETCH_BYTES)
+        if lo + PASS_BLOCKS < blocks:
+            df = cut(df.mapInArrow(step, schema), "pass")
+        elif finish is None:
+            df = df.mapInArrow(step, schema)
+        else:                                                # in the same worker
             df = df.mapInArrow(_chained(step, finish(text_at, safe)), bare)
             return df.select(*[F.col(s).alias(n) for s, n in list(zip(safe, keep))[:len(keep) - added]])
-        df = df.mapInArrow(step, schema)
     return df.select(*[F.col(s).alias(n) for s, n in list(zip(safe, keep))[:len(keep) - added]],
                      F.struct(*[n for n, _ in _FOUND]).alias(column))
 
