@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import ready, slices
+from winnow.llm.common import cut, ready, slices, small
 
 # ---------------------------------------------------------------- fingerprints
 
@@ -172,6 +172,42 @@ def canonical_turns(records: DataFrame, key_col: str, json_col: str, mappings=MA
                         f"conv {t.simpleString()}, turn long, role string, text string, layout string")
 
 
+# A conversation becomes one record up to this many turns and bytes of text; longer ones stay a record a turn.
+RECORD_TURNS, RECORD_BYTES = 64, 1 << 20
+
+
+def as_records(turns: DataFrame) -> DataFrame:
+    """``(conv, turn, role, text)`` as JSON records of several layouts: ``(conv, record)``.
+
+    A conversation whose turns are numbered without ties becomes one record: a prompt with its completion
+    where it is one user and one assistant turn, else a list of messages in one of two layouts, by the hash of its
+    id.  All other rows (long conversations, equal or null turn numbers, null ids, and roles that are null or that
+    the layouts rename) become a record each.  A null text is empty; nothing else is lost.
+    """
+    ready(turns.sparkSession)
+    t = turns.select("conv", "turn", "role", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    plain = F.col("role").isNotNull() & ~F.col("role").isin(*ROLES)
+    per = t.where("conv is not null").groupBy("conv").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("turn").alias("numbers"), F.bool_and(plain).alias("plain"),
+        F.sum(F.octet_length("text")).alias("bytes"))
+    whole = per.where(F.col("plain") & (F.col("n") == F.col("numbers")) & (F.col("n") <= RECORD_TURNS)
+                      & (F.col("bytes") <= RECORD_BYTES)).select(F.col("conv").alias("whole"))
+    whole = small(cut(whole, "whole"))
+    single = t.join(whole, F.col("conv") == F.col("whole"), "left_anti").select(
+        "conv", F.to_json(F.struct(F.col("conv").alias("conv_id"), "turn", "role", "text"),
+                          {"ignoreNullFields": "false"}).alias("record"))
+    x = F.col("x")
+    pair = (F.size(x) == 2) & (x[0]["role"] == "user") & (x[1]["role"] == "assistant")
+    messages = F.transform(x, lambda r: F.struct(r["role"].alias("role"), r["text"].alias("content")))
+    said = F.transform(x, lambda r: F.struct(r["role"].alias("from"), r["text"].alias("value")))
+    record = (F.when(pair, F.to_json(F.struct(x[0]["text"].alias("prompt"), x[1]["text"].alias("completion"))))
+              .when(F.crc32(F.col("conv").cast("string")) % 2 == 0, F.to_json(F.struct(messages.alias("messages"))))
+              .otherwise(F.to_json(F.struct(said.alias("conversations")))))
+    grouped = (t.join(whole, F.col("conv") == F.col("whole"), "left_semi").groupBy("conv")
+               .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("x")))
+    return single.unionByName(grouped.select("conv", record.alias("record")))
+
+
 # ------------------------------------------------------------------- template
 
 # Strings that mark turns in this template or in common public ones.

@@ -54,14 +54,13 @@ def op5_toxicity(spark, sf_dir):
 def op6_chat_format(spark, sf_dir):
     """Digests of every conversation, read back from its formatted turns.
 
-    Every row goes through the layout registry as a JSON record of one turn.
+    The rows go through the layout registry as JSON records of four layouts.
     """
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
-    records = rows.unionByName(extra).select(
-        "conv_id", F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record"))
-    return chatformat.digest(chatformat.format_turns(chatformat.canonical_turns(records, "conv_id", "record")))
+    records = chatformat.as_records(rows.unionByName(extra).withColumnRenamed("conv_id", "conv"))
+    return chatformat.digest(chatformat.format_turns(chatformat.canonical_turns(records, "conv", "record")))
 
 
 def op7_exact_dedup(spark, sf_dir):
