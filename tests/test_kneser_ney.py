@@ -115,3 +115,17 @@ def test_held_out_perplexity_is_below_the_bigram_mix(spark):
     new = ppl(kn.kn_token_nll(test, kn.fit_kneser_ney(train), "direct"))
     print("held-out perplexity", old, new)
     assert new < old
+
+
+def test_one_lookup_serves_em_and_losses_and_tables_are_columns(spark, small, monkeypatch):
+    tok = spark.createDataFrame([(i, t.split(), 1) for i, t in enumerate(TEXTS)], TOK)
+    fitted = kn.fit_cache_weight(tok, small)
+    assert 0 < fitted.cache_weight < 1
+    want = {tuple(r) for r in kn.kn_token_nll(tok, fitted).collect()}
+    scored = materialize(kn.scored_histories(tok, small))
+    monkeypatch.setattr(kn, "kn_rows", None)                                # no second lookup
+    assert kn.fit_cache_weight(tok, small, scored=scored).cache_weight == pytest.approx(fitted.cache_weight, rel=1e-12)
+    assert {tuple(r) for r in kn.kn_token_nll(tok, fitted, scored=scored).collect()} == want
+    # what is written is written as Parquet; the histories' totals are not written
+    assert all(f.endswith(".parquet") for t in (small.tri, small.bi, small.uni) for f in t.inputFiles())
+    assert set(small.ctx2.inputFiles()) == set(small.tri.inputFiles())

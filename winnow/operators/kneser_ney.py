@@ -15,13 +15,16 @@ token isn't counted and has the probability of an unknown one).
 With a visible context C: p = (1 - a) p3 + a * count of w in C / |C|, the weight a fitted by EM on
 tokens that the counts have not seen.
 
-The fit is one pass over the tokens; the lower orders are aggregates of the written trigram table.
-Scoring is five equi-joins, each a broadcast only where the table's measured bytes allow it.
+The fit is one pass over the tokens; the lower orders are aggregates of the written trigram table.  The
+histories' totals are aggregates that scoring plans into its joins, so they are neither written nor shuffled twice.
+Scoring is five equi-joins, each a broadcast only where the table's measured bytes allow it; EM and the losses
+can share their result (:func:`scored_histories`).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +33,7 @@ from winnow.operators.budget import ID, score_direction, topk_by_score
 from winnow.operators.lm import _lookup, history_rows
 from winnow.operators.losses import perplexity, response_loss
 from winnow.operators.ranking import ROW_OVERHEAD_BYTES
-from winnow.session import materialize
+from winnow.session import materialize, store
 
 START = ""
 EM_ROUNDS = 10
@@ -46,9 +49,16 @@ class KneserNeyLM:
     discounts: tuple[float, float, float]   # of tri, bi, uni
     total: int              # sum of uni.n
     vocabulary: int
-    size: dict[str, int]    # measured bytes of the five tables
     cache_weight: float = 0.0
 
+    @cached_property
+    def size(self) -> dict[str, int]:
+        """Measured bytes of the five tables; every history is a row of its level's counts without the last token,
+        so their sizes bound it."""
+        b3, b2, b1 = (_measured(t, keys) for t, keys in ((self.tri, ["prev2", "prev", "token"]),
+                                                         (self.bi, ["prev", "token"]), (self.uni, ["token"])))
+        return {"tri": b3, "bi": b2, "uni": b1, "ctx2": b3, "ctx1": b2}
+
 
 def trigram_counts(tok: DataFrame) -> DataFrame:
     """``(prev2, prev, token, c)`` over every token of ``(id, tokens)``; the markers fill the first histories."""
@@ -65,28 +75,28 @@ def trigram_counts(tok: DataFrame) -> DataFrame:
                .groupBy("prev2", "prev", "token").agg(F.count(F.lit(1)).alias("c")))
 
 
-def _level(table: DataFrame, count: str, keys: list[str]) -> tuple[float, int, int, int]:
-    """Discount, sum of the counts, rows and bytes of a count table, in one aggregate."""
+def _measured(table: DataFrame, keys: list[str]) -> int:
+    r = table.agg(F.count(F.lit(1)).alias("rows"), F.sum(sum((F.octet_length(k) for k in keys), F.lit(0))).alias("b")).first()
+    return int(r["b"] or 0) + int(r["rows"]) * ROW_OVERHEAD_BYTES
+
+
+def _level(table: DataFrame, count: str) -> tuple[float, int, int]:
+    """Discount, sum of the counts and rows of a count table, in one aggregate."""
     r = table.agg(F.count_if(F.col(count) == 1).alias("n1"), F.count_if(F.col(count) == 2).alias("n2"),
-                  F.sum(count).alias("s"), F.count(F.lit(1)).alias("rows"),
-                  F.sum(sum((F.octet_length(k) for k in keys), F.lit(0))).alias("b")).first()
+                  F.sum(count).alias("s"), F.count(F.lit(1)).alias("rows")).first()
     d = r["n1"] / (r["n1"] + 2 * r["n2"]) if r["n1"] and r["n2"] else 0.5
-    return d, int(r["s"] or 0), int(r["rows"]), int(r["b"] or 0) + int(r["rows"]) * ROW_OVERHEAD_BYTES
+    return d, int(r["s"] or 0), int(r["rows"])
 
 
 def fit_kneser_ney(tok: DataFrame) -> KneserNeyLM:
-    """G1, order 3: the counts of a background corpus ``(id, tokens)``; each table is written once."""
-    tri = materialize(trigram_counts(tok))
-    bi = materialize(tri.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n")))
-    uni = materialize(bi.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
-    ctx2 = materialize(tri.groupBy("prev2", "prev").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("types")))
-    ctx1 = materialize(bi.groupBy("prev").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types")))
-    d3, _, _, b3 = _level(tri, "c", ["prev2", "prev", "token"])
-    d2, _, _, b2 = _level(bi, "n", ["prev", "token"])
-    d1, total, v, b1 = _level(uni, "n", ["token"])
-    # Every history is a row of the level's counts without its last token, so these sizes bound it.
-    size = {"tri": b3, "bi": b2, "uni": b1, "ctx2": b3, "ctx1": b2}
-    return KneserNeyLM(tri, bi, uni, ctx2, ctx1, (d3, d2, d1), total, v, size)
+    """G1, order 3: the counts of a background corpus ``(id, tokens)``; each count table is written once."""
+    tri = store(trigram_counts(tok))
+    bi = store(tri.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n")))
+    uni = store(bi.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    ctx2 = tri.groupBy("prev2", "prev").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("types"))
+    ctx1 = bi.groupBy("prev").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"))
+    (d3, _, _), (d2, _, _), (d1, total, v) = _level(tri, "c"), _level(bi, "n"), _level(uni, "n")
+    return KneserNeyLM(tri, bi, uni, ctx2, ctx1, (d3, d2, d1), total, v)
 
 
 def _interpolate(count: str, total: str, types: str, d: float, below: Column) -> Column:
@@ -117,14 +127,23 @@ def _cache():
     return F.when(F.col("clen") > 0, F.coalesce("cc", F.lit(0)).cast("double") / F.col("clen")).otherwise(F.lit(0.0))
 
 
-def fit_cache_weight(tok: DataFrame, lm: KneserNeyLM, rounds: int = EM_ROUNDS, id_col: str = ID) -> KneserNeyLM:
+def scored_histories(tok: DataFrame, lm: KneserNeyLM, variant: str = "cond", context: DataFrame | None = None,
+                     id_col: str = ID) -> DataFrame:
+    """``(example_id, pos, clen, p, q)`` per scored position: the model's and the cache's probability of its token."""
+    rows = kn_rows(history_rows(tok, variant, context, id_col), lm)
+    return rows.select(id_col, "pos", "clen", "p", (F.lit(0.0) if variant == "direct" else _cache()).alias("q"))
+
+
+def fit_cache_weight(tok: DataFrame, lm: KneserNeyLM, rounds: int = EM_ROUNDS, id_col: str = ID,
+                     scored: DataFrame | None = None) -> KneserNeyLM:
     """``lm`` with the cache weight that EM finds on the scored tokens of records the counts have not seen.
 
     From 1/2, each round sets the weight to the mean share of the cache in a token's probability: one
     aggregate over a written table of two numbers a token.  Without a scored token that has a context it is 0.
+    ``scored``: a written :func:`scored_histories` of ``tok``, in place of a new one.
     """
-    both = materialize(kn_rows(history_rows(tok, "cond", id_col=id_col), lm)
-                       .filter(F.col("clen") > 0).select("p", _cache().alias("q")))
+    both = (store(scored_histories(tok, lm, id_col=id_col)) if scored is None else scored) \
+        .filter(F.col("clen") > 0).select("p", "q")
     a = 0.5
     for _ in range(rounds):
         part = F.lit(a) * F.col("q")
@@ -135,28 +154,29 @@ def fit_cache_weight(tok: DataFrame, lm: KneserNeyLM, rounds: int = EM_ROUNDS, i
 
 
 def kn_token_nll(tok: DataFrame, lm: KneserNeyLM, variant: str = "cond", context: DataFrame | None = None,
-                 id_col: str = ID) -> DataFrame:
+                 id_col: str = ID, scored: DataFrame | None = None) -> DataFrame:
     """G2, order 3: ``(example_id, variant, pos, nll)``, the table that every loss of G3-G13 reads.
 
     The cache counts where there is a visible context; without one the model stands alone.
+    ``scored``: the :func:`scored_histories` of these arguments, if there is one already.
     """
-    rows = kn_rows(history_rows(tok, variant, context, id_col), lm)
+    rows = scored_histories(tok, lm, variant, context, id_col) if scored is None else scored
     p = F.col("p")
     if variant != "direct" and lm.cache_weight:
         a = lm.cache_weight
-        p = F.when(F.col("clen") > 0, F.lit(1.0 - a) * p + F.lit(a) * _cache()).otherwise(p)
+        p = F.when(F.col("clen") > 0, F.lit(1.0 - a) * p + F.lit(a) * F.col("q")).otherwise(p)
     return rows.select(id_col, F.lit(variant).alias("variant"), "pos", (-F.log(p)).alias("nll"))
 
 
 def select_ppl_kn(tok: DataFrame, lm: KneserNeyLM, budget: float = 0.05, keep: str = "high",
-                  id_col: str = ID) -> DataFrame:
+                  id_col: str = ID, scored: DataFrame | None = None) -> DataFrame:
     """G7 on this model: perplexity, one tail; unscorable examples sink."""
     if keep not in ("high", "low"):
         raise ValueError("keep must be 'high' or 'low'")
     tok = materialize(tok)
-    ppl = perplexity(response_loss(kn_token_nll(tok, lm, "cond", id_col=id_col), tok, id_col), id_col)
+    ppl = perplexity(response_loss(kn_token_nll(tok, lm, "cond", id_col=id_col, scored=scored), tok, id_col), id_col)
     return topk_by_score(score_direction(ppl, keep), budget, out_digits=4)
 
 
-__all__ = ["KneserNeyLM", "trigram_counts", "fit_kneser_ney", "kn_rows", "fit_cache_weight", "kn_token_nll",
-           "select_ppl_kn"]
+__all__ = ["KneserNeyLM", "trigram_counts", "fit_kneser_ney", "kn_rows", "scored_histories", "fit_cache_weight",
+           "kn_token_nll", "select_ppl_kn"]

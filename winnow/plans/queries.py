@@ -25,7 +25,7 @@ from winnow.operators import token_vectors as tv
 from winnow.operators import vectors as vec
 from winnow.operators import sampling as smp
 from winnow.plans import selectors as selx
-from winnow.session import materialize, read_table, scratch_path
+from winnow.session import materialize, read_table, scratch_path, store
 from winnow.streaming import reweight_stream as rs
 from winnow.sources import io
 from winnow.sources import tables as tb
@@ -488,9 +488,12 @@ def q_token_nll(spark, sf):
 
 
 def _kn(spark, sf):
-    """Counts of the documents; the records are no part of them, so their tokens give the cache weight."""
+    """Counts of the documents; the records are no part of them, so their tokens give the cache weight.
+    The records' probabilities are looked up once, for EM and for the losses."""
     tok = materialize(_whole_tok(spark, sf))
-    return tok, kn.fit_cache_weight(tok, kn.fit_kneser_ney(_ws_docs(spark, sf)))
+    lm = kn.fit_kneser_ney(_ws_docs(spark, sf))
+    scored = store(kn.scored_histories(tok, lm))
+    return tok, kn.fit_cache_weight(tok, lm, scored=scored), scored
 
 
 def q_kn_counts(spark, sf):
@@ -501,11 +504,13 @@ def q_kn_counts(spark, sf):
 
 
 def q_kn_token_nll(spark, sf):
-    return kn.kn_token_nll(*_kn(spark, sf)).select("example_id", "variant", "pos", r9("nll"))
+    tok, lm, scored = _kn(spark, sf)
+    return kn.kn_token_nll(tok, lm, scored=scored).select("example_id", "variant", "pos", r9("nll"))
 
 
 def q_select_ppl_kn(spark, sf):
-    return kn.select_ppl_kn(*_kn(spark, sf), budget=0.1, keep="high")
+    tok, lm, scored = _kn(spark, sf)
+    return kn.select_ppl_kn(tok, lm, budget=0.1, keep="high", scored=scored)
 
 
 def q_response_loss(spark, sf):
