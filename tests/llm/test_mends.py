@@ -114,3 +114,34 @@ def test_shard_files_prune(spark):  # noqa: F811
     langs = [r["lang"] for r in docs.select("lang").distinct().collect()]
     opened = [sum(s[3][0] <= x <= s[3][1] for s in spans) for x in langs]
     assert sum(opened) < len(langs) * len(spans)
+
+
+def test_long_lists_align_exactly():
+    """A block moved far from its place, in lists of more than 16,384 pairs: no band around the diagonal."""
+    def page(kinds):
+        root = wrapper.parse("<body><div><h1>a</h1>" + "".join(kinds) + "<pre>z</pre></div>")
+        wrapper.prepare(root)
+        return root
+    table, end = "<table><tr><td>x</td></tr></table>", "<h3>end</h3>"
+    a = page(["<p>t</p>"] * 150 + [table] * 200 + [end])
+    b = page([table] * 200 + ["<p>t</p>"] * 150 + [end])
+    pairs = wrapper.match(a, b)
+    n = sum(x.tag == "table" for x, _ in pairs)
+    assert n == 200 and all(x.tag == y.tag for x, y in pairs)      # the tables weigh more than the paragraphs
+    rng = random.Random(3)
+    kinds = ["<p>a</p>", "<div><p>b</p></div>", "<ul><li>x<li>y</ul>", "<div><div>z</div><p>q</p></div>"]
+    for size in (20, 170):
+        a, b = (page(rng.choices(kinds, k=size)) for _ in range(2))
+        xs, ys = (wrapper._kids(wrapper._kids(wrapper._kids(r)[0])[0]) for r in (a, b))
+        m = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+        sizes = {}
+        for i, x in enumerate(xs):
+            for j, y in enumerate(ys):
+                key = (x.size, y.size)
+                if key not in sizes:
+                    sizes[key] = len(wrapper.match(x, y)) if x.tag == y.tag else 0
+                m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + sizes[key])
+        def weight(u, v):
+            return sizes[u.size, v.size]
+        assert wrapper._aligned(xs, ys, weight, False) == m[-1][-1]
+        assert sum(sizes[u.size, v.size] for u, v in wrapper._aligned(xs, ys, weight, True)) == m[-1][-1]

@@ -22,10 +22,12 @@ one small row per host.
 from __future__ import annotations
 
 import html
+import math
 import re
 from bisect import bisect_right
 from collections import OrderedDict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -294,74 +296,86 @@ def _settle(order: list[Node]) -> None:
                 k.junk = True
 
 
-# Child lists are aligned exactly up to this many pairs, beyond it within a band.
-EXACT_PAIRS = 1 << 14
-BAND = 32
+def _aligned(xs: list[Node], ys: list[Node], weight, pairs: bool):
+    """The alignment of two lists in order with the greatest weight: its pairs, or its weight only.
 
-
-def _windows(n: int, m: int) -> list[tuple[int, int]]:
-    """Per item of the first list the range of the second that it may align with."""
-    if n * m <= EXACT_PAIRS:
-        return [(0, m)] * n
-    width = BAND + -(-m // n)
-    return [(max(0, i * m // n - width), min(m, i * m // n + width + 1)) for i in range(n)]
-
-
-def _table(xs: list[Node], ys: list[Node], weight) -> list[tuple[int, list]]:
-    """Rows ``(first column, best weights)`` of the alignment of two lists in order."""
-    rows = [(0, [0] * (len(ys) + 1) if len(xs) * len(ys) <= EXACT_PAIRS else [0])]
-    for u, (lo, hi) in zip(xs, _windows(len(xs), len(ys))):
-        first, prev = rows[-1]
-        last = len(prev) - 1
-        row = [prev[min(max(lo - first, 0), last)]]
-        for j in range(lo, hi):
-            best = max(prev[min(j + 1 - first, last)], row[-1])
-            v = ys[j]
-            if u.tag == v.tag:
-                best = max(best, prev[min(j - first, last)] + weight(u, v))
-            row.append(best)
-        rows.append((lo, row))
-    return rows
-
-
-def _at(row: tuple[int, list], j: int) -> int:
-    return row[1][min(max(j - row[0], 0), len(row[1]) - 1)]
+    ``weight`` depends on the shapes of its two nodes alone, so it is asked once per pair of shapes with one tag, and a
+    row of the table is a few numpy steps.  For the pairs, every so many rows one is kept and those between are
+    made again, so memory grows with the square root of the table and no list is cut.
+    """
+    shapes: dict = {}
+    code = np.array([shapes.setdefault(y.size, len(shapes)) for y in ys])
+    first = {y.size: y for y in reversed(ys)}
+    gains: dict = {}
+
+    def gain(u: Node) -> np.ndarray:
+        """Weight of ``u`` with every item of ``ys``; 0 where the tags differ."""
+        if u.size not in gains:
+            gains[u.size] = np.array([weight(u, first[z]) if first[z].tag == u.tag else 0 for z in shapes], np.int64)
+        return gains[u.size][code]
+
+    def after(row: np.ndarray, u: Node) -> np.ndarray:
+        out = np.maximum(row[1:], row[:-1] + gain(u))
+        return np.concatenate(([0], np.maximum.accumulate(out)))
+
+    step = math.isqrt(len(xs)) + 1
+    row, kept = np.zeros(len(ys) + 1, np.int64), []
+    for i, u in enumerate(xs):
+        if pairs and i % step == 0:
+            kept.append(row)
+        row = after(row, u)
+    if not pairs:
+        return int(row[-1])
+    found, i, j = [], len(xs), len(ys)
+    while i and j:
+        lo = (i - 1) // step * step
+        rows = [kept[lo // step]]
+        for u in xs[lo:i]:
+            rows.append(after(rows[-1], u))
+        while i > lo and j:
+            here = rows[i - lo][j]
+            if here == rows[i - lo - 1][j]:
+                i -= 1
+            elif here == rows[i - lo][j - 1] or xs[i - 1].tag != ys[j - 1].tag:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                found.append((xs[i], ys[j]))
+    return found
 
 
 def match(ref: Node, page: Node) -> list[tuple[Node, Node]]:
     """Simple tree matching: pairs (reference node, page node) of a top-down alignment.
 
-    Children align in order; equal shapes at both ends of two child lists align greedily.  The
-    alignment has the most pairs where no two child lists have more than EXACT_PAIRS pairs
-    between their ends; longer ones align within a band around their diagonal, so time and
-    memory grow with the page and no page is cut.
+    Children align in order; equal shapes at both ends of two child lists align greedily.  Of what is
+    between their ends, the alignment has the most pairs, however long the lists are.
     """
     memo: dict = {}
 
     def weigh(a: Node, b: Node) -> int:
-        """Size of the best alignment of two nodes with one tag; explicit stack, memoized."""
+        """Size of the best alignment of two nodes with one tag; explicit stack, memoized by shapes."""
         stack = [(a, b)]
         while stack:
             x, y = stack[-1]
-            if (x.at, y.at) in memo:
+            if (x.size, y.size) in memo:
                 stack.pop()
                 continue
             xs, ys = _kids(x), _kids(y)
             head, tail = _ends(xs, ys)
             mx, my = xs[head:len(xs) - tail], ys[head:len(ys) - tail]
             pairs = list(zip(xs[:head], ys[:head])) + (list(zip(xs[-tail:], ys[-tail:])) if tail else [])
-            need = [(u, my[j]) for u, (lo, hi) in zip(mx, _windows(len(mx), len(my))) for j in range(lo, hi)
-                    if u.tag == my[j].tag and (u.at, my[j].at) not in memo] if mx and my else []
-            need += [p for p in pairs if (p[0].at, p[1].at) not in memo]
+            kinds_x, kinds_y = ({k.size: k for k in m}.values() for m in (mx, my))
+            need = [(u, v) for u in kinds_x for v in kinds_y if u.tag == v.tag and (u.size, v.size) not in memo]
+            need += [(u, v) for u, v in pairs if (u.size, v.size) not in memo]
             if need:
                 stack += need
                 continue
             stack.pop()
-            total = 1 + sum(memo[u.at, v.at] for u, v in pairs)
+            total = 1 + sum(memo[u.size, v.size] for u, v in pairs)
             if mx and my:
-                total += _table(mx, my, lambda u, v: memo[u.at, v.at])[-1][1][-1]
-            memo[x.at, y.at] = total
-        return memo[a.at, b.at]
+                total += _aligned(mx, my, lambda u, v: memo[u.size, v.size], False)
+            memo[x.size, y.size] = total
+        return memo[a.size, b.size]
 
     out, todo = [], [(ref, page)]
     while todo:
@@ -375,19 +389,8 @@ def match(ref: Node, page: Node) -> list[tuple[Node, Node]]:
         if tail:
             todo += zip(xs[-tail:], ys[-tail:])
         mx, my = xs[head:len(xs) - tail], ys[head:len(ys) - tail]
-        if not mx or not my:
-            continue
-        table = _table(mx, my, weigh)
-        i, j = len(mx), len(my)
-        while i and j:
-            here, up = _at(table[i], j), _at(table[i - 1], j)
-            if here == up:
-                i -= 1
-            elif j > table[i][0] and here == _at(table[i], j - 1) or mx[i - 1].tag != my[j - 1].tag:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                todo.append((mx[i], my[j]))
+        if mx and my:
+            todo += _aligned(mx, my, weigh, True)
     return out
 
 
