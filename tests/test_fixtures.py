@@ -234,3 +234,13 @@ def test_tokenizers_null_text(spark):
     df = spark.createDataFrame([(0, None)], "example_id long, text string")
     assert lex.tokenize_alnum(df).first().tokens == []
     assert lex.tokenize_whitespace(df).first().tokens == []
+
+
+def test_checkpoint_weights_query_weighs_the_checkpoints_of_a_warm_up(spark, monkeypatch):
+    from conftest import SF_SMALL
+    from winnow.plans.queries import QUERIES
+    ran = []
+    monkeypatch.setattr(inf, "warmup_checkpoints", lambda *a, f=inf.warmup_checkpoints, **k: ran.append(f(*a, **k)) or ran[0])
+    got = {r.ckpt: r.weight for r in QUERIES["checkpoint_weights"](spark, SF_SMALL).collect()}
+    lrs = {r.ckpt: r.lr for r in ran[0].collect()}
+    assert len(lrs) == 4 and got == {c: pytest.approx(lr / sum(lrs.values()), abs=1e-9) for c, lr in lrs.items()}
