@@ -720,45 +720,48 @@ def q_custom_scorer(spark, sf):
 
 # --- I6-I7: streaming -------------------------------------------------------------
 
-def _file_stream(spark, df, name, order, bounds):
-    """``df`` as a stream of files, one per micro-batch: rows up to each bound of ``order``, in that order."""
-    src = scratch_path(spark, f"{name}-in")
-    low = None
-    for high in [*bounds, None]:
-        part = df if low is None else df.filter(order > low)
-        part = part if high is None else part.filter(order <= high)
-        part.coalesce(1).write.mode("append").parquet(src)
-        low = high
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
-
-
 def _quarters(df, order):
     last = df.agg(F.max(order)).first()[0] or 0
     return [last * q // 4 for q in (1, 2, 3)]
 
 
+def _in_rounds(spark, feeds, bounds, start):
+    """The ``feeds`` (table, order) arrive in rounds: rows up to each bound of their order, then the rest.
+
+    Every task of a table writes its own file of a round; then ``start(streams)`` takes all that is new as one
+    micro-batch and ends.  The next round goes on from the checkpoint.
+    """
+    folders = [scratch_path(spark, "stream-in") for _ in feeds]
+    low = None
+    for high in [*bounds, None]:
+        for (df, order), folder in zip(feeds, folders):
+            part = df if low is None else df.filter(order > low)
+            part = part if high is None else part.filter(order <= high)
+            part.write.mode("append").parquet(folder)
+        start(*(spark.readStream.schema(df.schema).parquet(folder) for (df, _), folder in zip(feeds, folders))).awaitTermination()
+        low = high
+
+
 def q_stream_reweight(spark, sf):
     """Batches of 8 documents as steps; anchors become effective, four a step, while they run."""
     docs = tb.examples(spark, sf).select("example_id", F.expr("example_id div 8").alias("step"), "text")
     anchors = tb.target(spark, sf).select(F.col("item_id").alias("anchor_id"),
                                           F.expr("item_id div 4").alias("effective_step"), "text")
-    bounds = _quarters(docs, F.col("step"))
     sink, ckpt = scratch_path(spark, "reweight-out"), scratch_path(spark, "reweight-ckpt")
-    q = rs.stream_reweight(_file_stream(spark, docs, "docs", F.col("step"), bounds),
-                           _file_stream(spark, anchors, "anchors", F.col("effective_step"), bounds),
-                           sink, ckpt, interval=5, spread=spark.sparkContext.defaultParallelism)
-    q.awaitTermination()
+    _in_rounds(spark, [(docs, F.col("step")), (anchors, F.col("effective_step"))], _quarters(docs, F.col("step")),
+               lambda ex, an: rs.stream_reweight(ex, an, sink, ckpt, interval=5,
+                                                 spread=spark.sparkContext.defaultParallelism))
     return spark.read.parquet(sink).select("step", "example_id", r9("score"), r9("weight"))
 
 
 def q_stream_greats(spark, sf):
     tg, gval = _md_val_gradient(spark, sf)
+    gval = materialize(gval)                                           # read again by every round
     rows = tg.select("example_id", "grad")
     end = spark.createDataFrame([(2**62, None)], rows.schema)          # flushes what waits for a full batch
-    stream = _file_stream(spark, rows.unionByName(end), "grads", F.col("example_id"), _quarters(rows, F.col("example_id")))
     sink, ckpt = scratch_path(spark, "greats-out"), scratch_path(spark, "greats-ckpt")
-    q = rs.stream_greats(stream, gval, sink, ckpt, k=4, eta=0.1)
-    q.awaitTermination()
+    _in_rounds(spark, [(rows.unionByName(end), F.col("example_id"))], _quarters(rows, F.col("example_id")),
+               lambda grads: rs.stream_greats(grads, gval, sink, ckpt, k=4, eta=0.1))
     return spark.read.parquet(sink).select("batch_id", "example_id", "rank")
 
 
