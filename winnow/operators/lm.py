@@ -18,19 +18,19 @@ per-example context counts), so the work is shuffles keyed by token or by
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.operators.budget import ID
 from winnow.operators.ranking import ROW_OVERHEAD_BYTES, broadcast_budget_bytes
-from winnow.session import materialize
+from winnow.session import store
 
 # A count table is broadcast into the scoring joins only when its measured size
-# (string bytes + per-row overhead, computed at fit time) fits the session's
-# broadcast budget; otherwise it joins by sort-merge.  The optimizer's own size
-# estimate after a checkpoint comes from the compressed input and can be far
-# too small to trust.
+# (string bytes + per-row overhead) fits the session's broadcast budget; otherwise it
+# joins by sort-merge.  The optimizer's own size estimate comes from the compressed
+# files and can be far too small to trust.
 
 # --- fixed values: mixture weights of the count model -----------------------
 W_BI_CTX, W_UNI_CTX, W_CACHE = 0.4, 0.3, 0.3
@@ -40,14 +40,54 @@ W_BI, W_UNI = 0.5, 0.5
 
 @dataclass
 class CountLM:
-    uni: DataFrame      # (token, c)
-    bi: DataFrame       # (prev, token, c)
-    pre: DataFrame      # (prev, c_pre)
-    totals: DataFrame   # one row (T, V)
-    pairs: DataFrame    # (prev, token, c) with prev NULL at document starts
-    bytes_uni: int = 0  # measured sizes of the written tables (for broadcasts)
-    bytes_bi: int = 0
-    bytes_pre: int = 0
+    """The counts of a corpus.  Only ``pairs`` is there from the start; the other tables are made when they are asked for."""
+
+    pairs: DataFrame    # (prev, token, c), prev NULL at document starts; a pair's count is the sum of its rows
+    once: bool = True   # no pair has more than one row
+
+    @cached_property
+    def uni(self) -> DataFrame:
+        """``(token, c)``"""
+        return store(self.pairs.groupBy("token").agg(F.sum("c").alias("c")))
+
+    @property
+    def bi(self) -> DataFrame:
+        """``(prev, token, c)``"""
+        rows = self.pairs.filter(F.col("prev").isNotNull())
+        return rows if self.once else rows.groupBy("prev", "token").agg(F.sum("c").alias("c"))
+
+    @property
+    def pre(self) -> DataFrame:
+        """``(prev, c_pre)``: an aggregate that scoring plans into its join"""
+        return self.pairs.filter(F.col("prev").isNotNull()).groupBy("prev").agg(F.sum("c").alias("c_pre"))
+
+    @cached_property
+    def _tokens(self):
+        return self.uni.agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("t"), F.sum(F.octet_length("token")).alias("b")).first()
+
+    @property
+    def totals(self) -> DataFrame:
+        """one row ``(T, V)``"""
+        u = self._tokens
+        return self.pairs.sparkSession.createDataFrame([(float(u["t"] or 0), float(u["v"]))], "T double, V double")
+
+    @cached_property
+    def bytes_uni(self) -> int:
+        return int(self._tokens["b"] or 0) + int(self._tokens["v"]) * ROW_OVERHEAD_BYTES
+
+    @cached_property
+    def bytes_bi(self) -> int:
+        """The strings are measured only if the rows alone don't exceed the broadcast budget."""
+        rows = self.pairs.count() * ROW_OVERHEAD_BYTES
+        if rows > broadcast_budget_bytes(self.pairs.sparkSession):
+            return rows
+        held = F.coalesce(F.octet_length("prev"), F.lit(0)) + F.octet_length("token")
+        return rows + int(self.pairs.agg(F.sum(held)).first()[0] or 0)
+
+    @property
+    def bytes_pre(self) -> int:
+        """Every prefix is a vocabulary token, so the unigrams bound the prefixes."""
+        return self.bytes_uni
 
 
 def _pair_counts(tok: DataFrame) -> DataFrame:
@@ -65,37 +105,21 @@ def fit_lm_counts(tok: DataFrame) -> CountLM:
     """G1: unigram, bigram and prefix counts of a background corpus ``(id, tokens)``.
 
     One pass: every token occurrence becomes a (prev, token) row (prev NULL at
-    a document start); the grouped table is written once and the unigram,
-    bigram and prefix tables are aggregates of it.
+    a document start); the grouped table is written once, as Parquet, and the unigram,
+    bigram and prefix tables are aggregates of it.  Scoring jobs read it instead of
+    re-tokenizing the background corpus.
     """
-    return _assemble(materialize(_pair_counts(tok)))
-
-
-def _assemble(pairs: DataFrame) -> CountLM:
-    """The fitted model is written once (checkpoint folder); scoring jobs read the
-    count tables instead of re-tokenizing the background corpus.  Two small
-    aggregates measure the tables (for size-checked broadcasts) and give T, V."""
-    uni = materialize(pairs.groupBy("token").agg(F.sum("c").alias("c")))
-    bi = pairs.filter(F.col("prev").isNotNull())
-    pre = materialize(bi.groupBy("prev").agg(F.sum("c").alias("c_pre")))
-    u = uni.agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("t"),
-                F.sum(F.octet_length("token")).alias("b")).first()
-    p = pairs.agg(F.count(F.when(F.col("prev").isNotNull(), F.lit(1))).alias("n"),
-                  F.sum(F.when(F.col("prev").isNotNull(),
-                               F.octet_length("prev") + F.octet_length("token"))).alias("b")).first()
-    spark = pairs.sparkSession
-    totals = spark.createDataFrame([(float(u["t"] or 0), float(u["v"]))], "T double, V double")
-    bytes_uni = int(u["b"] or 0) + int(u["v"]) * ROW_OVERHEAD_BYTES
-    bytes_bi = int(p["b"] or 0) + int(p["n"]) * ROW_OVERHEAD_BYTES
-    # Every prefix is a vocabulary token, so the unigram size bounds the prefix table.
-    return CountLM(uni, bi, pre, totals, pairs, bytes_uni, bytes_bi, bytes_uni)
+    return CountLM(store(_pair_counts(tok)))
 
 
 def lm_brief_experience(lm: CountLM, tok: DataFrame, sel: DataFrame, id_col: str = ID) -> CountLM:
-    """Add the counts of a selected subset's full token sequences to the model."""
+    """Add the counts of a selected subset's full token sequences to the model.
+
+    Only the subset is counted and written; its rows stand beside the model's, and the tables that
+    scoring asks for add them up.
+    """
     sub = tok.join(sel.select(id_col), id_col, "left_semi").select("tokens")
-    pairs = lm.pairs.unionByName(_pair_counts(sub)).groupBy("prev", "token").agg(F.sum("c").alias("c"))
-    return _assemble(materialize(pairs))
+    return CountLM(lm.pairs.unionByName(store(_pair_counts(sub))), False)
 
 
 def _scored_positions(tok: DataFrame, variant: str, context: DataFrame | None,

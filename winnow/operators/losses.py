@@ -16,7 +16,7 @@ from winnow.operators.lm import (W_BI_CTX, W_CACHE, W_UNI_CTX, CountLM, lm_brief
 from winnow.operators.records import MAX_LENGTH
 from winnow.operators.sampling import cluster_round_robin
 from winnow.operators.vectors import encode_mean_pool, kmeans_labels, nearest_neighbor
-from winnow.session import materialize
+from winnow.session import materialize, store
 
 
 def response_loss(nll: DataFrame, tok: DataFrame | None = None, id_col: str = ID) -> DataFrame:
@@ -57,7 +57,7 @@ def select_ppl(tok: DataFrame, lm: CountLM, budget: float = 0.05, keep: str = "h
     """Perplexity, one tail; unscorable examples sink."""
     if keep not in ("high", "low"):
         raise ValueError("keep must be 'high' or 'low'")
-    tok = materialize(tok)
+    tok = store(tok)
     ppl = perplexity(response_loss(token_nll(tok, lm, "cond"), tok, id_col), id_col)
     return topk_by_score(score_direction(ppl, keep), budget, out_digits=4)
 
@@ -76,7 +76,7 @@ def ifd_scores(tok: DataFrame, lm: CountLM, id_col: str = ID) -> DataFrame:
     probabilities gives both losses: with the prompt cache for ``cond``,
     without it (and without the first response token) for ``direct``.
     """
-    tok = materialize(tok)
+    tok = store(tok)
     rows = scored_rows(tok, lm, "cond", id_col=id_col)
     direct_pos = F.col("pos") > F.col("start")
     agg = rows.groupBy(id_col).agg(
@@ -110,7 +110,7 @@ def cluster_warmup(tok: DataFrame, frac: float = 0.1, clusters: int = 100, seed:
 def select_ifd_warm(tok: DataFrame, lm: CountLM, budget: float = 0.05, ifd_max: float = 1.0, warmup_frac: float = 0.1,
                     clusters: int = 100, seed: int = 42, id_col: str = ID) -> DataFrame:
     """IFD end to end: cluster-balanced warm-up (C7), brief experience (G10), then G9 on the warm model."""
-    tok = materialize(tok)
+    tok = store(tok)
     warm = lm_brief_experience(lm, tok, cluster_warmup(tok, warmup_frac, clusters, seed, id_col), id_col)
     return select_ifd(tok, warm, budget, ifd_max)
 
@@ -156,9 +156,9 @@ def miwv_scores(tok: DataFrame, vecs: DataFrame, lm: CountLM, max_length: int |
     prompt's.  (Records without a prompt would see the context's last token as
     the first response token's history; then the two losses run separately.)
     """
-    tok = materialize(tok)
+    tok = store(tok)
     nn = nearest_neighbor(vecs, mode=nn_mode, id_col=id_col)
-    ctx = materialize(one_shot_context(tok, nn, max_length, id_col))
+    ctx = store(one_shot_context(tok, nn, max_length, id_col))
     if (tok.agg(F.min("n_prompt")).first()[0] or 0) < 1:
         cond = response_loss(token_nll(tok, lm, "cond"), tok, id_col)
         shot = response_loss(token_nll(tok, lm, "oneshot", ctx), tok, id_col)
