@@ -145,3 +145,32 @@ def test_long_lists_align_exactly():
             return sizes[u.size, v.size]
         assert wrapper._aligned(xs, ys, weight, False) == m[-1][-1]
         assert sum(sizes[u.size, v.size] for u, v in wrapper._aligned(xs, ys, weight, True)) == m[-1][-1]
+
+
+def test_wrapper_reads_equal_attributes_and_a_hosts_statistics_once(monkeypatch):
+    """Attributes that repeat are read once; the statistics of a host, as long as its page, aren't read for each page."""
+    import pyarrow as pa
+    read, calls = wrapper.attributes, []
+    monkeypatch.setattr(wrapper, "attributes", lambda x: calls.append(x) or read(x))
+    body = "".join(f'<div class="once-read"><p class="para-read">paragraph {k}</p></div>' for k in range(50))
+    assert alone(f"<body>{body}").count("\n") == 49
+    assert len(calls) <= 8
+
+    class Stats(list):
+        as_py_calls = 0
+        is_valid = True
+
+        def as_py(self):
+            Stats.as_py_calls += 1
+            return list(self)
+    got = wrapper._References()
+    row = Stats([{"node": 0, "n": 3, "same": 0, "chars": 9, "has": 0}])
+    for _ in range(5):
+        got.get("host", f"<body>{body}", row)
+    assert Stats.as_py_calls == 1
+    pages = [f"<body><p>menu</p><article><p>text {k}</p></article>" for k in range(6)]
+    stats = [[{"node": k, "n": 6, "same": 6 if k == 2 else 0, "chars": 5, "has": 0} for k in range(5)]] * 5 + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["u"] * 6), pa.array(["h"] * 6), pa.array(pages),
+                                        pa.array([pages[0]] * 6), pa.array(stats)], names=list("abcdef"))
+    texts = [t for b in wrapper._extract([batch]) for t in b.column(2).to_pylist()]
+    assert texts == [f"text {k}" for k in range(6)]

@@ -26,6 +26,7 @@ import math
 import re
 from bisect import bisect_right
 from collections import OrderedDict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -86,11 +87,12 @@ _TOKEN = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
-_SPACE = re.compile(r"\s+")
+# Attributes up to this length are read once for all elements that have them.
+KNOWN_ATTRS = 200
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "blocks", "at", "junk", "size", "inside", "marks", "own")
+    __slots__ = ("tag", "attrs", "kids", "blocks", "inner", "text", "at", "junk", "size", "inside", "marks", "own")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.attrs, self.kids = tag, attrs, []
@@ -118,10 +120,13 @@ class _Open:
 
     def imply_end(self, tags: tuple, scope: tuple) -> None:
         """Close the outermost element of ``tags`` inside the innermost one of ``scope``."""
+        tags = [t for t in tags if self.places.get(t)]
+        if not tags:
+            return
         bound = self.last(scope)
         found = []
         for t in tags:
-            places = self.places.get(t, ())
+            places = self.places[t]
             k = bisect_right(places, bound)
             if k < len(places):
                 found.append(places[k])
@@ -175,8 +180,8 @@ def parse(source: str) -> Node:
     return root
 
 
-def attributes(node: Node) -> dict:
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(node.attrs)}
+def attributes(attrs: str) -> dict:
+    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
 
 
 def is_junk(node: Node, in_article: bool) -> bool:
@@ -185,7 +190,12 @@ def is_junk(node: Node, in_article: bool) -> bool:
         return True
     if not node.attrs or node.tag in ("article", "main", "body", "html"):
         return False
-    a = attributes(node)
+    return _hidden(node.attrs) if len(node.attrs) <= KNOWN_ATTRS else _hidden.__wrapped__(node.attrs)
+
+
+@lru_cache(4096)
+def _hidden(attrs: str) -> bool:
+    a = attributes(attrs)
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in ROLES:
         return True
     return "style" in a and bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a["style"], re.I))
@@ -197,26 +207,36 @@ def marks_of(node: Node, in_article: bool) -> frozenset:
     A name that says that something is absent or only there as well (``no-comments``,
     ``has-sidebar``, ``ad-free``) gives no hint.
     """
-    found = {"form"} if node.tag == "form" else set()
+    found = _NO_MARKS
     if node.attrs and node.tag not in ("article", "main", "body", "html"):
-        a = attributes(node)
-        for name in f"{a.get('class', '')} {a.get('id', '')}".split():
-            words = [w.lower() for w in _SPLIT.split(name) if w]
-            known = MARKS if in_article else MARKS | _HEADER
-            for k, w in enumerate(words):
-                if w in known and not _NEGATED & set(words[:k]) and not _ABSENT & set(words[k + 1:]):
-                    found.add(w)
+        read = _named if len(node.attrs) <= KNOWN_ATTRS else _named.__wrapped__
+        found = read(node.attrs, in_article)
+    return found | {"form"} if node.tag == "form" else found
+
+
+_NO_MARKS = frozenset()
+_KNOWN = {True: MARKS, False: MARKS | _HEADER}
+
+
+@lru_cache(4096)
+def _named(attrs: str, in_article: bool) -> frozenset:
+    a, known, found = attributes(attrs), _KNOWN[in_article], set()
+    for name in f"{a.get('class', '')} {a.get('id', '')}".split():
+        words = [w.lower() for w in _SPLIT.split(name) if w]
+        for k, w in enumerate(words):
+            if w in known and not _NEGATED & set(words[:k]) and not _ABSENT & set(words[k + 1:]):
+                found.add(w)
     return frozenset(found)
 
 
 def text_of(raw: list[str]) -> str:
-    return _SPACE.sub(" ", html.unescape("".join(raw))).strip()
+    return " ".join(html.unescape("".join(raw)).split())
 
 
 def prepare(root: Node) -> list[Node]:
     """Number the block elements in page order; set their block children, junk mark and own text blocks.
 
-    ``blocks`` of a node lists, in order, its block children and its own runs of text.
+    ``blocks`` of a node lists, in order, its block children (``inner``) and its own runs of text (``text``).
     """
     order: list[Node] = []
 
@@ -226,10 +246,11 @@ def prepare(root: Node) -> list[Node]:
         node.blocks, run = [], []
 
         def flush():
-            t = text_of(run)
-            run.clear()
-            if t:
-                node.blocks.append(t)
+            if run:
+                t = text_of(run)
+                run.clear()
+                if t:
+                    node.blocks.append(t)
 
         work, links = [(iter(node.kids), False)], 0          # inline elements are walked without recursion
         while work:
@@ -252,6 +273,8 @@ def prepare(root: Node) -> list[Node]:
             else:
                 links -= work.pop()[1]
         flush()
+        node.inner = [k for k in node.blocks if isinstance(k, Node)]
+        node.text = "\n".join(k for k in node.blocks if isinstance(k, str))
 
     todo = [(root, False, False, frozenset())]
     while todo:                                              # breadth-first numbering, no recursion limit
@@ -259,8 +282,7 @@ def prepare(root: Node) -> list[Node]:
         for item in batch:
             visit(*item)
     for node in reversed(order):                             # size of the subtree, a cheap shape signature
-        node.size = (node.tag, tuple(k.size for k in node.blocks if isinstance(k, Node)))
-        node.size = hash(node.size)
+        node.size = hash((node.tag, tuple([k.size for k in node.inner])))
     _settle(order)
     return order
 
@@ -395,7 +417,7 @@ def match(ref: Node, page: Node) -> list[tuple[Node, Node]]:
 
 
 def _kids(node: Node) -> list[Node]:
-    return [k for k in node.blocks if isinstance(k, Node)]
+    return node.inner
 
 
 def _ends(xs: list[Node], ys: list[Node]) -> tuple[int, int]:
@@ -407,10 +429,6 @@ def _ends(xs: list[Node], ys: list[Node]) -> tuple[int, int]:
     return head, tail
 
 
-def own_text(node: Node) -> str:
-    return "\n".join(k for k in node.blocks if isinstance(k, str))
-
-
 def region(ref: list[Node], stats: dict) -> Node | None:
     """The deepest reference node with REGION_SHARE of the text that varies and isn't junk."""
     mass = {n.at: (stats[n.at][2] if n.at in stats and not n.junk else 0) for n in ref}
@@ -494,9 +512,8 @@ def texts_of(order: list[Node]) -> dict:
     out: dict = {}
     for x in order:
         if not x.junk:
-            t = own_text(x)
-            if t:
-                out.setdefault((x.inside, x.tag, t), []).append(x)
+            if x.text:
+                out.setdefault((x.inside, x.tag, x.text), []).append(x)
     return out
 
 
@@ -528,7 +545,7 @@ class _References:
             order = prepare(tree)
             found = template = None
             if stats is not None:
-                table = {s["node"]: (s["n"], s["same"], s["chars"], s["has"]) for s in stats}
+                table = {s["node"]: (s["n"], s["same"], s["chars"], s["has"]) for s in stats.as_py()}
                 found = region(order, table)
                 template = constants(order, table)
             self.held[host] = (tree, texts_of(order), found, template)
@@ -557,13 +574,12 @@ def _align(batches):
             for x, y in match(tree, page):
                 if copy and x.inside:
                     continue
-                t = own_text(y)
                 s = mine.setdefault(x.at, [0, 0, 0, 0])
                 s[0] += 1
-                if t == own_text(x):
+                if y.text == x.text:
                     s[1] += 1
                 else:
-                    s[2] += len(t)
+                    s[2] += len(y.text)
         if sum(map(len, sums.values())) > 100_000:           # bounded memory
             yield _sums(sums)
             sums = {}
@@ -581,17 +597,18 @@ def _extract(batches):
     refs = _References()
     for b in slices(batches):
         texts = []
-        for host, source, ref, stats in zip(*(b.column(k).to_pylist() for k in range(2, 6))):
+        stats = b.column(5)                                  # as long as the reference, so read once a host
+        for i, (host, source, ref) in enumerate(zip(*(b.column(k).to_pylist() for k in range(2, 5)))):
             page = parse(source)
             order = prepare(page)
             start, template = None, set()
-            if ref is not None and stats:
-                tree, _, found, constant = refs.get(host, ref, stats)
+            if ref is not None and stats[i].is_valid and len(stats[i]):
+                tree, _, found, constant = refs.get(host, ref, stats[i])
                 pairs = match(tree, page)
                 if found is not None:
                     start = next((y for x, y in pairs if x is found), None)
                 nodes, known = constant
-                template = {y.at for x, y in pairs if x.at in nodes and own_text(x) == own_text(y)}
+                template = {y.at for x, y in pairs if x.at in nodes and x.text == y.text}
                 if known:
                     template |= {y.at for k, ys in texts_of(order).items() if k in known for y in ys}
             texts.append(main_text(order, start, template))
