@@ -28,6 +28,8 @@ FEATURES = 8_192
 # Buckets in fewer training documents than this are left out.
 MIN_DOCS = 3
 THRESHOLD = 0.7
+# Buckets that a task of the count returns at once.
+COUNT_ROWS = 1 << 16
 
 _FOLD = np.arange(256, dtype=np.uint64)
 _FOLD[65:91] += 32
@@ -69,12 +71,13 @@ def _count(batches):
         for first, data, starts, ends in text_pieces(b.column(0)):
             row, bucket = presence(data, starts, ends, every)
             label = y[first + row]
-            for c in (0, 1):
-                counts[c, :-1] += np.bincount(bucket[label == c], minlength=1 << BITS)
+            np.add.at(counts, (label, bucket), 1)
     at = np.flatnonzero(counts.any(axis=0))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.where(at == 1 << BITS, -1, at)), pa.array(counts[0, at]), pa.array(counts[1, at])],
-        names=["bucket", "clean", "toxic"])
+    for k in range(0, len(at), COUNT_ROWS):
+        some = at[k:k + COUNT_ROWS]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.where(some == 1 << BITS, -1, some)), pa.array(counts[0, some]), pa.array(counts[1, some])],
+            names=["bucket", "clean", "toxic"])
 
 
 def _present(chosen):
