@@ -99,3 +99,16 @@ def test_lsh_recall_is_measured(spark):
         exact, got = _neighbours(df, "exact"), _neighbours(df, "lsh", block=64, bucket_rows=60, tables=2)
         assert set(got) == set(exact)
         assert sum(got[i][1] == exact[i][1] for i in got) >= 0.85 * len(exact)      # 0.9 is held on the sampled rows
+
+
+def test_tiles_ship_few_copies_and_hold_few_similarities(spark, monkeypatch):
+    n, m = 585_000, 30_000
+    bl, br = vec._tile_counts(n, m, 64, 128)
+    assert n * br + m * bl < 5 * (n + m)                     # blocks of 128 rows shipped 235 copies of the longer table
+    assert vec._tile_counts(10 * n, 10 * m, 64, 128)[1] <= 10 and max(n / bl, m / br) * 64 <= vec.TILE_ENTRIES
+    assert vec._tile_counts(0, 0, 1, 128) == (1, 1) and vec._tile_counts(100, 3, 64, 128) == (1, 1)
+    x = _clusters(300)
+    whole = _neighbours(_vectors(spark, x), "exact")
+    monkeypatch.setattr(vec, "SIM_CELLS", 700)
+    monkeypatch.setattr(vec, "TILE_ENTRIES", 16 * 70)
+    assert _neighbours(_vectors(spark, x), "exact", block=8) == whole

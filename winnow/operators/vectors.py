@@ -188,12 +188,30 @@ def anchor_mean_cosine(vecs: DataFrame, anchors: DataFrame, id_col: str = ID,
 # --- tiled exact search -------------------------------------------------------
 
 SIM_DIGITS = 9
+# Numbers that a tile's side holds at most (the side given by the caller, if that is more), tiles that are enough to
+# feed the cores, and similarities that a task holds at once.
+TILE_ENTRIES = 1 << 21
+TILES = 48
+SIM_CELLS = 2_000_000
 
 
 def _blocks(n: int, block: int) -> int:
     return max(1, int(math.ceil(n / float(block))))
 
 
+def _tile_counts(n_left: int, n_right: int, dim: int, block: int) -> tuple[int, int]:
+    """Blocks of the left and of the right rows.
+
+    A row travels to every block of the other side, so sides are as long as memory allows, and the longer table is cut
+    more often only to feed the cores; ``block`` is the least side.
+    """
+    most = max(block, TILE_ENTRIES // max(dim, 1))
+    few, many = sorted((n_left, n_right))
+    b_few = _blocks(few, most)
+    b_many = max(_blocks(many, most), min(_blocks(many, block), _blocks(TILES, b_few)))
+    return (b_few, b_many) if n_left <= n_right else (b_many, b_few)
+
+
 def _tile_best(key, left: pd.DataFrame, right: pd.DataFrame, exclude_self: bool) -> pd.DataFrame:
     cols = ["example_id", "nn_id", "sim"]
     if left.empty or right.empty:
@@ -201,13 +219,17 @@ def _tile_best(key, left: pd.DataFrame, right: pd.DataFrame, exclude_self: bool)
     right = right.sort_values("rid")
     lv = np.vstack(left["v"].to_numpy())
     rv = np.vstack(right["rv"].to_numpy())
-    sims = np.round(lv @ rv.T, SIM_DIGITS)
     lid = left["id"].to_numpy()
     rid = right["rid"].to_numpy()
-    if exclude_self:
-        sims[lid[:, None] == rid[None, :]] = -np.inf
-    j = np.argmax(sims, axis=1)  # first maximum = lowest id among ties
-    best = sims[np.arange(len(lid)), j]
+    best, j = np.empty(len(lid)), np.empty(len(lid), np.int64)
+    step = max(1, SIM_CELLS // len(rid))
+    for lo in range(0, len(lid), step):
+        part = slice(lo, lo + step)
+        sims = np.round(lv[part] @ rv.T, SIM_DIGITS)
+        if exclude_self:
+            sims[lid[part, None] == rid[None, :]] = -np.inf
+        j[part] = np.argmax(sims, axis=1)  # first maximum = lowest id among ties
+        best[part] = sims[np.arange(len(sims)), j[part]]
     ok = np.isfinite(best)
     return pd.DataFrame({"example_id": lid[ok], "nn_id": rid[j][ok], "sim": best[ok]})
 
@@ -215,7 +237,8 @@ def _tile_best(key, left: pd.DataFrame, right: pd.DataFrame, exclude_self: bool)
 def _tiled(left: DataFrame, right: DataFrame, n_left: int, n_right: int, block: int,
            exclude_self: bool) -> DataFrame:
     """Best right row per left row by cosine (inputs already unit vectors ``(id, v)``)."""
-    bl, br = _blocks(n_left, block), _blocks(n_right, block)
+    some = right.select(F.size("v").alias("d")).first()
+    bl, br = _tile_counts(n_left, n_right, some["d"] if some else 1, block)
     lrep = left.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(bl)).alias("rb"),
                        F.explode(F.sequence(F.lit(0), F.lit(br - 1)).cast("array<long>")).alias("cb"))
     # Distinct names on the right side: both sides may come from one plan.
