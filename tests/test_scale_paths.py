@@ -112,3 +112,17 @@ def test_tiles_ship_few_copies_and_hold_few_similarities(spark, monkeypatch):
     monkeypatch.setattr(vec, "SIM_CELLS", 700)
     monkeypatch.setattr(vec, "TILE_ENTRIES", 16 * 70)
     assert _neighbours(_vectors(spark, x), "exact", block=8) == whole
+
+
+def test_index_ships_a_row_once_per_group(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(2000, 16))    # no structure: every block is visited
+    index = vec.MetricIndex(vec._unit(_vectors(spark, x), "example_id", "vec"), len(x), block=16)
+    blocks, groups = index.visits().agg(F.sum(F.size("blocks")), F.sum(F.size("groups"))).first()
+    assert blocks > 50 * len(x) and groups <= (vec.GROUPS + 1) * len(x)
+    assert sorted(set(index.group)) == list(range(index.group[-1] + 1))
+    monkeypatch.setattr(vec, "TILE_ENTRIES", 16 * 60)
+    monkeypatch.setattr(vec, "SIM_CELLS", 500)
+    monkeypatch.setattr(vec, "VISIT_ROWS", 70)
+    monkeypatch.setattr(vec, "INDEX_BLOCK", 16)
+    t = _vectors(spark, np.concatenate([x[:150], x[:40], -x[:30], np.zeros((3, 16)), _clusters(60)]))
+    assert _neighbours(t, "index") == _neighbours(t, "exact", block=128)

@@ -306,11 +306,13 @@ def _hyperplane_buckets(unit: DataFrame, dim: int, tables: int, bits: int, seed:
 # --- metric index ----------------------------------------------------------------
 
 # Rows of a block, the most cells and blocks (their bounds are broadcast), and the
-# visiting rows that one task compares with a block.
+# visiting rows that one task compares with a group of blocks.  Tables are cut into about GROUPS groups (and
+# as many parts of visiting rows) until a side has TILE_ENTRIES numbers.
 INDEX_BLOCK = 1024
 MAX_CELLS = 4096
 MAX_BLOCKS = 200_000
 VISIT_ROWS = 8192
+GROUPS = 16
 # Rings of a large cell, by the angle to its centre.
 RINGS = 64
 # Float error allowed for angles (arccos near 1) and rounded similarities.
@@ -323,14 +325,17 @@ class MetricIndex:
     ``rows`` are ``(id, v)`` distinct unit vectors (a zero vector counts as orthogonal to
     all, which keeps the triangle inequality).  At most MAX_CELLS centres and MAX_BLOCKS
     bounds are held; blocks grow with the table beyond that, and oversized rings are split
-    by a hash of the id, so a dense cell is never one task's work.
+    by a hash of the id, so a dense cell is never one task's work.  Cells are numbered so that near ones
+    follow each other; blocks in a row form a group, and a row travels once to each group that it visits.
     """
 
     def __init__(self, rows: DataFrame, n: int, block: int = INDEX_BLOCK, cells: int | None = None, seed: int = 42):
         self.n, self.block = n, max(block, -(-2 * n // MAX_BLOCKS))
         k = cells or min(MAX_CELLS, max(1, math.isqrt(n)))
         centers = lloyd_centers(rows, k, seed, 2, "id")
+        centers = centers[_near_order(centers)]
         self.centers = centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
+        self.side = min(TILE_ENTRIES // max(centers.shape[1], 1), -(-n // GROUPS))
         bc = rows.sparkSession.sparkContext.broadcast(self.centers)
 
         def nearest(batches):
@@ -346,7 +351,7 @@ class MetricIndex:
             F.count(F.lit(1)).alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi"),
             F.percentile_approx("angle", cuts, 1000).alias("q")).orderBy("cell").collect()
         self.least = np.full(len(self.centers), np.inf)         # angle of each cell's innermost row
-        self.first, self.rings, cell, lo, hi, base = {}, {}, [], [], [], 0
+        self.first, self.rings, cell, lo, hi, base, held = {}, {}, [], [], [], 0, []
         for r in stats:
             self.least[r["cell"]] = r["lo"]
             rings = min(RINGS, -(-r["n"] // self.block))
@@ -357,8 +362,10 @@ class MetricIndex:
                 cell += [r["cell"]] * parts
                 lo += [a] * parts
                 hi += [b] * parts
+                held += [r["n"] / (len(edges) + 1) / parts] * parts
                 base += parts
         self.cell, self.lo, self.hi = np.array(cell), np.array(lo), np.array(hi)
+        self.group = ((np.cumsum(held) - held) // max(self.block, self.side)).astype(np.int32)
 
     def blocked(self) -> DataFrame:
         """``(id, v, blk)``: the rows with the number of their block."""
@@ -378,12 +385,13 @@ class MetricIndex:
         return rows.mapInPandas(place, "id long, v array<double>, blk long")
 
     def visits(self) -> DataFrame:
-        """``(id, v, nn_id, sim, blocks)``: the best match in the own block, and the other
-        blocks that may hold a better one by the bounds."""
-        bc = self.rows.sparkSession.sparkContext.broadcast((self.centers, self.cell, self.lo, self.hi, self.least))
+        """``(id, v, nn_id, sim, blocks, groups, starts)``: the best match in the own block, the other
+        blocks that may hold a better one by the bounds, their groups and where those start in ``blocks``."""
+        bc = self.rows.sparkSession.sparkContext.broadcast(
+            (self.centers, self.cell, self.lo, self.hi, self.least, self.group))
 
         def own(key, pdf: pd.DataFrame) -> pd.DataFrame:
-            centers, cell, lo, hi, least = bc.value
+            centers, cell, lo, hi, least, group = bc.value
             pdf = pdf.sort_values("id")
             v, ids, blk = np.vstack(pdf["v"].to_numpy()), pdf["id"].to_numpy(), int(key[0])
             best, who, blocks = np.full(len(ids), -np.inf), np.full(len(ids), -1), []
@@ -405,33 +413,77 @@ class MetricIndex:
                 may[:, blk] = False
                 blocks += [np.flatnonzero(m).astype(np.int32) for m in may]
             found = np.isfinite(best)
+            starts = [np.flatnonzero(np.diff(group[b], prepend=-1)).astype(np.int32) for b in blocks]
             return pd.DataFrame({"id": ids, "v": list(v), "nn_id": np.where(found, who, -1),
-                                 "sim": np.where(found, best, -2.0), "blocks": blocks})
+                                 "sim": np.where(found, best, -2.0), "blocks": blocks,
+                                 "groups": [group[b[at]] for b, at in zip(blocks, starts)], "starts": starts})
         return self.blocked().groupBy("blk").applyInPandas(
-            own, "id long, v array<double>, nn_id long, sim double, blocks array<int>")
+            own, "id long, v array<double>, nn_id long, sim double, blocks array<int>, groups array<int>, starts array<int>")
 
     def search(self) -> DataFrame:
         """``(id, nn_id, sim)`` of every row that has another one."""
         seen = materialize(self.visits())
-        ask = seen.select("id", "v", "sim", F.explode(F.col("blocks").cast("array<long>")).alias("blk"))
-        parts = ask.groupBy("blk").agg(F.ceil(F.count(F.lit(1)) / VISIT_ROWS).cast("long").alias("parts"))
-        parts = materialize(parts)                               # one row per block
-        ask = ask.join(F.broadcast(parts), "blk").withColumn("part", F.pmod(F.xxhash64("id", "blk"), F.col("parts")))
-        held = self.blocked().join(F.broadcast(parts), "blk").select(
-            F.col("id").alias("rid"), F.col("v").alias("rv"), "blk",
+        end = F.coalesce(F.get("starts", F.col("k") + 1), F.size("blocks"))
+        ask = seen.select("id", "v", "blocks", "starts", F.posexplode("groups").alias("k", "grp")).select(
+            "id", "v", "grp", F.slice("blocks", F.get("starts", "k") + 1, end - F.get("starts", "k")).alias("blocks"))
+        rows = max(VISIT_ROWS, self.side)
+        parts = seen.select(F.explode("groups").alias("grp")).groupBy("grp").agg(
+            F.ceil(F.count(F.lit(1)) / rows).cast("long").alias("parts"))
+        parts = materialize(parts)                               # one row per group
+        ask = ask.join(F.broadcast(parts), "grp").withColumn("part", F.pmod(F.xxhash64("id", "grp"), F.col("parts")))
+        group = self.rows.sparkSession.createDataFrame(
+            [(k, int(g)) for k, g in enumerate(self.group)], "blk long, grp int")
+        held = self.blocked().join(F.broadcast(group.join(F.broadcast(parts), "grp")), "blk").select(
+            F.col("id").alias("rid"), F.col("v").alias("rv"), "blk", "grp",
             F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-
-        def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            out = _tile_best(None, left, right, False) if len(left) and len(right) else \
-                pd.DataFrame({"example_id": [], "nn_id": [], "sim": []})
-            return out.rename(columns={"example_id": "id"})
-        more = ask.groupBy("blk", "part").cogroup(held.groupBy("blk", "part")).applyInPandas(
-            tile, "id long, nn_id long, sim double")
+        more = ask.groupBy("grp", "part").cogroup(held.groupBy("grp", "part")).applyInPandas(
+            _visit_best, "id long, nn_id long, sim double")
         best = seen.where("sim > -2").select("id", "nn_id", "sim").unionByName(more).groupBy("id").agg(
             F.max(F.struct(F.col("sim"), (-F.col("nn_id")).alias("neg"))).alias("b"))
         return best.select("id", (-F.col("b.neg")).alias("nn_id"), F.col("b.sim").alias("sim"))
 
 
+def _near_order(centers: np.ndarray) -> np.ndarray:
+    """Numbers of the centres, near ones close to each other: halves along the axis of the greatest spread."""
+    out, todo = [], [np.arange(len(centers))]
+    while todo:
+        some = todo.pop()
+        if len(some) <= 2:
+            out += some.tolist()
+            continue
+        axis = np.argmax(centers[some].var(axis=0))
+        some = some[np.argsort(centers[some, axis], kind="stable")]
+        todo += [some[len(some) // 2:], some[:len(some) // 2]]
+    return np.array(out, np.int64)
+
+
+def _visit_best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Best row of ``right`` for each row of ``left``, among the blocks that it visits."""
+    if not len(left) or not len(right):
+        return pd.DataFrame({"id": [], "nn_id": [], "sim": []})
+    right = right.sort_values(["blk", "rid"])
+    lv, rv = np.vstack(left["v"].to_numpy()), np.vstack(right["rv"].to_numpy())
+    ids, rid = left["id"].to_numpy(), right["rid"].to_numpy()
+    visited = np.concatenate(left["blocks"].to_numpy())
+    row = np.repeat(np.arange(len(left)), left["blocks"].map(len))
+    order = np.argsort(visited, kind="stable")
+    visited, row = visited[order], row[order]
+    best, who = np.full(len(left), -np.inf), np.full(len(left), -1)
+    blk, first = np.unique(right["blk"].to_numpy(), return_index=True)
+    for b, lo, hi in zip(blk, first, [*first[1:], len(right)]):
+        mine = row[np.searchsorted(visited, b):np.searchsorted(visited, b, "right")]
+        step = max(1, SIM_CELLS // (hi - lo))
+        for k in range(0, len(mine), step):
+            at = mine[k:k + step]
+            sims = np.round(lv[at] @ rv[lo:hi].T, SIM_DIGITS)
+            j = np.argmax(sims, axis=1)                          # first maximum: lowest id
+            sim, nn = sims[np.arange(len(at)), j], rid[lo + j]
+            better = (sim > best[at]) | (sim == best[at]) & (nn < who[at])
+            best[at[better]], who[at[better]] = sim[better], nn[better]
+    ok = np.isfinite(best)
+    return pd.DataFrame({"id": ids[ok], "nn_id": who[ok], "sim": best[ok]})
+
+
 def _angles(v: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(v @ centers.T, -1.0, 1.0))
 
