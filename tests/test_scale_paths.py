@@ -1,12 +1,15 @@
 """Threshold top-k and the metric index against plain sorting and the tiled search."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from winnow.functions import text
 from winnow.operators import budget as bud
+from winnow.operators import lm
 from winnow.operators import ranking as rk
 from winnow.operators import vectors as vec
 
@@ -126,3 +129,34 @@ def test_index_ships_a_row_once_per_group(spark, monkeypatch):
     monkeypatch.setattr(vec, "INDEX_BLOCK", 16)
     t = _vectors(spark, np.concatenate([x[:150], x[:40], -x[:30], np.zeros((3, 16)), _clusters(60)]))
     assert _neighbours(t, "index") == _neighbours(t, "exact", block=128)
+
+
+def test_pair_counts_are_cut_to_the_scored_pairs(spark, monkeypatch):
+    words = [f"w{i % 97}x{i * i % 61}" for i in range(4000)]
+    corpus = [(i, words[k:k + 40]) for i, k in enumerate(range(0, 4000, 40))] + [(900, ["a", None, "b"]), (901, []), (902, None)]
+    tok = spark.createDataFrame(corpus, "example_id long, tokens array<string>")
+    recs = spark.createDataFrame([(1, words[:9], 3), (2, ["a", "b", "new", words[5], words[6]], 1), (3, ["a"], 1),
+                                  (4, ["b", None, "a", "b"], 0)], "example_id long, tokens array<string>, n_prompt long")
+    fitted = lm.fit_lm_counts(tok)
+    seq = [(p, t) for _, ws in corpus for p, t in zip([None, *(ws or [])], ws or []) if t is not None]
+    want = Counter((p, t) for p, t in seq if p is not None)
+    assert {(r.prev, r.token): r.c for r in fitted.bi.collect()} == want
+    uni, pre = Counter(t for _, t in seq), Counter(p for p, _ in seq if p is not None)
+    assert {r.token: (r.c, r.c_pre) for r in fitted.uni.collect()} == {t: (c, pre[t]) for t, c in uni.items()}
+    asked = spark.createDataFrame([("a", "b"), (words[0], words[1]), (None, "a")], "prev string, token string")
+    few = {(r.prev, r.token): r.c for r in fitted.bi_of(asked, 3).collect()}
+    assert (words[0], words[1]) in few and len(few) < len(want) / 2 and all(want[k] == c for k, c in few.items())
+    whole = {v: sorted(map(tuple, lm.token_nll(recs, fitted, v).collect()), key=str) for v in ("cond", "direct")}
+    brief = lm.lm_brief_experience(fitted, recs.limit(2), recs.limit(2))
+    warm = sorted(map(tuple, lm.token_nll(recs, brief).collect()), key=str)
+    monkeypatch.setattr(lm, "broadcast_budget_bytes", lambda spark: 4096)
+    assert fitted.bytes_bi > 4096
+    assert whole == {v: sorted(map(tuple, lm.token_nll(recs, fitted, v).collect()), key=str) for v in ("cond", "direct")}
+    brief = lm.lm_brief_experience(fitted, recs.limit(2), recs.limit(2))
+    assert warm == sorted(map(tuple, lm.token_nll(recs, brief).collect()), key=str)
+
+
+def test_whitespace_tokens_of_runs_of_spaces(spark):
+    texts = ["  A  b\t\tC \n", "", "   ", None, "x", " y   z　"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", text.tokenize_whitespace("text").alias("w"))
+    assert [r.w for r in df.collect()] == [(t or "").lower().split() for t in texts]

@@ -58,10 +58,10 @@ def _spaces(c: Column) -> Column:
 
 
 def _ws_split(c: Column) -> Column:
-    """Python ``str.split()``: other whitespace -> space, trim, split on runs of spaces.
-    A trimmed string has no empty pieces, except an empty string (-> no tokens)."""
+    """Python ``str.split()``: other whitespace -> space, trim, split at single spaces (no regular expression is
+    run for that), drop the empty pieces that runs of spaces leave."""
     s = F.trim(_spaces(F.coalesce(c, F.lit(""))))
-    return F.when(s == F.lit(""), F.array().cast("array<string>")).otherwise(F.split(s, " +"))
+    return F.when(s == F.lit(""), F.array().cast("array<string>")).otherwise(F.array_remove(F.split(s, " "), ""))
 
 
 def tokenize_whitespace(c) -> Column:

@@ -42,24 +42,45 @@ W_BI, W_UNI = 0.5, 0.5
 class CountLM:
     """The counts of a corpus.  Only ``pairs`` is there from the start; the other tables are made when they are asked for."""
 
-    pairs: DataFrame    # (prev, token, c), prev NULL at document starts; a pair's count is the sum of its rows
+    pairs: DataFrame    # (prev, token, c), prev NULL at starts, token NULL at ends; a pair's count is the sum of its rows
     once: bool = True   # no pair has more than one row
 
     @cached_property
     def uni(self) -> DataFrame:
-        """``(token, c)``"""
-        return store(self.pairs.groupBy("token").agg(F.sum("c").alias("c")))
+        """``(token, c, c_pre)``: occurrences, and those that another token follows (all but the ends)"""
+        ends = F.col("token").isNull()
+        return store(self.pairs.groupBy(F.coalesce("token", "prev").alias("_t"))
+                     .agg(F.sum(F.when(ends, F.lit(0)).otherwise(F.col("c"))).alias("c"),
+                          F.sum(F.when(ends, -F.col("c")).otherwise(F.col("c"))).alias("c_pre"))
+                     .withColumnRenamed("_t", "token"))
 
     @property
     def bi(self) -> DataFrame:
         """``(prev, token, c)``"""
-        rows = self.pairs.filter(F.col("prev").isNotNull())
+        return self._summed(self.pairs)
+
+    def _summed(self, pairs: DataFrame) -> DataFrame:
+        rows = pairs.filter(F.col("prev").isNotNull() & F.col("token").isNotNull())
         return rows if self.once else rows.groupBy("prev", "token").agg(F.sum("c").alias("c"))
 
-    @property
-    def pre(self) -> DataFrame:
-        """``(prev, c_pre)``: an aggregate that scoring plans into its join"""
-        return self.pairs.filter(F.col("prev").isNotNull()).groupBy("prev").agg(F.sum("c").alias("c_pre"))
+    def bi_of(self, asked: DataFrame, n: int) -> DataFrame:
+        """The rows of ``bi`` that ``asked (prev, token)``, at most ``n`` rows, can meet, and a few others.
+
+        Far fewer pairs are scored than counted.  Of the asked ones, one bit each of a hash is set in words of 64 bits,
+        and only the counts with a set bit are shuffled and sorted.  The words are broadcast, within the budget: with less
+        than a bit for an asked row the counts stay as they are.
+        """
+        bits = 1 << min(max(16 * n - 1, 64).bit_length(), max(broadcast_budget_bytes(asked.sparkSession), 1).bit_length() - 1)
+        if bits < max(n, 64):
+            return self.bi
+        bit = F.xxhash64("prev", "token").bitwiseAND(F.lit(bits - 1))
+        word, mask = F.shiftright(bit, 6).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"),
+                                                                         bit.bitwiseAND(F.lit(63)).cast("int"))
+        words = (asked.filter(F.col("prev").isNotNull() & F.col("token").isNotNull()).select(word, mask.alias("_bit"))
+                 .groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+        met = self.pairs.select("*", word, mask.alias("_bit")).join(F.broadcast(words), "_word") \
+                  .filter(F.col("_bits").bitwiseAND(F.col("_bit")) != 0)
+        return self._summed(met.select(*self.pairs.columns))
 
     @cached_property
     def _tokens(self):
@@ -77,27 +98,25 @@ class CountLM:
 
     @cached_property
     def bytes_bi(self) -> int:
-        """The strings are measured only if the rows alone don't exceed the broadcast budget."""
-        rows = self.pairs.count() * ROW_OVERHEAD_BYTES
-        if rows > broadcast_budget_bytes(self.pairs.sparkSession):
-            return rows
-        held = F.coalesce(F.octet_length("prev"), F.lit(0)) + F.octet_length("token")
-        return rows + int(self.pairs.agg(F.sum(held)).first()[0] or 0)
+        return _pair_bytes(self.pairs)
 
-    @property
-    def bytes_pre(self) -> int:
-        """Every prefix is a vocabulary token, so the unigrams bound the prefixes."""
-        return self.bytes_uni
+
+def _pair_bytes(pairs: DataFrame) -> int:
+    """Bytes of a broadcast of written pairs.  The strings are measured only if the rows alone don't exceed the budget."""
+    rows = pairs.count() * ROW_OVERHEAD_BYTES
+    if rows > broadcast_budget_bytes(pairs.sparkSession):
+        return rows
+    held = F.coalesce(F.octet_length("prev"), F.lit(0)) + F.coalesce(F.octet_length("token"), F.lit(0))
+    return rows + int(pairs.agg(F.sum(held)).first()[0] or 0)
 
 
 def _pair_counts(tok: DataFrame) -> DataFrame:
-    """``(prev, token, c)`` over every token occurrence; prev is NULL for a first token."""
-    pairs = F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")),
-                                  F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(0))))
-                         .alias("prev"), F.col("tokens").alias("token"))
+    """``(prev, token, c)`` over every token occurrence; prev is NULL for a first token, token NULL behind a last one."""
+    none = F.array(F.lit(None).cast("string"))
+    pairs = F.arrays_zip(F.concat(none, "tokens").alias("prev"), F.concat("tokens", none).alias("token"))
     return (tok.select(F.explode(pairs).alias("p"))
                .select(F.col("p.prev").alias("prev"), F.col("p.token").alias("token"))
-               .filter(F.col("token").isNotNull())
+               .filter(F.col("prev").isNotNull() | F.col("token").isNotNull())
                .groupBy("prev", "token").agg(F.count(F.lit(1)).alias("c")))
 
 
@@ -105,8 +124,8 @@ def fit_lm_counts(tok: DataFrame) -> CountLM:
     """G1: unigram, bigram and prefix counts of a background corpus ``(id, tokens)``.
 
     One pass: every token occurrence becomes a (prev, token) row (prev NULL at
-    a document start); the grouped table is written once, as Parquet, and the unigram,
-    bigram and prefix tables are aggregates of it.  Scoring jobs read it instead of
+    a document start, and a row with token NULL at its end); the grouped table is written once, as Parquet, and
+    the unigram, bigram and prefix counts are aggregates of it.  Scoring jobs read it instead of
     re-tokenizing the background corpus.
     """
     return CountLM(store(_pair_counts(tok)))
@@ -159,15 +178,12 @@ def _lookup(rows: DataFrame, table: DataFrame, on, size_bytes: int) -> DataFrame
     return rows.join(table.hint("merge"), on, "left")
 
 
-def history_rows(tok: DataFrame, variant: str = "cond", context: DataFrame | None = None,
-                 id_col: str = ID) -> DataFrame:
-    """``(example_id, token, clen, start, pos, prev, prev2[, cc])`` for every scored position: the token, the two
-    before it (NULL where there is none), the length of the visible context and the token's count in it."""
-    sp = _scored_positions(tok, variant, context, id_col)
+def _scored_tokens(sp: DataFrame, id_col: str) -> DataFrame:
+    """``(example_id, token, clen, start, pos, prev, prev2)`` for every scored position of :func:`_scored_positions`."""
     # Only the scored slice is exploded (prompt and context tokens never become
     # rows); the previous tokens are read from the full sequence.
     scored = F.slice("seq", F.col("start") + 1, F.greatest(F.size("seq") - F.col("start"), F.lit(0)))
-    rows = (sp.select(id_col, "seq", "start", "offset",
+    return (sp.select(id_col, "seq", "start", "offset",
                       F.coalesce(F.size("cache"), F.lit(0)).cast("double").alias("clen"),
                       F.posexplode(scored).alias("j", "token"))
               .withColumn("i", F.col("j") + F.col("start"))
@@ -175,6 +191,14 @@ def history_rows(tok: DataFrame, variant: str = "cond", context: DataFrame | Non
                       (F.col("i") + F.col("offset")).cast("long").alias("pos"),
                       F.when(F.col("i") > 0, F.element_at("seq", F.col("i"))).alias("prev"),
                       F.when(F.col("i") > 1, F.element_at("seq", F.col("i") - 1)).alias("prev2")))
+
+
+def history_rows(tok: DataFrame, variant: str = "cond", context: DataFrame | None = None,
+                 id_col: str = ID) -> DataFrame:
+    """``(example_id, token, clen, start, pos, prev, prev2[, cc])`` for every scored position: the token, the two
+    before it (NULL where there is none), the length of the visible context and the token's count in it."""
+    sp = _scored_positions(tok, variant, context, id_col)
+    rows = _scored_tokens(sp, id_col)
     if variant == "direct":
         return rows
     ccount = (sp.select(id_col, F.explode("cache").alias("token"))
@@ -182,6 +206,15 @@ def history_rows(tok: DataFrame, variant: str = "cond", context: DataFrame | Non
     return rows.join(ccount, [id_col, "token"], "left")
 
 
+def _lookup_pairs(rows: DataFrame, asked: DataFrame, lm: CountLM) -> DataFrame:
+    """Left join the pair counts as ``c_hw``; tables too big to broadcast are first cut to what ``asked`` can meet."""
+    table, size = lm.bi, lm.bytes_bi
+    if size > broadcast_budget_bytes(rows.sparkSession):
+        table = store(lm.bi_of(asked, asked.count()))
+        size = _pair_bytes(table)
+    return _lookup(rows, table.withColumnRenamed("c", "c_hw"), ["prev", "token"], size)
+
+
 def scored_rows(tok: DataFrame, lm: CountLM, variant: str = "cond", context: DataFrame | None = None,
                 id_col: str = ID) -> DataFrame:
     """``(example_id, token, pos, start, p_bi, p_uni[, cc, clen, p_cache])`` for every scored
@@ -190,9 +223,11 @@ def scored_rows(tok: DataFrame, lm: CountLM, variant: str = "cond", context: Dat
     rows = history_rows(tok, variant, context, id_col).drop("prev2")
     has_cache = variant != "direct"
     # Count tables are broadcast when their measured size fits the budget.
-    rows = _lookup(rows, lm.uni.withColumnRenamed("c", "c_w"), "token", lm.bytes_uni)
-    rows = _lookup(rows, lm.bi.withColumnRenamed("c", "c_hw"), ["prev", "token"], lm.bytes_bi)
-    rows = _lookup(rows, lm.pre, "prev", lm.bytes_pre).crossJoin(F.broadcast(lm.totals))
+    rows = _lookup(rows, lm.uni.select("token", F.col("c").alias("c_w")), "token", lm.bytes_uni)
+    asked = _scored_tokens(_scored_positions(tok, variant, context, id_col), id_col).select("prev", "token")
+    rows = _lookup_pairs(rows, asked, lm)
+    rows = _lookup(rows, lm.uni.select(F.col("token").alias("prev"), "c_pre"), "prev", lm.bytes_uni) \
+        .crossJoin(F.broadcast(lm.totals))
     p_uni = (F.coalesce("c_w", F.lit(0)).cast("double") + F.lit(1.0)) / (F.col("T") + F.col("V") + F.lit(1.0))
     p_bi = F.when(F.coalesce("c_pre", F.lit(0)) > 0,
                   F.coalesce("c_hw", F.lit(0)).cast("double") / F.col("c_pre").cast("double")) \
