@@ -7,6 +7,7 @@ import time
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from conftest import SF_SMALL, spark  # noqa: E402,F401
@@ -174,3 +175,16 @@ def test_wrapper_reads_equal_attributes_and_a_hosts_statistics_once(monkeypatch)
                                         pa.array([pages[0]] * 6), pa.array(stats)], names=list("abcdef"))
     texts = [t for b in wrapper._extract([batch]) for t in b.column(2).to_pylist()]
     assert texts == [f"text {k}" for k in range(6)]
+
+
+def test_mix_of_many_documents_ships_no_text(spark):
+    n = 100_100
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(id % 7 as int))").alias("text"),
+                               F.expr("element_at(array('a', 'b', null), cast(id % 3 + 1 as int))").alias("source"))
+    df = df.unionByName(df.limit(5))                        # repeated rows
+    m = mixing.mixed(df)
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    want = mixing.mix(df).groupBy("doc_id").agg(F.sum("copies").alias("n")).where("n > 0")
+    got = m.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    assert want.exceptAll(got).count() == 0 == got.exceptAll(want).count()

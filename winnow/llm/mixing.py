@@ -111,14 +111,41 @@ def rates(docs: DataFrame, source_col: str, text_col: str, row_key: list[str], *
     return rows, goal, solve(hist.where("size > 0"), goal.where("tokens > 0"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-        share: float = 1.5, weights=(3, 1, 2), cap: float = 2.0, toggles: int = TOGGLES) -> DataFrame:
-    """Copies of every document in the mix: ``id_col, source, size, source_size, target, rate, copies, taken``.
+def _drawn(rows: DataFrame, duals: DataFrame) -> DataFrame:
+    """``rows (id, source, size, ...)`` with the rate, its whole copies ``base`` and the place ``v`` of the rest in the order."""
+    j = rows.join(duals, F.col("source").eqNullSafe(F.col("gs"))).drop("gs")
+    rate = (F.when(F.col("size") == 0, 1.0).when(F.col("target") >= 2.0 * F.col("source_size"), 2.0)
+            .when(F.col("target") <= 0, 0.0).otherwise(_rate(F.col("l"), F.col("size") / F.col("mean"))))
+    # a uniform draw in (0, 1) from 52 bits of an md5
+    draw = (F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")),
+                                                 F.col("size").cast("string"))), 1, 13), 16, 10).cast("double")
+            + 0.5) / float(1 << 52)
+    return (j.withColumn("rate", rate).withColumn("u", draw).drop("l", "mean")
+            .withColumn("base", F.floor("rate")).withColumn("part", F.col("rate") - F.col("base"))
+            .withColumn("v", F.when(F.col("part") > 0, F.col("u") / (F.col("u") + F.col("part")))))
 
-    ``taken = copies * size`` with copies 0, 1 or 2.  A null source is a source of its own
-    (last in order); null and empty texts have size 0 and are taken once; a source without
-    tokens has target 0.  Rows are drawn by the hash of their id and size, so reruns and
-    other partitionings agree; repeated rows draw alike.  An empty table gives an empty one.
+
+def _rounded(drawn: DataFrame, due: DataFrame) -> DataFrame:
+    """``copies`` of every drawn row: the whole ones, and one more before its source's cut."""
+    return (drawn.join(due.select("s", "low"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+            .withColumn("copies", (F.col("base") + F.when(F.col("v") < F.col("low"), 1).otherwise(0)).cast("int"))
+            .drop("low", "u", "base", "part"))
+
+
+def _moved(rows: DataFrame, moved: DataFrame | None) -> DataFrame:
+    """``copies`` after the toggles."""
+    if moved is None:
+        return rows
+    return (rows.join(moved, F.col("id").eqNullSafe(F.col("mid")) & F.col("source").eqNullSafe(F.col("ms"))
+                      & (F.col("size") == F.col("msize")), "left")
+            .withColumn("copies", F.col("copies") + F.coalesce("way", F.lit(0)))
+            .drop("mid", "ms", "msize", "way"))
+
+
+def _planned(docs: DataFrame, id_col: str, source_col: str, text_col: str, share: float, weights, cap: float, toggles: int):
+    """Written tables ``(rows with rate and rounded copies; per source its dual, its cut; toggles or None)``.
+
+    The last three have a row or a few per source and decide the copies of a row by its id, source and size.
     """
     if cap != 2.0:
         raise ValueError("rates lie in [0, 2]")
@@ -129,17 +156,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     g = goal.select(F.col("source").alias("gs"), F.col("tokens").alias("source_size"), "target")
     d = dual.select(F.col("source").alias("ds"), "l", "mean")
     g = cut(g.join(d, F.col("gs").eqNullSafe(F.col("ds")), "left").drop("ds"), "dual")
-    bare = rows.join(g, F.col("source").eqNullSafe(F.col("gs")))
-    rate = (F.when(F.col("size") == 0, 1.0).when(F.col("target") >= 2.0 * F.col("source_size"), 2.0)
-            .when(F.col("target") <= 0, 0.0).otherwise(_rate(F.col("l"), F.col("size") / F.col("mean"))))
-    # a uniform draw in (0, 1) from 52 bits of an md5
-    draw = (F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")),
-                                                 F.col("size").cast("string"))), 1, 13), 16, 10).cast("double")
-            + 0.5) / float(1 << 52)
-    b = (bare.select("id", "source", "size", "source_size", "target", rate.alias("rate"), draw.alias("u"))
-         .withColumn("base", F.floor("rate")).withColumn("part", F.col("rate") - F.col("base"))
-         .withColumn("v", F.when(F.col("part") > 0, F.col("u") / (F.col("u") + F.col("part")))))
-    b = cut(b, "rates")
+    b = cut(_drawn(rows.select("id", "source", "size"), g), "rates")
 
     # tokens due above the whole copies, then the cut in the order of v, level by level
     due = b.groupBy("source").agg(F.first("target").alias("goal"),
@@ -163,12 +180,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
                   .select("s", F.coalesce("due2", F.lit(0.0)).alias("due"),
                           F.coalesce("low2", F.col("low") + F.col("width")).alias("low"),
                           F.coalesce("width2", F.lit(0.0)).alias("width")), "due")
-    out = (b.join(due.select("s", "low"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-           .withColumn("copies", (F.col("base") + F.when(F.col("v") < F.col("low"), 1).otherwise(0)).cast("int"))
-           .drop("low", "u", "base", "part"))
 
     # toggle single documents: the largest that still fits into what is missing
-    out = cut(out, "rounded")
+    out = cut(_rounded(b, due), "rounded")
     state = cut(out.groupBy("source").agg(F.first("target").alias("goal"),
                                           F.sum(F.col("copies") * F.col("size")).alias("got"))
                 .select(F.col("source").alias("s"), (F.col("goal") - F.col("got")).alias("miss")), "miss")
@@ -199,30 +213,38 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
                   .groupBy("ms").agg(F.sum(F.col("way") * F.col("size")).alias("d")))
         state = cut(state.join(change, F.col("s").eqNullSafe(F.col("ms")), "left")
                     .select("s", (F.col("miss") - F.coalesce("d", F.lit(0))).alias("miss")), "miss")
-    if moved is not None:
-        out = (out.join(moved, F.col("id").eqNullSafe(F.col("mid")) & F.col("source").eqNullSafe(F.col("ms"))
-                        & (F.col("size") == F.col("msize")), "left")
-               .withColumn("copies", F.col("copies") + F.coalesce("way", F.lit(0)))
-               .drop("mid", "ms", "msize", "way"))
+    return out, g, due, moved
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+        share: float = 1.5, weights=(3, 1, 2), cap: float = 2.0, toggles: int = TOGGLES) -> DataFrame:
+    """Copies of every document in the mix: ``id_col, source, size, source_size, target, rate, copies, taken``.
+
+    ``taken = copies * size`` with copies 0, 1 or 2.  A null source is a source of its own
+    (last in order); null and empty texts have size 0 and are taken once; a source without
+    tokens has target 0.  Rows are drawn by the hash of their id and size, so reruns and
+    other partitionings agree; repeated rows draw alike.  An empty table gives an empty one.
+    """
+    out, _, _, moved = _planned(docs, id_col, source_col, text_col, share, weights, cap, toggles)
+    out = _moved(out, moved)
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "rate", "copies",
                       (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-          **options) -> DataFrame:
+          share: float = 1.5, weights=(3, 1, 2), cap: float = 2.0, toggles: int = TOGGLES) -> DataFrame:
     """The mix itself: every document as often as it has copies; same columns.
 
-    Copies are joined on (id, source, size), which decide them, so repeated rows are safe.
+    A row's id, source and size decide its copies, given the tables per source, so the texts are read once more and
+    never shuffled; repeated rows are safe.
     """
-    taken = mix(docs, id_col, source_col, text_col, **options)
+    _, duals, due, moved = _planned(docs, id_col, source_col, text_col, share, weights, cap, toggles)
     safe = [f"c{k}" for k in range(len(docs.columns))]
     named = dict(zip(docs.columns, safe))
-    c = cut(taken.select(F.col(id_col).alias("mix_id"), F.col("source").alias("mix_source"),
-                         F.col("size").alias("mix_size"), F.col("copies").alias("mix_copies")).distinct(), "copies")
-    c = small(c, limit=100_000)
-    d = docs.toDF(*safe)
-    j = d.join(c, F.col(named[id_col]).eqNullSafe(F.col("mix_id"))
-               & F.col(named[source_col]).cast("string").eqNullSafe(F.col("mix_source"))
-               & (size_of(F.col(named[text_col]).cast("string")) == F.col("mix_size")))
-    return (j.withColumn("mix_no", F.explode(F.sequence(F.lit(0), F.col("mix_copies"))))
+    d = docs.toDF(*safe).withColumns({"id": F.col(named[id_col]), "source": F.col(named[source_col]).cast("string"),
+                                      "size": size_of(F.col(named[text_col]).cast("string"))})
+    n = duals.count()
+    j = _rounded(_drawn(d, small(duals, n, 100_000)), small(due, n, 100_000))
+    j = _moved(j, None if moved is None else small(moved, limit=100_000))
+    return (j.withColumn("mix_no", F.explode(F.sequence(F.lit(0), F.col("copies"))))
             .where(F.col("mix_no") > 0).select(*[F.col(s).alias(c) for c, s in named.items()]))
