@@ -15,10 +15,10 @@ token isn't counted and has the probability of an unknown one).
 With a visible context C: p = (1 - a) p3 + a * count of w in C / |C|, the weight a fitted by EM on
 tokens that the counts have not seen.
 
-The fit is one pass over the tokens; the lower orders are aggregates of the written trigram table.  The
+The fit is one pass over the tokens; pairs are counted where the trigrams lie, and the lowest order is an aggregate of them.  The
 histories' totals are aggregates that scoring plans into its joins, so they are neither written nor shuffled twice.
-Scoring is five equi-joins, each a broadcast only where the table's measured bytes allow it; EM and the losses
-can share their result (:func:`scored_histories`).
+Scoring is five equi-joins, each a broadcast only where the table's measured bytes allow it; the other tables are first cut
+to what the scored rows can meet.  EM and the losses can share their result (:func:`scored_histories`).
 """
 
 from __future__ import annotations
@@ -26,11 +26,15 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from winnow.functions.pieces import ROWS, earlier, pieces
 from winnow.operators.budget import ID, score_direction, topk_by_score
-from winnow.operators.lm import _lookup, history_rows
+from winnow.operators.lm import _lookup, fits_broadcast, history_rows, met_rows
 from winnow.operators.losses import perplexity, response_loss
 from winnow.operators.ranking import ROW_OVERHEAD_BYTES
 from winnow.session import materialize, store
@@ -60,19 +64,34 @@ class KneserNeyLM:
         return {"tri": b3, "bi": b2, "uni": b1, "ctx2": b3, "ctx1": b2}
 
 
+def _trigrams(batches):
+    """``(prev2, prev, token, c)`` per piece of the column ``tokens``; neighbours share the pair they end in."""
+    for batch in batches:
+        for codes, words, text, first in pieces(batch.column(0), 2):
+            words = pa.concat_arrays([pa.array([START], words.type), words])
+            codes, n = codes + 1, len(words)                            # 0: a marker, or a token that isn't counted
+            codes[codes == pc.index(words.slice(1), pa.scalar(START, words.type)).as_py() + 1] = 0
+            w = codes[first:]
+            v, u = (earlier(codes, text, first, d, 0) for d in (1, 2))
+            rows = ((v * n + w) * n + u)[w > 0]
+            rows.sort()
+            starts = np.flatnonzero(np.diff(rows, prepend=-1))
+            c = np.diff(starts, append=len(rows))
+            rows = rows[starts]
+            pair = rows // n
+            for lo in range(0, len(rows), ROWS):
+                part = slice(lo, lo + ROWS)
+                yield pa.RecordBatch.from_arrays([*(words.take(pa.array(x[part])) for x in (rows % n, pair // n, pair % n)),
+                                                  pa.array(c[part])], names=["prev2", "prev", "token", "c"])
+
+
 def trigram_counts(tok: DataFrame) -> DataFrame:
-    """``(prev2, prev, token, c)`` over every token of ``(id, tokens)``; the markers fill the first histories."""
-    n = F.size("tokens")
-    start = F.array(F.lit(START))
-    rows = F.arrays_zip(F.concat(start, start, F.slice("tokens", 1, F.greatest(n - 2, F.lit(0)))).alias("prev2"),
-                        F.concat(start, F.slice("tokens", 1, F.greatest(n - 1, F.lit(0)))).alias("prev"),
-                        F.col("tokens").alias("token"))
-    # a one-token text would otherwise be zipped with a marker too many
-    return (tok.filter(n > 0).select(F.explode(F.slice(rows, F.lit(1), n)).alias("r"))
-               .select(F.coalesce("r.prev2", F.lit(START)).alias("prev2"),
-                       F.coalesce("r.prev", F.lit(START)).alias("prev"), F.col("r.token").alias("token"))
-               .filter(F.col("token") != START)
-               .groupBy("prev2", "prev", "token").agg(F.count(F.lit(1)).alias("c")))
+    """``(prev2, prev, token, c)`` over every token of ``(id, tokens)``; the markers fill the first histories.
+
+    Pieces of the corpus are counted in numpy.  Rows are dealt by their last pair, so that the pairs are counted where they lie.
+    """
+    return (tok.select("tokens").mapInArrow(_trigrams, "prev2 string, prev string, token string, c long")
+               .repartition("prev", "token").groupBy("prev2", "prev", "token").agg(F.sum("c").alias("c")))
 
 
 def _measured(table: DataFrame, keys: list[str]) -> int:
@@ -88,15 +107,26 @@ def _level(table: DataFrame, count: str) -> tuple[float, int, int]:
     return d, int(r["s"] or 0), int(r["rows"])
 
 
+def _after2(tri: DataFrame) -> DataFrame:
+    return tri.groupBy("prev2", "prev").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("types"))
+
+
+def _after1(bi: DataFrame) -> DataFrame:
+    return bi.groupBy("prev").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"))
+
+
 def fit_kneser_ney(tok: DataFrame) -> KneserNeyLM:
-    """G1, order 3: the counts of a background corpus ``(id, tokens)``; each count table is written once."""
-    tri = store(trigram_counts(tok))
-    bi = store(tri.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n")))
+    """G1, order 3: the counts of a background corpus ``(id, tokens)``.
+
+    Trigrams and pairs are one written table: the last row of a pair also holds the number of its rows.
+    """
+    rows = Window.partitionBy("prev", "token").orderBy("prev2")
+    last = F.lead("prev2").over(rows).isNull()                          # prev2 is never NULL
+    both = store(trigram_counts(tok).withColumn("n", F.when(last, F.row_number().over(rows)).cast("long")))
+    tri, bi = both.drop("n"), both.filter(F.col("n").isNotNull()).select("prev", "token", "n")
     uni = store(bi.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
-    ctx2 = tri.groupBy("prev2", "prev").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("types"))
-    ctx1 = bi.groupBy("prev").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"))
     (d3, _, _), (d2, _, _), (d1, total, v) = _level(tri, "c"), _level(bi, "n"), _level(uni, "n")
-    return KneserNeyLM(tri, bi, uni, ctx2, ctx1, (d3, d2, d1), total, v)
+    return KneserNeyLM(tri, bi, uni, _after2(tri), _after1(bi), (d3, d2, d1), total, v)
 
 
 def _interpolate(count: str, total: str, types: str, d: float, below: Column) -> Column:
@@ -108,11 +138,23 @@ def kn_rows(rows: DataFrame, lm: KneserNeyLM) -> DataFrame:
     """``rows`` (prev2, prev, token and others) plus ``p``, the model's probability of the token."""
     keep = rows.columns
     marked = rows.withColumns({"prev2": F.coalesce("prev2", F.lit(START)), "prev": F.coalesce("prev", F.lit(START))})
-    r = _lookup(marked, lm.tri.withColumnRenamed("c", "_c3"), ["prev2", "prev", "token"], lm.size["tri"])
-    r = _lookup(r, lm.ctx2.withColumnsRenamed({"total": "_t3", "types": "_k3"}), ["prev2", "prev"], lm.size["ctx2"])
-    r = _lookup(r, lm.bi.withColumnRenamed("n", "_c2"), ["prev", "token"], lm.size["bi"])
-    r = _lookup(r, lm.ctx1.withColumnsRenamed({"total": "_t2", "types": "_k2"}), "prev", lm.size["ctx1"])
-    r = _lookup(r, lm.uni.withColumnRenamed("n", "_c1"), "token", lm.size["uni"])
+    spark = rows.sparkSession
+    tables = {"tri": lm.tri, "ctx2": lm.ctx2, "bi": lm.bi, "ctx1": lm.ctx1, "uni": lm.uni}
+    if not all(fits_broadcast(spark, size) for size in lm.size.values()):
+        # far fewer histories are scored than counted: the others are left out before a table is shuffled
+        marked = store(marked)
+        asked = marked.count()
+
+        def met(name: str, table: DataFrame, on: list[str]) -> DataFrame:
+            return table if fits_broadcast(spark, lm.size[name]) else met_rows(table, marked, on, asked)
+        tables = {"tri": met("tri", lm.tri, ["prev2", "prev", "token"]), "ctx2": _after2(met("ctx2", lm.tri, ["prev2", "prev"])),
+                  "bi": met("bi", lm.bi, ["prev", "token"]), "ctx1": _after1(met("ctx1", lm.bi, ["prev"])),
+                  "uni": met("uni", lm.uni, ["token"])}
+    r = _lookup(marked, tables["tri"].withColumnRenamed("c", "_c3"), ["prev2", "prev", "token"], lm.size["tri"])
+    r = _lookup(r, tables["ctx2"].withColumnsRenamed({"total": "_t3", "types": "_k3"}), ["prev2", "prev"], lm.size["ctx2"])
+    r = _lookup(r, tables["bi"].withColumnRenamed("n", "_c2"), ["prev", "token"], lm.size["bi"])
+    r = _lookup(r, tables["ctx1"].withColumnsRenamed({"total": "_t2", "types": "_k2"}), "prev", lm.size["ctx1"])
+    r = _lookup(r, tables["uni"].withColumnRenamed("n", "_c1"), "token", lm.size["uni"])
     d3, d2, d1 = lm.discounts
     if lm.total:
         seen = F.greatest(F.coalesce(F.col("_c1"), F.lit(0)).cast("double") - F.lit(d1), F.lit(0.0))

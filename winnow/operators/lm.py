@@ -66,21 +66,10 @@ class CountLM:
     def bi_of(self, asked: DataFrame, n: int) -> DataFrame:
         """The rows of ``bi`` that ``asked (prev, token)``, at most ``n`` rows, can meet, and a few others.
 
-        Far fewer pairs are scored than counted.  Of the asked ones, one bit each of a hash is set in words of 64 bits,
-        and only the counts with a set bit are shuffled and sorted.  The words are broadcast, within the budget: with less
-        than a bit for an asked row the counts stay as they are.
+        Far fewer pairs are scored than counted: only the counts that :func:`met_rows` leaves are shuffled and sorted.
         """
-        bits = 1 << min(max(16 * n - 1, 64).bit_length(), max(broadcast_budget_bytes(asked.sparkSession), 1).bit_length() - 1)
-        if bits < max(n, 64):
-            return self.bi
-        bit = F.xxhash64("prev", "token").bitwiseAND(F.lit(bits - 1))
-        word, mask = F.shiftright(bit, 6).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"),
-                                                                         bit.bitwiseAND(F.lit(63)).cast("int"))
-        words = (asked.filter(F.col("prev").isNotNull() & F.col("token").isNotNull()).select(word, mask.alias("_bit"))
-                 .groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
-        met = self.pairs.select("*", word, mask.alias("_bit")).join(F.broadcast(words), "_word") \
-                  .filter(F.col("_bits").bitwiseAND(F.col("_bit")) != 0)
-        return self._summed(met.select(*self.pairs.columns))
+        some = asked.filter(F.col("prev").isNotNull() & F.col("token").isNotNull())
+        return self._summed(met_rows(self.pairs, some, ["prev", "token"], n))
 
     @cached_property
     def _tokens(self):
@@ -101,6 +90,32 @@ class CountLM:
         return _pair_bytes(self.pairs)
 
 
+# Words of 64 bits in a row of a bitmap: such a row takes a quarter of a byte a bit.
+WORDS = 8
+
+
+def met_rows(table: DataFrame, asked: DataFrame, on: list[str], n: int) -> DataFrame:
+    """The rows of ``table`` that ``asked``, at most ``n`` rows, can meet on ``on``, and a few others.
+
+    Of the asked keys, one bit each of a hash is set in words of 64 bits.  The words are broadcast, within the budget: with
+    less than a bit for an asked row the table stays as it is.
+    """
+    budget = broadcast_budget_bytes(table.sparkSession)
+    bits = 1 << min(max(16 * n - 1, 64 * WORDS).bit_length(), max(4 * budget, 1).bit_length() - 1)
+    if bits < max(n, 64 * WORDS):
+        return table
+    bit = F.xxhash64(*on).bitwiseAND(F.lit(bits - 1))
+    at, word = F.shiftright(bit, 9).alias("_at"), F.shiftright(bit, 6).bitwiseAND(F.lit(WORDS - 1)).cast("int").alias("_word")
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("_bit")
+    words = asked.select(at, word, mask).groupBy("_at").agg(
+        *(F.bit_or(F.when(F.col("_word") == i, F.col("_bit"))).alias(f"_b{i}") for i in range(WORDS)))
+    held = F.col("_b0")
+    for i in range(1, WORDS):
+        held = F.when(F.col("_word") == i, F.col(f"_b{i}")).otherwise(held)
+    return (table.select("*", at, word, mask).join(F.broadcast(words), "_at")
+            .filter(held.bitwiseAND(F.col("_bit")) != 0).select(*table.columns))
+
+
 def _pair_bytes(pairs: DataFrame) -> int:
     """Bytes of a broadcast of written pairs.  The strings are measured only if the rows alone don't exceed the budget."""
     rows = pairs.count() * ROW_OVERHEAD_BYTES
@@ -173,7 +188,7 @@ def _scored_positions(tok: DataFrame, variant: str, context: DataFrame | None,
 def _lookup(rows: DataFrame, table: DataFrame, on, size_bytes: int) -> DataFrame:
     """Left join a count table: broadcast when its measured size fits the budget,
     else sort-merge (AQE may still switch to a broadcast from real shuffle sizes)."""
-    if size_bytes <= broadcast_budget_bytes(rows.sparkSession):
+    if fits_broadcast(rows.sparkSession, size_bytes):
         return rows.join(F.broadcast(table), on, "left")
     return rows.join(table.hint("merge"), on, "left")
 
@@ -215,6 +230,10 @@ def _lookup_pairs(rows: DataFrame, asked: DataFrame, lm: CountLM) -> DataFrame:
     return _lookup(rows, table.withColumnRenamed("c", "c_hw"), ["prev", "token"], size)
 
 
+def fits_broadcast(spark, size_bytes: int) -> bool:
+    return size_bytes <= broadcast_budget_bytes(spark)
+
+
 def scored_rows(tok: DataFrame, lm: CountLM, variant: str = "cond", context: DataFrame | None = None,
                 id_col: str = ID) -> DataFrame:
     """``(example_id, token, pos, start, p_bi, p_uni[, cc, clen, p_cache])`` for every scored
