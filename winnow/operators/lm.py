@@ -42,23 +42,28 @@ W_BI, W_UNI = 0.5, 0.5
 class CountLM:
     """The counts of a corpus.  Only ``pairs`` is there from the start; the other tables are made when they are asked for."""
 
-    pairs: DataFrame    # (prev, token, c), prev NULL at starts, token NULL at ends; a pair's count is the sum of its rows
+    pairs: DataFrame    # (prev, token, c), prev NULL at starts; a pair's count is the sum of its rows
     once: bool = True   # no pair has more than one row
 
     @cached_property
     def uni(self) -> DataFrame:
         """``(token, c, c_pre)``: occurrences, and those that another token follows (all but the ends)"""
-        ends = F.col("token").isNull()
-        return store(self.pairs.groupBy(F.coalesce("token", "prev").alias("_t"))
-                     .agg(F.sum(F.when(ends, F.lit(0)).otherwise(F.col("c"))).alias("c"),
-                          F.sum(F.when(ends, -F.col("c")).otherwise(F.col("c"))).alias("c_pre"))
-                     .withColumnRenamed("_t", "token"))
+        zero, c = F.lit(0).cast("long"), F.col("c")
+        both = F.array(F.struct(F.col("token").alias("token"), c.alias("c"), zero.alias("c_pre")),
+                       F.struct(F.col("prev").alias("token"), zero.alias("c"), F.when(F.col("token").isNotNull(), c).alias("c_pre")))
+        return store(self.pairs.select(F.explode(both).alias("r")).select("r.*").filter(F.col("token").isNotNull())
+                     .groupBy("token").agg(F.sum("c").alias("c"), F.coalesce(F.sum("c_pre"), F.lit(0)).alias("c_pre")))
 
     @property
     def bi(self) -> DataFrame:
         """``(prev, token, c)``"""
         return self._summed(self.pairs)
 
+    @property
+    def pre(self) -> DataFrame:
+        """``(prev, c)``: occurrences that another token follows"""
+        return self.uni.filter("c_pre > 0").select(F.col("token").alias("prev"), F.col("c_pre").alias("c"))
+
     def _summed(self, pairs: DataFrame) -> DataFrame:
         rows = pairs.filter(F.col("prev").isNotNull() & F.col("token").isNotNull())
         return rows if self.once else rows.groupBy("prev", "token").agg(F.sum("c").alias("c"))
@@ -126,12 +131,12 @@ def _pair_bytes(pairs: DataFrame) -> int:
 
 
 def _pair_counts(tok: DataFrame) -> DataFrame:
-    """``(prev, token, c)`` over every token occurrence; prev is NULL for a first token, token NULL behind a last one."""
-    none = F.array(F.lit(None).cast("string"))
-    pairs = F.arrays_zip(F.concat(none, "tokens").alias("prev"), F.concat("tokens", none).alias("token"))
+    """``(prev, token, c)`` over every token occurrence; prev is NULL for a first token."""
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(0))))
+    pairs = F.arrays_zip(before.alias("prev"), F.col("tokens").alias("token"))
     return (tok.select(F.explode(pairs).alias("p"))
                .select(F.col("p.prev").alias("prev"), F.col("p.token").alias("token"))
-               .filter(F.col("prev").isNotNull() | F.col("token").isNotNull())
+               .filter(F.col("token").isNotNull())
                .groupBy("prev", "token").agg(F.count(F.lit(1)).alias("c")))
 
 
@@ -139,7 +144,7 @@ def fit_lm_counts(tok: DataFrame) -> CountLM:
     """G1: unigram, bigram and prefix counts of a background corpus ``(id, tokens)``.
 
     One pass: every token occurrence becomes a (prev, token) row (prev NULL at
-    a document start, and a row with token NULL at its end); the grouped table is written once, as Parquet, and
+    a document start); the grouped table is written once, as Parquet, and
     the unigram, bigram and prefix counts are aggregates of it.  Scoring jobs read it instead of
     re-tokenizing the background corpus.
     """
